@@ -57,6 +57,35 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+BLOOM_BITS = 1 << 23
+
+
+def slot_of(key: Column, bits: int = BLOOM_BITS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(bits))
+
+
+def bloom(slots: DataFrame, column: str, bits: int = BLOOM_BITS) -> np.ndarray:
+    """A filter of a fixed number of bits with those of ``slots`` set.
+
+    It never keeps out a key that was put in.  As its size doesn't grow with the
+    keys, over very many keys it keeps out fewer of the others, which costs time
+    only."""
+    slot = F.col(column) + 1  # the bitmap functions number from one
+    parts = (
+        slots.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
+        .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("part")).toPandas()
+    )
+    out = np.zeros(bits // 8, np.uint8)
+    for bucket, part in zip(parts.bucket, parts.part, strict=True):
+        at = int(bucket - 1) << 12
+        out[at : at + (1 << 12)] = np.frombuffer(bytes(part), np.uint8)
+    return out
+
+
+def bloom_has(filter_bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (filter_bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+
+
 class WordHashes(dict):
     """Word bytes to a 64-bit hash, kept for words seen; emptied beyond ``limit``."""
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import block_naming, mixing
-from .common import read
+from . import block_naming, context_tree, decontaminate, jaccard_join, langid, mixing, substring_dedup
+from .common import fold, read
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +20,41 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs, max_rows=6000))
+    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), window=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.benchmark_hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), n=10)
+    return hits.select(
+        "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
+def op10_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_jaccard_join": op6_jaccard_join,
+    "op8_decontaminate": op8_decontaminate,
+    "op10_context_tree_score": op10_context_tree_score,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -60,5 +93,56 @@ g AS (SELECT *, max(doc_id) OVER (PARTITION BY text) AS keep_id,
              CAST(count(*) OVER (PARTITION BY text) AS BIGINT) AS group_size,
              row_number() OVER (PARTITION BY text ORDER BY doc_id DESC NULLS LAST) AS nth FROM d)
 SELECT doc_id, keep_id, group_size, nth = 1 AS kept, sha256(text) AS text_sha256 FROM g
+""",
+    "op5_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (
+  SELECT doc_id, i, array_to_string(w[i:i+49], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT md5(win) AS h, min(doc_id) AS first_doc FROM p GROUP BY 1),
+h AS (SELECT DISTINCT p.doc_id, i + k AS pos
+      FROM p JOIN f ON md5(p.win) = f.h, (SELECT unnest(range(0, 50)) AS k) WHERE f.first_doc < p.doc_id),
+r AS (SELECT doc_id, list(pos) AS gone FROM h GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w
+         ELSE [w[j] FOR j IN range(1, len(w) + 1) IF NOT list_contains(gone, j)] END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+""",
+    "op6_jaccard_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i+3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+l AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(na.n) + any_value(nb.n) - count(*))),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(y) FROM r WHERE r.x = d.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id
+""",
+    "op8_decontaminate": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+v AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i+least(len(w), 10)-1], ' ') AS win
+      FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+p AS (SELECT doc_id, k, i, array_to_string(w[i:i+k-1], ' ') AS win
+      FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i
+            FROM d, (SELECT DISTINCT k FROM v) WHERE len(w) >= k)),
+m AS (SELECT p.doc_id, p.k, p.i, v.item_id FROM p JOIN v ON p.win = v.win AND p.k = v.k),
+h AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM m, (SELECT unnest(range(0, 10)) AS j) WHERE j < k GROUP BY 1),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM m GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """,
 }
