@@ -9,13 +9,21 @@ smaller l of the two.
 
 Only components are asked for, so verification is spared where it can't change
 them.  Equal sets are one class from the start.  A first round verifies, for each
-class, the class it shares most prefix shingles with among the smallest holders of
-those shingles.  A second round takes every pair of classes that are still in
-different components and meet the prefix condition, and verifies all of them.
+class, one class that shares two of its three least hashes.  A second round takes
+every pair of classes that are still in different components and meet the prefix
+condition, and verifies all of them.
+
+For the order, half of all shingles (by a bit of their hash) are counted in every
+document, and those found twice are marked in a filter of bounded size.  A counted
+shingle without a mark is in no other document; such shingles come first, and need
+no posting.  Then come the others, by an estimate of how many documents hold them.
+Over very many shingles the filter marks too many, which means more postings and
+the same links.
 
 Shingles and classes are named by 64 bits of hash (classes are told apart by 128
-bits and their size), which is the only approximation.  The frequency estimate
-only shapes the order and l; any estimate gives the same links.
+bits and their size), and sets are compared by 40 bits of their shingles; that is
+the only approximation.  The frequency estimate only shapes the order and l; any
+estimate gives the same links.
 """
 
 from __future__ import annotations
@@ -31,20 +39,48 @@ from .common import LOWER_TABLE, WordHashes, as_bytes, bloom, bloom_has, cut, li
 from .components import connected_components
 
 SKETCH_SLOTS = 1 << 20
+LEAST_BITS, MOST_BITS = 1 << 23, 1 << 29
 MOST_MATCHES = 4
 VERIFY_COST = 8.0
-
-
-def shingle_set(text: bytes, width: int, table: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles; a text of fewer words is one shingle."""
-    h = table.array(text.translate(LOWER_TABLE).split())
-    if not len(h):
-        return h
-    n = min(width, len(h))
-    total = np.full(len(h) - n + 1, n, np.uint64)
-    for i in range(n):
-        total = mix64(total * np.uint64(3) + h[i : len(h) - n + 1 + i])
-    return np.unique(total)
+CHUNK_WORDS = 1 << 17
+
+
+class Shingler:
+    """Sorted distinct shingle hashes of texts, made for many texts at a time."""
+
+    def __init__(self, width: int):
+        self.width, self.table = width, WordHashes()
+
+    def _hashes(self, h: np.ndarray, n: int) -> np.ndarray:
+        total = np.full(len(h) - n + 1, n, np.uint64)
+        for i in range(n):
+            total = mix64(total * np.uint64(3) + h[i : len(h) - n + 1 + i])
+        return total
+
+    def sets(self, texts: Iterator[bytes]) -> Iterator[np.ndarray]:
+        """One array per text, in order; a text of fewer words is one shingle."""
+        words: list[bytes] = []
+        counts: list[int] = []
+        for text in texts:
+            found = text.translate(LOWER_TABLE).split()
+            counts.append(len(found))
+            words += found
+            if len(words) >= CHUNK_WORDS:
+                yield from self._sets(words, counts)
+                words, counts = [], []
+        yield from self._sets(words, counts)
+
+    def _sets(self, words: list[bytes], counts: list[int]) -> Iterator[np.ndarray]:
+        h = self.table.array(words)
+        every = self._hashes(h, self.width) if len(h) >= self.width else h[:0]
+        at = 0
+        for n in counts:
+            if n >= self.width:
+                s = np.sort(every[at : at + n - self.width + 1])
+                yield s[np.concatenate(([True], s[1:] != s[:-1]))]
+            else:
+                yield self._hashes(h[at : at + n], n) if n else h[:0]
+            at += n
 
 
 def _needed(n: int, percent: int) -> int:
@@ -52,40 +88,91 @@ def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def prefix(found: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray:
-    """The shingles of the chosen prefix, rarest first."""
+def prefix(found: np.ndarray, marks: np.ndarray, heavy: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
+    """The chosen prefix, rarest first: how many shingles that no other document holds,
+    and the other ones."""
     n = len(found)
     if not n:
-        return found
-    others = heavy[(found >> np.uint64(44)).astype(np.int64)]
+        return 0, found
+    alone = (found & np.uint64(1) == 0) & ~bloom_has(marks, _marked_slot(found, marks))
+    others = heavy[(found >> np.uint64(44)).view(np.int64)] + 1
+    others[alone] = 0
     order = np.argsort(others, kind="stable")
     shortest, most = n - _needed(n, percent) + 1, min(MOST_MATCHES, _needed(n, percent))
     cost = np.cumsum(others[order[: shortest + most - 1]], dtype=np.float64)[shortest - 1 :]
     matches = np.arange(1, len(cost) + 1)
     best = int(np.argmin(shortest + matches + cost + VERIFY_COST * cost / matches))
-    return found[order[: shortest + best]]
+    chosen = order[: shortest + best]
+    skipped = min(int(alone.sum()), len(chosen))
+    return skipped, found[chosen[skipped:]]
 
 
-def frequent_slots(docs: DataFrame, width: int) -> np.ndarray:
-    """For each of a fixed number of hash slots, roughly how many shingles beyond the
-    usual fall in it.
+def _marked_slot(found: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(65 - (len(marks) * 8).bit_length())).view(np.int64)
 
-    Every task counts all shingles of all its documents and reports the slots that
-    stand out from its own mean; reports are added up."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, counts = WordHashes(), np.zeros(SKETCH_SLOTS, np.int64)
+def frequencies(docs: DataFrame, width: int, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The filter over counted shingles that are in several documents; and for each of
+    a fixed number of hash slots, roughly how many shingles beyond the usual it holds.
+
+    Counted shingles are dealt by their leading bits, in packed runs of 32 further
+    bits.  For the slots every task counts all shingles of its documents and reports
+    those that stand out from its own mean.  Documents with equal sets count once in
+    a task."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (n_docs * 256).bit_length()))
+    lead = max(4, min(28, (n_docs // 4000).bit_length()))
+    down, keep = np.uint64(64 - lead), np.uint64(32 - lead)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, counts, seen, held, size = Shingler(width), np.zeros(SKETCH_SLOTS, np.int64), set(), [], 0
+
+        def rows(buckets, parts, slots, n):
+            return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(parts, pa.binary()), pa.array(slots, pa.int64()), pa.array(n, pa.int64())], names=["bucket", "part", "slot", "n"])
+
+        def packed():
+            every, n = np.unique(np.concatenate(held), return_counts=True)
+            every = np.sort(np.concatenate([every, every[n > 1]]))
+            bucket = (every >> down).astype(np.int32)
+            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            parts = [x.tobytes() for x in np.split((every >> keep).astype(np.uint32), starts[1:])]
+            return rows(bucket[starts], parts, [None] * len(parts), [None] * len(parts))
+
         for batch in batches:
-            for text in as_bytes(batch.column("text")):
-                np.add.at(counts, (shingle_set(text, width, table) >> np.uint64(44)).view(np.int64), 1)
+            for found in shingler.sets(as_bytes(batch.column("text"))):
+                name = _class_of(found)[0]
+                if not len(found) or name in seen:
+                    continue
+                seen.add(name)
+                np.add.at(counts, (found >> np.uint64(44)).view(np.int64), 1)
+                held.append(found[found & np.uint64(1) == 0])
+                size += len(held[-1])
+                if size >= 1 << 21:
+                    yield packed()
+                    held, size = [], 0
+        if held:
+            yield packed()
         mean = counts.mean()
         high = np.flatnonzero(counts > mean + 4 * mean**0.5 + 4)
-        yield pa.RecordBatch.from_arrays([pa.array(high, pa.int64()), pa.array(counts[high] - int(mean), pa.int64())], names=["slot", "n"])
+        yield rows([-1] * len(high), [None] * len(high), high, counts[high] - int(mean))
 
-    sums = docs.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for bucket, part in zip(batch.column("bucket").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                held.setdefault(bucket, []).append(part)
+        for bucket in sorted(held):
+            every = np.sort(np.frombuffer(b"".join(held.pop(bucket)), np.uint32))
+            again = np.unique(every[1:][every[1:] == every[:-1]]).astype(np.uint64)
+            slots = np.unique((np.uint64(bucket) << down | again << keep) >> np.uint64(65 - bits.bit_length()))
+            yield pa.RecordBatch.from_arrays([pa.array(long_array(slots))], names=["slot"])
+
+    out = staged(docs.select("text").mapInArrow(scan, "bucket int, part binary, slot long, n long"))
+    dealt = out.where("bucket >= 0").select("bucket", "part").repartition("bucket")
+    marks = bloom(dealt.mapInArrow(twice, "slot long"), "slot", bits)
+    sums = out.where("bucket < 0").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     heavy = np.zeros(SKETCH_SLOTS, np.float32)
-    heavy[sums.slot.to_numpy()] = sums.n.to_numpy()
-    return heavy
+    heavy[sums.slot.to_numpy(np.int64)] = sums.n.to_numpy()
+    return marks, heavy
 
 
 def _class_of(found: np.ndarray) -> tuple[int, int]:
@@ -96,79 +183,135 @@ def _class_of(found: np.ndarray) -> tuple[int, int]:
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``doc_id, cls, cls2, n, tokens`` for every document."""
-    heavy = docs.sparkSession.sparkContext.broadcast(frequent_slots(docs, width))
+    """``doc_id, cls, cls2, n, least, skipped, tokens`` for every document."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs, width, docs.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, at = WordHashes(), heavy.value
+        shingler, (marks, heavy) = Shingler(width), shared.value
         for batch in batches:
-            sets = [shingle_set(t, width, table) for t in as_bytes(batch.column("text"))]
-            names = [_class_of(s) for s in sets]
+            names, sizes, least, skipped, tokens = [], [], [], [], []
+            for s in shingler.sets(as_bytes(batch.column("text"))):
+                names.append(_class_of(s))
+                sizes.append(len(s))
+                least.append(long_array(s[:3]))
+                chosen = prefix(s, marks, heavy, percent)
+                skipped.append(chosen[0])
+                tokens.append(long_array(chosen[1]))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()), list_column([long_array(prefix(s, at, percent)) for s in sets], pa.int64()),
+                    pa.array(sizes, pa.int64()), list_column(least, pa.int64()),
+                    pa.array(skipped, pa.int64()), list_column(tokens, pa.int64()),
                 ],
-                names=["doc_id", "cls", "cls2", "n", "tokens"],
+                names=["doc_id", "cls", "cls2", "n", "least", "skipped", "tokens"],
             )
 
-    return staged(docs.mapInArrow(run, "doc_id long, cls long, cls2 long, n long, tokens array<long>"))
+    return staged(docs.mapInArrow(run, "doc_id long, cls long, cls2 long, n long, least array<long>, skipped long, tokens array<long>"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets are similar enough, by exact intersection."""
-    needed = cut(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
-    holders = classes.join(needed, "cls", "left_semi").select("doc_id")
-    bits = docs.sparkSession.sparkContext.broadcast(bloom(holders.select(slot_of(F.col("doc_id")).alias("slot")), "slot"))
+def _packed(found: np.ndarray) -> bytes:
+    """The 40 low bits of each hash: all low words, then all high bytes."""
+    return found.astype(np.uint32).tobytes() + (found >> np.uint64(32)).astype(np.uint8).tobytes()
+
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, done = WordHashes(), set()
+def _unpacked(data: bytes) -> np.ndarray:
+    n = len(data) // 5
+    return np.frombuffer(data, np.uint32, n).astype(np.uint64) | np.frombuffer(data, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
+def _sets_of(docs: DataFrame, holders: DataFrame, width: int) -> DataFrame:
+    """``cls, doc_id, found`` of the documents in ``holders(doc_id)``, and some others."""
+    bits = docs.sparkSession.sparkContext.broadcast(bloom(holders.select(slot_of(F.col("doc_id")).alias("slot")).distinct(), "slot"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
         for batch in batches:
             batch = batch.filter(pa.array(bloom_has(bits.value, batch.column("slot").to_numpy())))
-            names, found = [], []
-            for text in as_bytes(batch.column("text")):
-                s = shingle_set(text, width, table)
-                name = _class_of(s)[0]
-                if len(s) and name not in done:
-                    done.add(name)
-                    names.append(name)
-                    found.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(found, pa.binary())], names=["cls", "found"])
+            found = [(_class_of(s)[0], _packed(s)) for s in shingler.sets(as_bytes(batch.column("text")))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in found], pa.int64()), batch.column("doc_id"), pa.array([x[1] for x in found], pa.binary())],
+                names=["cls", "doc_id", "found"],
+            )
+
+    return docs.select("doc_id", "text", slot_of(F.col("doc_id")).alias("slot")).mapInArrow(run, "cls long, doc_id long, found binary")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets are similar enough, by their intersection."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
+                both = np.sort(np.concatenate([_unpacked(x), _unpacked(y)]))
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * shared >= percent * (len(both) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    scanned = docs.select("text", slot_of(F.col("doc_id")).alias("slot")).mapInArrow(sets, "cls long, found binary")
-    held = scanned.join(needed, "cls", "left_semi").groupBy("cls").agg(F.min("found").alias("found"))
-    held = staged(held)
-    with_a = pairs.join(held.select(F.col("cls").alias("a"), F.col("found").alias("x")), "a")
-    with_both = with_a.join(held.select(F.col("cls").alias("b"), F.col("found").alias("y")), "b")
-    return cut(with_both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"))
+    for end in ("a", "b"):
+        holder = classes.select(F.col("cls").alias(end), F.col("doc_id").alias(f"{end}_doc"))
+        pairs = pairs.join(holder, end)
+    pairs = cut(pairs)
+    for end, name in (("a", "x"), ("b", "y")):
+        sets = _sets_of(docs, pairs.select(F.col(f"{end}_doc").alias("doc_id")), width)
+        sets = sets.select(F.col("cls").alias(end), F.col("doc_id").alias("doc"), F.col("found").alias(name))
+        first = pairs if name == "x" else with_sets
+        same = (first[end] == sets[end]) & first[f"{end}_doc"].eqNullSafe(sets["doc"])
+        with_sets = first.join(sets, same).drop(sets[end], f"{end}_doc", "doc")
+    return cut(with_sets.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"))
 
 
-def _nearest_holders(shared: DataFrame) -> DataFrame:
-    """For each class the smallest holder that it shares most prefix shingles with."""
-    counts = shared.where("cls <> head").groupBy("cls", "head").agg(F.count("*").alias("n"))
-    return counts.groupBy("cls").agg(F.max_by("head", F.struct("n", "head")).alias("b")).select(F.col("cls").alias("a"), "b")
+def _likely(classes: DataFrame) -> DataFrame:
+    """For each class one smaller class that shares two of its three least hashes."""
+    held = classes.select("cls", F.explode("least").alias("token"))
+    heads = cut(held.groupBy("token").agg(F.min("cls").alias("head"), F.max("cls").alias("last")).where("head <> last").drop("last"))
+    shared = held.join(heads, "token").where("head <> cls").groupBy("cls", "head").agg(F.count("*").alias("n")).where("n > 1")
+    return shared.groupBy("cls").agg(F.max_by("head", F.struct("n", "head")).alias("b")).select(F.col("cls").alias("a"), "b")
 
 
-def _across(shared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _across(rows: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """All pairs of classes in different components that meet the prefix condition.
 
     Of each shingle's holders, those outside its largest component meet all others;
     holders within one component never meet."""
-    placed = shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    split = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    placed = staged(placed.join(cut(split), "token", "left_semi").select("token", "cls", "n", "level", "matches", "root"))
-    largest = placed.groupBy("token", "root").agg(F.count("*").alias("held"))
-    largest = cut(largest.groupBy("token").agg(F.max_by("root", F.struct("held", "root")).alias("main")))
-    marked = staged(placed.join(largest, "token"))
+    of = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
+        F.col("cls").alias("c"), F.col("doc_id").alias("d"), F.coalesce("root", "cls").alias("root")
+    )
+    placed = rows.join(cut(of), (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    placed = staged(placed.where("size(tokens) > 0").select("cls", "n", "root", "skipped", "tokens"))
+    held = placed.select("root", F.explode("tokens").alias("token"))
+    split = cut(held.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token"))
+    bits = rows.sparkSession.sparkContext.broadcast(
+        bloom(split.select(F.shiftrightunsigned("token", 38).alias("slot")).distinct(), "slot", 1 << 26)
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            flat = lists.flatten().to_numpy().view(np.uint64)
+            sizes = np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(batch)), sizes)
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = np.flatnonzero(bloom_has(bits.value, (flat >> np.uint64(38)).view(np.int64)))
+            row = row[keep]
+            n = batch.column("n").to_numpy()
+            beyond = n - (percent * n + 99) // 100
+            skipped = batch.column("skipped").to_numpy()
+            pos += np.repeat(skipped, sizes)
+            taken = [batch.column(c).take(pa.array(row)) for c in ("cls", "n", "root")]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(flat[keep].view(np.int64)), *taken, pa.array(np.maximum(1, pos[keep] - beyond[row] + 1)), pa.array((skipped + sizes - beyond)[row])
+                ],
+                names=["token", "cls", "n", "root", "level", "matches"],
+            )
+
+    columns = "token long, cls long, n long, root long, level long, matches long"
+    held = placed.mapInArrow(run, columns).distinct()
+    held = staged(held.join(split, "token", "left_semi"))
+    largest = held.groupBy("token", "root").agg(F.count("*").alias("k"))
+    largest = cut(largest.groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("main")))
+    marked = staged(held.join(largest, "token"))
     few = marked.where("root <> main").select("token", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "level", "matches", "root")])
     meets = few.join(marked, "token").where("root_a <> root and (root = main or root_a < root)")
     meets = meets.where(F.expr(f"100 * least(n, n_a) >= {percent} * greatest(n, n_a)"))
@@ -186,28 +329,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     Documents link when 100 * intersection >= percent * union of their shingle sets;
     ``component_id`` is the smallest id reachable.  Null and empty texts have no
     shingles and are their own component.  Rows with equal sets, repeated rows
-    among them, are linked.  A null id counts as larger than all others."""
+    among them, are linked.  Null ids count as larger than all others."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = _prefixes(docs, width, percent)
-    classes = staged(
-        rows.where("n > 0").groupBy("cls", "cls2", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by("tokens", "doc_id").alias("tokens"), F.min("tokens").alias("any"))
-        .withColumn("tokens", F.coalesce("tokens", "any")).drop("any")
-    )
-    beyond = F.expr(f"n - (({percent} * n + 99) div 100)")
-    postings = classes.select(
-        "cls", "n", beyond.alias("beyond"), (F.size("tokens") - beyond).alias("matches"), F.posexplode("tokens").alias("pos", "token")
-    ).withColumn("level", F.greatest(F.lit(1), F.col("pos") - F.col("beyond") + 1))
-    heads = cut(
-        postings.groupBy("token").agg(F.min("cls").alias("head"), F.max("cls").alias("last")).where("head <> last").select("token", "head")
+    classes = cut(
+        rows.where("n > 0").groupBy("cls", "cls2", "n").agg(F.min("doc_id").alias("doc_id"), F.min("least").alias("least"))
     )
-    shared = staged(postings.join(heads, "token").select("token", "cls", "n", "level", "matches", "head"))
-    first = _verified(cut(_nearest_holders(shared)), docs, classes, width, percent)
-    rest = _across(shared.drop("head"), connected_components(first), percent)
+    first = _verified(_likely(classes), docs, classes, width, percent)
+    rest = _across(rows.select("doc_id", "cls", "n", "skipped", "tokens").where("n > 0"), classes, connected_components(first), percent)
     second = _verified(rest, docs, classes, width, percent)
     roots = connected_components(first.union(second))
-    named = classes.select("cls", "cls2", "n", F.col("doc_id").alias("least")).join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    named = classes.select("cls", "cls2", "n", F.col("doc_id").alias("lowest")).join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.withColumn("root", F.coalesce("root", "cls"))
-    lows = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    lows = named.groupBy("root").agg(F.min("lowest").alias("component_id"))
     named = cut(named.join(lows, "root").select("cls", "cls2", "n", "component_id"))
     return rows.select("doc_id", "cls", "cls2", "n").join(named, ["cls", "cls2", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
