@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, bloom, bloom_has, cut, list_column, long_array, mix64, staged
+from .common import WordHashes, as_bytes, bloom, bloom_has, cut, long_array, mix64, staged
 
 LEVEL_BITS = 1 << 26
 _SHIFT = np.uint64(64 - 26)
@@ -55,6 +55,23 @@ def window_hashes(h: np.ndarray, width: int, powers: _Powers) -> np.ndarray:
     return mix64((sums[width:] - sums[:-width]) * down[: len(h) - width + 1])
 
 
+def _first_least(values: np.ndarray, span: int) -> np.ndarray:
+    """Where the least of each ``span`` consecutive values is, the first of equal ones.
+
+    Positions ride in the low bits, and minima of twice the length come from two of
+    the last."""
+    low = np.uint64((1 << 20) - 1)
+    least = (values & ~low) | (np.arange(len(values), dtype=np.uint64) & low)
+    width = 1
+    while 2 * width <= span:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if width < span:
+        least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
+    starts = np.arange(len(least), dtype=np.uint64)
+    return (starts + ((least - starts) & low)).view(np.int64)
+
+
 class Windows:
     """What a scan needs of one document at each level."""
 
@@ -70,8 +87,7 @@ class Windows:
         if n < self.window:
             return none
         short = window_hashes(h, self.quarter, self.powers)
-        span = self.window - self.quarter + 1
-        owner = np.arange(n - self.window + 1) + np.lib.stride_tricks.sliding_window_view(short, span).argmin(1)
+        owner = _first_least(short, self.window - self.quarter + 1)
         anchors = owner[np.flatnonzero(np.diff(owner, prepend=-1))]
         if not filters:
             return short[anchors], anchors
@@ -103,39 +119,33 @@ def _judged(docs: DataFrame, window: int, filters: list[np.ndarray]) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, first = Windows(window), {}
+        windows, first, held, size = Windows(window), {}, [], 0
+
+        def rows() -> pa.RecordBatch:
+            sizes = [len(x[3]) for x in held]
+            named = [pa.array(np.repeat(np.array([x[i] for x in held], np.int64), sizes)) for i in range(3)]
+            hashes, starts = (np.concatenate([x[i] for x in held]) for i in (3, 4))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(long_array(hashes)), *named, pa.array(starts.astype(np.int32))], names=["hash", "doc_id", "text_hash", "crc", "start"]
+            )
+
         for batch in batches:
-            ids, texts, crcs = (batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "crc"))
-            for doc, name, crc, text in zip(ids, texts, crcs, as_bytes(batch.column("text")), strict=True):
+            ids, names, crcs = (batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "crc"))
+            for doc, name, crc, text in zip(ids, names, crcs, as_bytes(batch.column("text")), strict=True):
                 if first.get((name, crc), _LAST_ID + 1) <= doc:
                     continue
                 first[name, crc] = doc
                 hashes, starts = windows.of(text, shared.value)
                 if len(hashes):
-                    same = lambda v: pa.array(np.full(len(hashes), v, np.int64))  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(long_array(hashes)), same(doc), same(name), same(crc), pa.array(starts.astype(np.int32))],
-                        names=["hash", "doc_id", "text_hash", "crc", "start"],
-                    )
-
-    return docs.mapInArrow(_gathered(run), "hash long, doc_id long, text_hash long, crc long, start int")
-
-
-def _gathered(run, rows: int = 1 << 17):
-    """Join small batches, so that Spark gets few large ones."""
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in run(batches):
-            held.append(batch)
-            n += len(batch)
-            if n >= rows:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
+                    held.append((doc, name, crc, hashes, starts))
+                    size += len(hashes)
+                    if size >= 1 << 17:
+                        yield rows()
+                        held, size = [], 0
         if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            yield rows()
 
-    return joined
+    return docs.mapInArrow(run, "hash long, doc_id long, text_hash long, crc long, start int")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
