@@ -12,12 +12,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, cut
 
 
+def n_words(text: Column) -> Column:
+    """Words between ASCII white space; null has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
     """``sizes(source, source_size, ...)`` with ``target``.
 
@@ -65,7 +70,7 @@ def mix_sources(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
+            n_words(F.col(text_col)).alias("size"),
         )
     )
     rows = rows.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))

@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, context_tree, decontaminate, jaccard_join, langid, mixing, substring_dedup
+from . import block_naming, context_tree, decontaminate, html_mincut, jaccard_join, langid, mixing, substring_dedup, toxicity
 from .common import fold, read
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels"), max_labelled=8000, max_unlabelled=3000))
+    return scored.select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(read(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -43,17 +51,23 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extract(read(spark, sf_dir, "pages"))
+
+
 def op10_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op8_decontaminate": op8_decontaminate,
+    "op9_html_main_text": op9_html_main_text,
     "op10_context_tree_score": op10_context_tree_score,
 }
 
