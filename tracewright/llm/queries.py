@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, context_tree, decontaminate, html_mincut, jaccard_join, langid, mixing, substring_dedup, toxicity
+from . import block_naming, context_tree, decontaminate, html_mincut, jaccard_join, langid, mixing, substring_dedup, toxicity, warc
 from .common import fold, read
 
 
@@ -43,6 +43,12 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.captures_of(read(spark, sf_dir, "pages")))
+    header = lambda name: F.col("headers")[name].alias(f"header_{name.lower()}")
+    return found.select("record_id", "url_key", "at", "outcome", "response_id", header("Date"), header("ETag"), header("Server"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.benchmark_hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), n=10)
     return hits.select(
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_warc_revisits": op7_warc_revisits,
     "op8_decontaminate": op8_decontaminate,
     "op9_html_main_text": op9_html_main_text,
     "op10_context_tree_score": op10_context_tree_score,
@@ -138,6 +145,26 @@ l AS (
 r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(y) FROM r WHERE r.x = d.doc_id) AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id
+""",
+    "op7_warc_revisits": r"""
+WITH p AS (
+  SELECT page_id, substr(md5(coalesce(html, '')), 1, 16) AS tag, url,
+    CASE WHEN regexp_matches(url, '(?i)^https?://') THEN
+      regexp_replace(regexp_replace(lower(regexp_extract(url, '(?i)^https?://(?:[^/?#@]*@)?([^/?#]*)', 1)), ':(80|443)$', ''), '^www\.', '')
+      || regexp_replace(regexp_extract(url, '(?i)^https?://[^/?#]*([^?#]*)', 1), '/+$', '')
+      || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'),
+           lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|fbclid|gclid|ref|sessionid)(=|$)'))), '&'), ''), '')
+    ELSE url END AS k FROM pages),
+v AS (SELECT page_id, k, page_id * 10 + 25 AS "at",
+             CASE WHEN page_id % 5 = 0 THEN 'x' || tag ELSE tag END AS tag FROM p),
+j AS (SELECT v.*, r.page_id AS rid, r.tag AS rtag FROM v ASOF LEFT JOIN (SELECT *, page_id * 10 AS rat FROM p) r ON v.k = r.k AND v."at" > r.rat)
+SELECT page_id * 2 + 1 AS record_id, k AS url_key, j."at",
+       CASE WHEN rid IS NULL THEN 'missing' WHEN tag = rtag THEN 'resolved' ELSE 'changed' END AS outcome,
+       rid * 2 AS response_id,
+       CASE WHEN tag = rtag THEN 'v' || page_id END AS header_date,
+       CASE WHEN tag = rtag THEN 'W/' || tag END AS header_etag,
+       CASE WHEN tag = rtag THEN 'r' END AS header_server
+FROM j
 """,
     "op8_decontaminate": r"""
 WITH d AS (
