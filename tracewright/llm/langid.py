@@ -1,20 +1,19 @@
 """Language identification by averaged hashed subword embeddings.
 
-A word stands for the hashed character n-grams of ``<word>`` and the word itself;
-a text is the average of their embeddings, and a linear softmax turns it into
-probabilities.  Embeddings and softmax are trained together by stochastic
-gradient descent in numpy on a bounded sample of labelled rows.  Probabilities
-are calibrated by temperature on a part of the sample that training does not see,
-and the rejection threshold is the lowest at which the accepted part of it
-reaches a stated precision.
+A word's subwords are its n-grams of two to four bytes, with a space before and
+after it.  A text is the average of their embeddings, and a linear softmax turns it
+into probabilities.  Embeddings and softmax are trained together by stochastic
+gradient descent in numpy on a bounded sample of labelled rows.  Probabilities are
+calibrated by temperature on a part of the sample that training does not see, and
+the rejection threshold is the lowest at which the accepted part of it reaches a
+stated precision.
 
 Averaging and the linear layer commute, so the trained model is one table of class
-scores per bucket; tasks add up the scores of words, which they remember.
+scores per bucket, which tasks add up over a text.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,20 +23,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import as_bytes, fold
 
 NO_LANGUAGE = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
-
-
-def features(word: str, buckets: int, shortest: int = 2, longest: int = 4) -> list[int]:
-    """Buckets of the n-grams of a lower-case word's letters; none if it has no letter."""
-    word = "".join(c for c in word if c.isalpha())
-    if not word:
-        return []
-    marked = f"<{word}>"
-    grams = {marked, *(marked[i : i + n] for n in range(shortest, longest + 1) for i in range(len(marked) - n + 1))}
-    return [zlib.crc32(g.encode()) % buckets for g in sorted(grams)]
+BUCKET_BITS = 15
+#: A-Z become a-z, other ASCII characters than letters become spaces.
+_LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_PIECE = 1 << 20
+
+
+def subwords(text: bytes) -> np.ndarray:
+    """How often each bucket occurs among the text's subwords; long texts in pieces."""
+    total = np.zeros(1 << BUCKET_BITS, np.int64)
+    padded = b" " + text.translate(_LETTERS) + b" "
+    for at in range(0, len(padded), _PIECE):
+        a = np.frombuffer(padded[at : at + _PIECE + 3], np.uint8)
+        starts = min(_PIECE, len(a))
+        letter = a != 32
+        code = a.astype(np.uint64)
+        for n in (2, 3, 4):
+            if len(a) < n:
+                break
+            m = len(a) - n + 1
+            code = code[:m] | a[n - 1 :].astype(np.uint64) << np.uint64(8 * (n - 1))
+            inside = letter[:m] | letter[1 : m + 1] if n == 2 else letter[1 : m + 1] if n == 3 else letter[1 : m + 1] & letter[2 : m + 2]
+            found = code[:starts][inside[:starts]] * np.uint64(0x9E3779B97F4A7C15 + 2 * n) >> np.uint64(64 - BUCKET_BITS)
+            total += np.bincount(found.view(np.int64), minlength=len(total))
+    return total
+
+
+def has_letter(text: bytes) -> bool:
+    return bool(text.translate(_LETTERS).strip()) and any(c.isalpha() for c in text.decode())
 
 
 @dataclass
@@ -49,31 +65,6 @@ class Model:
     threshold: float
 
 
-class _WordTable(dict):
-    """Words to rows of (class scores summed over n-grams, number of n-grams)."""
-
-    def __init__(self, model: Model, limit: int = 1 << 18):
-        self.model, self.limit = model, limit
-        self.rows = np.zeros((1 << 12, len(model.classes) + 1), np.float32)
-
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        ids = features(word, len(self.model.scores))
-        self.rows[at, :-1] = self.model.scores[ids].sum(0)
-        self.rows[at, -1] = len(ids)
-        self[word] = at
-        return at
-
-    def total(self, text: str) -> np.ndarray:
-        if len(self) > self.limit:
-            self.clear()
-        found = text.lower().split()
-        at = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
-        return self.rows[at].sum(0, dtype=np.float64)
-
-
 def _probabilities(logits: np.ndarray, temperature: float) -> np.ndarray:
     z = logits / temperature
     e = np.exp(z - z.max(-1, keepdims=True))
@@ -81,29 +72,24 @@ def _probabilities(logits: np.ndarray, temperature: float) -> np.ndarray:
 
 
 def train(
-    texts: list[str], labels: list[str], held: np.ndarray, buckets: int = 1 << 15, dim: int = 16, epochs: int = 3,
+    texts: list[str], labels: list[str], held: np.ndarray, dim: int = 16, epochs: int = 3,
     rate: float = 0.5, pieces: int = 4, piece_words: int = 6, precision: float = 0.98, seed: int = 7,
 ) -> Model:
     """Fit on whole texts and on a few short pieces of each, so that short texts are
     learned as well; rows with ``held`` true only calibrate."""
     rng = np.random.default_rng(seed)
     classes = sorted(set(labels))
-    embed = rng.normal(0, 1 / dim, (buckets, dim)).astype(np.float32)
+    embed = rng.normal(0, 1 / dim, (1 << BUCKET_BITS, dim)).astype(np.float32)
     weights, bias = np.zeros((dim, len(classes)), np.float32), np.zeros(len(classes), np.float32)
-    seen: dict[str, list[int]] = {}
-
-    def bag(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [i for w in words for i in (seen.get(w) or seen.setdefault(w, features(w, buckets)))]
-        return np.unique(np.array(ids, np.int64), return_counts=True)
-
     examples: tuple[list, list] = ([], [])
     for text, label, calibrate in zip(texts, labels, held, strict=True):
-        words = text.lower().split()
+        words = text.encode().split()
         cuts = [words, *(words[i : i + rng.integers(1, piece_words + 1)] for i in rng.integers(0, max(1, len(words)), pieces))]
         for piece in cuts:
-            ids, counts = bag(piece)
+            counts = subwords(b" ".join(piece))
+            ids = np.flatnonzero(counts)
             if len(ids):
-                examples[int(calibrate)].append((ids, (counts / counts.sum()).astype(np.float32), classes.index(label)))
+                examples[int(calibrate)].append((ids, (counts[ids] / counts.sum()).astype(np.float32), classes.index(label)))
     order = np.arange(len(examples[0]))
     steps, step = max(1, epochs * len(order)), 0
     for _ in range(epochs):
@@ -154,14 +140,14 @@ def fit(docs: DataFrame, max_rows: int = 6000, folds: int = 5, **options) -> Mod
     return train(sample.text.tolist(), sample.lang.tolist(), held, **options)
 
 
-def _predict(text: str | None, table: _WordTable | None) -> tuple[str, float, bool]:
-    if not text or table is None:
-        return NO_LANGUAGE, 0.0, not any(c.isalpha() for c in text or "")
-    total = table.total(text)
-    if not total[-1]:
+def _predict(text: bytes, model: Model | None) -> tuple[str, float, bool]:
+    if not has_letter(text):
         return NO_LANGUAGE, 0.0, True
-    model = table.model
-    p = _probabilities(total[:-1] / total[-1] + model.bias, model.temperature)
+    counts = subwords(text)
+    if model is None or not counts.any():
+        return NO_LANGUAGE, 0.0, False
+    ids = np.flatnonzero(counts)
+    p = _probabilities(counts[ids].astype(np.float32) @ model.scores[ids] / counts.sum() + model.bias, model.temperature)
     best = int(p.argmax())
     return model.classes[best], float(p[best]), bool(p[best] < model.threshold)
 
@@ -170,9 +156,8 @@ def _scan(docs: DataFrame, model: Model | None, text_col: str, make, schema) ->
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _WordTable(shared.value) if shared.value else None
         for batch in batches:
-            yield make(batch, [_predict(t, table) for t in batch.column(text_col).to_pylist()])
+            yield make(batch, [_predict(t, shared.value) for t in as_bytes(batch.column(text_col))])
 
     return docs.mapInArrow(run, schema)
 
