@@ -89,7 +89,7 @@ def bloom_has(filter_bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word bytes to a 64-bit hash, kept for words seen; emptied beyond ``limit``."""
 
-    def __init__(self, limit: int = 1 << 19):
+    def __init__(self, limit: int = 1 << 17):
         import xxhash
 
         self.limit, self.of = limit, xxhash.xxh3_64_intdigest
@@ -108,7 +108,9 @@ def as_bytes(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
     """Texts of an Arrow column as UTF-8, a null as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return (x or b"" for x in column.cast(pa.large_binary()).to_pylist())
+    for at in range(0, len(column), 512):  # few texts are Python objects at a time
+        for x in column.slice(at, 512).cast(pa.large_binary()).to_pylist():
+            yield x or b""
 
 
 def long_array(values: np.ndarray) -> np.ndarray:

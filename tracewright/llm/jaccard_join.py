@@ -9,7 +9,7 @@ smaller l of the two.
 
 Only components are asked for, so verification is spared where it can't change
 them.  Equal sets are one class from the start.  A first round verifies, for each
-class, one class that shares two of its three least hashes.  A second round takes
+class, the most central class that shares half of its least hashes.  A second round takes
 every pair of classes that are still in different components and meet the prefix
 condition, and verifies all of them.
 
@@ -42,7 +42,8 @@ SKETCH_SLOTS = 1 << 20
 LEAST_BITS, MOST_BITS = 1 << 23, 1 << 29
 MOST_MATCHES = 4
 VERIFY_COST = 8.0
-CHUNK_WORDS = 1 << 17
+LEAST, SHARED_LEAST = 8, 4
+CHUNK_WORDS = 1 << 16
 
 
 class Shingler:
@@ -88,15 +89,17 @@ def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def prefix(found: np.ndarray, marks: np.ndarray, heavy: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
+def prefix(found: np.ndarray, marks: np.ndarray, heavy: np.ndarray, percent: int) -> tuple[int, np.ndarray, float]:
     """The chosen prefix, rarest first: how many shingles that no other document holds,
-    and the other ones."""
+    and the other ones.  Then how widely the document's shingles are held, on average:
+    of edited copies of one text, most widely those of the text itself."""
     n = len(found)
     if not n:
-        return 0, found
+        return 0, found, 0.0
     alone = (found & np.uint64(1) == 0) & ~bloom_has(marks, _marked_slot(found, marks))
     others = heavy[(found >> np.uint64(44)).view(np.int64)] + 1
     others[alone] = 0
+    spread = float(others.sum(dtype=np.float64)) / n
     order = np.argsort(others, kind="stable")
     shortest, most = n - _needed(n, percent) + 1, min(MOST_MATCHES, _needed(n, percent))
     cost = np.cumsum(others[order[: shortest + most - 1]], dtype=np.float64)[shortest - 1 :]
@@ -104,7 +107,7 @@ def prefix(found: np.ndarray, marks: np.ndarray, heavy: np.ndarray, percent: int
     best = int(np.argmin(shortest + matches + cost + VERIFY_COST * cost / matches))
     chosen = order[: shortest + best]
     skipped = min(int(alone.sum()), len(chosen))
-    return skipped, found[chosen[skipped:]]
+    return skipped, found[chosen[skipped:]], spread
 
 
 def _marked_slot(found: np.ndarray, marks: np.ndarray) -> np.ndarray:
@@ -146,7 +149,7 @@ def frequencies(docs: DataFrame, width: int, n_docs: int) -> tuple[np.ndarray, n
                 np.add.at(counts, (found >> np.uint64(44)).view(np.int64), 1)
                 held.append(found[found & np.uint64(1) == 0])
                 size += len(held[-1])
-                if size >= 1 << 21:
+                if size >= 1 << 20:
                     yield packed()
                     held, size = [], 0
         if held:
@@ -183,30 +186,31 @@ def _class_of(found: np.ndarray) -> tuple[int, int]:
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``doc_id, cls, cls2, n, least, skipped, tokens`` for every document."""
+    """``doc_id, cls, cls2, n, least, spread, skipped, tokens`` for every document."""
     shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs, width, docs.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, (marks, heavy) = Shingler(width), shared.value
         for batch in batches:
-            names, sizes, least, skipped, tokens = [], [], [], [], []
+            names, sizes, least, spread, skipped, tokens = [], [], [], [], [], []
             for s in shingler.sets(as_bytes(batch.column("text"))):
                 names.append(_class_of(s))
                 sizes.append(len(s))
-                least.append(long_array(s[:3]))
+                least.append(long_array(s[:LEAST]))
                 chosen = prefix(s, marks, heavy, percent)
                 skipped.append(chosen[0])
+                spread.append(chosen[2])
                 tokens.append(long_array(chosen[1]))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64()),
                     pa.array(sizes, pa.int64()), list_column(least, pa.int64()),
-                    pa.array(skipped, pa.int64()), list_column(tokens, pa.int64()),
+                    pa.array(spread, pa.float64()), pa.array(skipped, pa.int64()), list_column(tokens, pa.int64()),
                 ],
-                names=["doc_id", "cls", "cls2", "n", "least", "skipped", "tokens"],
+                names=["doc_id", "cls", "cls2", "n", "least", "spread", "skipped", "tokens"],
             )
 
-    return staged(docs.mapInArrow(run, "doc_id long, cls long, cls2 long, n long, least array<long>, skipped long, tokens array<long>"))
+    return staged(docs.mapInArrow(run, "doc_id long, cls long, cls2 long, n long, least array<long>, spread double, skipped long, tokens array<long>"))
 
 
 def _packed(found: np.ndarray) -> bytes:
@@ -262,11 +266,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
 
 
 def _likely(classes: DataFrame) -> DataFrame:
-    """For each class one smaller class that shares two of its three least hashes."""
-    held = classes.select("cls", F.explode("least").alias("token"))
-    heads = cut(held.groupBy("token").agg(F.min("cls").alias("head"), F.max("cls").alias("last")).where("head <> last").drop("last"))
-    shared = held.join(heads, "token").where("head <> cls").groupBy("cls", "head").agg(F.count("*").alias("n")).where("n > 1")
-    return shared.groupBy("cls").agg(F.max_by("head", F.struct("n", "head")).alias("b")).select(F.col("cls").alias("a"), "b")
+    """For each class one more central class that shares half of its least hashes.
+
+    The head of a hash is, of the classes that hold it, the one whose shingles are most
+    widely held."""
+    held = classes.select("cls", "spread", F.explode("least").alias("token"))
+    heads = held.groupBy("token").agg(F.max_by("cls", F.struct("spread", "cls")).alias("head"), F.min("cls").alias("low"), F.max("cls").alias("high"))
+    heads = cut(heads.where("low <> high").select("token", "head"))
+    shared = held.join(heads, "token").where("head <> cls").groupBy("cls", "head").agg(F.count("*").alias("k")).where(f"k >= {SHARED_LEAST}")
+    return shared.groupBy("cls").agg(F.max_by("head", F.struct("k", "head")).alias("b")).select(F.col("cls").alias("a"), "b")
 
 
 def _across(rows: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
@@ -301,24 +309,25 @@ def _across(rows: DataFrame, classes: DataFrame, roots: DataFrame, percent: int)
             taken = [batch.column(c).take(pa.array(row)) for c in ("cls", "n", "root")]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(flat[keep].view(np.int64)), *taken, pa.array(np.maximum(1, pos[keep] - beyond[row] + 1)), pa.array((skipped + sizes - beyond)[row])
+                    pa.array(flat[keep].view(np.int64)), *taken, pa.array(pos[keep]), pa.array((skipped + sizes - beyond)[row])
                 ],
-                names=["token", "cls", "n", "root", "level", "matches"],
+                names=["token", "cls", "n", "root", "pos", "matches"],
             )
 
-    columns = "token long, cls long, n long, root long, level long, matches long"
+    columns = "token long, cls long, n long, root long, pos long, matches long"
     held = placed.mapInArrow(run, columns).distinct()
     held = staged(held.join(split, "token", "left_semi"))
     largest = held.groupBy("token", "root").agg(F.count("*").alias("k"))
     largest = cut(largest.groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("main")))
     marked = staged(held.join(largest, "token"))
-    few = marked.where("root <> main").select("token", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "level", "matches", "root")])
+    few = marked.where("root <> main").select("token", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "pos", "matches", "root")])
     meets = few.join(marked, "token").where("root_a <> root and (root = main or root_a < root)")
     meets = meets.where(F.expr(f"100 * least(n, n_a) >= {percent} * greatest(n, n_a)"))
-    held_to = F.least("matches_a", "matches")
-    meets = meets.where(F.greatest("level_a", "level") <= held_to).select(
-        F.least("cls_a", "cls").alias("a"), F.greatest("cls_a", "cls").alias("b"), held_to.alias("asked")
-    )
+    # the sizes of a pair tell the overlap it needs, and so how much of each prefix counts
+    overlap = F.expr(f"(({percent} * (n + n_a) + {99 + percent}) div {100 + percent})")
+    asked = F.least("matches_a", "matches")
+    meets = meets.where((F.col("pos") < F.col("n") - overlap + asked) & (F.col("pos_a") < F.col("n_a") - overlap + asked))
+    meets = meets.select(F.least("cls_a", "cls").alias("a"), F.greatest("cls_a", "cls").alias("b"), asked.alias("asked"))
     counts = meets.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("asked").alias("asked"))
     return cut(counts.where("n >= asked").select("a", "b"))
 
@@ -333,7 +342,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = _prefixes(docs, width, percent)
     classes = cut(
-        rows.where("n > 0").groupBy("cls", "cls2", "n").agg(F.min("doc_id").alias("doc_id"), F.min("least").alias("least"))
+        rows.where("n > 0").groupBy("cls", "cls2", "n").agg(F.min("doc_id").alias("doc_id"), F.min("least").alias("least"), F.max("spread").alias("spread"))
     )
     first = _verified(_likely(classes), docs, classes, width, percent)
     rest = _across(rows.select("doc_id", "cls", "n", "skipped", "tokens").where("n > 0"), classes, connected_components(first), percent)
