@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, bloom, bloom_has, cut, long_array, mix64, staged
+from .common import WordHashes, as_bytes, bloom, bloom_has, cut, long_array, mix64, slot_of, staged
 
 LEVEL_BITS = 1 << 26
 _SHIFT = np.uint64(64 - 26)
@@ -115,19 +115,19 @@ class Windows:
 
 
 def _judged(docs: DataFrame, window: int, filters: list[np.ndarray]) -> DataFrame:
-    """``hash, doc_id, text_hash, crc, start`` of the windows to judge at the next level."""
+    """``hash, doc_id, place`` of the windows to judge at the next level; ``place`` is half
+    of the text's hash, to tell texts of one id apart, and the window's start."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, first, held, size = Windows(window), {}, [], 0
 
         def rows() -> pa.RecordBatch:
-            sizes = [len(x[3]) for x in held]
-            named = [pa.array(np.repeat(np.array([x[i] for x in held], np.int64), sizes)) for i in range(3)]
-            hashes, starts = (np.concatenate([x[i] for x in held]) for i in (3, 4))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(long_array(hashes)), *named, pa.array(starts.astype(np.int32))], names=["hash", "doc_id", "text_hash", "crc", "start"]
-            )
+            sizes = [len(x[2]) for x in held]
+            doc, tag = (np.repeat(np.array([x[i] for x in held], np.int64), sizes) for i in (0, 1))
+            hashes, starts = (np.concatenate([x[i] for x in held]) for i in (2, 3))
+            columns = [pa.array(long_array(hashes)), pa.array(doc), pa.array(tag << 32 | starts)]
+            return pa.RecordBatch.from_arrays(columns, names=["hash", "doc_id", "place"])
 
         for batch in batches:
             ids, names, crcs = (batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "crc"))
@@ -137,7 +137,7 @@ def _judged(docs: DataFrame, window: int, filters: list[np.ndarray]) -> DataFram
                 first[name, crc] = doc
                 hashes, starts = windows.of(text, shared.value)
                 if len(hashes):
-                    held.append((doc, name, crc, hashes, starts))
+                    held.append((doc, name & 0x7FFFFFFF, hashes, starts))
                     size += len(hashes)
                     if size >= 1 << 17:
                         yield rows()
@@ -145,7 +145,7 @@ def _judged(docs: DataFrame, window: int, filters: list[np.ndarray]) -> DataFram
         if held:
             yield rows()
 
-    return docs.mapInArrow(run, "hash long, doc_id long, text_hash long, crc long, start int")
+    return docs.mapInArrow(run, "hash long, doc_id long, place long")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,31 +168,46 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     full = staged(_judged(source, window, filters))
     low = full.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("hash", "low")
     hits = full.join(cut(low), "hash").where("low < doc_id")
-    hits = hits.groupBy("doc_id", "text_hash", "crc").agg(F.collect_list("start").alias("starts"))
-    firsts = docs.groupBy("text_hash", "crc").agg(F.min("doc_id").alias("first"))
-    known = firsts.withColumnRenamed("first", "doc_id").join(hits, ["text_hash", "crc", "doc_id"], "left").withColumnRenamed("doc_id", "first")
-    joined = docs.join(staged(known), ["text_hash", "crc"]).select("given", "doc_id", "text", "first", "starts")
+    hits = hits.groupBy("doc_id", F.shiftright("place", 32).alias("tag")).agg(F.collect_list(F.col("place").bitwiseAND(0x7FFFFFFF).cast("int")).alias("starts"))
+    firsts = docs.groupBy("text_hash", "crc").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    firsts = firsts.withColumn("tag", F.col("text_hash").bitwiseAND(0x7FFFFFFF))
+    known = firsts.join(hits, ["doc_id", "tag"], "left").where("n > 1 or starts is not null")
+    known = staged(known.select("text_hash", "crc", F.col("doc_id").alias("first"), "starts"))
+    # texts that nothing is known of stay where they are; the others meet what is known
+    slots = known.select(slot_of(F.col("text_hash"), LEVEL_BITS).alias("slot")).distinct()
+    bits = docs.sparkSession.sparkContext.broadcast(bloom(slots, "slot", LEVEL_BITS))
+    routed = docs.withColumn("slot", slot_of(F.col("text_hash"), LEVEL_BITS))
+
+    def kept(batch: pa.RecordBatch, known: bool) -> pa.RecordBatch:
+        texts, counts, removed = [], [], []
+        firsts, starts = ((batch.column(c).to_pylist() if known else [None] * len(batch)) for c in ("first", "starts"))
+        for doc, first, at, text in zip(batch.column("doc_id").to_pylist(), firsts, starts, as_bytes(batch.column("text")), strict=True):
+            words = text.split()
+            n, left = len(words), words
+            if first is not None and doc > first and n >= window:
+                left = []
+            elif at:
+                change = np.zeros(n + 1, np.int64)
+                np.add.at(change, at, 1)
+                np.add.at(change, np.array(at) + window, -1)
+                left = [words[i] for i in np.flatnonzero(np.cumsum(change)[:n] == 0).tolist()]
+            texts.append(b" ".join(left).decode())
+            counts.append(n)
+            removed.append(n - len(left))
+        columns = [batch.column("given"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "n_words", "n_removed"])
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield kept(batch.filter(pa.array(~bloom_has(bits.value, batch.column("slot").to_numpy()))), False)
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts, removed = [], [], []
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "first", "starts"))
-            for doc, first, starts, text in zip(*columns, as_bytes(batch.column("text")), strict=True):
-                words = text.split()
-                n, left = len(words), words
-                if doc > first and n >= window:
-                    left = []
-                elif starts:
-                    change = np.zeros(n + 1, np.int64)
-                    np.add.at(change, starts, 1)
-                    np.add.at(change, np.array(starts) + window, -1)
-                    left = [words[i] for i in np.flatnonzero(np.cumsum(change)[:n] == 0).tolist()]
-                texts.append(b" ".join(left).decode())
-                counts.append(n)
-                removed.append(n - len(left))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("given"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())],
-                names=["doc_id", "text", "n_words", "n_removed"],
-            )
-
-    return joined.mapInArrow(kept, "doc_id long, text string, n_words long, n_removed long")
+            yield batch.filter(pa.array(bloom_has(bits.value, batch.column("slot").to_numpy())))
+
+    def after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (kept(batch, True) for batch in batches)
+
+    out = "doc_id long, text string, n_words long, n_removed long"
+    met = routed.mapInArrow(touched, routed.schema).join(known, ["text_hash", "crc"], "left").select("given", "doc_id", "text", "first", "starts")
+    return routed.mapInArrow(untouched, out).unionByName(met.mapInArrow(after, out))
