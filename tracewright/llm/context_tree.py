@@ -35,9 +35,9 @@ from .common import LOWER_TABLE, as_bytes, cut, fold, list_column, staged
 DEPTH = 5
 SPLIT = 3  # depth at which contexts are dealt to tasks
 END = b"\n"
-HOT_GRAMS, HOT_WORDS = 1 << 20, 1 << 18
-CHUNK = 1 << 21  # bytes handled at once
-HELD = 1 << 22  # distinct grams or words a task holds before it passes them on
+HOT_GRAMS, HOT_WORDS = 1 << 20, 1 << 17
+CHUNK = 1 << 20  # bytes handled at once
+HELD = 1 << 21  # distinct grams or words a task holds before it passes them on
 _HALF = float(np.log(0.5))
 
 
@@ -266,8 +266,8 @@ class _Probed:
     """Gram codes to values, by open addressing in arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(10, int(np.ceil(np.log2(max(len(keys), 1) * 3))))
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float64)
+        self.bits = max(10, int(np.ceil(np.log2(max(len(keys), 1) * 1.8))))
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
         left = np.arange(len(keys))
         for i in range(64):
             slots = self._slots(keys[left], i)
@@ -312,16 +312,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     words = staged(word_counts(docs))
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     model = learn(docs)
-    hot_words = most_frequent(words, HOT_WORDS)
-    hot_grams = most_frequent(model, HOT_GRAMS)
-    table = hot_words.toPandas()
-    known = {bytes(w): i + 1 for i, w in enumerate(table.word)}
-    gains = np.concatenate(([0.0], np.log10(table.n.to_numpy(np.float64) + 1)))
-    grams = hot_grams.select("gram", "logp").toPandas()
-    shared = spark.sparkContext.broadcast((known, gains, _Probed(grams.gram.to_numpy(np.int64), grams.logp.to_numpy())))
+    table = most_frequent(words, HOT_WORDS).toArrow()
+    gains = np.concatenate(([0.0], np.log10(table.column("n").to_numpy().astype(np.float64) + 1)))
+    grams = most_frequent(model, HOT_GRAMS).select("gram", "logp").toArrow()
+    shared = spark.sparkContext.broadcast((table.column("word").to_pylist(), gains, grams.column("gram").to_numpy(), grams.column("logp").to_numpy().astype(np.float32)))
+    del table, grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, gains, probed = shared.value
+        hot, gains, keys, values = shared.value
+        known, probed = {w: i + 1 for i, w in enumerate(hot)}, _Probed(keys, values)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             out = {k: [] for k in ("n", "k", "base", "rare", "bytes", "logp", "grams")}
@@ -336,7 +335,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 for chunk in _chunks(stream):
                     codes = gram_codes(chunk)
                     value, missing = probed.get(codes)
-                    total += value.sum()
+                    total += value.sum(dtype=np.float64)
                     rest.append(codes[missing])
                 out["bytes"].append(len(stream))
                 out["logp"].append(float(total))
