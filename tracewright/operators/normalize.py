@@ -41,14 +41,20 @@ def clip_bounds_two_pass(samples: DataFrame, low: float = 2.0, high: float = 98.
     """The same bounds for sections of any size, exactly.
 
     The first pass brackets each percentile by approximate ones whose rank error is
-    a tenth of ``slack``, so the wanted ranks lie between them.  The second counts the
-    values below and keeps those inside, counted per distinct value."""
+    a tenth of ``slack``, so the wanted ranks lie between them; sections too small for
+    that are bracketed by their least and greatest value.  The second counts the values
+    below and keeps those inside, counted per distinct value."""
     v = _amplitudes(samples)
     ranks = [low / 100, high / 100]
     marks = [min(1.0, max(0.0, r + s)) for r in ranks for s in (-slack, slack)]
     accuracy = int(10 / slack)
-    rough = v.groupBy("section_id").agg(F.percentile_approx("v", F.array(*map(F.lit, marks)), accuracy).alias("m"), F.count("*").alias("n"))
-    rough = rough.select("section_id", "n", F.posexplode(F.array(*[F.struct(F.col("m")[2 * i].alias("a"), F.col("m")[2 * i + 1].alias("b"), F.lit(r).alias("p")) for i, r in enumerate(ranks)])).alias("which", "x"))
+    rough = v.groupBy("section_id").agg(F.percentile_approx("v", F.array(*map(F.lit, marks)), accuracy).alias("m"), F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    small = F.col("n") < accuracy
+    brackets = [
+        F.struct(F.when(small, F.col("least")).otherwise(F.col("m")[2 * i]).alias("a"), F.when(small, F.col("most")).otherwise(F.col("m")[2 * i + 1]).alias("b"), F.lit(r).alias("p"))
+        for i, r in enumerate(ranks)
+    ]
+    rough = rough.select("section_id", "n", F.posexplode(F.array(*brackets)).alias("which", "x"))
     rough = rough.select("section_id", "which", ((F.col("n") - 1) * F.col("x.p")).alias("at"), F.col("x.a").alias("a"), F.col("x.b").alias("b"))
     inside = (F.col("v") >= F.col("a")) & (F.col("v") <= F.col("b"))
     met = v.join(rough, "section_id").where("v <= b")
