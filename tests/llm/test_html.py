@@ -47,3 +47,10 @@ def test_extract(spark):
     got = sorted((r.page_id, r.url, r.text, r.n_chars) for r in H.extract(pages).collect() if r.url)
     assert got == [(1, "u", LONG, len(LONG))] * 2 + [(3, "u", "", 0)]
     assert H.extract(pages.where("false")).count() == 0
+
+
+def test_names_tell_parts_apart():
+    noise = "".join(f'<div class="{c}">{LONG}</div>' for c in ("site-header", "sidebar", "subnav", "cookie-bar", "ad-slot", "user-comments", "notice"))
+    body = f'<article class="post"><div class="entry-header"><h2>T</h2></div><div class="body-text"><p>{LONG}</p></div><div class="comments">{LONG}</div></article>'
+    assert H.main_text(noise + body + '<div role="contentinfo">c</div>') == f"T\n\n{LONG}"
+    assert H.main_text(noise + f"<div><h1>T</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>") == f"T\n\n{LONG}\n\nShort.\n\n{LONG}"

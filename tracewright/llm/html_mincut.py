@@ -36,10 +36,13 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = frozenset("ul ol dl table body article main section div nav aside footer header blockquote td th".split())
 #: Parts of class and id names, as words, that tell boilerplate and content.
 BAD_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notice|popup|modal|overlay|menu|nav\w*|breadcrumbs?|sidebar|side|widget|"
-    r"footer|foot|masthead|topbar|toolbar|share|sharing|social|follow|related|recommend\w*|more-?links?|read-?more|newsletter|subscribe|signup|login|"
-    r"comments?|commentlist|disqus|replies|respond|reviews?|tags?|pagination|pager|copyright|legal|disclaimer|search|skip|tools?|metadata)(?:$|[\s_-])"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookie\w*|consent|gdpr|notices?|popup|modal|overlay|menus?|\w*nav|navbar|navigation|breadcrumbs?|"
+    r"\w*sidebar|side|widgets?|\w*footer|foot|contentinfo|complementary|masthead|topbar|toolbar|share|sharing|social|follow|related|recommend\w*|more-?links?|"
+    r"read-?more|newsletter|subscribe|signup|login|comments?|commentlist|disqus|replies|respond|reviews?|pagination|pager|copyright|legal|disclaimer|search|"
+    r"skip)(?:$|[\s_-])"
 )
+#: Names of a site's header, outside articles.
+HEADER_NAMES = re.compile(r"(?:^|\s)(?:(?:site|page|top|main|global|web)[_-]?)?header(?:$|\s)")
 GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|content|entry|main|post|story|prose)(?:$|[\s_-])")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -139,7 +142,9 @@ def blocks_of(page: str) -> list[Block]:
         outer = tag in ("html", "body")
         within = top.article or tag in ARTICLE or bool(names and GOOD_NAMES.search(names))
         # a header inside an article holds its title; elsewhere it is the site's
-        boiler = top.boiler or (tag in BOILER and not (tag == "header" and top.article)) or bool(names and not outer and tag not in ARTICLE and BAD_NAMES.search(names))
+        boiler = top.boiler or (tag in BOILER and not (tag == "header" and top.article))
+        if names and not boiler and not outer and tag not in ARTICLE:
+            boiler = bool(BAD_NAMES.search(names) or (not top.article and HEADER_NAMES.search(names)))
         hidden = top.hidden or tag in HIDDEN or bool(m[3] and not outer and _HIDE.search(m[3]))
         stack.append(_Node(tag, number, boiler, within, hidden))
         links += tag == "a"
