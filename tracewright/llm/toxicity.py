@@ -10,6 +10,7 @@ which a sparse linear classifier is trained, and that classifier scores all text
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,70 +37,73 @@ def words_of(text: str | None) -> set[str]:
     return set((text or "").lower().split())
 
 
-@dataclass
-class Votes:
-    """A sparse 0/1 matrix: features present in documents."""
+FEATURE_BITS = 23
+
 
-    rows: np.ndarray
-    cols: np.ndarray
-    n_rows: int
-    names: list[str]
+class Features(dict):
+    """Words to the hashed features they have, remembered up to a limit."""
 
-    def sums(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows, weights[self.cols], self.n_rows)
+    def __init__(self, limit: int = 1 << 16):
+        self.limit = limit
 
-    def counts(self, row_weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.cols, row_weights[self.rows], len(self.names))
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= self.limit:
+            self.clear()
+        found = self[word] = tuple(zlib.crc32(f.encode()) >> (32 - FEATURE_BITS) for f in word_features(word))
+        return found
 
-    def only(self, chosen: np.ndarray) -> Votes:
-        to = np.full(len(self.names), -1)
-        to[chosen] = np.arange(len(chosen))
-        keep = to[self.cols] >= 0
-        return Votes(self.rows[keep], to[self.cols[keep]], self.n_rows, [self.names[i] for i in chosen])
+    def of(self, text: str | None) -> np.ndarray:
+        found = {f for w in words_of(text) for f in self[w]}
+        return np.fromiter(found, np.int64, len(found))
 
 
-def votes_of(texts: list[str | None]) -> Votes:
-    known: dict[str, int] = {}
-    of_word: dict[str, list[int]] = {}
-    rows, cols = [], []
+def presence(texts: list[str | None], *weights: np.ndarray) -> list[np.ndarray]:
+    """For each weighting of the rows, the weight of the rows that have each feature."""
+    features, sums = Features(), [np.zeros(1 << FEATURE_BITS, np.float32) for _ in weights]
+    for i, text in enumerate(texts):
+        ids = features.of(text)
+        for total, w in zip(sums, weights, strict=True):
+            if w[i]:
+                total[ids] += w[i]
+    return sums
+
+
+def matrix(texts: list[str | None], chosen: np.ndarray) -> np.ndarray:
+    """Which row has which of the chosen features, as 0 and 1."""
+    features, place = Features(), np.full(1 << FEATURE_BITS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    out = np.zeros((len(texts), len(chosen)), np.float32)
     for i, text in enumerate(texts):
-        found: set[int] = set()
-        for w in words_of(text):
-            ids = of_word.get(w)
-            if ids is None:
-                ids = of_word[w] = [known.setdefault(f, len(known)) for f in word_features(w)]
-            found.update(ids)
-        cols.append(np.fromiter(found, np.int64, len(found)))
-        rows.append(np.full(len(found), i))
-    none = np.zeros(0, np.int64)
-    return Votes(np.concatenate([none, *rows]), np.concatenate([none, *cols]), len(texts), list(known))
-
-
-def telling(votes: Votes, toxic: np.ndarray, clean: np.ndarray, most: int, precision: float = 0.8) -> np.ndarray:
+        at = place[features.of(text)]
+        out[i, at[at >= 0]] = 1
+    return out
+
+
+def telling(texts: list[str | None], toxic: np.ndarray, clean: np.ndarray, most: int, precision: float = 0.8) -> np.ndarray:
     """The features whose share of toxic texts is surely above that of all texts.
 
     ``toxic`` and ``clean`` weigh the rows.  By Chernoff's bound, fewer than one in two
     runs would pick a feature by chance among all that are tested; best come first."""
+    every = presence(texts, toxic, clean)
+    tested = np.flatnonzero(every[0] + every[1])
+    in1, in0 = (x[tested].astype(np.float64) for x in every)
     n1, n0 = max(1e-9, toxic.sum()), max(1e-9, clean.sum())
-    in1, in0 = votes.counts(toxic), votes.counts(clean)
     base, n = n1 / (n1 + n0), in1 + in0
-    share = np.clip(in1 / np.maximum(n, 1e-9), 1e-12, 1 - 1e-12)
+    share = np.clip(in1 / n, 1e-12, 1 - 1e-12)
     excess = n * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / max(1e-12, 1 - base)))
     excess[(share < max(precision, base)) | (in1 < 2)] = 0
     best = np.argsort(-excess, kind="stable")[:most]
-    return best[excess[best] > np.log(2.0 * max(1, len(votes.names)))]
+    return tested[best[excess[best] > np.log(2.0 * max(1, len(tested)))]]
 
 
-def label_model(votes: Votes, toxic: np.ndarray, labelled: np.ndarray, rounds: int = 12) -> np.ndarray:
+def label_model(votes: np.ndarray, toxic: np.ndarray, labelled: np.ndarray, rounds: int = 12) -> np.ndarray:
     """Posterior probability of toxicity of each row, by expectation maximisation.
 
     A voter speaks or is silent; that all are silent is a vote as well.  ``share`` is
     a voter's part of a vote: one over one plus its correlations with other voters,
     taken within the classes."""
-    j = len(votes.names)
-    dense = np.zeros((votes.n_rows, j + 1), np.float32)
-    dense[votes.rows, votes.cols] = 1
-    dense[:, j] = dense[:, :j].sum(1) == 0
+    silent = votes.sum(1, keepdims=True) == 0
+    dense = np.concatenate([votes, silent.astype(np.float32)], axis=1)
     known = np.where(toxic, 0.98, 0.02)
     prior = float(np.clip(toxic[labelled].mean() if labelled.any() else 0.1, 0.01, 0.5))
     q = np.where(labelled, known, prior)
@@ -122,13 +126,11 @@ def label_model(votes: Votes, toxic: np.ndarray, labelled: np.ndarray, rounds: i
     return posterior
 
 
-def linear_classifier(votes: Votes, target: np.ndarray, ridge: float = 0.5, rounds: int = 15) -> tuple[np.ndarray, float]:
+def linear_classifier(present: np.ndarray, target: np.ndarray, ridge: float = 0.5, rounds: int = 15) -> tuple[np.ndarray, float]:
     """Weights and bias of logistic regression on soft labels, by Newton's method; the
     ridge spreads a weight over features that stand for the same thing."""
-    j = len(votes.names)
-    x = np.ones((votes.n_rows, j + 1), np.float32)
-    x[:, :j] = 0
-    x[votes.rows, votes.cols] = 1
+    j = present.shape[1]
+    x = np.concatenate([present, np.ones((len(present), 1), np.float32)], axis=1)
     penalty = np.full(j + 1, ridge)
     penalty[j] = 1e-3
     w = np.zeros(j + 1)
@@ -146,7 +148,7 @@ def linear_classifier(votes: Votes, target: np.ndarray, ridge: float = 0.5, roun
 
 @dataclass
 class Model:
-    weights: dict[str, float]
+    weights: dict[int, float]  # by hashed feature
     bias: float
 
 
@@ -155,12 +157,11 @@ def train(texts: list[str | None], toxic: list[int | None], most_voters: int = 4
     truth = np.array([bool(y) if ok else False for y, ok in zip(toxic, labelled, strict=True)], bool)
     if not labelled.any() or not (truth & labelled).any():
         return Model({}, -4.0)
-    votes = votes_of(texts)
-    voters = telling(votes, 1.0 * (labelled & truth), 1.0 * (labelled & ~truth), most_voters)
-    posterior = label_model(votes.only(voters), truth, labelled)
-    kept = votes.only(telling(votes, posterior, 1 - posterior, most_features))
-    w, b = linear_classifier(kept, posterior)
-    return Model({kept.names[i]: float(w[i]) for i in np.flatnonzero(w)}, b)
+    voters = telling(texts, 1.0 * (labelled & truth), 1.0 * (labelled & ~truth), most_voters)
+    posterior = label_model(matrix(texts, voters), truth, labelled)
+    kept = telling(texts, posterior, 1 - posterior, most_features)
+    w, b = linear_classifier(matrix(texts, kept), posterior)
+    return Model(dict(zip(kept.tolist(), w.tolist(), strict=True)), b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_unlabelled: int = 3000, folds: int = 5, **options) -> Model:
@@ -178,17 +179,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_unlabe
     return train(sample.text.tolist(), [None if y != y or y is None else int(y) for y in sample.toxic], **options)
 
 
-class _WordWeights(dict):
-    """Words to the weighted features they have, remembered up to a limit."""
+class _WordWeights(Features):
+    """Words to those of their features that the model weighs."""
 
-    def __init__(self, model: Model, limit: int = 1 << 18):
-        self.model, self.limit = model, limit
+    def __init__(self, model: Model, limit: int = 1 << 17):
+        super().__init__(limit)
+        self.model = model
 
-    def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) >= self.limit:
-            self.clear()
-        found = self[word] = tuple(f for f in word_features(word) if f in self.model.weights)
-        return found
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        found = super().__missing__(word)
+        self[word] = tuple(f for f in found if f in self.model.weights)
+        return self[word]
 
     def score(self, text: str | None) -> float:
         present = {f for w in words_of(text) for f in self[w]}
