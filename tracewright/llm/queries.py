@@ -13,7 +13,7 @@ from .common import fold, read
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels"), max_labelled=8000, max_unlabelled=3000))
+    scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels"), max_labelled=4000, max_unlabelled=1000))
     return scored.select(
         "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
     )

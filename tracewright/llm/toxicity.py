@@ -164,7 +164,7 @@ def train(texts: list[str | None], toxic: list[int | None], most_voters: int = 4
     return Model(dict(zip(kept.tolist(), w.tolist(), strict=True)), b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_unlabelled: int = 3000, folds: int = 5, **options) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, max_unlabelled: int = 1000, folds: int = 5, **options) -> Model:
     """Learn from labelled rows outside fold 0, and from texts of unlabelled rows there.
 
     ``max_labelled`` and ``max_unlabelled`` bound the samples, which are drawn by a
