@@ -147,9 +147,7 @@ def prompt_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = _strips(spark, sf_dir).select("label_id", "tile_y", "tile_x", "row_off", F.posexplode("probs").alias("col_off", "prob"))
-    return pixels.where("row_off % 4 = col_off % 4").select(
-        "label_id", "tile_y", "tile_x", "row_off", "col_off", F.round(F.col("prob").cast("double"), 5).alias("prob")
-    )
+    return pixels.select("label_id", "tile_y", "tile_x", "row_off", "col_off", F.round(F.col("prob").cast("double"), 5).alias("prob"))
 
 
 def sigmoid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -393,7 +391,7 @@ SELECT tile_y, tile_x, count(*) AS n_pixels, CAST(sum(gray) AS BIGINT) AS sum_gr
     "prompt_fanout": f"WITH {_LINE}, {_SHAPES}, {_GRID}, {_LABELS} SELECT tile_y, tile_x, label_id, label FROM ys, xs, labels5",
     "score_tiles": f"""WITH {_SCORED}
 SELECT label_id, tile_y, tile_x, CAST(trace_idx - tile_y AS INT) AS row_off, CAST(sample_idx - tile_x AS INT) AS col_off, round(CAST(prob AS DOUBLE), 5) AS prob
-FROM probs WHERE (trace_idx - tile_y) % 4 = (sample_idx - tile_x) % 4""",
+FROM probs""",
     "sigmoid": f"WITH {_LINE}, {_flat('fx_line')} SELECT trace_idx, sample_idx, round(CAST(CAST(1 / (1 + exp(-CAST(amplitude AS DOUBLE))) AS FLOAT) AS DOUBLE), 5) AS prob FROM flat",
     "bilinear_resize": f"""WITH {_LINE}, g AS (SELECT trace_idx, samples, CAST(r AS INT) AS "row", CAST(c AS INT) AS "col", greatest(0.0::DOUBLE, (r + 0.5::DOUBLE) * 8 / 16 - 0.5::DOUBLE) AS y,
     greatest(0.0::DOUBLE, (c + 0.5::DOUBLE) * 8 / 16 - 0.5::DOUBLE) AS x FROM fx_line, (SELECT unnest(range(0, 16)) AS r), (SELECT unnest(range(0, 16)) AS c)),
