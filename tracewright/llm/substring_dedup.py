@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, bloom, bloom_has, cut, long_array, mix64, slot_of, staged
+from .common import WordHashes, as_bytes, bloom, bloom_has, long_array, mix64, slot_of, staged
 
 LEVEL_BITS = 1 << 26
 _SHIFT = np.uint64(64 - 26)
@@ -167,7 +167,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
         filters.append(bloom(ends.where("low <> high").select(slot).distinct(), "slot", LEVEL_BITS))
     full = staged(_judged(source, window, filters))
     low = full.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("hash", "low")
-    hits = full.join(cut(low), "hash").where("low < doc_id")
+    hits = full.join(staged(low), "hash").where("low < doc_id")
     hits = hits.groupBy("doc_id", F.shiftright("place", 32).alias("tag")).agg(F.collect_list(F.col("place").bitwiseAND(0x7FFFFFFF).cast("int")).alias("starts"))
     firsts = docs.groupBy("text_hash", "crc").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     firsts = firsts.withColumn("tag", F.col("text_hash").bitwiseAND(0x7FFFFFFF))
