@@ -227,19 +227,21 @@ def segment_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _written_segy(spark, sf_dir, source) -> str:
     folder = new_folder(spark, "segy")
-    files.export_segy(source, folder).collect()
+    lost = files.export_segy(source, folder).where("status <> 'written'").agg(F.count("*").alias("n"), F.max(F.struct("section_id", "status", "error")).alias("one")).first()
+    if lost.n:
+        raise RuntimeError(f"{lost.n} files not written, such as {lost.one}")
     return folder
 
 
 def segy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _written_segy(spark, sf_dir, fixtures.line(spark, sf_dir))
-    rows = segy.read_segy(spark, f"{folder}/*.sgy", traces_per_partition=128)
+    rows = files.join_parts(segy.read_segy(spark, f"{folder}/*.sgy", traces_per_partition=128))
     return rows.select("trace_idx", "status", F.posexplode("samples").alias("sample_idx", "amplitude"))
 
 
 def segy_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _written_segy(spark, sf_dir, fixtures.volume(spark, sf_dir))
-    rows = segy.inline_slices(segy.read_segy(spark, f"{folder}/*.sgy", geometry="3d").where("status = 'ok'"))
+    rows = segy.inline_slices(files.join_parts(segy.read_segy(spark, f"{folder}/*.sgy", geometry="3d")).where("status = 'ok'"))
     return rows.select("inline_no", "xline_no", "trace_idx", F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 4).alias("sum_samples"))
 
 
@@ -265,7 +267,7 @@ def export_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _written_segy(spark, sf_dir, fixtures.line(spark, sf_dir))
-    rows = segy.read_segy(spark, f"{folder}/*.sgy", f"{folder}/missing.sgy")
+    rows = files.join_parts(segy.read_segy(spark, f"{folder}/*.sgy", f"{folder}/missing.sgy"))
     good = rows.where("status = 'ok'").select("section_id", "trace_idx", "samples")
     done = segment.segment_sections(good, tile=TILE, stride=STRIDE)
     manifest = segment.run_manifest(rows, files.export_npz(done.masks, new_folder(spark, "run")))

@@ -1,9 +1,11 @@
 """Files per section: mask archives, overlay images, label volumes, SEG-Y.
 
-One section is one worker's work here, so a section must fit in a worker; larger ones
-are told apart beforehand, by their size, and get a row with status ``too_large``.
-Parquet tables are the output that scales.  A section that fails gives a row with its
-error and doesn't stop the others.  The folder must be mounted on every machine.
+A file holds a range of traces of at most ``most_pixels`` pixels and is one worker's
+work.  A section of more has several files, each named by its first trace and with a
+row of its own in the manifest; see ``join_parts`` for reading SEG-Y parts together.
+Only a section whose single traces are longer than that gets a row with status
+``too_large``.  A range that fails gives a row with its error and doesn't stop the
+others.  The folder must be mounted on every machine.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from ..operators.normalize import section_shape
 from ..sources.segy import BINARY_HEADER, EXTENDED_AT, FORMAT_AT, IBM, IEEE, INLINE_AT, SAMPLES_AT, TEXT_HEADER, TRACE_HEADER, XLINE_AT, encode_ibm
 from ..storage import mounted
 
-MOST_PIXELS = 200_000_000
+MOST_PIXELS = 1 << 20
+PART = r"-t(\d{10})(\.\w+)"
 
 
 def png_bytes(rgb: np.ndarray) -> bytes:
@@ -37,12 +40,12 @@ def png_bytes(rgb: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
-def vti_text(labels: np.ndarray, trace_spacing: float, sample_interval: float) -> str:
-    """A VTK ImageData file with one integer per cell; the first axis is the traces."""
+def vti_text(labels: np.ndarray, trace_spacing: float, sample_interval: float, first: int = 0) -> str:
+    """A VTK ImageData file with one integer per cell; the first axis is the traces from ``first``."""
     h, w = labels.shape
     data = np.asfortranarray(labels, np.int32).tobytes(order="F")
     payload = base64.b64encode(struct.pack("<I", len(data))).decode() + base64.b64encode(data).decode()
-    extent = f"0 {h} 0 {w} 0 1"
+    extent = f"{first} {first + h} 0 {w} 0 1"
     return (
         '<?xml version="1.0"?>\n<VTKFile type="ImageData" version="0.1" byte_order="LittleEndian">\n'
         f'<ImageData WholeExtent="{extent}" Origin="0 0 0" Spacing="{trace_spacing} {sample_interval} 1.0">\n<Piece Extent="{extent}">\n'
@@ -60,25 +63,37 @@ def _save(path: str, data: bytes) -> None:
     os.replace(part, path)
 
 
-def _per_section(rows: DataFrame, sizes: DataFrame, artifact: str, name_of: Callable[[str], str], make: Callable[[pd.DataFrame], bytes], most: int) -> DataFrame:
+def _per_range(rows: DataFrame, shapes: DataFrame, artifact: str, name_of: Callable[[str], str], make: Callable[[pd.DataFrame, int, int, int], bytes], most: int) -> DataFrame:
+    """One file for each range of traces; ``make`` has its first trace, height and width."""
+
     def write(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        path = name_of(key[0])
+        section, first, per_file, n_traces, n_samples = key
+        path = name_of(section)
+        if n_traces > per_file:
+            stem, kind = os.path.splitext(path)
+            path = f"{stem}-t{first:010d}{kind}"
         try:
-            _save(path, make(frame))
-            row = (key[0], path, artifact, "written", None)
-        except Exception as error:  # noqa: BLE001  one section's failure is a row
-            row = (key[0], path, artifact, "failed", f"{type(error).__name__}: {error}")
+            _save(path, make(frame, first, min(per_file, n_traces - first), n_samples))
+            row = (section, path, artifact, "written", None)
+        except Exception as error:  # noqa: BLE001  one range's failure is a row
+            row = (section, path, artifact, "failed", f"{type(error).__name__}: {error}")
         return pd.DataFrame([row], columns=["section_id", "path", "artifact", "status", "error"])
 
-    fits = sizes.where(F.col("pixels") <= most).select("section_id")
-    written = rows.join(fits, "section_id", "left_semi").groupBy("section_id").applyInPandas(write, schemas.MANIFEST)
+    width = F.greatest("n_samples", F.lit(1))
+    shapes = shapes.select(F.col("section_id").alias("_section"), F.floor(F.lit(most) / width).cast("int").alias("_per"), F.col("n_traces").alias("_h"), F.col("n_samples").alias("_w"))
+    first = (F.col("trace_idx") - F.col("trace_idx") % F.col("_per")).alias("_first")
+    placed = rows.join(shapes.where("_per > 0"), F.col("section_id") == F.col("_section"))
+    written = placed.groupBy("section_id", first, "_per", "_h", "_w").applyInPandas(write, schemas.MANIFEST)
     none = F.lit(None).cast("string")
-    large = sizes.where(F.col("pixels") > most).select("section_id", none.alias("path"), F.lit(artifact).alias("artifact"), F.lit("too_large").alias("status"), none.alias("error"))
+    large = shapes.where("_per = 0").select(F.col("_section").alias("section_id"), none.alias("path"), F.lit(artifact).alias("artifact"), F.lit("too_large").alias("status"), none.alias("error"))
     return written.unionByName(large)
 
 
-def _sizes(rows: DataFrame, column: str) -> DataFrame:
-    return section_shape(rows, column).select("section_id", (F.col("n_traces").cast("long") * F.col("n_samples")).alias("pixels"))
+def join_parts(rows: DataFrame) -> DataFrame:
+    """Rows of ``read_segy`` over exported files, those of one section's parts under one
+    ``section_id`` and numbered as in the section."""
+    first = F.coalesce(F.regexp_extract("path", PART + "$", 1).try_cast("int"), F.lit(0))
+    return rows.withColumn("trace_idx", F.col("trace_idx") + first).withColumn("section_id", F.regexp_replace("section_id", PART + "(?=$|#)", "$2"))
 
 
 def _stem(section_id: str) -> str:
@@ -88,10 +103,10 @@ def _stem(section_id: str) -> str:
 
 
 def export_npz(masks: DataFrame, folder: str, most_pixels: int = MOST_PIXELS) -> DataFrame:
-    """One compressed archive per section with a boolean array per label."""
+    """Compressed archives of each section's ranges of traces with a boolean array per label."""
     folder, names = mounted(folder), {i: n.replace(" ", "_") for i, n, *_ in LABELS}
 
-    def make(frame: pd.DataFrame) -> bytes:
+    def make(frame: pd.DataFrame, first: int, h: int, w: int) -> bytes:
         import io
 
         arrays = {names.get(k, f"label_{k}"): np.stack(g.sort_values("trace_idx")["mask"].to_list()).astype(bool) for k, g in frame.groupby("label_id")}
@@ -99,30 +114,30 @@ def export_npz(masks: DataFrame, folder: str, most_pixels: int = MOST_PIXELS) ->
         np.savez_compressed(out, **arrays)
         return out.getvalue()
 
-    return _per_section(masks, _sizes(masks, "mask"), "masks_npz", lambda s: f"{folder}/{_stem(s)}_masks.npz", make, most_pixels)
+    return _per_range(masks, section_shape(masks, "mask"), "masks_npz", lambda s: f"{folder}/{_stem(s)}_masks.npz", make, most_pixels)
 
 
 def export_png(overlay: DataFrame, folder: str, most_pixels: int = MOST_PIXELS) -> DataFrame:
-    """One image per section from ``section_id, trace_idx, sample_idx, r, g, b``."""
+    """Images of each section's ranges of traces from ``section_id, trace_idx, sample_idx, r, g, b``."""
     folder = mounted(folder)
 
-    def make(frame: pd.DataFrame) -> bytes:
-        image = np.zeros((frame.trace_idx.max() + 1, frame.sample_idx.max() + 1, 3), np.uint8)
-        image[frame.trace_idx, frame.sample_idx] = frame[["r", "g", "b"]].to_numpy()
+    def make(frame: pd.DataFrame, first: int, h: int, w: int) -> bytes:
+        image = np.zeros((h, w, 3), np.uint8)
+        image[frame.trace_idx - first, frame.sample_idx] = frame[["r", "g", "b"]].to_numpy()
         return png_bytes(image)
 
-    sizes = overlay.groupBy("section_id").agg(F.count("*").alias("pixels"))
-    return _per_section(overlay, sizes, "overlay_png", lambda s: f"{folder}/{_stem(s)}_overlay.png", make, most_pixels)
+    shapes = overlay.groupBy("section_id").agg((F.max("trace_idx") + 1).cast("int").alias("n_traces"), (F.max("sample_idx") + 1).cast("int").alias("n_samples"))
+    return _per_range(overlay, shapes, "overlay_png", lambda s: f"{folder}/{_stem(s)}_overlay.png", make, most_pixels)
 
 
 def export_vti(volume: DataFrame, folder: str, trace_spacing: float = 25.0, sample_interval: float = 4.0, most_pixels: int = MOST_PIXELS) -> DataFrame:
-    """One label volume per section from ``section_id, trace_idx, label_ids``."""
+    """Label volumes of each section's ranges of traces from ``section_id, trace_idx, label_ids``."""
     folder = mounted(folder)
 
-    def make(frame: pd.DataFrame) -> bytes:
-        return vti_text(np.stack(frame.sort_values("trace_idx")["label_ids"].to_list()), trace_spacing, sample_interval).encode()
+    def make(frame: pd.DataFrame, first: int, h: int, w: int) -> bytes:
+        return vti_text(np.stack(frame.sort_values("trace_idx")["label_ids"].to_list()), trace_spacing, sample_interval, first).encode()
 
-    return _per_section(volume, _sizes(volume, "label_ids"), "labels_vti", lambda s: f"{folder}/{_stem(s)}_masks.vti", make, most_pixels)
+    return _per_range(volume, section_shape(volume, "label_ids"), "labels_vti", lambda s: f"{folder}/{_stem(s)}_masks.vti", make, most_pixels)
 
 
 def segy_bytes(samples: np.ndarray, kind: int = IEEE, inlines: np.ndarray | None = None, xlines: np.ndarray | None = None) -> bytes:
@@ -141,12 +156,12 @@ def segy_bytes(samples: np.ndarray, kind: int = IEEE, inlines: np.ndarray | None
 
 
 def export_segy(traces: DataFrame, folder: str, kind: int = IEEE, most_pixels: int = MOST_PIXELS) -> DataFrame:
-    """One SEG-Y file per section; ``inline_no`` and ``xline_no`` go to the headers if there."""
+    """SEG-Y files of each section's ranges of traces; ``inline_no`` and ``xline_no`` go to the headers if there."""
     folder = mounted(folder)
 
-    def make(frame: pd.DataFrame) -> bytes:
+    def make(frame: pd.DataFrame, first: int, h: int, w: int) -> bytes:
         frame = frame.sort_values("trace_idx")
         numbers = [frame[c].to_numpy() if c in frame else None for c in ("inline_no", "xline_no")]
         return segy_bytes(np.stack(frame["samples"].to_list()), kind, *numbers)
 
-    return _per_section(traces, _sizes(traces, "samples"), "segy", lambda s: f"{folder}/{_stem(s)}.sgy", make, most_pixels)
+    return _per_range(traces, section_shape(traces), "segy", lambda s: f"{folder}/{_stem(s)}.sgy", make, most_pixels)
