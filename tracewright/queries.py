@@ -276,12 +276,12 @@ def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streaming_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strips put into a folder in two parts, fused as a stream."""
-    folder, name = new_folder(spark, "strips"), f"fused_{abs(hash(sf_dir))}"
+    folder, fused = new_folder(spark, "strips"), new_folder(spark, "fused")
     strips = _strips(spark, sf_dir)
     strips.where("tile_y % 32 = 0").write.mode("append").parquet(folder)
     strips.where("tile_y % 32 <> 0").write.mode("append").parquet(folder)
-    fusion.keep_fused(fusion.fused_scores(spark, folder), new_folder(spark, "stream"), name).awaitTermination()
-    return _as_pixels(spark.table(name))
+    fusion.keep_fused(fusion.placed_scores(spark, folder), new_folder(spark, "stream"), fused).awaitTermination()
+    return _as_pixels(fusion.fused_scores(spark, fused))
 
 
 _NAMES = (

@@ -1,7 +1,8 @@
 """Max-fusion of tile scores that arrive over time.
 
 The maximum doesn't depend on the order of its inputs and repeats don't change it, so
-late and repeated strips need no watermark for right results."""
+late and repeated strips need no watermark for right results, and what is fused can be
+kept as one Parquet table per batch: no pixel comes to the driver or stays in a state."""
 
 from __future__ import annotations
 
@@ -12,11 +13,23 @@ from .. import schemas
 from ..operators.stitch import stitch_long, strips_long
 
 
-def fused_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of fused pixels over the Parquet strips that are put into a folder."""
-    return stitch_long(strips_long(spark.readStream.schema(schemas.STRIPS).parquet(folder)))
+def placed_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of placed pixels over the Parquet strips that are put into a folder."""
+    return strips_long(spark.readStream.schema(schemas.STRIPS).parquet(folder))
+
+
+def keep_fused(stream: DataFrame, checkpoint: str, folder: str) -> StreamingQuery:
+    """Run until all that is there is fused, batch by batch, into a shared folder.
+
+    A batch that is run again replaces what it wrote."""
+    stream.sparkSession.createDataFrame([], schemas.PIXELS).write.mode("ignore").parquet(f"{folder}/batch=-1")
 
+    def write(pixels: DataFrame, batch: int) -> None:
+        stitch_long(pixels).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
 
-def keep_fused(stream: DataFrame, checkpoint: str, name: str) -> StreamingQuery:
-    """Run until all that is there is fused, as the in-memory table ``name``."""
-    return stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def fused_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The fused pixels of all batches that ``keep_fused`` put into a folder."""
+    return stitch_long(spark.read.schema(schemas.PIXELS).parquet(folder))
