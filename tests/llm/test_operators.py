@@ -213,6 +213,22 @@ def test_drop_near_duplicates(docs, nothing):
     assert jaccard_join.near_duplicates(nothing).count() == 0
 
 
+def test_drop_near_duplicates_of_any_id(spark, docs, rows):
+    """One row of each component stays, with null and repeated ids left in."""
+    kept = [(r.doc_id, r.text) for r in jaccard_join.drop_near_duplicates(docs).collect()]
+    words = lambda t: WORDS.findall(t or "")
+    assert all(kept.count(r) == 1 for r in [(1, rows[0][1]), (12, rows[11][1]), (20, "same text"), (20, "other text"), (None, "no id"), (None, None)])
+    assert (None, rows[0][1]) not in kept and sum(not words(t) for _, t in kept) == sum(not words(t) for _, t in rows)
+    base = sentence(200, 31).split()
+    copy = lambda i: " ".join([*base[:i], f"new{i}", *base[i + 1 :]])
+    other, third = sentence(50, 32), sentence(50, 33)
+    mixed = [(None, copy(3)), (None, copy(9)), (None, copy(9)), (None, other), (5, other), (5, third), (5, third + " end"), (6, "plain"), (None, "plain words")]
+    found = spark.createDataFrame(mixed, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in jaccard_join.drop_near_duplicates(found).collect()]
+    assert len(kept) == 5 and sum(t in (copy(3), copy(9)) for _, t in kept) == 1 and sum(t in (third, third + " end") for _, t in kept) == 1
+    assert {(5, other), (6, "plain"), (None, "plain words")} < set(kept)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 1), (5, 5), (9, 8), (8, 7), (7, 20), (20, 21), (21, 22), (30, 31), (31, 30), (40, 31), *((100, 200 + i) for i in range(50))]
     got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()

@@ -186,7 +186,7 @@ def _class_of(found: np.ndarray) -> tuple[int, int]:
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``doc_id, cls, cls2, n, least, spread, skipped, tokens`` for every document."""
+    """``doc_id, key, cls, cls2, n, least, spread, skipped, tokens`` for every document."""
     shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs, width, docs.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,14 +203,14 @@ def _prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 tokens.append(long_array(chosen[1]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64()),
+                    batch.column("doc_id"), batch.column("key"), pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64()),
                     pa.array(sizes, pa.int64()), list_column(least, pa.int64()),
                     pa.array(spread, pa.float64()), pa.array(skipped, pa.int64()), list_column(tokens, pa.int64()),
                 ],
-                names=["doc_id", "cls", "cls2", "n", "least", "spread", "skipped", "tokens"],
+                names=["doc_id", "key", "cls", "cls2", "n", "least", "spread", "skipped", "tokens"],
             )
 
-    return staged(docs.mapInArrow(run, "doc_id long, cls long, cls2 long, n long, least array<long>, spread double, skipped long, tokens array<long>"))
+    return staged(docs.mapInArrow(run, "doc_id long, key long, cls long, cls2 long, n long, least array<long>, spread double, skipped long, tokens array<long>"))
 
 
 def _packed(found: np.ndarray) -> bytes:
@@ -332,33 +332,54 @@ def _across(rows: DataFrame, classes: DataFrame, roots: DataFrame, percent: int)
     return cut(counts.where("n >= asked").select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row.
-
-    Documents link when 100 * intersection >= percent * union of their shingle sets;
-    ``component_id`` is the smallest id reachable.  Null and empty texts have no
-    shingles and are their own component.  Rows with equal sets, repeated rows
-    among them, are linked.  Null ids count as larger than all others."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _placed(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, key, n, component_id, first`` for every row: a hash of its text, and
+    the id and key of the component's first row by both, null ids last."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
     rows = _prefixes(docs, width, percent)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     classes = cut(
-        rows.where("n > 0").groupBy("cls", "cls2", "n").agg(F.min("doc_id").alias("doc_id"), F.min("least").alias("least"), F.max("spread").alias("spread"))
-    )
+        rows.where("n > 0").groupBy("cls", "cls2", "n").agg(
+            F.min("doc_id").alias("doc_id"), F.min(place).alias("first"), F.min("least").alias("least"), F.max("spread").alias("spread")
+        )
+    )
     first = _verified(_likely(classes), docs, classes, width, percent)
     rest = _across(rows.select("doc_id", "cls", "n", "skipped", "tokens").where("n > 0"), classes, connected_components(first), percent)
     second = _verified(rest, docs, classes, width, percent)
     roots = connected_components(first.union(second))
-    named = classes.select("cls", "cls2", "n", F.col("doc_id").alias("lowest")).join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    named = classes.select("cls", "cls2", "n", F.col("first").alias("lowest")).join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.withColumn("root", F.coalesce("root", "cls"))
-    lows = named.groupBy("root").agg(F.min("lowest").alias("component_id"))
-    named = cut(named.join(lows, "root").select("cls", "cls2", "n", "component_id"))
-    return rows.select("doc_id", "cls", "cls2", "n").join(named, ["cls", "cls2", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    lows = named.groupBy("root").agg(F.min("lowest").alias("first"))
+    named = cut(named.join(lows, "root").select("cls", "cls2", "n", "first"))
+    return rows.select("doc_id", "key", "cls", "cls2", "n").join(named, ["cls", "cls2", "n"], "left").select(
+        "doc_id", "key", "n", F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "first"
     )
 
 
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row.
+
+    Documents link when 100 * intersection >= percent * union of their shingle sets;
+    ``component_id`` is the smallest id reachable.  Null and empty texts have no
+    shingles and are their own component.  Rows with equal sets, repeated rows
+    among them, are linked.  Null ids count as larger than all others."""
+    return _placed(docs, width, percent, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, the one with the smallest id."""
-    marked = near_duplicates(docs, width, percent, id_col, text_col)
-    drop = marked.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, docs[id_col].eqNullSafe(F.col("_drop")), "left_anti")
+    """``docs`` with one row of each component, the one with the smallest id.
+
+    Rows are told apart by id and text, so null and repeated ids cost no other row.  Of
+    rows of one id, or without any, the one with the least hash of the text stays; of
+    those equal in both, the one with the least hash of all columns."""
+    placed = _placed(docs, width, percent, id_col, text_col).where("n > 0")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    pairs = placed.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_of")).agg(F.max(stays).alias("stays"), F.count("*").alias("k"))
+    pairs = cut(pairs.where("not stays or k > 1"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_of"))
+    kept = docs.join(pairs, same, "left_anti")
+    again = pairs.where("stays")
+    if again.isEmpty():
+        return kept
+    one = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
+    return kept.unionByName(docs.join(again, same).groupBy("_id", "_of").agg(one).select("row.*"))
