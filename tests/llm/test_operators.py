@@ -126,6 +126,17 @@ def test_mixing(docs, rows, per_range):
         assert pick(got) == pick(mixing.mix_sources(docs).collect())
 
 
+def test_mixing_of_whole_rows(spark):
+    """Equal rows and texts of one id are taken each by itself, and in a stable order."""
+    rows = [(1, "a b c d", "s", 5), (1, "a b c d", "s", 5), (1, "e f g h", "s", 5), (None, "a b", "s", 6), (None, "a b", "t", 7), (2, "x " * 30, "t", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    pick = lambda d: shuffled((r.row.text, r.row.size, r.source, r["size"], r.taken) for r in mixing.mix_sources(d, whole_rows=True).collect())
+    got = pick(docs)
+    assert got == pick(docs.repartition(5)) and Counter(x[:3] for x in got) == Counter((t, n, s) for _, t, s, n in rows)
+    plain = mixing.mix_sources(docs).collect()
+    assert Counter((r.source, r.taken) for r in plain)["t", 60] == 0 and sum(r.taken for r in plain) == sum(x[4] for x in got)
+
+
 def test_mixing_of_nothing(spark, nothing):
     assert mixing.mix_sources(nothing).count() == 0
     blank = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
@@ -207,6 +218,30 @@ def test_near_duplicate_chains(spark):
     assert shuffled(got) == shuffled(brute_components(rows, 4, 85))
 
 
+@pytest.mark.parametrize("rows", [[(1, "one")], [(1, "x"), (2, "y z"), (3, None)], [(i, f"short text {i}") for i in range(7)]])
+def test_near_duplicates_of_short_texts(spark, rows):
+    """Tables, and tasks of one document, in which no shingle or only odd ones occur."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(len(rows))
+    got = [tuple(r) for r in jaccard_join.near_duplicates(docs, 4, 85).collect()]
+    assert shuffled(got) == shuffled(brute_components(rows, 4, 85))
+
+
+def test_near_duplicates_in_groups(spark):
+    """Edited copies of one text that mostly don't link with one another, and of a variant."""
+    rng = np.random.default_rng(14)
+    base = sentence(100, 15).split()
+    variant = base[:80] + [f"v{i}" for i in range(20)]
+    rows = []
+    for i in range(160):
+        w = list(base if i % 3 else variant)
+        for p in rng.choice(100, int(rng.integers(0, 4)), replace=False):
+            w[p] = f"e{rng.integers(0, 30)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [tuple(r) for r in jaccard_join.near_duplicates(docs, 4, 85).collect()]
+    assert shuffled(got) == shuffled(brute_components(rows, 4, 85))
+
+
 def test_drop_near_duplicates(docs, nothing):
     kept = jaccard_join.drop_near_duplicates(docs.where("doc_id < 4 or doc_id > 12"))
     assert kept.columns == docs.columns and {1} == {r.doc_id for r in kept.collect() if r.doc_id < 4}

@@ -59,3 +59,23 @@ def test_stages(spark, folder):
         assert out.columns == docs.columns and 0 < out.count() < docs.count()
         assert stage(spark, docs.where("false"), folder[0]).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), folder[0]).count() == 0
+
+
+def test_stages_with_odd_rows(spark, folder):
+    """Null and repeated ids, equal rows, and columns named like the operators' own."""
+    names = "size int, target double, taken long, _text string, _drop int, row int, id int, key long, keep_id long"
+    text, other = "the1 the2 the3 the4 the5 the6 the7", "und1ü und2ü und3ü und4ü und5ü"
+    rows = [(None, text), (None, text), (7, text), (7, other), (7, other), (8, None), (8, ""), (None, None)]
+    full = [(i, t, None if i == 8 else "en", "s1" if n % 2 else None, 1, 9, 0.5, 3, "x", 4, 5, 6, 2, 1) for n, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(full, f"doc_id long, text string, lang string, source string, n_chars long, {names}").repartition(3)
+    kept = {"exact_dedup": [(7, other), (7, text)], "near_dedup": [(7, other), (7, text), (8, None), (8, ""), (None, None)]}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder[0])
+        assert sorted(out.columns) == sorted(docs.columns)
+        found = [(r.doc_id, r.text) for r in out.collect()]
+        if name == "near_dedup":
+            assert sorted(found, key=repr) == sorted(kept[name], key=repr)
+        if name == "exact_dedup":
+            assert sorted(x for x in found if x[1]) == sorted(kept[name]) and len(found) == 3
+        if name == "mixing":
+            assert sum(r.taken for r in out.collect()) == 24 + 22 and all(r["size"] == len((r.text or "").split()) for r in out.collect())

@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import boxed, cut
 
 KEY = ["doc_id", "n_bytes", "text_hash"]
 
@@ -112,13 +112,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, the one with the largest id."""
-    kept = exact_groups(docs, id_col, text_col, **options).where("kept").select(
-        F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text")
-    )
-    marked = docs.withColumn("_text", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    same = marked[id_col].eqNullSafe(kept["_kept_id"]) & (marked["_text"] == kept["_kept_text"])
-    once = marked.join(kept, same, "left_semi")
-    if not docs.groupBy(id_col).count().where("count > 1").isEmpty():  # rows that repeat id and text
-        once = once.dropDuplicates([id_col, "_text"])
-    return once.drop("_text")
+    """``docs`` with one row of each group of equal texts, the one with the largest id.
+
+    Null ids are smallest, null texts count as empty.  Of rows that repeat id and text the
+    one with the least hash of all columns stays.  All columns stay, of whatever name."""
+    kept = exact_groups(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_text"))
+    marked = boxed(docs, id=F.col(id_col), sha=F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    once = marked.join(kept, marked["id"].eqNullSafe(kept["kept_id"]) & (marked["sha"] == kept["kept_text"]), "left_semi")
+    if not docs.groupBy(id_col).agg(F.count("*").alias("n_rows")).where("n_rows > 1").isEmpty():  # rows that repeat id and text
+        once = once.groupBy("id", "sha").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return once.select("row.*")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut, shared_dir
+
+__all__ = ["cut", "shared_dir"]  # used by the other modules as well
+
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: bytes.split() with no argument splits on exactly the bytes 20 and 09 to 0D.
 LOWER_TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -20,21 +24,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder (for narrow tables)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def staged(df: DataFrame) -> DataFrame:
     """Cut lineage through a compressed Parquet table in the shared folder."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
@@ -42,6 +31,32 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def boxed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The given columns, and all of ``docs`` in one struct ``row``, so that no name clashes."""
+    return docs.select(*[c.alias(name) for name, c in columns.items()], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def bounded_sample(rows: DataFrame, total: int, most: int, *key: str) -> DataFrame:
+    """At most ``most`` of ``total`` rows, drawn by a hash of ``key``; the same ones each time."""
+    point = F.xxhash64(*key)
+    share = min(1.0, 1.05 * most / max(total, 1))
+    drawn = rows if share >= 1 else rows.where(F.pmod(point, F.lit(1 << 30)) < int(share * (1 << 30)))
+    return drawn.orderBy(point, *key).limit(most)
+
+
+def in_a_task(sample: DataFrame, make: Callable[[pa.Table], object]) -> object | None:
+    """What ``make`` does with a bounded sample, worked out by one task: only its result
+    comes to the driver.  None for an empty sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(make(pa.Table.from_batches(held)))])], names=["made"])
+
+    found = sample.repartition(1).mapInArrow(run, "made binary").first()
+    return pickle.loads(found.made) if found else None
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts
@@ -73,12 +88,12 @@ def bloom(slots: DataFrame, column: str, bits: int = BLOOM_BITS) -> np.ndarray:
     slot = F.col(column) + 1  # the bitmap functions number from one
     parts = (
         slots.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
-        .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("part")).toPandas()
+        .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("part")).toArrow()
     )
     out = np.zeros(bits // 8, np.uint8)
-    for bucket, part in zip(parts.bucket, parts.part, strict=True):
+    for bucket, part in zip(parts.column("bucket").to_pylist(), parts.column("part").to_pylist(), strict=True):
         at = int(bucket - 1) << 12
-        out[at : at + (1 << 12)] = np.frombuffer(bytes(part), np.uint8)
+        out[at : at + (1 << 12)] = np.frombuffer(part, np.uint8)
     return out
 
 

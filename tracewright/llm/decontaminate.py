@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, list_column, mix64
+from .common import as_bytes, boxed, list_column, mix64
 
 #: A-Z become a-z; ASCII other than letters and digits separates words.
 FOLD = bytes(
@@ -134,7 +134,10 @@ def benchmark_hits(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_words: int = 2_000_000, text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents in which a benchmark window occurs; all columns stay."""
+    """``docs`` without the documents in which a benchmark window occurs; all columns stay.
+
+    Null and empty texts stay, whatever the ids; repeated rows stay or go together; with
+    an empty benchmark all stay."""
     for index in _blocks(benchmark, n, max_words):
         clean = lambda batch, found: batch.filter(pa.array([len(x[1]) == 0 for x in found], pa.bool_()))
         docs = docs.mapInArrow(_over_batches(index, text_col, clean, docs.sparkSession), docs.schema)
@@ -149,7 +152,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_words: int
     import re
 
     hits = benchmark_hits(docs, benchmark, n, max_words, id_col, text_col).where(F.size("hits") > 0)
-    hits = hits.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("hits").alias("_hits")).distinct()
+    hits = hits.select("doc_id", "text_hash", "hits").distinct()
     word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
     @F.pandas_udf("string")
@@ -169,6 +172,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_words: int
             out.append(b"".join([*kept, body[at:]]).decode())
         return __import__("pandas").Series(out, dtype=object)
 
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
-    joined = docs.join(hits, same, "left")
-    return joined.withColumn(text_col, removed(text_col, "_hits")).select(*docs.columns)
+    rows = boxed(docs, id=F.col(id_col).cast("long"), of=F.xxhash64(text_col))
+    joined = rows.join(hits, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("text_hash")), "left")
+    text = removed(F.col("row")[text_col], F.col("hits"))
+    return joined.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

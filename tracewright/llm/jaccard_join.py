@@ -8,10 +8,15 @@ candidate must then share l of them before it is verified.  A pair is held to th
 smaller l of the two.
 
 Only components are asked for, so verification is spared where it can't change
-them.  Equal sets are one class from the start.  A first round verifies, for each
-class, the most central class that shares half of its least hashes.  A second round takes
-every pair of classes that are still in different components and meet the prefix
-condition, and verifies all of them.
+them.  Equal sets are one class from the start.  Each class is compared with the most
+central class that shares half of its least hashes; those of which half is alike
+become a group around that centre, and are held from then on as what they differ by
+from it.  Differences decide every pair of a group exactly: sets x and y that differ
+from the centre by p and q tokens, c of them in common, differ by p + q - 2c.  Those
+that link with the centre are one component; the others are joined with the rest of
+the group by the same adaptive prefixes, taken over the differences, in which what
+all copies share doesn't occur.  Pairs of different groups meet by the prefixes of
+their whole sets and are verified one by one.
 
 For the order, half of all shingles (by a bit of their hash) are counted in every
 document, and those found twice are marked in a filter of bounded size.  A counted
@@ -28,14 +33,14 @@ estimate gives the same links.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, WordHashes, as_bytes, bloom, bloom_has, cut, list_column, long_array, mix64, slot_of, staged
+from .common import LOWER_TABLE, WordHashes, as_bytes, bloom, bloom_has, boxed, cut, list_column, long_array, mix64, slot_of, staged
 from .components import connected_components
 
 SKETCH_SLOTS = 1 << 20
@@ -89,6 +94,15 @@ def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def chosen_length(others: np.ndarray, shortest: int, most: int) -> tuple[int, int]:
+    """How long a prefix to take, and how many matches to ask for: 1 in the shortest, one
+    more for each token more.  ``others`` counts the other holders of each token in order."""
+    cost = np.cumsum(others[: shortest + most - 1], dtype=np.float64)[shortest - 1 :]
+    matches = np.arange(1, len(cost) + 1)
+    best = int(np.argmin(shortest + matches + cost + VERIFY_COST * cost / matches))
+    return shortest + best, best + 1
+
+
 def prefix(found: np.ndarray, marks: np.ndarray, heavy: np.ndarray, percent: int) -> tuple[int, np.ndarray, float]:
     """The chosen prefix, rarest first: how many shingles that no other document holds,
     and the other ones.  Then how widely the document's shingles are held, on average:
@@ -102,10 +116,7 @@ def prefix(found: np.ndarray, marks: np.ndarray, heavy: np.ndarray, percent: int
     spread = float(others.sum(dtype=np.float64)) / n
     order = np.argsort(others, kind="stable")
     shortest, most = n - _needed(n, percent) + 1, min(MOST_MATCHES, _needed(n, percent))
-    cost = np.cumsum(others[order[: shortest + most - 1]], dtype=np.float64)[shortest - 1 :]
-    matches = np.arange(1, len(cost) + 1)
-    best = int(np.argmin(shortest + matches + cost + VERIFY_COST * cost / matches))
-    chosen = order[: shortest + best]
+    chosen = order[: chosen_length(others[order[: shortest + most - 1]], shortest, most)[0]]
     skipped = min(int(alone.sum()), len(chosen))
     return skipped, found[chosen[skipped:]], spread
 
@@ -133,6 +144,8 @@ def frequencies(docs: DataFrame, width: int, n_docs: int) -> tuple[np.ndarray, n
             return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(parts, pa.binary()), pa.array(slots, pa.int64()), pa.array(n, pa.int64())], names=["bucket", "part", "slot", "n"])
 
         def packed():
+            if not size:  # no document has a counted shingle
+                return rows([], [], [], [])
             every, n = np.unique(np.concatenate(held), return_counts=True)
             every = np.sort(np.concatenate([every, every[n > 1]]))
             bucket = (every >> down).astype(np.int32)
@@ -159,22 +172,31 @@ def frequencies(docs: DataFrame, width: int, n_docs: int) -> tuple[np.ndarray, n
         yield rows([-1] * len(high), [None] * len(high), high, counts[high] - int(mean))
 
     def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for bucket, part in zip(batch.column("bucket").to_pylist(), batch.column("part").to_pylist(), strict=True):
-                held.setdefault(bucket, []).append(part)
-        for bucket in sorted(held):
-            every = np.sort(np.frombuffer(b"".join(held.pop(bucket)), np.uint32))
+        held: list[bytes] = []  # of one bucket; they come in order
+
+        def found(bucket: int) -> pa.RecordBatch:
+            every = np.sort(np.frombuffer(b"".join(held), np.uint32))
             again = np.unique(every[1:][every[1:] == every[:-1]]).astype(np.uint64)
             slots = np.unique((np.uint64(bucket) << down | again << keep) >> np.uint64(65 - bits.bit_length()))
-            yield pa.RecordBatch.from_arrays([pa.array(long_array(slots))], names=["slot"])
+            return pa.RecordBatch.from_arrays([pa.array(long_array(slots))], names=["slot"])
+
+        last = None
+        for batch in batches:
+            for bucket, part in zip(batch.column("bucket").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                if bucket != last:
+                    if held:
+                        yield found(last)
+                    held, last = [], bucket
+                held.append(part)
+        if held:
+            yield found(last)
 
     out = staged(docs.select("text").mapInArrow(scan, "bucket int, part binary, slot long, n long"))
-    dealt = out.where("bucket >= 0").select("bucket", "part").repartition("bucket")
+    dealt = out.where("bucket >= 0").select("bucket", "part").repartition("bucket").sortWithinPartitions("bucket")
     marks = bloom(dealt.mapInArrow(twice, "slot long"), "slot", bits)
-    sums = out.where("bucket < 0").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    sums = out.where("bucket < 0").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     heavy = np.zeros(SKETCH_SLOTS, np.float32)
-    heavy[sums.slot.to_numpy(np.int64)] = sums.n.to_numpy()
+    heavy[sums.column("slot").to_numpy()] = sums.column("n").to_numpy()
     return marks, heavy
 
 
@@ -210,7 +232,9 @@ def _prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 names=["doc_id", "key", "cls", "cls2", "n", "least", "spread", "skipped", "tokens"],
             )
 
-    return staged(docs.mapInArrow(run, "doc_id long, key long, cls long, cls2 long, n long, least array<long>, spread double, skipped long, tokens array<long>"))
+    out = staged(docs.mapInArrow(run, "doc_id long, key long, cls long, cls2 long, n long, least array<long>, spread double, skipped long, tokens array<long>"))
+    shared.destroy()
+    return out
 
 
 def _packed(found: np.ndarray) -> bytes:
@@ -223,21 +247,39 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint32, n).astype(np.uint64) | np.frombuffer(data, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
-def _sets_of(docs: DataFrame, holders: DataFrame, width: int) -> DataFrame:
-    """``cls, doc_id, found`` of the documents in ``holders(doc_id)``, and some others."""
-    bits = docs.sparkSession.sparkContext.broadcast(bloom(holders.select(slot_of(F.col("doc_id")).alias("slot")).distinct(), "slot"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
-        for batch in batches:
-            batch = batch.filter(pa.array(bloom_has(bits.value, batch.column("slot").to_numpy())))
-            found = [(_class_of(s)[0], _packed(s)) for s in shingler.sets(as_bytes(batch.column("text")))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in found], pa.int64()), batch.column("doc_id"), pa.array([x[1] for x in found], pa.binary())],
-                names=["cls", "doc_id", "found"],
-            )
+def _with_sets(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, judge: Callable, schema: str) -> DataFrame:
+    """What ``judge`` makes of the packed sets of the two classes of ``pairs(a, b)``.
 
-    return docs.select("doc_id", "text", slot_of(F.col("doc_id")).alias("slot")).mapInArrow(run, "cls long, doc_id long, found binary")
+    Sets are made again from the text of one document of a class; a filter of fixed
+    size over those documents keeps most others from being split into words."""
+    spark = docs.sparkSession
+    for end in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("cls").alias(end), F.col("doc_id").alias(f"{end}_doc")), end)
+    pairs, used = cut(pairs), []
+
+    def scan(bits) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingler = Shingler(width)
+            for batch in batches:
+                batch = batch.filter(pa.array(bloom_has(bits.value, batch.column("slot").to_numpy())))
+                found = [(_class_of(s)[0], _packed(s)) for s in shingler.sets(as_bytes(batch.column("text")))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[0] for x in found], pa.int64()), batch.column("doc_id"), pa.array([x[1] for x in found], pa.binary())],
+                    names=["cls", "doc_id", "found"],
+                )
+
+        return run
+
+    met = pairs
+    for end, name in (("a", "x"), ("b", "y")):
+        used.append(spark.sparkContext.broadcast(bloom(pairs.select(slot_of(F.col(f"{end}_doc")).alias("slot")).distinct(), "slot")))
+        sets = docs.select("doc_id", "text", slot_of(F.col("doc_id")).alias("slot")).mapInArrow(scan(used[-1]), "cls long, doc_id long, found binary")
+        sets = sets.select(F.col("cls").alias(end), F.col("doc_id").alias("doc"), F.col("found").alias(name))
+        met = met.join(sets, (met[end] == sets[end]) & met[f"{end}_doc"].eqNullSafe(sets["doc"])).drop(sets[end], f"{end}_doc", "doc")
+    out = staged(met.select("a", "b", "x", "y").mapInArrow(judge, schema))
+    for bits in used:
+        bits.destroy()
+    return out
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -252,17 +294,87 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
                 keep.append(100 * shared >= percent * (len(both) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    return _with_sets(pairs, docs, classes, width, similar, "a long, b long")
+
+
+def _members(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """``cls, n, center, nc, diff, s, sc`` of the classes that belong to a centre.
+
+    ``diff`` holds the tokens that one of the two has and the other hasn't, at most a
+    third of both.  With s = (100 + percent) * |diff| - (100 - percent) * n, two members
+    x and y link exactly if 2 * (100 + percent) times the tokens that their differences
+    share are at least s(x) + s(y); a centre's own s is ``sc``."""
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, rows = [], ([], [], [])
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                both = np.sort(np.concatenate([_unpacked(x), _unpacked(y)]))
+                same = np.flatnonzero(both[1:] == both[:-1])
+                alone = np.delete(both, np.concatenate((same, same + 1)))
+                keep.append(3 * len(alone) <= len(both))
+                if keep[-1]:
+                    for part, value in zip(rows, (len(x) // 5, len(y) // 5, long_array(alone)), strict=True):
+                        part.append(value)
+            ends = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            columns = [*ends.columns, pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), list_column(rows[2], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["cls", "center", "n", "nc", "diff"])
+
+    # every centre is more central than its members, so following them ends
+    found = _with_sets(pairs, docs, classes, width, differ, "cls long, center long, n long, nc long, diff array<long>")
+    while not found.join(found.select(F.col("cls").alias("center")), "center", "left_semi").isEmpty():
+        up = found.select(F.col("cls").alias("center"), F.col("center").alias("next"), F.col("nc").alias("next_n"), F.col("diff").alias("more"))
+        both = F.concat(F.array_except("diff", "more"), F.array_except("more", "diff"))
+        found = staged(
+            found.join(up, "center", "left").select(
+                "cls", F.coalesce("next", "center").alias("center"), "n", F.coalesce("next_n", "nc").alias("nc"), F.when(F.col("next").isNull(), F.col("diff")).otherwise(both).alias("diff")
+            )
+        )
+    s = (100 + percent) * F.size("diff") - (100 - percent) * F.col("n")
+    return found.where("3 * size(diff) <= n + nc").withColumns({"s": s.cast("long"), "sc": -(100 - percent) * F.col("nc")})
+
+
+def _within(members: DataFrame, percent: int) -> DataFrame:
+    """The links ``a, b`` of the groups that make their components: those with the centre,
+    and all of members that don't link with it."""
+    star = members.where("s + sc <= 0").select(F.col("cls").alias("a"), F.col("center").alias("b"))
+    unit, far = 2 * (100 + percent), F.col("s") + F.col("sc") > 0
+    ends = cut(members.groupBy("center").agg(F.min("s").alias("low"), F.min(F.when(far, F.col("s"))).alias("far_low")).where("far_low is not null"))
+    least = F.ceil((F.col("s") + F.when(far, F.col("low")).otherwise(F.col("far_low"))) / F.lit(unit)).cast("int")
+    open_ = staged(members.join(ends, "center").select("cls", "center", "s", far.alias("far"), least.alias("needed"), "diff").where("needed <= size(diff)"))
+    held = open_.select("cls", "center", F.explode("diff").alias("token"))
+    counts = held.groupBy("center", "token").agg(F.count("*").alias("k"))
+    ranked = held.join(counts, ["center", "token"]).groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("k", "token"))).alias("ranked"))
+    ranked = open_.drop("diff").join(ranked, "cls").select("cls", "center", "s", "far", "needed", F.col("ranked.k").alias("k"), F.col("ranked.token").alias("tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            sizes, rows = [], ([], [], [], [])
+            for k, tokens, needed in zip(batch.column("k").to_pylist(), batch.column("tokens").to_pylist(), batch.column("needed").to_pylist(), strict=True):
+                others = np.array(k, np.float64) - 1
+                taken, matches = chosen_length(others, len(others) - needed + 1, min(MOST_MATCHES, needed))
+                at = np.flatnonzero(others[:taken])
+                sizes.append(len(at))
+                for part, value in zip(rows, (np.array(tokens, np.int64)[at], at, np.full(len(at), matches), np.full(len(at), len(others))), strict=True):
+                    part.append(value.astype(np.int64))
+            row = pa.array(np.repeat(np.arange(len(batch)), sizes))
+            flat = [pa.array(np.concatenate(part) if part else np.zeros(0, np.int64)) for part in rows]
+            columns = [*(batch.column(c).take(row) for c in ("cls", "center", "s", "far")), *flat]
+            yield pa.RecordBatch.from_arrays(columns, names=["cls", "center", "s", "far", "token", "pos", "matches", "d"])
+
+    held = staged(ranked.mapInArrow(run, "cls long, center long, s long, far boolean, token long, pos long, matches long, d long"))
+    few = held.where("far").select("center", "token", *[F.col(c).alias(f"{c}_a") for c in ("cls", "s", "pos", "matches", "d")])
+    meets = few.join(held, ["center", "token"]).where("cls_a <> cls and (not far or cls_a < cls)")
+    overlap = F.expr(f"((s + s_a + {unit - 1}) div {unit})")
+    asked = F.least("matches_a", "matches")
+    meets = meets.where((F.col("pos") < F.col("d") - overlap + asked) & (F.col("pos_a") < F.col("d_a") - overlap + asked))
+    pairs = meets.groupBy(F.col("cls_a").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("n"), F.max(asked).alias("asked")).where("n >= asked").select("a", "b")
     for end in ("a", "b"):
-        holder = classes.select(F.col("cls").alias(end), F.col("doc_id").alias(f"{end}_doc"))
-        pairs = pairs.join(holder, end)
-    pairs = cut(pairs)
-    for end, name in (("a", "x"), ("b", "y")):
-        sets = _sets_of(docs, pairs.select(F.col(f"{end}_doc").alias("doc_id")), width)
-        sets = sets.select(F.col("cls").alias(end), F.col("doc_id").alias("doc"), F.col("found").alias(name))
-        first = pairs if name == "x" else with_sets
-        same = (first[end] == sets[end]) & first[f"{end}_doc"].eqNullSafe(sets["doc"])
-        with_sets = first.join(sets, same).drop(sets[end], f"{end}_doc", "doc")
-    return cut(with_sets.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"))
+        pairs = pairs.join(open_.select(F.col("cls").alias(end), F.col("s").alias(f"s_{end}"), F.col("diff").alias(f"diff_{end}")), end)
+    linked = pairs.where(unit * F.size(F.array_intersect("diff_a", "diff_b")) >= F.col("s_a") + F.col("s_b"))
+    return star.unionByName(staged(linked.select("a", "b")))
 
 
 def _likely(classes: DataFrame) -> DataFrame:
@@ -278,10 +390,10 @@ def _likely(classes: DataFrame) -> DataFrame:
 
 
 def _across(rows: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """All pairs of classes in different components that meet the prefix condition.
+    """All pairs of classes in different groups that meet the prefix condition.
 
-    Of each shingle's holders, those outside its largest component meet all others;
-    holders within one component never meet."""
+    Of each shingle's holders, those outside its largest group meet all others;
+    holders within one group never meet."""
     of = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
         F.col("cls").alias("c"), F.col("doc_id").alias("d"), F.coalesce("root", "cls").alias("root")
     )
@@ -317,6 +429,7 @@ def _across(rows: DataFrame, classes: DataFrame, roots: DataFrame, percent: int)
     columns = "token long, cls long, n long, root long, pos long, matches long"
     held = placed.mapInArrow(run, columns).distinct()
     held = staged(held.join(split, "token", "left_semi"))
+    bits.destroy()
     largest = held.groupBy("token", "root").agg(F.count("*").alias("k"))
     largest = cut(largest.groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("main")))
     marked = staged(held.join(largest, "token"))
@@ -343,10 +456,11 @@ def _placed(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
             F.min("doc_id").alias("doc_id"), F.min(place).alias("first"), F.min("least").alias("least"), F.max("spread").alias("spread")
         )
     )
-    first = _verified(_likely(classes), docs, classes, width, percent)
-    rest = _across(rows.select("doc_id", "cls", "n", "skipped", "tokens").where("n > 0"), classes, connected_components(first), percent)
-    second = _verified(rest, docs, classes, width, percent)
-    roots = connected_components(first.union(second))
+    members = staged(_members(_likely(classes), docs, classes, width, percent))
+    groups = members.select(F.col("cls").alias("node"), F.col("center").alias("root"))
+    groups = groups.union(groups.select("root", "root").distinct())
+    rest = _across(rows.select("doc_id", "cls", "n", "skipped", "tokens").where("n > 0"), classes, groups, percent)
+    roots = connected_components(_within(members, percent).union(_verified(rest, docs, classes, width, percent)))
     named = classes.select("cls", "cls2", "n", F.col("first").alias("lowest")).join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.withColumn("root", F.coalesce("root", "cls"))
     lows = named.groupBy("root").agg(F.min("lowest").alias("first"))
@@ -371,15 +485,17 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_
 
     Rows are told apart by id and text, so null and repeated ids cost no other row.  Of
     rows of one id, or without any, the one with the least hash of the text stays; of
-    those equal in both, the one with the least hash of all columns."""
+    those equal in both, the one with the least hash of all columns.  Null and empty
+    texts all stay.  All columns stay, of whatever name."""
     placed = _placed(docs, width, percent, id_col, text_col).where("n > 0")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
-    pairs = placed.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_of")).agg(F.max(stays).alias("stays"), F.count("*").alias("k"))
+    pairs = placed.groupBy("doc_id", "key").agg(F.max(stays).alias("stays"), F.count("*").alias("k"))
     pairs = cut(pairs.where("not stays or k > 1"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_of"))
-    kept = docs.join(pairs, same, "left_anti")
+    rows = boxed(docs, id=F.col(id_col).cast("long"), of=F.xxhash64(text_col))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("key"))
+    kept = rows.join(pairs, same, "left_anti").select("row")
     again = pairs.where("stays")
-    if again.isEmpty():
-        return kept
-    one = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")
-    return kept.unionByName(docs.join(again, same).groupBy("_id", "_of").agg(one).select("row.*"))
+    if not again.isEmpty():
+        one = rows.join(again, same).groupBy("id", "of").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        kept = kept.unionByName(one.select("row"))
+    return kept.select("row.*")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fold
+from .common import as_bytes, bounded_sample, fold, in_a_task
 
 NO_LANGUAGE = "und"
 BUCKET_BITS = 15
@@ -87,7 +87,7 @@ def train(
         cuts = [words, *(words[i : i + rng.integers(1, piece_words + 1)] for i in rng.integers(0, max(1, len(words)), pieces))]
         for piece in cuts:
             counts = subwords(b" ".join(piece))
-            ids = np.flatnonzero(counts)
+            ids = np.flatnonzero(counts).astype(np.int32)
             if len(ids):
                 examples[int(calibrate)].append((ids, (counts[ids] / counts.sum()).astype(np.float32), classes.index(label)))
     order = np.arange(len(examples[0]))
@@ -126,18 +126,17 @@ def train(
 def fit(docs: DataFrame, max_rows: int = 6000, folds: int = 5, **options) -> Model | None:
     """Learn from rows with text and lang outside fold 0.
 
-    ``max_rows`` bounds the sample: rows are taken by a hash of their id, at the
-    share that gives about that many.  None if there is no such row."""
-    rows = docs.where((fold(F.col("doc_id"), folds) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    ``max_rows`` bounds the sample, whose rows are drawn by a hash of id and text.  One
+    task trains on it.  None if there is no such row."""
+    rows = docs.where((fold(F.col("doc_id"), folds) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     total = docs.where((fold(F.col("doc_id"), folds) != 0) & F.col("lang").isNotNull()).count()
-    share = min(1.0, max_rows / max(total, 1))
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    sample = rows.where(pick < int(share * (1 << 20))).select("doc_id", "lang", "text").toPandas()
-    if not len(sample):
-        return None
-    sample = sample.sort_values(["doc_id", "lang", "text"], na_position="last")
-    held = np.array([zlib.crc32(f"calibrate {i}".encode()) % 5 == 0 for i in sample.doc_id])
-    return train(sample.text.tolist(), sample.lang.tolist(), held, **options)
+
+    def learned(sample: pa.Table) -> Model:
+        sample = sample.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+        held = np.array([zlib.crc32(f"calibrate {i}".encode()) % 5 == 0 for i in sample.column("doc_id").to_pylist()])
+        return train(sample.column("text").to_pylist(), sample.column("lang").to_pylist(), held, **options)
+
+    return in_a_task(bounded_sample(rows, total, max_rows, "doc_id", "text", "lang"), learned)
 
 
 def _predict(text: bytes, model: Model | None) -> tuple[str, float, bool]:
@@ -181,6 +180,9 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
 
 def drop_rejected(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose language is rejected; all columns stay."""
+    """``docs`` without the rows whose language is rejected; all columns stay.
+
+    Null and empty texts and those without a letter go, whatever the ids; repeated rows
+    stay or go together.  Without a model only those go; an empty table stays empty."""
     keep = lambda batch, found: batch.filter(pa.array([not x[2] for x in found], pa.bool_()))
     return _scan(docs, model, text_col, keep, docs.schema)

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, cut
+from .common import WORD_PATTERN, boxed, cut
 
 
 def n_words(text: Column) -> Column:
@@ -57,23 +57,21 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    whole_rows: bool = False,
 ) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` for every row of ``docs``.
+    """``doc_id, source, size, source_size, target, taken`` for every row of ``docs``; with
+    ``whole_rows`` also ``row``, a struct of all its columns.
 
     ``taken`` counts the words that the mix takes of a document, repeats
     included; over a source they add up to the whole words of its target.  The
     document at which a budget ends is taken in part.  Null text has no words, a
     null source is a source of its own and comes last, a source without words
-    has target 0.  Rows that repeat an id and a size are interchangeable.  Runs
-    over the same rows agree, whatever the partitioning."""
-    rows = cut(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).cast("string").alias("source"),
-            n_words(F.col(text_col)).alias("size"),
-        )
-    )
-    rows = rows.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    has target 0.  Rows that repeat an id and a size are interchangeable; whole rows
+    of that kind are taken in order of a hash of all columns.  Runs over the same rows
+    agree, whatever the partitioning."""
+    columns = {"doc_id": F.col(id_col), "source": F.col(source_col).cast("string"), "size": n_words(F.col(text_col))}
+    rows = cut(docs.select(*[c.alias(name) for name, c in columns.items()]))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     targets = cut(
         source_targets(sizes, weights, share, cap)
@@ -83,24 +81,26 @@ def mix_sources(
         .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
     )
     point = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    ranged = (
-        rows.withColumnRenamed("source", "of")
-        .join(targets, F.col("of").eqNullSafe(F.col("source")))
-        .drop("of")
-        .withColumn("range", F.floor(point * F.col("ranges") / F.lit(2.0**32)))
-    )
-    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
-        .select(F.col("source").alias("of"), F.col("range").alias("at"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
-    )
-    within = Window.partitionBy("source", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    of = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))  # never null, so that one shuffle serves windows and joins
+    targets = targets.withColumn("of", of).drop("source")
+
+    def ranged(rows: DataFrame) -> DataFrame:
+        placed = rows.withColumns({"key": key, "of": of}).join(targets, "of")
+        return placed.withColumn("range", F.floor(point * F.col("ranges") / F.lit(2.0**32)))
+
+    earlier = Window.partitionBy("of").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged(rows).groupBy("of", "range").agg(F.sum("size").alias("words"))
+    offsets = offsets.select("of", "range", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
+    if whole_rows:
+        rows = boxed(docs, **columns).withColumn("tie", F.xxhash64("row"))
+    within = Window.partitionBy("of", "range").orderBy("key", "size", *["tie"] * whole_rows).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("offset") + F.col("earlier")
     return (
-        ranged.withColumn("earlier", F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")))
+        ranged(rows).withColumn("earlier", F.coalesce(F.sum("size").over(within), F.lit(0)))
+        .join(offsets, ["of", "range"])
         .select(
             "doc_id", "source", "size", "source_size", "target",
             (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - before))).cast("long").alias("taken"),
+            *["row"] * whole_rows,
         )
     )
