@@ -88,7 +88,7 @@ def test_exports_and_manifest(spark, folder, tmp_path):
     at_data = png.index(b"IDAT")
     size = int.from_bytes(png[at_data - 4 : at_data], "big")
     pixels = np.frombuffer(zlib.decompress(png[at_data + 4 : at_data + 4 + size]), np.uint8).reshape(30, 61)[:, 1:].reshape(30, 20, 3)
-    want = {(r.trace_idx, r.sample_idx): [r.r, r.g, r.b] for r in segment.overlay_pixels(done).collect()}
+    want = {(t.trace_idx, j): [t.r[j], t.g[j], t.b[j]] for t in segment.overlay_traces(done).collect() for j in range(len(t.r))}
     assert all(pixels[k].tolist() == v for k, v in want.items()) and len(want) == 600
 
 

@@ -30,10 +30,10 @@ def test_parts(spark, tmp_path):
     paths = sorted(r.path for r in files.export_npz(done.masks, str(tmp_path / "npz"), 150).collect())
     got = np.concatenate([np.load(io.BytesIO(open(p, "rb").read()))["fault"] for p in paths])
     assert len(paths) == 5 and got.tolist() == [masks[1, i] for i in range(30)]
-    overlay = segment.overlay_pixels(done)
+    overlay = segment.overlay_traces(done)
     image = np.zeros((30, 20, 3), np.uint8)
     for r in overlay.collect():
-        image[r.trace_idx, r.sample_idx] = r.r, r.g, r.b
+        image[r.trace_idx] = np.stack([r.r, r.g, r.b], 1)
     found = []
     for p in sorted(r.path for r in files.export_png(overlay, str(tmp_path / "png"), 150).collect()):
         png = open(p, "rb").read()
@@ -48,8 +48,8 @@ def test_nothing_lost_in_silence(spark, monkeypatch):
     line = spark.createDataFrame([(i, [float(i)] * 8, i % 2) for i in range(20)], "vec_id long, embedding array<float>, label int")
     monkeypatch.setattr(fixtures, "read", lambda *_: line)
     export = files.export_segy
-    monkeypatch.setattr(files, "export_segy", lambda t, f: export(t, f, most_pixels=50))
+    monkeypatch.setattr(files, "export_segy", lambda t, f, **_: export(t, f, most_pixels=50))
     assert queries.segy_scan(spark, "").count() == 160 and queries.segy_volume(spark, "").count() == 20
-    monkeypatch.setattr(files, "export_segy", lambda t, f: export(t, f, most_pixels=5))
+    monkeypatch.setattr(files, "export_segy", lambda t, f, **_: export(t, f, most_pixels=5))
     with pytest.raises(RuntimeError, match="too_large"):
         queries.segy_scan(spark, "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -27,30 +29,30 @@ def np_gray(a):
     return np.floor((np.clip(a.astype(float), lo, hi) - lo) / (hi - lo) * 255).astype(int)
 
 
-def np_starts(dim, tile, stride):
-    if dim <= tile:
-        return [0]
-    found = list(range(0, dim - tile + 1, stride))
-    return found if found[-1] == dim - tile else [*found, dim - tile]
+def every_start(dim, tile, stride):
+    """Multiples of the stride that leave room for a window, and the last offset."""
+    last = max(0, dim - tile)
+    return sorted({last} | {i for i in range(last) if i % stride == 0})
 
 
-def np_segment(a, tile, stride, threshold):
+def every_mask(a, tile, stride, threshold):
+    """A pixel is on where the greatest score of all windows that contain it reaches the threshold."""
     g, (h, w) = np_gray(a), np.asarray(a).shape
-    p = np.pad(g, ((0, max(0, tile - h)), (0, max(0, tile - w))), mode="edge")
-    fused = np.zeros((5, *p.shape), np.float32)
-    for y in np_starts(p.shape[0], tile, stride):
-        for x in np_starts(p.shape[1], tile, stride):
-            for i, m in enumerate(scoring.ClosedFormScorer().score(p[y : y + tile, x : x + tile], y, x)):
-                part = fused[i, y : y + tile, x : x + tile]
-                np.maximum(part, m, out=part)
-    return fused[:, :h, :w] >= np.float32(threshold)
+    at = lambda y, x: g[min(y, h - 1), min(x, w - 1)]
+    windows = {}
+    for y, x in product(every_start(h, tile, stride), every_start(w, tile, stride)):
+        image = np.array([[at(y + i, x + j) for j in range(tile)] for i in range(tile)])
+        windows[y, x] = list(scoring.ClosedFormScorer().score(image, y, x))
+    inside = lambda i, j: [(k, i - k[0], j - k[1]) for k in windows if 0 <= i - k[0] < tile and 0 <= j - k[1] < tile]
+    best = [[[max(windows[k][n][y, x] for k, y, x in inside(i, j)) for j in range(w)] for i in range(h)] for n in range(5)]
+    return np.array(best, np.float32) >= np.float32(threshold)
 
 
 def test_tile_starts_cover_the_axis(spark):
     for tile, stride in ((8, 4), (8, 3), (5, 5), (1, 1)):
         rows = spark.range(1, 33).select("id", C.tile_starts(F.col("id"), tile, stride).alias("s")).collect()
         for r in rows:
-            assert list(r.s) == np_starts(r.id, tile, stride)
+            assert list(r.s) == every_start(r.id, tile, stride)
             assert {p for s in r.s for p in range(s, s + tile)} >= set(range(r.id))
     known = {1000: [0], 1024: [0], 1025: [0, 1], 1500: [0, 476], 2048: [0, 512, 1024], 3000: [0, 512, 1024, 1536, 1976]}
     got = spark.createDataFrame([(d,) for d in known], "d int").select("d", C.tile_starts(F.col("d"), 1024, 512).alias("s")).collect()
@@ -90,7 +92,7 @@ def test_nan_and_empty(spark):
 def test_chain_equals_numpy(spark, shape, tile, stride):
     a, b = RNG.normal(size=shape), RNG.normal(size=shape)
     done = segment.segment_sections(traces(spark, a=a, b=b), tile=tile, stride=stride, exact_in_one_pass=True, threshold=0.6)
-    want = {"a": np_segment(a, tile, stride, 0.6), "b": np_segment(b, tile, stride, 0.6)}
+    want = {"a": every_mask(a, tile, stride, 0.6), "b": every_mask(b, tile, stride, 0.6)}
     rows = done.masks.collect()
     assert len(rows) == 2 * 5 * shape[0]
     for r in rows:
@@ -140,6 +142,30 @@ def test_overlay(spark):
             want = [mix(c, v) for c, v in zip(catalog.LABELS[k - 1][2:], want, strict=True)]
         got = {r.sample_idx: [r.r, r.g, r.b] for r in overlay.overlay_blend(base, overlay.layer_filter(on, labels, only), labels).collect()}
         assert got == {0: want, 1: [100, 100, 100]}
+        gray = spark.createDataFrame([("s", 0, [100, 100]), ("s", 1, [7])], "section_id string, trace_idx int, gray array<smallint>")
+        packed = spark.createDataFrame([("s", 1, 0, [True, False]), ("s", 2, 0, [True, False]), ("s", 3, 0, [False, False])], "section_id string, label_id int, trace_idx int, mask array<boolean>")
+        rows = {r.trace_idx: [r.r, r.g, r.b] for r in overlay.overlay_packed(gray, packed, labels, only).collect()}
+        assert rows == {0: [[v, 100] for v in want], 1: [[7]] * 3}
+
+
+def test_failed_tiles_are_rows(spark, tmp_path):
+    """A section whose tiles can't be scored is listed; the other's maps are kept, by label."""
+
+    class Fails(scoring.ClosedFormScorer):
+        def score(self, tile, y, x):
+            if tile.max() == 0:
+                raise ValueError("nothing to see")
+            return super().score(tile, y, x)
+
+    done = segment.segment_sections(traces(spark, good=RNG.normal(size=(6, 6)), flat=np.ones((6, 6))), tile=4, stride=2, make_scorer=Fails, stage=True)
+    assert {(r.section_id, r.error) for r in done.failures.collect()} == {("flat", "ValueError: nothing to see")}
+    segment.save_tables(done, str(tmp_path))
+    kept = spark.read.parquet(f"{tmp_path}/masks")
+    assert {r.section_id for r in kept.select("section_id").distinct().collect()} == {"good"} and kept.count() == 30
+    assert len(list((tmp_path / "prob_maps").glob("label_id=*"))) == 5
+    read = spark.createDataFrame([("x.sgy", "x.sgy", "missing")], "section_id string, path string, status string")
+    listed = segment.run_manifest(read, spark.createDataFrame([], schemas.MANIFEST), done.failures).collect()
+    assert {(r.section_id, r.artifact, r.status) for r in listed} == {("x.sgy", "input", "missing"), ("flat", "scores", "failed")}
 
 
 def test_resize_equals_column_form(spark):

@@ -44,8 +44,3 @@ def bilinear(grid: Column, height: int, width: int, row: Column, col: Column, ou
     dy, dx = y - y0, x - x0
     at = lambda r, c: F.element_at(grid, r * width + c + 1).cast("double")
     return at(y0, x0) * (1 - dy) * (1 - dx) + at(y0, x1) * (1 - dy) * dx + at(y1, x0) * dy * (1 - dx) + at(y1, x1) * dy * dx
-
-
-def packed_bytes(values: Column) -> Column:
-    """An array of levels 0..255 as binary, one byte each."""
-    return F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v.cast("int")), 2, "0")), ""))

@@ -25,10 +25,6 @@ def mask_any(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("section_id", "label_id").agg(F.bool_or("mask").alias("mask_any"))
 
 
-def mask_any_packed(masks: DataFrame) -> DataFrame:
-    return masks.groupBy("section_id", "label_id").agg(F.bool_or(F.exists("mask", lambda m: m)).alias("mask_any"))
-
-
 def coverage(counts: DataFrame, labels: DataFrame) -> DataFrame:
     """``section_id, label_id, label, pct, pct_text`` for every section and label.
 

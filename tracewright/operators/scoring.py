@@ -11,13 +11,18 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog, schemas
 
 
+_SCORED = pa.schema(
+    [("section_id", pa.string()), ("label_id", pa.int32()), ("tile_y", pa.int32()), ("tile_x", pa.int32()), ("row_off", pa.int32()), ("probs", pa.list_(pa.float32())), ("error", pa.string())]
+)
+
+
 class Scorer(Protocol):
     labels: tuple[int, ...]
 
@@ -44,27 +49,51 @@ def prompt_fanout(tiles: DataFrame, labels: DataFrame) -> DataFrame:
     return tiles.crossJoin(F.broadcast(labels))
 
 
-def score_tiles(tiles: DataFrame, make_scorer: Callable[[], Scorer] = ClosedFormScorer, tile: int = 1024) -> DataFrame:
-    """Strips of probabilities: one row per tile, label and row of the tile.
+STRIP_VALUES = 1 << 20
 
-    One label of one tile is held at a time.  Set
-    spark.sql.execution.arrow.maxRecordsPerBatch low for large tiles."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = None
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                scorer = scorer or make_scorer()
-                image = np.frombuffer(row.pixels, np.uint8).reshape(tile, -1)
-                for label, probs in zip(scorer.labels, scorer.score(image, row.tile_y, row.tile_x), strict=True):
-                    yield pd.DataFrame(
-                        {
-                            "section_id": row.section_id, "label_id": label, "tile_y": row.tile_y, "tile_x": row.tile_x,
-                            "row_off": np.arange(len(probs), dtype=np.int32), "probs": list(np.asarray(probs, np.float32)),
-                        }
-                    )
+def score_tiles(tiles: DataFrame, make_scorer: Callable[[], Scorer] = ClosedFormScorer, tile: int = 1024) -> DataFrame:
+    """Strips of probabilities: one row per tile, label and row of the tile.
 
-    return tiles.select("section_id", "tile_y", "tile_x", "pixels").mapInPandas(run, schemas.STRIPS)
+    Spark hands over tiles in batches of limited size
+    (spark.sql.execution.arrow.maxBytesPerBatch); of their maps at most one more than
+    ``STRIP_VALUES`` values is held at a time.  A tile that the scorer fails on gives one
+    row with ``error`` set and without probabilities, and the others are scored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, held, size = None, [], 0
+
+        def strips() -> pa.RecordBatch:
+            maps = [np.asarray(m, np.float32) for *_, m in held]
+            rows = [len(m) for m in maps]
+            repeated = [pa.array([x for x, n in zip(values, rows, strict=True) for _ in range(n)], kind) for values, kind in zip(list(zip(*held, strict=True))[:4], (pa.string(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
+            widths = np.repeat([m.shape[1] for m in maps], rows)
+            offsets = np.concatenate(([0], np.cumsum(widths))).astype(np.int32)
+            probs = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([m.ravel() for m in maps])))
+            offs = np.concatenate([np.arange(n, dtype=np.int32) for n in rows])
+            return pa.RecordBatch.from_arrays([*repeated, pa.array(offs), probs, pa.nulls(len(offs), pa.string())], schema=_SCORED)
+
+        for batch in batches:
+            for section, y, x, pixels in zip(*(batch.column(c) for c in ("section_id", "tile_y", "tile_x", "pixels")), strict=True):
+                key = section.as_py(), y.as_py(), x.as_py()
+                try:
+                    scorer = scorer or make_scorer()
+                    image = np.frombuffer(pixels.as_buffer(), np.uint8).reshape(tile, -1)
+                    found = list(zip(scorer.labels, scorer.score(image, *key[1:]), strict=True))
+                except Exception as error:  # noqa: BLE001  one tile's failure is a row
+                    lost = [[key[0]], [None], [key[1]], [key[2]], [None], [None], [f"{type(error).__name__}: {error}"]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(lost, _SCORED.types, strict=True)], schema=_SCORED)
+                    continue
+                for label, probs in found:
+                    held.append((key[0], label, *key[1:], probs))
+                    size += np.size(probs)
+                    if size >= STRIP_VALUES:
+                        yield strips()
+                        held, size = [], 0
+        if held:
+            yield strips()
+
+    return tiles.select("section_id", "tile_y", "tile_x", "pixels").mapInArrow(run, schemas.SCORED)
 
 
 def resized_scorer(logits: Callable[[np.ndarray, int, int], Iterable[np.ndarray]], labels: tuple[int, ...]) -> Callable[[], Scorer]:
@@ -91,9 +120,3 @@ def resize(grid: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
         part = (at - low).reshape((-1, 1) if axis == 0 else (1, -1))
         grid = np.take(grid, low, axis) * (1 - part) + np.take(grid, np.minimum(low + 1, n - 1), axis) * part
     return grid
-
-
-def closed_form(gray: Column, label_id: Column, tile_y: Column, tile_x: Column) -> Column:
-    """The test model as a column expression."""
-    u = gray / 255.0 - label_id / 6.0 + ((tile_y * 31 + tile_x * 17) % 7) / 10.0 - 0.3
-    return (0.5 + 0.5 * u / (1 + F.abs(u))).cast("float")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def strips_long(strips: DataFrame) -> DataFrame:
-    """Placed pixels: ``section_id, label_id, trace_idx, sample_idx, prob``."""
+    """Placed pixels: ``section_id, label_id, trace_idx, sample_idx, prob``; failed tiles have none."""
     return strips.select(
         "section_id", "label_id", (F.col("tile_y") + F.col("row_off")).alias("trace_idx"), "tile_x", F.posexplode("probs").alias("off", "prob")
     ).select("section_id", "label_id", "trace_idx", (F.col("tile_x") + F.col("off")).alias("sample_idx"), "prob")
@@ -22,18 +26,30 @@ def stitch_long(pixels: DataFrame) -> DataFrame:
 def stitch_packed(strips: DataFrame, shapes: DataFrame) -> DataFrame:
     """``section_id, label_id, trace_idx, probs``, cropped to the section.
 
-    The strips of a trace are few (those of the tiles along it, twice), and are folded
-    as arrays.  Traces and samples under no tile are 0 if another tile of the label
-    reaches the trace."""
-    placed = strips.join(shapes, "section_id").withColumn("trace_idx", F.col("tile_y") + F.col("row_off")).where("trace_idx < n_traces")
-    keep = F.slice("probs", F.lit(1), F.greatest(F.lit(0), F.least(F.size("probs"), F.col("n_samples") - F.col("tile_x"))))
-    zero = F.lit(0.0).cast("float")
-    placed = placed.withColumn("kept", keep)
-    full = F.concat(F.array_repeat(zero, F.least("tile_x", "n_samples")), "kept", F.array_repeat(zero, F.greatest(F.lit(0), F.col("n_samples") - F.col("tile_x") - F.size("kept"))))
-    lists = placed.groupBy("section_id", "label_id", "trace_idx", "n_samples").agg(F.collect_list(full).alias("lists"))
-    blank = F.array_repeat(zero, F.col("n_samples"))
-    fused = F.aggregate("lists", blank, lambda acc, x: F.zip_with(acc, x, lambda p, q: F.greatest(p, q)))
-    return lists.select("section_id", "label_id", "trace_idx", fused.alias("probs"))
+    Only the strips themselves are shuffled.  Those of a trace are few (of the tiles along
+    it, twice), and are folded into one array.  Traces and samples under no tile are 0 if
+    another tile of the label reaches the trace; NaN wins."""
+    placed = strips.join(shapes, "section_id").withColumn("trace_idx", F.col("tile_y") + F.col("row_off")).where("trace_idx < n_traces and tile_x < n_samples and probs is not null")
+    lists = placed.groupBy("section_id", "label_id", "trace_idx", "n_samples").agg(F.collect_list("tile_x").alias("xs"), F.collect_list("probs").alias("parts"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            widths = batch.column("n_samples").to_numpy().astype(np.int64)
+            ends = np.cumsum(widths)
+            out = np.zeros(int(widths.sum()), np.float32)
+            xs, parts = batch.column("xs"), batch.column("parts")
+            of = np.repeat(np.arange(len(batch)), np.diff(xs.offsets.to_numpy()))
+            values = parts.flatten()
+            lengths = np.diff(values.offsets.to_numpy())
+            flat, at = values.flatten().to_numpy(), 0
+            for row, x, n in zip(of.tolist(), xs.flatten().to_numpy().tolist(), lengths.tolist(), strict=True):
+                begin, keep = int(ends[row] - widths[row]) + x, min(n, int(widths[row]) - x)
+                np.maximum(out[begin : begin + keep], flat[at : at + keep], out=out[begin : begin + keep])
+                at += n
+            probs = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(out))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("section_id", "label_id", "trace_idx")), probs], names=["section_id", "label_id", "trace_idx", "probs"])
+
+    return lists.mapInArrow(fold, "section_id string, label_id int, trace_idx int, probs array<float>")
 
 
 def packed_long(maps: DataFrame, values_col: str = "probs", name: str = "prob") -> DataFrame:

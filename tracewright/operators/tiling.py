@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import packed_bytes, tile_starts
+from ..functions.columns import tile_starts
 from .normalize import section_shape
 
 TILE, STRIDE = 1024, 512
@@ -26,11 +30,12 @@ def tile_grid(shapes: DataFrame, tile: int = TILE, stride: int = STRIDE) -> Data
     return rows.select("section_id", "tile_y", "tile_x", "padded_h", "padded_w", "orig_h", "orig_w")
 
 
-def edge_pad(gray: DataFrame, tile: int = TILE) -> DataFrame:
+def edge_pad(gray: DataFrame, tile: int = TILE, shapes: DataFrame | None = None) -> DataFrame:
     """Grey traces, grown at the bottom and right to the tile size by repeating the edge.
 
-    The last trace becomes several rows where it stands; nothing is joined but shapes."""
-    padded = padded_shape(section_shape(gray, "gray"), tile)
+    The last trace becomes several rows where it stands; nothing is joined but shapes,
+    which are worked out from ``gray`` only where none are given."""
+    padded = padded_shape(section_shape(gray, "gray") if shapes is None else shapes, tile)
     rows = gray.join(padded, "section_id")
     wide = F.concat("gray", F.array_repeat(F.element_at("gray", -1), F.col("padded_w") - F.size("gray")))
     until = F.when(F.col("trace_idx") == F.col("orig_h") - 1, F.col("padded_h") - 1).otherwise(F.col("trace_idx"))
@@ -65,9 +70,20 @@ def tile_cut(padded: DataFrame, tile: int = TILE, stride: int = STRIDE) -> DataF
 
     A trace goes to the bands of tiles that cover it (two inside a section at half
     overlap), and the columns are cut after the shuffle, so it is moved twice and not
-    four times.  A group is one band of ``tile`` traces."""
+    four times.  A group is one band of ``tile`` traces; its tiles are slices of one
+    array of bytes."""
     banded = padded.withColumn("tile_y", F.explode(covering(tile_starts(F.col("padded_h"), tile, stride), F.col("trace_idx"), tile)))
     bands = banded.groupBy("section_id", "tile_y", "padded_w").agg(F.array_sort(F.collect_list(F.struct("trace_idx", "gray"))).alias("band"))
-    cut = bands.withColumn("tile_x", F.explode(tile_starts(F.col("padded_w"), tile, stride)))
-    pixels = F.flatten(F.transform("band", lambda t: F.slice(t["gray"], F.col("tile_x") + 1, F.lit(tile))))
-    return cut.select("section_id", "tile_y", "tile_x", packed_bytes(pixels).alias("pixels"))
+    bands = bands.select("section_id", "tile_y", tile_starts(F.col("padded_w"), tile, stride).alias("xs"), F.transform("band", lambda t: t["gray"]).alias("band"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands, every = batch.column("band"), batch.column("xs")
+            for i in range(len(batch)):
+                traces, xs = bands[i].values, every[i].values.to_numpy()
+                image = traces.flatten().to_numpy().astype(np.uint8).reshape(len(traces), -1)
+                keys = [pa.array([batch.column(c)[i].as_py()] * len(xs), batch.column(c).type) for c in ("section_id", "tile_y")]
+                pixels = [np.ascontiguousarray(image[:, x : x + tile]).tobytes() for x in xs]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(xs, pa.int32()), pa.array(pixels, pa.binary())], names=["section_id", "tile_y", "tile_x", "pixels"])
+
+    return bands.mapInArrow(cut, "section_id string, tile_y int, tile_x int, pixels binary")

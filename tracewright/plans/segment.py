@@ -13,6 +13,7 @@ from .. import catalog
 from ..operators import masks as M
 from ..operators import normalize, overlay, scoring, stitch, tiling
 from ..sinks import files
+from ..storage import staged
 
 
 @dataclass
@@ -22,6 +23,7 @@ class Segmentation:
     bounds: DataFrame
     gray: DataFrame
     tiles: DataFrame
+    failures: DataFrame
     prob_maps: DataFrame
     masks: DataFrame
     coverage: DataFrame
@@ -31,11 +33,16 @@ class Segmentation:
 def segment_sections(
     traces: DataFrame, *, tile: int = tiling.TILE, stride: int = tiling.STRIDE, threshold: float = M.THRESHOLD, prompts: Sequence[str] | None = None,
     make_scorer: Callable[[], scoring.Scorer] | None = None, bounds: DataFrame | None = None, exact_in_one_pass: bool = False,
+    stage: bool = False,
 ) -> Segmentation:
     """Normalise, tile, score, stitch and threshold all sections at once.
 
-    Bounds are exact in two passes unless one buffer per section will do.  Labels that
-    the scorer lacks have no mask and cover nothing."""
+    Bounds are exact in two passes unless one buffer per section will do.  Traces are
+    read for the bounds, for the shapes and for the grey levels; ``stage`` keeps them as
+    Parquet first, which pays where reading means decoding.  Labels that the scorer lacks
+    have no mask and cover nothing.  Tiles it fails on are rows of ``failures`` (asking
+    for them scores the tiles again); other tiles go on."""
+    traces = staged(traces) if stage else traces
     labels = catalog.label_catalog(traces.sparkSession, prompts)
     if bounds is None:
         samples = normalize.samples_long(traces)
@@ -43,33 +50,42 @@ def segment_sections(
     ids = tuple(x[0] for x in catalog.LABELS if not prompts or x[1] in prompts)
     gray = normalize.gray_traces(traces, bounds)
     shapes = normalize.section_shape(traces)
-    tiles = tiling.tile_cut(tiling.edge_pad(gray, tile), tile, stride)
+    tiles = tiling.tile_cut(tiling.edge_pad(gray, tile, shapes), tile, stride)
     strips = scoring.score_tiles(tiles, make_scorer or (lambda: scoring.ClosedFormScorer(ids)), tile)
+    failures = strips.where("error is not null").select("section_id", "tile_y", "tile_x", "error")
     strips = strips.join(F.broadcast(labels.select("label_id")), "label_id")
     maps = stitch.stitch_packed(strips, shapes)
     masks = M.binarize_packed(maps, threshold)
-    return Segmentation(bounds, gray, tiles, maps, masks, M.coverage(M.packed_counts(masks), labels), labels)
+    return Segmentation(bounds, gray, tiles, failures, maps, masks, M.coverage(M.packed_counts(masks), labels), labels)
 
 
-def overlay_pixels(result: Segmentation, only: Sequence[str] | None = None, alpha: float = overlay.ALPHA) -> DataFrame:
-    base = result.gray.select("section_id", "trace_idx", F.posexplode("gray").alias("sample_idx", "gray"))
-    layers = overlay.layer_filter(stitch.packed_long(result.masks, "mask", "mask").where("mask"), result.labels, only)
-    return overlay.overlay_blend(base, layers, result.labels, alpha)
+def overlay_traces(result: Segmentation, only: Sequence[str] | None = None, alpha: float = overlay.ALPHA) -> DataFrame:
+    return overlay.overlay_packed(result.gray, result.masks, result.labels, only, alpha)
 
 
-def export_all(result: Segmentation, folder: str, *, trace_spacing: float = 25.0, sample_interval: float = 4.0, only: Sequence[str] | None = None) -> DataFrame:
+def save_tables(result: Segmentation, folder: str) -> None:
+    """``prob_maps`` and ``masks`` as Parquet tables in a folder, a part for each label."""
+    for name in ("prob_maps", "masks"):
+        getattr(result, name).write.mode("overwrite").partitionBy("label_id").parquet(f"{folder.rstrip('/')}/{name}")
+
+
+def export_all(result: Segmentation, folder: str, *, trace_spacing: float = 25.0, sample_interval: float = 4.0, only: Sequence[str] | None = None, most_pixels: int = files.MOST_PIXELS) -> DataFrame:
     """Overlay, archive and volume of every section; the manifest of what was written."""
     parts = [
-        files.export_png(overlay_pixels(result, only), folder),
-        files.export_npz(result.masks, folder),
-        files.export_vti(M.label_volume_packed(result.masks), folder, trace_spacing, sample_interval),
+        files.export_png(overlay_traces(result, only), folder, most_pixels),
+        files.export_npz(result.masks, folder, most_pixels),
+        files.export_vti(M.label_volume_packed(result.masks), folder, trace_spacing, sample_interval, most_pixels),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def run_manifest(read: DataFrame, written: DataFrame) -> DataFrame:
-    """Status per input and artifact: inputs that couldn't be read, and what became of the others."""
-    failed = read.where("status <> 'ok'").select(
-        "section_id", "path", F.lit("input").alias("artifact"), "status", F.lit(None).cast("string").alias("error")
-    )
-    return failed.distinct().unionByName(written)
+def run_manifest(read: DataFrame, written: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """Status per input and artifact: inputs that couldn't be read, sections with tiles that
+    couldn't be scored, and what became of the others."""
+    none = F.lit(None).cast("string")
+    failed = read.where("status <> 'ok'").select("section_id", "path", F.lit("input").alias("artifact"), "status", none.alias("error"))
+    found = failed.distinct().unionByName(written)
+    if failures is None:
+        return found
+    lost = failures.groupBy("section_id").agg(F.min("error").alias("error"))
+    return found.unionByName(lost.select("section_id", none.alias("path"), F.lit("scores").alias("artifact"), F.lit("failed").alias("status"), "error"))

@@ -22,6 +22,7 @@ from .storage import new_folder
 from .streaming import fusion
 
 TILE, STRIDE = 32, 16
+FILE_PIXELS = 1 << 15  # small files, so that writing is many tasks here too
 
 
 def _rounded(bounds: DataFrame, digits: int = 9) -> DataFrame:
@@ -227,7 +228,7 @@ def segment_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _written_segy(spark, sf_dir, source) -> str:
     folder = new_folder(spark, "segy")
-    lost = files.export_segy(source, folder).where("status <> 'written'").agg(F.count("*").alias("n"), F.max(F.struct("section_id", "status", "error")).alias("one")).first()
+    lost = files.export_segy(source, folder, most_pixels=FILE_PIXELS).where("status <> 'written'").agg(F.count("*").alias("n"), F.max(F.struct("section_id", "status", "error")).alias("one")).first()
     if lost.n:
         raise RuntimeError(f"{lost.n} files not written, such as {lost.one}")
     return folder
@@ -250,27 +251,27 @@ def _artifacts(rows: DataFrame) -> DataFrame:
 
 
 def export_npz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _artifacts(files.export_npz(_segmented(spark, sf_dir).masks, new_folder(spark, "npz")))
+    return _artifacts(files.export_npz(_segmented(spark, sf_dir).masks, new_folder(spark, "npz"), FILE_PIXELS))
 
 
 def export_png(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _artifacts(files.export_png(segment.overlay_pixels(_segmented(spark, sf_dir)), new_folder(spark, "png")))
+    return _artifacts(files.export_png(segment.overlay_traces(_segmented(spark, sf_dir)), new_folder(spark, "png"), FILE_PIXELS))
 
 
 def export_vti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _artifacts(files.export_vti(masks.label_volume_packed(_segmented(spark, sf_dir).masks), new_folder(spark, "vti")))
+    return _artifacts(files.export_vti(masks.label_volume_packed(_segmented(spark, sf_dir).masks), new_folder(spark, "vti"), most_pixels=FILE_PIXELS))
 
 
 def export_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _artifacts(segment.export_all(_segmented(spark, sf_dir), new_folder(spark, "all")))
+    return _artifacts(segment.export_all(_segmented(spark, sf_dir), new_folder(spark, "all"), most_pixels=FILE_PIXELS))
 
 
 def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _written_segy(spark, sf_dir, fixtures.line(spark, sf_dir))
     rows = files.join_parts(segy.read_segy(spark, f"{folder}/*.sgy", f"{folder}/missing.sgy"))
     good = rows.where("status = 'ok'").select("section_id", "trace_idx", "samples")
-    done = segment.segment_sections(good, tile=TILE, stride=STRIDE)
-    manifest = segment.run_manifest(rows, files.export_npz(done.masks, new_folder(spark, "run")))
+    done = segment.segment_sections(good, tile=TILE, stride=STRIDE, stage=True)
+    manifest = segment.run_manifest(rows, files.export_npz(done.masks, new_folder(spark, "run"), FILE_PIXELS), done.failures)
     return manifest.select(F.regexp_extract("section_id", r"([^/]*)$", 1).alias("file"), "artifact", "status")
 
 
@@ -420,3 +421,13 @@ SELECT path, stem, stem || '_overlay.png' AS overlay_name, stem || '_masks.npz'
     "segy_scan": f"WITH {_LINE}, {_flat('fx_line')} SELECT trace_idx, 'ok' AS status, sample_idx, amplitude FROM flat",
     "segy_volume": f"WITH {_VOLUME} SELECT inline_no, xline_no, trace_idx, round(list_sum([CAST(x AS DOUBLE) FOR x IN samples]), 4) AS sum_samples FROM fx_volume",
 }
+
+#: One row per file of at most FILE_PIXELS; "line" is the one section, its vectors have 64 values.
+_FILES = f"range((SELECT CAST(ceil((max(vec_id) + 1) / {FILE_PIXELS // 64}.0) AS BIGINT) FROM embeddings))"
+_KINDS = {"npz": "masks_npz", "png": "overlay_png", "vti": "labels_vti"}
+_EXPORTS = {k: f"SELECT 'line' AS section_id, '{a}' AS artifact, 'written' AS status, '{k}' AS kind FROM {_FILES}" for k, a in _KINDS.items()}
+ORACLE_SQL |= {f"export_{k}": sql for k, sql in _EXPORTS.items()} | {
+    "export_all": " UNION ALL ".join(_EXPORTS.values()),
+    # the name ends in the CRC-32 of "line"
+    "run_manifest": f"SELECT 'missing.sgy' AS file, 'input' AS artifact, 'missing' AS status UNION ALL SELECT 'line-d114b4f6.sgy', 'masks_npz', 'written' FROM {_FILES}",
+}

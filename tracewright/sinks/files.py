@@ -118,16 +118,17 @@ def export_npz(masks: DataFrame, folder: str, most_pixels: int = MOST_PIXELS) ->
 
 
 def export_png(overlay: DataFrame, folder: str, most_pixels: int = MOST_PIXELS) -> DataFrame:
-    """Images of each section's ranges of traces from ``section_id, trace_idx, sample_idx, r, g, b``."""
+    """Images of each section's ranges of traces from ``section_id, trace_idx, r, g, b``, arrays per trace."""
     folder = mounted(folder)
 
     def make(frame: pd.DataFrame, first: int, h: int, w: int) -> bytes:
         image = np.zeros((h, w, 3), np.uint8)
-        image[frame.trace_idx - first, frame.sample_idx] = frame[["r", "g", "b"]].to_numpy()
+        for row in frame.itertuples():
+            for i, levels in enumerate((row.r, row.g, row.b)):
+                image[row.trace_idx - first, : len(levels), i] = levels
         return png_bytes(image)
 
-    shapes = overlay.groupBy("section_id").agg((F.max("trace_idx") + 1).cast("int").alias("n_traces"), (F.max("sample_idx") + 1).cast("int").alias("n_samples"))
-    return _per_range(overlay, shapes, "overlay_png", lambda s: f"{folder}/{_stem(s)}_overlay.png", make, most_pixels)
+    return _per_range(overlay, section_shape(overlay, "r"), "overlay_png", lambda s: f"{folder}/{_stem(s)}_overlay.png", make, most_pixels)
 
 
 def export_vti(volume: DataFrame, folder: str, trace_spacing: float = 25.0, sample_interval: float = 4.0, most_pixels: int = MOST_PIXELS) -> DataFrame:

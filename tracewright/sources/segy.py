@@ -2,7 +2,7 @@
 
 Traces have a fixed length, so a file is cut into ranges of traces from its headers
 alone, and a task seeks to its range and decodes it whole.  Options: ``path`` (patterns
-separated by commas), ``geometry`` (``2d``: traces in file order; ``3d``: inline and
+separated by commas) or ``paths`` (a JSON list, for paths with commas), ``geometry`` (``2d``: traces in file order; ``3d``: inline and
 crossline numbers from the trace headers) and ``traces_per_partition``.
 
 A file that can't be read gives one row with its ``status`` and no trace: ``missing``,
@@ -12,6 +12,7 @@ A file that can't be read gives one row with its ``status`` and no trace: ``miss
 from __future__ import annotations
 
 import glob as globs
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -99,21 +100,34 @@ class Range(InputPartition):
         self.path, self.first, self.count, self.layout = path, first, count, layout
 
 
-def _expand(patterns: str) -> list[str]:
+def _expand(patterns: list[str]) -> list[str]:
+    """Paths that the patterns name, in order, each once; a pattern that names none stands for itself.
+
+    On a remote store the last part of a path may be a pattern."""
     found: dict[str, None] = {}
-    for pattern in filter(None, (p.strip() for p in patterns.split(","))):
-        bare = pattern.removeprefix("file:") if pattern.startswith("file:") else pattern
-        bare = "/" + bare.lstrip("/") if pattern.startswith("file:") else bare
-        for path in sorted(globs.glob(bare)) if "://" not in bare else [pattern]:
+    for pattern in filter(None, (p.strip() for p in patterns)):
+        bare = "/" + pattern.removeprefix("file:").lstrip("/") if pattern.startswith("file:") else pattern
+        for path in (_listed(bare) if "://" in bare else sorted(globs.glob(bare))) or [bare]:
             found[path] = None
-        if "://" not in bare and not globs.glob(bare):
-            found[bare] = None
     return list(found)
 
 
+def _listed(pattern: str) -> list[str]:
+    from fnmatch import fnmatchcase
+
+    from pyarrow import fs
+
+    folder, name = pattern.rsplit("/", 1)
+    if not globs.has_magic(name):
+        return [pattern]
+    store, inner = fs.FileSystem.from_uri(folder)
+    every = store.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+    return sorted(f"{folder}/{x.base_name}" for x in every if x.is_file and fnmatchcase(x.base_name, name))
+
+
 class SegyReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths = _expand(options.get("path", ""))
+        self.paths = _expand(json.loads(options["paths"]) if "paths" in options else options.get("path", "").split(","))
         self.three_d = str(options.get("geometry", "2d")).lower() == "3d"
         self.per_partition = int(options.get("traces_per_partition", 4096))
 
@@ -179,7 +193,7 @@ def read_segy(spark: SparkSession, *patterns: str, **options) -> DataFrame:
     """All rows of the files, those with a status other than ``ok`` among them."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # readers with pushFilters need it
     spark.dataSource.register(SegySource)
-    return spark.read.format("segy").options(**options).load(",".join(patterns))
+    return spark.read.format("segy").options(paths=json.dumps(patterns), **options).load()
 
 
 def inline_slices(volume: DataFrame, order_col: str = "xline_no") -> DataFrame:

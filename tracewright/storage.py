@@ -28,6 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Cut lineage through a Parquet table in the shared folder."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def mounted(path: str) -> str:
     """A path that Python on every machine can open; file sinks need one."""
     if path.startswith("file:"):
