@@ -169,6 +169,8 @@ def test_remove_repeats(docs, rows, nothing, window):
 
 
 def test_first_least():
+    long = np.tile(np.arange(3, dtype=np.uint64), 400_000)  # equal values on both sides of a block's end
+    assert (substring_dedup._first_least(long << np.uint64(21), 9) == -(-np.arange(len(long) - 8) // 3) * 3).all()
     for values in (RNG.integers(0, 9, 200), RNG.integers(0, 1 << 63, 200)):
         v = values.astype(np.uint64) << np.uint64(21)
         for span in (1, 2, 3, 8, 38, 200):
@@ -297,18 +299,18 @@ def brute_hits(rows, items, n):
     return out
 
 
-@pytest.mark.parametrize("max_words", [10_000, 40])
-def test_benchmark_hits(spark, docs, rows, nothing, max_words):
+@pytest.mark.parametrize("max_bytes", [100_000, 200])
+def test_benchmark_hits(spark, docs, rows, nothing, max_bytes):
     items = [(1, sentence(60, 2)), (2, None), (3, ""), (4, "ONE"), (5, "É, ß!"), (6, sentence(60, 2)), (None, "same-text"), (8, " ".join(sentence(6000, 6).split()[3000:3012]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    hits = decontaminate.benchmark_hits(docs, bench, 10, max_words)
+    hits = decontaminate.benchmark_hits(docs, bench, 10, max_bytes)
     got = [(r.doc_id, r.n_words, list(r.hits), list(r.items)) for r in hits.collect()]
     want = brute_hits(rows, items, 10)
     assert shuffled(got) == shuffled(want)
-    clean = decontaminate.drop_contaminated(docs, bench, 10, max_words)
+    clean = decontaminate.drop_contaminated(docs, bench, 10, max_bytes)
     assert clean.columns == docs.columns
     assert Counter(map(repr, (r.doc_id for r in clean.collect()))) == Counter(repr(i) for i, _, h, _ in want if not h)
-    assert decontaminate.benchmark_hits(nothing, bench, 10, max_words).count() == 0
+    assert decontaminate.benchmark_hits(nothing, bench, 10, max_bytes).count() == 0
     assert decontaminate.drop_contaminated(docs, bench.where("false")).count() == len(rows)
 
 
@@ -365,14 +367,70 @@ def test_toxicity(spark, nothing):
     labels += [(2002, 1), (4, None), (8, 1), (8, 1)]
     docs = spark.createDataFrame([(i, t, 9) for i, t in rows], "doc_id long, text string, toxic int")
     truth = spark.createDataFrame(labels, "doc_id long, toxic int")
-    model = toxicity.fit(docs.drop("toxic"), truth)
-    got = toxicity.score(docs, model).collect()
+    scored, model = toxicity.learn_and_score(docs, truth)
+    got = scored.collect()
+    assert shuffled(map(tuple, got)) == shuffled(map(tuple, toxicity.score(docs, model).collect()))
     assert len(got) == len(rows)
     held = [(r.score >= 0.5, r.doc_id % 8 == 0) for r in got if r.doc_id is not None and r.doc_id < 900 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert np.mean([a == b for a, b in held]) > 0.98
     assert all(r.score < 0.5 for r in got if r.doc_id in (2000, 2001)) and all(r.score > 0.5 for r in got if r.doc_id is None)
-    blank = toxicity.fit(nothing.select("doc_id", "text"), truth.where("false"))
-    assert toxicity.score(docs, blank).where("score >= 0.5").count() == 0
+    assert toxicity.learn_and_score(docs, truth.where("false"))[0].where("score >= 0.5").count() == 0
+    assert toxicity.learn_and_score(nothing, truth)[0].count() == 0
+
+
+def brute_label_model(votes, toxic, rounds):
+    """Expectation maximisation row by row."""
+    v = np.array([[*row, float(not any(row))] for row in votes])
+    known = ~np.isnan(toxic)
+    prior = float(np.clip(toxic[known].mean(), 0.01, 0.5))
+    sure = np.where(toxic == 1, toxicity.TRUST, 1 - toxicity.TRUST)
+    q = np.where(known, sure, prior)
+    for k in range(rounds):
+        use = known if k == 0 else np.ones(len(v), bool)
+        p1 = ((q[use, None] * v[use]).sum(0) + 0.5) / (q[use].sum() + 1)
+        p0 = (((1 - q[use])[:, None] * v[use]).sum(0) + 0.5) / ((1 - q[use]).sum() + 1)
+        prior = float(np.clip(q.mean(), 0.01, 0.5))
+        left = v - q[:, None] * p1 - (1 - q)[:, None] * p0
+        cov = sum(np.outer(r, r) for r in left) / len(v)
+        share = np.ones(len(p1))
+        for i in range(len(p1)):
+            for j in range(len(p1)):
+                c = cov[i, j] / np.sqrt(max(cov[i, i], 1e-9)) / np.sqrt(max(cov[j, j], 1e-9))
+                if i != j and c >= toxicity.CORRELATED:
+                    share[i] += min(c, 1)
+        odds = prior / (1 - prior) * np.prod((p1 / p0) ** (v / share), axis=1)
+        q = np.where(known, sure, odds / (1 + odds))
+    return p1, p0, 1 / share, prior, odds / (1 + odds)
+
+
+def test_label_model(spark):
+    rng = np.random.default_rng(16)
+    toxic = rng.random(300) < 0.2
+    votes = np.array([[float(rng.random() < (0.6 if y else 0.05)) for _ in range(4)] for y in toxic])
+    votes[:, 3] = votes[:, 2]  # two voters that repeat one another
+    labels = np.where(rng.random(300) < 0.4, toxic.astype(float), np.nan)
+    counts = Counter((tuple(np.flatnonzero(v).tolist()), None if np.isnan(y) else int(y)) for v, y in zip(votes, labels, strict=True))
+    patterns = spark.createDataFrame([(list(v), y, n) for (v, y), n in counts.items()], "votes array<int>, toxic int, n long").repartition(3)
+    got = toxicity.label_model(patterns, 4, rounds=5)
+    p1, p0, share, prior, posterior = brute_label_model(votes, labels, 5)
+    for a, b in ((got.p1, p1), (got.p0, p0), (got.share, share), (got.prior, prior)):
+        assert np.allclose(a, b, atol=1e-9)
+    assert np.allclose(got.posterior(np.array([[*v, float(not v.any())] for v in votes])), posterior, atol=1e-9)
+    assert share[2] < 0.6 and toxicity.label_model(patterns.where("toxic is null"), 4) is None
+
+
+def test_linear_classifier():
+    """At the result no weight can be moved to a smaller penalised loss."""
+    rng = np.random.default_rng(17)
+    x, y = (rng.random((200, 5)) < 0.3).astype(np.float32), rng.random(200)
+    w, b = toxicity.linear_classifier(x, y)
+
+    def loss(w, b):
+        z = x @ w + b
+        return np.sum(np.log1p(np.exp(z)) - y * z) + 0.25 * (w**2).sum() + 0.5e-3 * b**2
+
+    for step in (1e-2, -1e-2):
+        assert all(loss(w + step * np.eye(5)[k], b) > loss(w, b) for k in range(5)) and loss(w, b + step) > loss(w, b)
 
 
 # --- context tree

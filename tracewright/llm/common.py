@@ -11,9 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import cut, shared_dir
-
-__all__ = ["cut", "shared_dir"]  # used by the other modules as well
+from ..storage import cut, shared_dir  # noqa: F401  the other modules take cut from here
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: bytes.split() with no argument splits on exactly the bytes 20 and 09 to 0D.

@@ -13,7 +13,7 @@ from .common import fold, read
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels"), max_labelled=4000, max_unlabelled=1000))
+    scored, _ = toxicity.learn_and_score(docs, read(spark, sf_dir, "labels"), max_labelled=4000)
     return scored.select(
         "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
     )
@@ -58,7 +58,8 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_mincut.extract(read(spark, sf_dir, "pages"))
+    pages = read(spark, sf_dir, "pages")
+    return html_mincut.extract(pages, html_mincut.fit(pages, max_pages=2000))
 
 
 def op10_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:

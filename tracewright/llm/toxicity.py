@@ -1,11 +1,13 @@
 """Toxicity scores by weak supervision.
 
-Lexicon voters (whole words) and pattern voters (beginnings and endings of words)
-are mined from a bounded sample of labelled rows.  A generative label model then
-estimates, on that sample and on unlabelled rows, how often each voter speaks in
+Lexicon voters (whole words) and pattern voters (beginnings and endings of words) are
+mined by one task from a bounded sample of labelled rows.  A scan notes which of them
+occur in each text.  A generative label model then estimates, from the counts of all
+patterns of votes in the training rows, labelled or not, how often each voter speaks in
 toxic and in clean texts, and how far voters agree beyond what the class explains;
-voters that repeat one another share one vote.  Its posteriors are the labels on
-which a sparse linear classifier is trained, and that classifier scores all texts.
+voters that repeat one another share one vote.  Its posteriors are the labels on which
+a sparse linear classifier is trained, over a bounded sample of labelled rows, and that
+classifier scores all texts.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import bounded_sample, cut, fold, in_a_task, list_column, staged
 
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’„…–—¿¡·•"
 
@@ -57,37 +59,22 @@ class Features(dict):
         return np.fromiter(found, np.int64, len(found))
 
 
-def presence(texts: list[str | None], *weights: np.ndarray) -> list[np.ndarray]:
-    """For each weighting of the rows, the weight of the rows that have each feature."""
-    features, sums = Features(), [np.zeros(1 << FEATURE_BITS, np.float32) for _ in weights]
-    for i, text in enumerate(texts):
-        ids = features.of(text)
-        for total, w in zip(sums, weights, strict=True):
-            if w[i]:
-                total[ids] += w[i]
-    return sums
-
-
-def matrix(texts: list[str | None], chosen: np.ndarray) -> np.ndarray:
-    """Which row has which of the chosen features, as 0 and 1."""
-    features, place = Features(), np.full(1 << FEATURE_BITS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    out = np.zeros((len(texts), len(chosen)), np.float32)
-    for i, text in enumerate(texts):
-        at = place[features.of(text)]
-        out[i, at[at >= 0]] = 1
-    return out
+def presence(texts: list[str | None], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many toxic and how many clean texts have each feature."""
+    features, sums = Features(), [np.zeros(1 << FEATURE_BITS, np.int32) for _ in range(2)]
+    for text, y in zip(texts, toxic, strict=True):
+        sums[int(not y)][features.of(text)] += 1
+    return sums[0], sums[1]
 
 
-def telling(texts: list[str | None], toxic: np.ndarray, clean: np.ndarray, most: int, precision: float = 0.8) -> np.ndarray:
+def telling(in1: np.ndarray, in0: np.ndarray, n1: float, n0: float, most: int, precision: float = 0.8) -> np.ndarray:
     """The features whose share of toxic texts is surely above that of all texts.
 
-    ``toxic`` and ``clean`` weigh the rows.  By Chernoff's bound, fewer than one in two
-    runs would pick a feature by chance among all that are tested; best come first."""
-    every = presence(texts, toxic, clean)
-    tested = np.flatnonzero(every[0] + every[1])
-    in1, in0 = (x[tested].astype(np.float64) for x in every)
-    n1, n0 = max(1e-9, toxic.sum()), max(1e-9, clean.sum())
+    ``in1`` and ``in0`` weigh the toxic and clean texts that have a feature, ``n1`` and
+    ``n0`` all of them.  By Chernoff's bound, fewer than one in two runs would pick a
+    feature by chance among all that are tested; best come first."""
+    tested = np.flatnonzero(in1 + in0)
+    in1, in0 = in1[tested].astype(np.float64), in0[tested].astype(np.float64)
     base, n = n1 / (n1 + n0), in1 + in0
     share = np.clip(in1 / n, 1e-12, 1 - 1e-12)
     excess = n * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / max(1e-12, 1 - base)))
@@ -96,34 +83,103 @@ def telling(texts: list[str | None], toxic: np.ndarray, clean: np.ndarray, most:
     return tested[best[excess[best] > np.log(2.0 * max(1, len(tested)))]]
 
 
-def label_model(votes: np.ndarray, toxic: np.ndarray, labelled: np.ndarray, rounds: int = 12) -> np.ndarray:
-    """Posterior probability of toxicity of each row, by expectation maximisation.
-
-    A voter speaks or is silent; that all are silent is a vote as well.  ``share`` is
-    a voter's part of a vote: one over one plus its correlations with other voters,
-    taken within the classes."""
-    silent = votes.sum(1, keepdims=True) == 0
-    dense = np.concatenate([votes, silent.astype(np.float32)], axis=1)
-    known = np.where(toxic, 0.98, 0.02)
-    prior = float(np.clip(toxic[labelled].mean() if labelled.any() else 0.1, 0.01, 0.5))
-    q = np.where(labelled, known, prior)
-    start = labelled.astype(np.float32)
-    for i in range(rounds):
-        w1, w0 = (q * start, (1 - q) * start) if i == 0 else (q, 1 - q)
-        p1 = (w1 @ dense + 0.5) / (w1.sum() + 1)
-        p0 = (w0 @ dense + 0.5) / (w0.sum() + 1)
-        residual = dense - (q[:, None] * p1 + (1 - q[:, None]) * p0)
-        cov = residual.T @ residual / len(dense)
-        scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        agree = np.clip(cov / scale[:, None] / scale[None, :], 0, 1)
-        np.fill_diagonal(agree, 0)
-        agree[agree < 0.7] = 0
-        share = 1 / (1 + agree.sum(1))
-        z = np.log(prior / (1 - prior)) + dense @ (share * np.log(p1 / p0))
-        posterior = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        q = np.where(labelled, known, posterior)
-        prior = float(np.clip(q.mean(), 0.01, 0.5))
-    return posterior
+def _dense(has: pa.ListArray, width: int) -> np.ndarray:
+    """Lists of positions as rows of 0 and 1; a last column tells the empty rows."""
+    sizes = np.diff(has.offsets.to_numpy())
+    flat = has.flatten().to_numpy()
+    row, ok = np.repeat(np.arange(len(has)), sizes), flat < width
+    out = np.zeros((len(has), width + 1), np.float64)
+    out[row[ok], flat[ok]] = 1
+    out[:, width] = out[:, :width].sum(1) == 0
+    return out
+
+
+@dataclass
+class LabelModel:
+    """A voter speaks or is silent; that all are silent is a vote as well.  ``share`` is a
+    voter's part of a vote: one over one plus its correlations with other voters, taken
+    within the classes."""
+
+    p1: np.ndarray
+    p0: np.ndarray
+    share: np.ndarray
+    prior: float
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        z = np.log(self.prior / (1 - self.prior)) + votes @ (self.share * np.log(self.p1 / self.p0))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+TRUST = 0.98  # in a label
+CORRELATED = 0.7
+
+
+def _step(found: LabelModel | None, prior: float, votes: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Sums over rows of votes that count ``n`` times; ``toxic`` is NaN without a label."""
+    known = ~np.isnan(toxic)
+    q = np.where(known, np.where(toxic == 1, TRUST, 1 - TRUST), found.posterior(votes) if found else prior)
+    w1, w0, first = n * q, n * (1 - q), known if not found else np.ones(len(n))
+    parts = [np.array([(w1 * first).sum(), (w0 * first).sum(), w1.sum(), n.sum(), (w1 * q).sum(), (w1 * (1 - q)).sum(), (w0 * (1 - q)).sum()])]
+    return [*parts, (w1 * first) @ votes, (w0 * first) @ votes, w1 @ votes, w0 @ votes]
+
+
+def _updated(sums: list[np.ndarray], both: np.ndarray) -> LabelModel:
+    """The next model; ``both`` counts the rows in which two voters speak."""
+    (f1, f0, t1, n, qq, qr, rr), s1, s0, a1, a0 = sums
+    p1, p0 = (s1 + 0.5) / (f1 + 1), (s0 + 0.5) / (f0 + 1)
+    cross = np.outer(a1, p1) + np.outer(a0, p0)
+    mean = qq * np.outer(p1, p1) + qr * (np.outer(p1, p0) + np.outer(p0, p1)) + rr * np.outer(p0, p0)
+    cov = (both - cross - cross.T + mean) / n
+    scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+    agree = np.clip(cov / scale[:, None] / scale[None, :], 0, 1)
+    np.fill_diagonal(agree, 0)
+    agree[agree < CORRELATED] = 0
+    return LabelModel(p1, p0, 1 / (1 + agree.sum(1)), float(np.clip(t1 / n, 0.01, 0.5)))
+
+
+def label_model(patterns: DataFrame, width: int, rounds: int = 12) -> LabelModel | None:
+    """Expectation maximisation over ``patterns(votes, toxic, n)``: how many rows have
+    these votes and this label or none.  The first round learns from labelled rows only.
+
+    A round is one pass in which every task adds up what its patterns say; the driver
+    gets sums over voters, never rows."""
+    patterns = patterns.coalesce(64)
+
+    def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        toxic = batch.column("toxic").cast(pa.float64()).to_numpy(zero_copy_only=False)
+        return _dense(batch.column("votes"), width), toxic, batch.column("n").to_numpy().astype(np.float64)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = np.zeros((width + 1, width + 1))
+        for batch in batches:
+            votes, _, n = columns(batch)
+            both += votes.T @ (votes * n[:, None])
+        i, j = np.nonzero(both)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(both[i, j])], names=["i", "j", "n"])
+
+    def total(found: LabelModel | None, prior: float) -> list[np.ndarray] | None:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = None
+            for batch in batches:
+                if len(batch):
+                    step = _step(found, prior, *columns(batch))
+                    sums = step if sums is None else [a + b for a, b in zip(sums, step, strict=True)]
+            if sums is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(sums).tobytes()])], names=["sums"])
+
+        parts = [np.frombuffer(r.sums) for r in patterns.mapInArrow(run, "sums binary").collect()]
+        return np.split(np.sum(parts, axis=0), 7 + (width + 1) * np.arange(4)) if parts else None
+
+    counts = patterns.mapInArrow(pairs, "i long, j long, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()
+    both = np.zeros((width + 1, width + 1))
+    both[counts.column("i").to_numpy(), counts.column("j").to_numpy()] = counts.column("n").to_numpy()
+    seen = patterns.where("toxic is not null").agg(F.sum("n").alias("n"), F.sum(F.col("toxic") * F.col("n")).alias("toxic")).first()
+    if not seen.n or not seen.toxic:
+        return None
+    found, prior = None, float(np.clip(seen.toxic / seen.n, 0.01, 0.5))
+    for _ in range(rounds):
+        found = _updated(total(found, prior), both)
+    return found
 
 
 def linear_classifier(present: np.ndarray, target: np.ndarray, ridge: float = 0.5, rounds: int = 15) -> tuple[np.ndarray, float]:
@@ -148,66 +204,102 @@ def linear_classifier(present: np.ndarray, target: np.ndarray, ridge: float = 0.
 
 @dataclass
 class Model:
-    weights: dict[int, float]  # by hashed feature
+    pool: np.ndarray  # hashed features, those that vote first
+    weights: np.ndarray
     bias: float
 
 
-def train(texts: list[str | None], toxic: list[int | None], most_voters: int = 400, most_features: int = 600) -> Model:
-    labelled = np.array([y is not None and y == y for y in toxic], bool)
-    truth = np.array([bool(y) if ok else False for y, ok in zip(toxic, labelled, strict=True)], bool)
-    if not labelled.any() or not (truth & labelled).any():
-        return Model({}, -4.0)
-    voters = telling(texts, 1.0 * (labelled & truth), 1.0 * (labelled & ~truth), most_voters)
-    posterior = label_model(matrix(texts, voters), truth, labelled)
-    kept = telling(texts, posterior, 1 - posterior, most_features)
-    w, b = linear_classifier(matrix(texts, kept), posterior)
-    return Model(dict(zip(kept.tolist(), w.tolist(), strict=True)), b)
+NO_MODEL = Model(np.zeros(0, np.int64), np.zeros(0), -4.0)
+
 
+def mine(docs: DataFrame, truth: DataFrame, max_labelled: int, most: int = 1000) -> np.ndarray:
+    """The telling features of a sample of ``docs(doc_id, text)`` that ``truth`` labels."""
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, max_unlabelled: int = 1000, folds: int = 5, **options) -> Model:
-    """Learn from labelled rows outside fold 0, and from texts of unlabelled rows there.
+    def found(sample: pa.Table) -> np.ndarray:
+        toxic = sample.column("toxic").to_numpy() == 1
+        if not toxic.any():
+            return NO_MODEL.pool
+        return telling(*presence(sample.column("text").to_pylist(), toxic), toxic.sum(), (~toxic).sum(), most)
 
-    ``max_labelled`` and ``max_unlabelled`` bound the samples, which are drawn by a
-    hash of the id.  A document with several labels counts as toxic if one says so."""
-    truth = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), folds) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    n_labelled, n_docs = truth.count(), docs.where(fold(F.col("doc_id"), folds) != 0).count()
-    cut_at = [int(min(1.0, most / max(1, n)) * (1 << 20)) for most, n in ((max_labelled, n_labelled), (max_unlabelled, n_docs))]
-    near = docs.where((fold(F.col("doc_id"), folds) != 0) & (pick < max(cut_at))).select("doc_id", "text")
-    rows = near.join(truth.where(pick < cut_at[0]), "doc_id", "left").where(F.col("toxic").isNotNull() | (pick < cut_at[1]))
-    sample = rows.toPandas().sort_values(["doc_id", "text"], na_position="last")
-    return train(sample.text.tolist(), [None if y != y or y is None else int(y) for y in sample.toxic], **options)
+    pool = in_a_task(bounded_sample(docs.join(truth, "doc_id"), truth.count(), max_labelled, "doc_id", "text"), found)
+    return NO_MODEL.pool if pool is None else pool
 
 
-class _WordWeights(Features):
-    """Words to those of their features that the model weighs."""
+class _Chosen(Features):
+    """Words to the places of their features in a pool."""
 
-    def __init__(self, model: Model, limit: int = 1 << 17):
+    def __init__(self, pool: np.ndarray, limit: int = 1 << 17):
         super().__init__(limit)
-        self.model = model
+        self.place = {f: i for i, f in enumerate(pool.tolist())}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         found = super().__missing__(word)
-        self[word] = tuple(f for f in found if f in self.model.weights)
+        self[word] = tuple(self.place[f] for f in found if f in self.place)
         return self[word]
 
-    def score(self, text: str | None) -> float:
-        present = {f for w in words_of(text) for f in self[w]}
-        z = self.model.bias + sum(self.model.weights[f] for f in sorted(present))
-        return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
 
+def found_features(docs: DataFrame, pool: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, has`` for every row: which features of the pool its whole text has."""
+    shared = docs.sparkSession.sparkContext.broadcast(pool)
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score`` for every row, from its whole text alone.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _Chosen(shared.value)
+        for batch in batches:
+            has = [np.sort(table.of(t)).astype(np.int32) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), list_column(has, pa.int32())], names=["doc_id", "has"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, has array<int>")
+
+
+def fit(features: DataFrame, truth: DataFrame, pool: np.ndarray, max_labelled: int, most_voters: int = 400, most_features: int = 600) -> Model:
+    """The classifier, from ``features(doc_id, has)`` of all training rows.
+
+    The first ``most_voters`` of the pool vote.  ``max_labelled`` bounds the rows on
+    whose posteriors the classifier is trained."""
+    width = min(most_voters, len(pool))
+    labelled = features.join(truth, "doc_id", "left")
+    votes = F.filter("has", lambda x: x < width)
+    found = label_model(staged(labelled.groupBy(votes.alias("votes"), "toxic").agg(F.count("*").alias("n"))), width) if width else None
+    if found is None:
+        return NO_MODEL
+    rows = bounded_sample(features.join(truth, "doc_id"), truth.count(), max_labelled, "doc_id", "has").select("has").toArrow()
+    has = rows.column("has").combine_chunks()
+    posterior = found.posterior(_dense(has, width))
+    present = _dense(has, len(pool))[:, :-1].astype(np.float32)
+    kept = telling(posterior @ present, (1 - posterior) @ present, posterior.sum(), (1 - posterior).sum(), most_features)
+    weights = np.zeros(len(pool))
+    weights[kept], bias = linear_classifier(present[:, kept], posterior)
+    return Model(pool, weights, bias)
 
-    Null and empty texts get the score of a text without any feature.  Without
-    labelled toxic rows to learn from, all scores are low."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+def score_features(features: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, score`` for every row of ``features(doc_id, has)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _WordWeights(shared.value)
         for batch in batches:
-            scores = [table.score(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            z = model.bias + _dense(batch.column("has"), len(model.pool))[:, :-1] @ model.weights
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
+
+    return features.mapInArrow(run, "doc_id long, score double")
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, score`` for every row, from its whole text alone."""
+    return score_features(found_features(docs, model.pool, id_col, text_col), model)
+
+
+def learn_and_score(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, folds: int = 5) -> tuple[DataFrame, Model]:
+    """``doc_id, score`` for every row of ``docs``, and the model, which learns from the
+    rows outside fold 0: words and classifier from at most ``max_labelled`` labelled rows
+    (drawn by a hash of id and text), the label model from all rows.
+
+    Null and empty texts get the score of a text without any feature.  A document with
+    several labels counts as toxic if one says so; rows that repeat an id share its
+    label.  Without labelled toxic rows to learn from, all scores are low."""
+    docs = docs.select("doc_id", "text")
+    outside = fold(F.col("doc_id"), folds) != 0
+    truth = cut(labels.where(F.col("toxic").isNotNull() & outside).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
+    pool = mine(docs.where(outside), truth, max_labelled)
+    features = staged(found_features(docs, pool))
+    model = fit(features.where(outside), truth, pool, max_labelled)
+    return score_features(features, model), model
