@@ -25,6 +25,8 @@ LONG = "This is a sentence of the article with enough words in it to look like r
         (f"<article><p>{LONG}</p><ul><li>one<li>two</ul><p hidden>no</p></article>", f"{LONG}\n\none\n\ntwo"),
         (f"<article><p>{LONG}</p><table><tr><td>a<td>b</table></article><p>after", f"{LONG}\n\na\n\nb"),
         ("<article><p>1 < 2 and 3 > 2</p></article>", "1 < 2 and 3 > 2"),
+        (f"<article><div class='search results'><p>{LONG}</p></div></article>", LONG), (f"<div class='post follow-up'><p>{LONG}</p></div>", LONG),
+        (f"<article><p title=\"a > b\">{LONG}</p><p class=it's>{LONG}</p></article>", f"{LONG}\n\n{LONG}"),
     ],
 )
 def test_main_text(page, text):
@@ -54,3 +56,40 @@ def test_names_tell_parts_apart():
     body = f'<article class="post"><div class="entry-header"><h2>T</h2></div><div class="body-text"><p>{LONG}</p></div><div class="comments">{LONG}</div></article>'
     assert H.main_text(noise + body + '<div role="contentinfo">c</div>') == f"T\n\n{LONG}"
     assert H.main_text(noise + f"<div><h1>T</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>") == f"T\n\n{LONG}\n\nShort.\n\n{LONG}"
+
+
+def test_whole_pages_equal_brute_force():
+    """The text is that of the labelling of least cost, whatever the page and the weights."""
+    rng = np.random.default_rng(8)
+    parts = [f"<p>{LONG}</p>", "<p>Short</p>", "<p><a href=x>link</a></p>", "<h2>Title</h2>", "<div class=ad>Buy now.</div>", "<ul><li><a>one</a><li>two</ul>", "<div><div><p>deep, and a bit longer</p></div></div>"]
+    changed = 0
+    for n in range(80):
+        inner = "".join(parts[i] for i in rng.integers(0, len(parts), int(rng.integers(1, 6))))
+        page = f"<nav><a>Home</a></nav><article>{inner}</article><p>after</p>" if n % 2 else inner
+        weights = H.PRIOR * rng.uniform(0.2, 1.2, len(H.PRIOR))
+        blocks = H.blocks_of(page)
+        scores, edges = H.features(blocks) @ weights, H.smoothness(blocks)
+        cost = lambda keep: sum(max(-x, 0) if k else max(x, 0) for x, k in zip(scores, keep)) + sum(c for a, b, c in edges if keep[a] != keep[b])  # noqa: B023, E731
+        keep = H.kept(blocks, weights)
+        assert cost(keep) == pytest.approx(min(map(cost, product([False, True], repeat=len(blocks)))))
+        assert H.main_text(page, weights) == "\n\n".join(b.text for b, k in zip(blocks, keep) if k)
+        changed += keep != [x > 0 for x in scores]
+    assert changed > 10
+
+
+def test_long_and_broken_pages_take_one_pass():
+    import time
+
+    for page in ("<a " * 300_000, "<i>" * 100_000 + "<p>" * 100_000, '<a "' * 200_000, "<ul>" + "<b>" * 100_000 + "<td>x" * 50_000, "<div>x" * 50_000, "<" * 500_000, "<!--" * 200_000):
+        began = time.process_time()
+        H.main_text(page)
+        assert time.process_time() - began < 5
+
+
+def test_fit(spark):
+    page = lambda i: f"<nav><a>Home</a></nav><div>Buy this {i}</div><article><p>{LONG}</p><p>Short</p></article>"
+    pages = spark.createDataFrame([(i, "u", page(i)) for i in range(40)] + [(99, "u", None)], "page_id long, url string, html string")
+    weights = H.fit(pages)
+    assert weights.shape == H.PRIOR.shape and not np.allclose(weights, H.PRIOR)
+    assert {r.text for r in H.extract(pages, weights).collect()} == {f"{LONG}\n\nShort", ""}
+    assert (H.fit(pages.where("html is null")) == H.PRIOR).all()

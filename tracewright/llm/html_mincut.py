@@ -1,8 +1,8 @@
 """Main-text extraction from HTML by minimum cut.
 
-A page becomes a row of blocks with simple properties.  A linear classifier turns
-them into the cost of calling a block content or boilerplate; these costs are the
-capacities to the terminals.  Neighbouring blocks are joined by smoothness edges,
+A page becomes a row of blocks with simple properties.  A linear classifier, learned
+from the marks that pages bear themselves, turns them into the cost of calling a block
+content or boilerplate; these costs are the capacities to the terminals.  Neighbouring blocks are joined by smoothness edges,
 and so are blocks that stand in the same container, the stronger the nearer their
 common ancestor.  A maximum flow separates content from boilerplate at least cost.
 """
@@ -12,14 +12,15 @@ from __future__ import annotations
 import html
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, bounded_sample, in_a_task
 
 #: Tags by the HTML standard.  Text inside these is never shown as text.
 HIDDEN = frozenset("script style noscript template head iframe object svg math select option button textarea form dialog canvas audio video".split())
@@ -34,28 +35,39 @@ ARTICLE = frozenset("article main".split())
 #: Tags that an opening tag of the key closes, up to the nearest container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table body article main section div nav aside footer header blockquote td th".split())
-#: Parts of class and id names, as words, that tell boilerplate and content.
-BAD_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookie\w*|consent|gdpr|notices?|popup|modal|overlay|menus?|\w*nav|navbar|navigation|breadcrumbs?|"
-    r"\w*sidebar|side|widgets?|\w*footer|foot|contentinfo|complementary|masthead|topbar|toolbar|share|sharing|social|follow|related|recommend\w*|more-?links?|"
-    r"read-?more|newsletter|subscribe|signup|login|comments?|commentlist|disqus|replies|respond|reviews?|pagination|pager|copyright|legal|disclaimer|search|"
-    r"skip)(?:$|[\s_-])"
+#: Names in class, id and role that tell boilerplate, as whole names or as their parts
+#: before or after a hyphen or underscore (ad-slot, site_footer, main-nav).
+BAD = frozenset(
+    "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices popup modal overlay "
+    "menu menus nav navbar navigation subnav topnav breadcrumb breadcrumbs sidebar widget widgets footer contentinfo complementary masthead topbar toolbar "
+    "newsletter comment comments commentlist disqus replies pagination pager copyright disclaimer".split()
 )
+#: These tell boilerplate only as whole names; they are common words inside others.
+BAD_ALONE = frozenset("share sharing social related recommended recommendations subscribe signup login respond skip skip-link follow follow-us read-more more-links search-form searchbox legal side foot".split())
 #: Names of a site's header, outside articles.
-HEADER_NAMES = re.compile(r"(?:^|\s)(?:(?:site|page|top|main|global|web)[_-]?)?header(?:$|\s)")
-GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|content|entry|main|post|story|prose)(?:$|[\s_-])")
+HEADER = frozenset("header site-header page-header top-header main-header global-header web-header".split())
+GOOD = frozenset("article articles article-body article-content content main main-content entry entry-content post post-content post-body story prose".split())
+_PARTS = re.compile(r"[-_]")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+
+def _bad(name: str) -> bool:
+    return name in BAD or name in BAD_ALONE or any(x in BAD for x in _PARTS.split(name)) and not name.endswith(("-content", "-body", "-text"))
+
+
+#: A tag's attributes: quotes hold only after an equals sign.  Possessive, so it is read once.
+_ATTRIBUTES = re.compile(r"(?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+|=)*+>")
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDE = re.compile(r"(?:^|\s)hidden(?:$|[\s=])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _SPACE = re.compile(r"\s+")
 _ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[int, ...]  # containers from the root down
+    holder: _Node  # the innermost container
     linked: int  # characters inside links
     boiler: bool  # below a tag or name that marks boilerplate
     article: bool  # below a tag or name that marks content
@@ -63,70 +75,104 @@ class Block:
 
 
 class _Node:
-    __slots__ = ("tag", "number", "boiler", "article", "hidden")
+    __slots__ = ("tag", "up", "depth", "boiler", "article", "hidden", "heading")
+
+    def __init__(self, tag: str, up: _Node | None, boiler: bool, article: bool, hidden: bool, heading: bool):
+        self.tag, self.up, self.depth = tag, up, up.depth + 1 if up else 0  # up: the next container outside
+        self.boiler, self.article, self.hidden, self.heading = boiler, article, hidden, heading
+
+
+class _Open:
+    """The open elements, with where each tag, and the last that bounds a search, stands."""
+
+    def __init__(self):
+        self.stack, self.where, self.scopes, self.links = [_Node("", None, False, False, False, False)], {}, [-1], 0
 
-    def __init__(self, tag: str, number: int, boiler: bool, article: bool, hidden: bool):
-        self.tag, self.number, self.boiler, self.article, self.hidden = tag, number, boiler, article, hidden
+    def push(self, node: _Node) -> None:
+        self.where.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.links += node.tag == "a"
+        self.stack.append(node)
+
+    def pop_to(self, at: int) -> None:
+        while len(self.stack) > at:
+            node = self.stack.pop()
+            self.where[node.tag].pop()
+            if self.scopes[-1] == len(self.stack):
+                self.scopes.pop()
+            self.links -= node.tag == "a"
+
+    def last(self, tags: Iterable[str]) -> int:
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=-1)
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks of visible text, in order.
+    """The page's blocks of visible text, in order, in one pass over the page.
 
     A block ends where a block-level element begins or ends; ``br`` is white space
     inside it.  Unclosed elements end with the element that holds them; an unclosed
-    comment reaches to the end."""
-    stack, found, text, linked, links, number, at = [_Node("", 0, False, False, False)], [], [], 0, 0, 0, 0
+    comment or tag reaches to the end."""
+    open_, found, text, linked, at = _Open(), [], [], 0, 0
 
     def close() -> None:
         nonlocal linked
         joined = _SPACE.sub(" ", "".join(text)).strip()
         if joined:
-            top = stack[-1]
-            path = tuple(n.number for n in stack if n.tag in BLOCK or not n.tag)
-            found.append(Block(joined, path, linked, top.boiler, top.article, any(n.tag in _HEADINGS for n in stack)))
+            top = open_.stack[-1]
+            found.append(Block(joined, top if top.tag in BLOCK or top.up is None else top.up, linked, top.boiler, top.article, top.heading))
         text.clear()
         linked = 0
 
     def shown(raw: str) -> None:
         nonlocal linked
-        if raw and not stack[-1].hidden:
+        if raw and not open_.stack[-1].hidden:
             decoded = html.unescape(raw) if "&" in raw else raw
             text.append(decoded)
-            if links:
+            if open_.links:
                 linked += len(decoded.strip())
 
-    while m := _TOKEN.search(page, at):
-        shown(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    while at < len(page):
+        start = page.find("<", at)
+        if start < 0:
+            shown(page[at:])
+            break
+        shown(page[at:start])
+        name = _NAME.match(page, start + 1)
+        if name is None:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = end + 3 if end >= 0 else len(page)
+            elif page.startswith(("<!", "<?"), start):
+                end = page.find(">", start)
+                at = end + 1 if end >= 0 else len(page)
+            else:
+                shown("<")
+                at = start + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if any(n.tag == tag for n in stack):
+        rest = _ATTRIBUTES.match(page, name.end())
+        if rest is None:  # a quote or the tag itself isn't closed
+            end = page.find(">", name.end())
+            if end < 0:
+                break
+            given, at = page[name.end() : end], end + 1
+        else:
+            given, at = page[name.end() : rest.end() - 1], rest.end()
+        tag = name[2].lower()
+        if name[1]:
+            if open_.where.get(tag):
                 if tag in BLOCK:
                     close()
-                while stack[-1].tag != tag:
-                    links -= stack.pop().tag == "a"
-                links -= stack.pop().tag == "a"
+                open_.pop_to(open_.where[tag][-1])
             elif tag == "p":
                 close()
             continue
         if tag in BLOCK:
             close()
-            if any(n.tag == "p" for n in stack) and tag not in ("html", "body"):  # a block ends an open paragraph
-                i = max(i for i, n in enumerate(stack) if n.tag == "p")
-                if not any(n.tag in SCOPE for n in stack[i:]):
-                    for n in stack[i:]:
-                        links -= n.tag == "a"
-                    del stack[i:]
-            if ends := CLOSES.get(tag):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in ends:
-                        links -= sum(n.tag == "a" for n in stack[i:])
-                        del stack[i:]
-                        break
-                    if stack[i].tag in SCOPE:
-                        break
+            if tag not in ("html", "body") and open_.last(("p",)) > open_.scopes[-1]:  # a block ends an open paragraph
+                open_.pop_to(open_.last(("p",)))
+            if (ends := CLOSES.get(tag)) and (last := open_.last(ends)) >= max(0, open_.scopes[-1]):
+                open_.pop_to(last)
         elif tag == "br":
             text.append(" ")
         if tag in VOID:
@@ -135,39 +181,97 @@ def blocks_of(page: str) -> list[Block]:
             end = _ENDS[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
-        top, names = stack[-1], ""
-        if m[3]:
-            names = " ".join(x[0] or x[1] or x[2] for x in _NAMES.findall(m[3])).lower()
-        number += 1
+        top, names = open_.stack[-1], ()
+        if given:
+            names = " ".join(x[0] or x[1] or x[2] for x in _NAMES.findall(given)).lower().split()
         outer = tag in ("html", "body")
-        within = top.article or tag in ARTICLE or bool(names and GOOD_NAMES.search(names))
+        within = top.article or tag in ARTICLE or any(x in GOOD for x in names)
         # a header inside an article holds its title; elsewhere it is the site's
         boiler = top.boiler or (tag in BOILER and not (tag == "header" and top.article))
         if names and not boiler and not outer and tag not in ARTICLE:
-            boiler = bool(BAD_NAMES.search(names) or (not top.article and HEADER_NAMES.search(names)))
-        hidden = top.hidden or tag in HIDDEN or bool(m[3] and not outer and _HIDE.search(m[3]))
-        stack.append(_Node(tag, number, boiler, within, hidden))
-        links += tag == "a"
-    rest = page[at:]
-    shown(rest[: rest.rfind("<")] if re.search(r"<[a-zA-Z/!][^>]*$", rest) else rest)
+            boiler = any(_bad(x) or (not top.article and x in HEADER) for x in names)
+        hidden = top.hidden or tag in HIDDEN or bool(given and not outer and _HIDE.search(given))
+        up = top if top.tag in BLOCK or top.up is None else top.up
+        open_.push(_Node(tag, up, boiler, within, hidden, top.heading or tag in _HEADINGS))
     close()
     return found
 
 
-_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-
-#: Weights of the classifier: positive speaks for content.
-WEIGHTS = {"bias": -0.4, "words": 0.9, "stops": 0.5, "linked": -3.0, "boiler": -30.0, "article": 6.0, "heading": 0.6, "rest": -3.0}
+#: What the features of a block weigh before any page is seen: positive speaks for content.
+FEATURES = {"bias": -0.4, "words": 0.9, "stops": 0.5, "linked": -3.0, "heading": 0.6, "boiler": -10.0, "article": 3.0, "rest": -6.0}
+MARKED = ("boiler", "article", "rest")  # those that come from tags and names
+PRIOR = np.array(list(FEATURES.values()))
 NEXT, SAME, STEP = 0.6, 0.5, 0.5  # smoothness: neighbours, blocks of one container, per level between
+FAR = 16  # levels that are climbed in search of a common container
 
 
-def content_score(block: Block, page_has_article: bool) -> float:
-    n = block.text.count(" ") + 1
-    w = WEIGHTS
-    score = w["bias"] + w["words"] * min(n, 40) / 10 + w["linked"] * min(1.0, block.linked / max(1, len(block.text)))
-    score += w["stops"] * (block.text[-1] in ".!?:;。…\"'”»)")
-    score += w["boiler"] * block.boiler + w["article"] * block.article + w["heading"] * block.heading
-    return score + w["rest"] * (page_has_article and not block.article) * 4
+def features(blocks: list[Block]) -> np.ndarray:
+    """A row for each block, in the order of FEATURES."""
+    has_article = any(b.article and not b.boiler for b in blocks)
+    return np.array(
+        [
+            (
+                1.0, min(b.text.count(" ") + 1, 40) / 10, b.text[-1] in ".!?:;。…\"'”»)", min(1.0, b.linked / max(1, len(b.text))),
+                b.heading, b.boiler, b.article, has_article and not b.article,
+            )
+            for b in blocks
+        ],
+        np.float64,
+    ).reshape(-1, len(FEATURES))
+
+
+def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
+    """Edges between neighbours, the stronger the nearer their common container, and between
+    blocks that follow one another in one container."""
+    edges, last = [], {}
+    for i, b in enumerate(blocks):
+        if i:
+            x, y, steps = b.holder, blocks[i - 1].holder, 0
+            while x is not y and steps < 2 * FAR:
+                if x.depth >= y.depth and x.up is not None:
+                    x = x.up
+                elif y.up is not None:
+                    y = y.up
+                else:
+                    break
+                steps += 1
+            edges.append((i - 1, i, NEXT / (1 + STEP * steps)))
+        around = id(b.holder.up or b.holder)
+        if around in last and last[around] != i - 1:
+            edges.append((last[around], i, SAME))
+        last[around] = i
+    return edges
+
+
+def fit(pages: DataFrame, max_pages: int = 2000, id_col: str = "page_id", html_col: str = "html", trust: float = 20.0, rounds: int = 20) -> np.ndarray:
+    """Weights of the classifier, by logistic regression around PRIOR.
+
+    Pages teach by their own marks: where a page has an article, its blocks are content,
+    other blocks and those that tags or names mark are boilerplate.  Each block counts
+    twice, once without its marks, so that text and links are learned as well and marks
+    aren't all.  One task learns from at most ``max_pages`` pages, drawn by a hash of id and
+    page; ``trust`` is how many blocks the prior is worth.  PRIOR for no such page."""
+    marked = np.array([name in MARKED for name in FEATURES])
+
+    def learned(sample: pa.Table) -> np.ndarray:
+        parts = [np.zeros((0, len(FEATURES)))]
+        for page in sample.column("html").to_pylist():
+            x = features(blocks_of(page or ""))
+            if len(x) and (x[:, -2] * (1 - x[:, -3])).any():
+                parts.append(x)
+        x = np.concatenate(parts)
+        y = x[:, -2] * (1 - x[:, -3])
+        x, y, w = np.concatenate([x, np.where(marked, 0, x)]), np.concatenate([y, y]), PRIOR.copy()
+        for _ in range(rounds if len(x) else 0):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope = x.T @ (p - y) + trust * (w - PRIOR)
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + trust * np.eye(len(w)), slope)
+            w = w - np.clip(step, -2, 2)
+        return w
+
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).where("html is not null")
+    found = in_a_task(bounded_sample(rows, rows.count(), max_pages, "page_id", "html"), learned)
+    return PRIOR if found is None else found
 
 
 def minimum_cut(n: int, source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -235,39 +339,26 @@ def minimum_cut(n: int, source: list[float], sink: list[float], edges: list[tupl
                 following[u] += 1
 
 
-def main_text(page: str) -> str:
+def kept(blocks: list[Block], weights: np.ndarray = PRIOR) -> list[bool]:
+    """Which blocks are on the content side of the cut."""
+    scores = (features(blocks) @ weights).tolist()
+    return minimum_cut(len(blocks), [max(x, 0.0) for x in scores], [max(-x, 0.0) for x in scores], smoothness(blocks))
+
+
+def main_text(page: str, weights: np.ndarray = PRIOR) -> str:
     """The blocks on the content side of the cut, joined by two line feeds."""
     blocks = blocks_of(page)
-    if not blocks:
-        return ""
-    has_article = any(b.article and not b.boiler for b in blocks)
-    scores = [content_score(b, has_article) for b in blocks]
-    edges, last = [], {}
-    for i, b in enumerate(blocks):
-        if i:
-            shared = 0
-            for x, y in zip(blocks[i - 1].path, b.path):
-                if x != y:
-                    break
-                shared += 1
-            steps = len(b.path) + len(blocks[i - 1].path) - 2 * shared
-            edges.append((i - 1, i, NEXT / (1 + STEP * steps)))
-        holder = b.path[-2:-1] or b.path
-        if holder in last and last[holder] != i - 1:
-            edges.append((last[holder], i, SAME))
-        last[holder] = i
-    keep = minimum_cut(len(blocks), [max(x, 0.0) for x in scores], [max(-x, 0.0) for x in scores], edges)
-    return "\n\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
+    return "\n\n".join(b.text for b, k in zip(blocks, kept(blocks, weights), strict=True) if k) if blocks else ""
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, weights: np.ndarray = PRIOR, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` for every row; null and empty pages give empty text.
 
     One page is one task's work at a time; repeated rows are extracted each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x.decode("utf-8", "replace")) for x in as_bytes(batch.column("html"))]
+            texts = [main_text(x.decode("utf-8", "replace"), weights) for x in as_bytes(batch.column("html"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
