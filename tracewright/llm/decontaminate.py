@@ -23,6 +23,7 @@ from .common import as_bytes, boxed, list_column, mix64
 FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
+MAX_BYTES = 8 << 20  # of benchmark text in one broadcast index
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -31,17 +32,30 @@ def words(text: bytes) -> list[bytes]:
 
 
 class WindowIndex:
-    """Windows of ``n`` words of the items; an item of fewer is one window of its own length."""
+    """Windows of ``n`` words of the items; an item of fewer is one window of its own length.
+
+    Of each length the distinct windows are rows of one array, in order of their hashes;
+    the items of a window are a range of another."""
 
     def __init__(self, items: list[tuple[str, bytes]], n: int):
         self.vocabulary: dict[bytes, int] = {}
-        self.windows: dict[int, dict[bytes, set[str]]] = {}
-        for item_id, text in items:
+        self.names = [item_id for item_id, _ in items]
+        held: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for at, (_, text) in enumerate(items):
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], np.int32)
             size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                self.windows.setdefault(size, {}).setdefault(ids[i : i + size].tobytes(), set()).add(item_id)
-        self.sums = {k: np.unique(self._sums(np.array([np.frombuffer(w, np.int32) for w in found]))) for k, found in self.windows.items()}
+            if size:
+                held.setdefault(size, []).append((np.lib.stride_tricks.sliding_window_view(ids, size), at))
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size, found in held.items():
+            owner = np.repeat(np.array([at for _, at in found], np.int32), [len(w) for w, _ in found])
+            rows, which = np.unique(np.concatenate([w for w, _ in found]), axis=0, return_inverse=True)
+            sums = self._sums(rows)
+            order = np.argsort(sums, kind="stable")
+            place = np.argsort(order)[which.ravel()]
+            pairs = np.unique(np.stack([place, owner], 1), axis=0)
+            starts = np.searchsorted(pairs[:, 0], np.arange(len(rows) + 1))
+            self.windows[size] = sums[order], rows[order], starts, pairs[:, 1].astype(np.int32)
 
     @staticmethod
     def _sums(rows: np.ndarray) -> np.ndarray:
@@ -56,26 +70,30 @@ class WindowIndex:
         hit, items = np.zeros(len(found), bool), set()
         ids = np.fromiter((self.vocabulary.get(w, 0) for w in found), np.int32, len(found))
         known = np.concatenate(([0], np.cumsum(ids > 0)))
-        for size, windows in self.windows.items():
+        for size, (sums, rows, starts, owners) in self.windows.items():
             if len(ids) < size:
                 continue
-            starts = np.flatnonzero(known[size:] - known[:-size] == size)
-            if not len(starts):
+            begins = np.flatnonzero(known[size:] - known[:-size] == size)
+            if not len(begins):
                 continue
-            sums, all_sums = self._sums(ids[starts[:, None] + np.arange(size)]), self.sums[size]
-            at = np.minimum(np.searchsorted(all_sums, sums), len(all_sums) - 1)
-            for i in starts[all_sums[at] == sums].tolist():
-                if owners := windows.get(ids[i : i + size].tobytes()):
-                    hit[i : i + size] = True
-                    items |= owners
+            own = ids[begins[:, None] + np.arange(size)]
+            hashes = self._sums(own)
+            low, high = np.searchsorted(sums, hashes), np.searchsorted(sums, hashes, "right")
+            for i in np.flatnonzero(low < high).tolist():  # a hash may stand for several windows
+                for at in range(low[i], high[i]):
+                    if (rows[at] == own[i]).all():
+                        hit[begins[i] : begins[i] + size] = True
+                        items.update(self.names[x] for x in owners[starts[at] : starts[at + 1]])
         return len(found), np.flatnonzero(hit), items
 
 
-def _blocks(benchmark: DataFrame, n: int, max_words: int) -> Iterator[WindowIndex]:
-    """Indexes over blocks of about ``max_words`` words each; one if all items fit."""
+def _blocks(benchmark: DataFrame, n: int, max_bytes: int) -> Iterator[WindowIndex]:
+    """Indexes over blocks of items of about ``max_bytes`` each; one if all items fit.
+
+    An index takes some 20 to 40 bytes for a byte of text at most."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text")).where("text is not null")
-    total = items.select(F.sum(F.regexp_count("text", F.lit(r"\S+")) + 1)).first()[0] or 0
-    parts = -(-int(total) // max_words) or 1
+    total = items.select(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    parts = -(-int(total) // max_bytes) or 1
     for k in range(parts):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
         yield WindowIndex([(r.item_id or "", r.text.encode()) for r in block], n)
@@ -93,7 +111,7 @@ def _over_batches(index: WindowIndex, text_col: str, make: Callable[[pa.RecordBa
 
 
 def benchmark_hits(
-    docs: DataFrame, benchmark: DataFrame, n: int = 10, max_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, n_words, hits, items`` for every row: the positions of the words that
     lie in an occurrence of a benchmark window, and the ids of the items found.
@@ -118,7 +136,7 @@ def benchmark_hits(
         return rows
 
     schema = "doc_id long, text_hash long, n_words long, hits array<int>, items array<string>, copies int"
-    for index in _blocks(benchmark, n, max_words):
+    for index in _blocks(benchmark, n, max_bytes):
         parts.append(base.mapInArrow(_over_batches(index, "text", make(not parts), spark), schema))
     if len(parts) == 1:
         return parts[0].select("doc_id", "n_words", "hits", "items", "text_hash")
@@ -133,25 +151,25 @@ def benchmark_hits(
     return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", "n_words", "hits", "items", "text_hash")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_words: int = 2_000_000, text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int = MAX_BYTES, text_col: str = "text") -> DataFrame:
     """``docs`` without the documents in which a benchmark window occurs; all columns stay.
 
     Null and empty texts stay, whatever the ids; repeated rows stay or go together; with
     an empty benchmark all stay."""
-    for index in _blocks(benchmark, n, max_words):
+    for index in _blocks(benchmark, n, max_bytes):
         clean = lambda batch, found: batch.filter(pa.array([len(x[1]) == 0 for x in found], pa.bool_()))
         docs = docs.mapInArrow(_over_batches(index, text_col, clean, docs.sparkSession), docs.schema)
     return docs
 
 
-def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the words of benchmark windows removed from their texts.
 
     From each run of hit words the text goes from the run's first byte to its last;
     what stands between other words stays.  Texts without hits are unchanged."""
     import re
 
-    hits = benchmark_hits(docs, benchmark, n, max_words, id_col, text_col).where(F.size("hits") > 0)
+    hits = benchmark_hits(docs, benchmark, n, max_bytes, id_col, text_col).where(F.size("hits") > 0)
     hits = hits.select("doc_id", "text_hash", "hits").distinct()
     word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
