@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from .common import WORD_PATTERN, boxed, cut
 
 
+SALTS = 64
+
+
 def n_words(text: Column) -> Column:
     """Words between ASCII white space; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
@@ -82,10 +85,12 @@ def mix_sources(
     )
     point = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     of = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))  # never null, so that one shuffle serves windows and joins
-    targets = targets.withColumn("of", of).drop("source")
+    # a source may hold most rows: its target stands in several places, among which its rows are dealt
+    targets = targets.withColumn("of", of).drop("source").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("key", "size"), F.lit(SALTS)).cast("int")
 
     def ranged(rows: DataFrame) -> DataFrame:
-        placed = rows.withColumns({"key": key, "of": of}).join(targets, "of")
+        placed = rows.withColumns({"key": key, "of": of}).withColumn("salt", salt).join(targets, ["of", "salt"]).drop("salt")
         return placed.withColumn("range", F.floor(point * F.col("ranges") / F.lit(2.0**32)))
 
     earlier = Window.partitionBy("of").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
