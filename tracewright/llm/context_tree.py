@@ -8,8 +8,9 @@ children, at every depth from none to ``DEPTH``.  Block probabilities depend on
 counts only, so the trees are learned from counts of byte (DEPTH+1)-grams:
 
 1. Tasks count the grams of their training texts, and note those of the others.
-2. Gram counts are dealt by their three nearest context bytes; a task computes the
-   weighted probabilities of all nodes below, and passes on those at depth three.
+2. Gram counts are dealt and sorted by their three nearest context bytes; a task takes
+   a few contexts at a time, computes the weighted probabilities of all nodes below, and
+   passes on those at depth three.
 3. The three depths above are small groupings, up for the block probabilities and
    down for the posterior weights of the depths.
 4. The tasks of step 2 then give each gram its log10 probability.
@@ -181,9 +182,24 @@ class Subtrees:
         return p
 
 
-def _all_of(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    held = [b for b in batches if len(b)]
-    return pa.Table.from_batches(held) if held else None
+def _by_context(batches: Iterator[pa.RecordBatch], least: int = 1 << 17) -> Iterator[pa.Table]:
+    """Rows that come in order of ``ctx``, in tables of about ``least`` rows; no context is in two."""
+    held, size = [], 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        start = 0
+        if size >= least:
+            start = int(np.searchsorted(batch.column("ctx").to_numpy(), held[-1].column("ctx")[-1].as_py(), "right"))
+            held.append(batch.slice(0, start))
+            if start < len(batch):
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+        if start < len(batch):
+            held.append(batch.slice(start))
+            size += len(batch) - start
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _upper_weights(nodes: DataFrame) -> DataFrame:
@@ -221,32 +237,31 @@ def learn(docs: DataFrame) -> DataFrame:
     grams = staged(gram_counts(docs).withColumn("ctx", F.shiftright("gram", 8).bitwiseAND((1 << 8 * SPLIT) - 1)))
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (found := _all_of(batches)) is not None:
+        for found in _by_context(batches):
             tree = Subtrees(found.column("gram").to_numpy(), found.column("n").to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in tree.top], names=["ctx", "node", "n0", "n1", "weighted"])
 
-    nodes = cut(grams.repartition("ctx").mapInArrow(tops, "ctx long, node long, n0 double, n1 double, weighted double"))
+    nodes = cut(grams.repartition("ctx").sortWithinPartitions("ctx").mapInArrow(tops, "ctx long, node long, n0 double, n1 double, weighted double"))
     upper = _upper_weights(nodes)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (found := _all_of(batches)) is None:
-            return
-        own = found.filter(found.column("w").is_null())
-        above = found.filter(found.column("w").is_valid())
-        gram, n = own.column("gram").to_numpy(), own.column("n").to_numpy()
-        tree = Subtrees(gram, n)
-        key = above.column("ctx").to_numpy() << 8 | above.column("gram").to_numpy()
-        order = np.argsort(key)
-        at = order[np.searchsorted(key[order], tree.levels[SPLIT][0])][tree.levels[SPLIT][1]]
-        one = above.column("w").to_numpy()[at] + above.column("rest").to_numpy()[at] * tree.ones()
-        logp = np.log10(np.where(tree.bits == 1, one, 1 - one)).sum(1)
-        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n), pa.array(logp)], names=["gram", "n", "logp"])
+        for found in _by_context(batches):
+            own = found.filter(found.column("w").is_null())
+            above = found.filter(found.column("w").is_valid())
+            gram, n = own.column("gram").to_numpy(), own.column("n").to_numpy()
+            tree = Subtrees(gram, n)
+            key = above.column("ctx").to_numpy() << 8 | above.column("gram").to_numpy()
+            order = np.argsort(key)
+            at = order[np.searchsorted(key[order], tree.levels[SPLIT][0])][tree.levels[SPLIT][1]]
+            one = above.column("w").to_numpy()[at] + above.column("rest").to_numpy()[at] * tree.ones()
+            logp = np.log10(np.where(tree.bits == 1, one, 1 - one)).sum(1)
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n), pa.array(logp)], names=["gram", "n", "logp"])
 
     none = F.lit(None).cast("double")
     both = grams.select("ctx", "gram", "n", none.alias("w"), none.alias("rest")).union(
         upper.select("ctx", F.col("node").alias("gram"), F.lit(0).cast("long"), "w", "rest")
     )
-    return staged(both.repartition("ctx").mapInArrow(scored, "gram long, n long, logp double"))
+    return staged(both.repartition("ctx").sortWithinPartitions("ctx").mapInArrow(scored, "gram long, n long, logp double"))
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
