@@ -58,8 +58,12 @@ def window_hashes(h: np.ndarray, width: int, powers: _Powers) -> np.ndarray:
 def _first_least(values: np.ndarray, span: int) -> np.ndarray:
     """Where the least of each ``span`` consecutive values is, the first of equal ones.
 
-    Positions ride in the low bits, and minima of twice the length come from two of
-    the last."""
+    Positions ride in the low bits, counted anew in each block of a long text, and minima
+    of twice the length come from two of the last."""
+    block = 1 << 19
+    if len(values) > block + span:
+        starts = range(0, len(values) - span + 1, block)
+        return np.concatenate([at + _first_least(values[at : at + block + span - 1], span) for at in starts])
     low = np.uint64((1 << 20) - 1)
     least = (values & ~low) | (np.arange(len(values), dtype=np.uint64) & low)
     width = 1
@@ -115,8 +119,8 @@ class Windows:
 
 
 def _judged(docs: DataFrame, window: int, filters: list[np.ndarray]) -> DataFrame:
-    """``hash, doc_id, place`` of the windows to judge at the next level; ``place`` is half
-    of the text's hash, to tell texts of one id apart, and the window's start."""
+    """``hash, doc_id, name, start`` of the windows to judge at the next level; ``name`` is
+    the text's hash, to tell texts of one id apart."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,10 +128,10 @@ def _judged(docs: DataFrame, window: int, filters: list[np.ndarray]) -> DataFram
 
         def rows() -> pa.RecordBatch:
             sizes = [len(x[2]) for x in held]
-            doc, tag = (np.repeat(np.array([x[i] for x in held], np.int64), sizes) for i in (0, 1))
+            doc, name = (np.repeat(np.array([x[i] for x in held], np.int64), sizes) for i in (0, 1))
             hashes, starts = (np.concatenate([x[i] for x in held]) for i in (2, 3))
-            columns = [pa.array(long_array(hashes)), pa.array(doc), pa.array(tag << 32 | starts)]
-            return pa.RecordBatch.from_arrays(columns, names=["hash", "doc_id", "place"])
+            columns = [pa.array(long_array(hashes)), pa.array(doc), pa.array(name), pa.array(starts.astype(np.int32))]
+            return pa.RecordBatch.from_arrays(columns, names=["hash", "doc_id", "name", "start"])
 
         for batch in batches:
             ids, names, crcs = (batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "crc"))
@@ -137,7 +141,7 @@ def _judged(docs: DataFrame, window: int, filters: list[np.ndarray]) -> DataFram
                 first[name, crc] = doc
                 hashes, starts = windows.of(text, shared.value)
                 if len(hashes):
-                    held.append((doc, name & 0x7FFFFFFF, hashes, starts))
+                    held.append((doc, name, hashes, starts))
                     size += len(hashes)
                     if size >= 1 << 17:
                         yield rows()
@@ -145,7 +149,7 @@ def _judged(docs: DataFrame, window: int, filters: list[np.ndarray]) -> DataFram
         if held:
             yield rows()
 
-    return docs.mapInArrow(run, "hash long, doc_id long, place long")
+    return docs.mapInArrow(run, "hash long, doc_id long, name long, start int")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,10 +172,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     full = staged(_judged(source, window, filters))
     low = full.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("hash", "low")
     hits = full.join(staged(low), "hash").where("low < doc_id")
-    hits = hits.groupBy("doc_id", F.shiftright("place", 32).alias("tag")).agg(F.collect_list(F.col("place").bitwiseAND(0x7FFFFFFF).cast("int")).alias("starts"))
+    hits = hits.groupBy("doc_id", F.col("name").alias("text_hash")).agg(F.collect_list("start").alias("starts"))
     firsts = docs.groupBy("text_hash", "crc").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    firsts = firsts.withColumn("tag", F.col("text_hash").bitwiseAND(0x7FFFFFFF))
-    known = firsts.join(hits, ["doc_id", "tag"], "left").where("n > 1 or starts is not null")
+    known = firsts.join(hits, ["doc_id", "text_hash"], "left").where("n > 1 or starts is not null")
     known = staged(known.select("text_hash", "crc", F.col("doc_id").alias("first"), "starts"))
     # texts that nothing is known of stay where they are; the others meet what is known
     slots = known.select(slot_of(F.col("text_hash"), LEVEL_BITS).alias("slot")).distinct()
