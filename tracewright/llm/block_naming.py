@@ -5,7 +5,8 @@ are sorted and numbered, so a block's number is its name; then the names of
 adjacent blocks form pairs, the distinct pairs are sorted and numbered in turn,
 and so on until one name is left for each document.  Names are assigned to
 distinct contents and never computed from them, so two texts have one name
-exactly if they are equal.
+exactly if they are equal.  (Rows are told apart by id, length and a 64-bit hash of
+the text: only two texts of one id and length could be confused, by a collision.)
 
 Block texts cross the network once, to find the distinct ones.  They are looked
 up again by a 64-bit bucket; buckets that hold several blocks keep those blocks
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import boxed, cut
 
+MOST_HEAVY = 1024
 KEY = ["doc_id", "n_bytes", "text_hash"]
 
 
@@ -98,10 +100,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         same = same & rows[c].eqNullSafe(names[c])
     named = cut(rows.join(names, same).select(rows["doc_id"], "copies", "text_sha256", "level", "name"))
     groups = named.groupBy("level", "name").agg(
-        F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")
+        F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"), F.count("*").alias("members")
     )
+    # at most MOST_HEAVY groups hold more than that part of all rows; they are sent to their members
+    heavy = groups.where(F.col("members") > max(1000, named.count() // MOST_HEAVY)).select("level", "name", F.col("keep_id").alias("id"), F.col("group_size").alias("size"))
+    marked = named.join(F.broadcast(heavy), ["level", "name"], "left")
+    rest = marked.where("size is null").drop("id", "size").join(groups.drop("members"), ["level", "name"])
+    met = marked.where("size is not null").withColumnsRenamed({"id": "keep_id", "size": "group_size"})
     return (
-        named.join(groups, ["level", "name"])
+        rest.unionByName(met)
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
         .select(
             "doc_id", "keep_id", "group_size",
