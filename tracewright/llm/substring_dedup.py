@@ -120,7 +120,9 @@ class Windows:
 
 def _judged(docs: DataFrame, window: int, filters: list[np.ndarray]) -> DataFrame:
     """``hash, doc_id, name, start`` of the windows to judge at the next level; ``name`` is
-    the text's hash, to tell texts of one id apart."""
+    the text's hash, to tell texts of one id apart.  Only the last level has the last two."""
+    placed = len(filters) == 2
+    names_of = ["hash", "doc_id", *["name", "start"] * placed]
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +132,10 @@ def _judged(docs: DataFrame, window: int, filters: list[np.ndarray]) -> DataFram
             sizes = [len(x[2]) for x in held]
             doc, name = (np.repeat(np.array([x[i] for x in held], np.int64), sizes) for i in (0, 1))
             hashes, starts = (np.concatenate([x[i] for x in held]) for i in (2, 3))
-            columns = [pa.array(long_array(hashes)), pa.array(doc), pa.array(name), pa.array(starts.astype(np.int32))]
-            return pa.RecordBatch.from_arrays(columns, names=["hash", "doc_id", "name", "start"])
+            columns = [pa.array(long_array(hashes)), pa.array(doc)]
+            if placed:
+                columns += [pa.array(name), pa.array(starts.astype(np.int32))]
+            return pa.RecordBatch.from_arrays(columns, names=names_of)
 
         for batch in batches:
             ids, names, crcs = (batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "crc"))
@@ -149,7 +153,7 @@ def _judged(docs: DataFrame, window: int, filters: list[np.ndarray]) -> DataFram
         if held:
             yield rows()
 
-    return docs.mapInArrow(run, "hash long, doc_id long, name long, start int")
+    return docs.mapInArrow(run, "hash long, doc_id long" + ", name long, start int" * placed)
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
