@@ -1,6 +1,6 @@
 """Mixing sources to target weights.
 
-Each document gets a key that is random in its id.  A source's keys are cut into
+Each document gets a key that is random in its id and text.  A source's keys are cut into
 ranges of about equal length and sorted inside each range; the word counts of
 the ranges give every range its offset within the source, and a running sum
 inside the range gives every document its own.  The mix takes whole epochs of a
@@ -69,12 +69,12 @@ def mix_sources(
     included; over a source they add up to the whole words of its target.  The
     document at which a budget ends is taken in part.  Null text has no words, a
     null source is a source of its own and comes last, a source without words
-    has target 0.  Rows that repeat an id and a size are interchangeable; whole rows
-    of that kind are taken in order of a hash of all columns.  Runs over the same rows
-    agree, whatever the partitioning."""
-    columns = {"doc_id": F.col(id_col), "source": F.col(source_col).cast("string"), "size": n_words(F.col(text_col))}
+    has target 0.  Null and repeated ids are told apart by their texts.  Rows that
+    repeat both are interchangeable; whole rows of that kind are taken in order of a
+    hash of all columns.  Runs over the same rows agree, whatever the partitioning."""
+    key = F.md5(F.concat_ws(" ", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))))
+    columns = {"doc_id": F.col(id_col), "source": F.col(source_col).cast("string"), "size": n_words(F.col(text_col)), "key": key}
     rows = cut(docs.select(*[c.alias(name) for name, c in columns.items()]))
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     targets = cut(
         source_targets(sizes, weights, share, cap)
@@ -87,10 +87,10 @@ def mix_sources(
     of = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))  # never null, so that one shuffle serves windows and joins
     # a source may hold most rows: its target stands in several places, among which its rows are dealt
     targets = targets.withColumn("of", of).drop("source").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("key", "size"), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
 
     def ranged(rows: DataFrame) -> DataFrame:
-        placed = rows.withColumns({"key": key, "of": of}).withColumn("salt", salt).join(targets, ["of", "salt"]).drop("salt")
+        placed = rows.withColumn("of", of).withColumn("salt", salt).join(targets, ["of", "salt"]).drop("salt")
         return placed.withColumn("range", F.floor(point * F.col("ranges") / F.lit(2.0**32)))
 
     earlier = Window.partitionBy("of").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -98,7 +98,7 @@ def mix_sources(
     offsets = offsets.select("of", "range", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
     if whole_rows:
         rows = boxed(docs, **columns).withColumn("tie", F.xxhash64("row"))
-    within = Window.partitionBy("of", "range").orderBy("key", "size", *["tie"] * whole_rows).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("of", "range").orderBy("key", *["tie"] * whole_rows).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("offset") + F.col("earlier")
     return (
         ranged(rows).withColumn("earlier", F.coalesce(F.sum("size").over(within), F.lit(0)))
