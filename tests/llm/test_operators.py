@@ -531,7 +531,9 @@ def test_revisits(spark):
         found = warc.resolve_revisits(records, per_slice)
         got = shuffled((r.record_id, r.outcome, r.response_id) for r in found.collect())
         assert got == shuffled([(3, "resolved", 1), (4, "changed", 10), (5, "unvalidated", 10), (5, "unvalidated", 10), (6, "missing", None), (7, "unvalidated", 10), (8, "missing", None), (9, "missing", None), (12, "resolved", 11)])
-        by = {r.record_id: r for r in warc.with_content(found, records).collect()}
+        whole = warc.with_content(found, records).collect()
+        assert shuffled(whole) == shuffled(warc.with_content(found, records.repartition(3), heavy_rows=0, copies=3).collect()) and len(whole) == 9
+        by = {r.record_id: r for r in whole}
         assert by[3].headers == {"X": "1", "date": "d3"} and by[3].body == "one" and by[12].headers == {"Vary": "v"} and by[4].body is None
     assert warc.resolve_revisits(records.where("false")).count() == 0
 

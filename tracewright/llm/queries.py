@@ -44,9 +44,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.resolve_revisits(warc.captures_of(read(spark, sf_dir, "pages")))
+    records = warc.captures_of(read(spark, sf_dir, "pages"))
+    found = warc.with_content(warc.resolve_revisits(records), records)
     header = lambda name: F.col("headers")[name].alias(f"header_{name.lower()}")
-    return found.select("record_id", "url_key", "at", "outcome", "response_id", header("Date"), header("ETag"), header("Server"))
+    return found.select("record_id", "url_key", "at", "outcome", "response_id", header("Date"), header("ETag"), header("Server"), F.sha2("body", 256).alias("body_sha256"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || coalesce(text, '')) AS k,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 s AS (
@@ -103,7 +104,7 @@ b AS (
   SELECT *, CAST(floor(target) AS BIGINT) AS budget,
          CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS epochs FROM t),
 p AS (
-  SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d)
 SELECT p.doc_id, p.size, b.source_size, b.target,
        CAST(b.epochs * p.size + greatest(0, least(p.size, b.budget - b.epochs * b.source_size - p.before)) AS BIGINT) AS taken
@@ -149,22 +150,29 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id
 """,
     "op7_warc_revisits": r"""
 WITH p AS (
-  SELECT page_id, substr(md5(coalesce(html, '')), 1, 16) AS tag, url,
+  SELECT page_id, substr(md5(coalesce(html, '')), 1, 16) AS tag, url, html,
     CASE WHEN regexp_matches(url, '(?i)^https?://') THEN
       regexp_replace(regexp_replace(lower(regexp_extract(url, '(?i)^https?://(?:[^/?#@]*@)?([^/?#]*)', 1)), ':(80|443)$', ''), '^www\.', '')
       || regexp_replace(regexp_extract(url, '(?i)^https?://[^/?#]*([^?#]*)', 1), '/+$', '')
       || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'),
            lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|fbclid|gclid|ref|sessionid)(=|$)'))), '&'), ''), '')
     ELSE url END AS k FROM pages),
-v AS (SELECT page_id, k, page_id * 10 + 25 AS "at",
-             CASE WHEN page_id % 5 = 0 THEN 'x' || tag ELSE tag END AS tag FROM p),
-j AS (SELECT v.*, r.page_id AS rid, r.tag AS rtag FROM v ASOF LEFT JOIN (SELECT *, page_id * 10 AS rat FROM p) r ON v.k = r.k AND v."at" > r.rat)
-SELECT page_id * 2 + 1 AS record_id, k AS url_key, j."at",
-       CASE WHEN rid IS NULL THEN 'missing' WHEN tag = rtag THEN 'resolved' ELSE 'changed' END AS outcome,
+r AS (SELECT page_id AS rid, k, page_id * 10 AS rat, html,
+             CASE WHEN page_id % 6 <> 0 THEN tag END AS retag, CASE WHEN page_id % 6 <> 1 THEN 'm' || tag END AS rchange,
+             CASE WHEN page_id % 6 <> 2 THEN 'd' || tag END AS rdigest FROM p),
+v AS (SELECT page_id, k, page_id * 10 + CASE WHEN page_id % 11 = 0 THEN -5 ELSE 25 END AS "at",
+             CASE WHEN page_id % 5 = 0 THEN 'x' ELSE '' END || tag AS mark FROM p),
+j AS (SELECT v.*, r.* EXCLUDE (k),
+             coalesce(CASE WHEN page_id % 4 = 0 THEN mark END = retag, CASE WHEN page_id % 4 = 1 THEN 'm' || mark END = rchange,
+                      CASE WHEN page_id % 4 = 2 THEN 'd' || mark END = rdigest) AS agrees
+      FROM v ASOF LEFT JOIN r ON v.k = r.k AND v."at" > r.rat)
+SELECT page_id * 2 + 1 AS record_id, k AS url_key, "at",
+       CASE WHEN rid IS NULL THEN 'missing' WHEN agrees THEN 'resolved' WHEN NOT agrees THEN 'changed' ELSE 'unvalidated' END AS outcome,
        rid * 2 AS response_id,
-       CASE WHEN tag = rtag THEN 'v' || page_id END AS header_date,
-       CASE WHEN tag = rtag THEN 'W/' || tag END AS header_etag,
-       CASE WHEN tag = rtag THEN 'r' END AS header_server
+       CASE WHEN agrees THEN 'revisit' || page_id END AS header_date,
+       CASE WHEN agrees THEN CASE WHEN page_id % 4 = 0 THEN 'W/' || mark ELSE retag END END AS header_etag,
+       CASE WHEN agrees THEN 'response' END AS header_server,
+       CASE WHEN agrees THEN sha256(html) END AS body_sha256
 FROM j
 """,
     "op8_decontaminate": r"""

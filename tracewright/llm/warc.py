@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Fixed by the HTTP standard: header fields that a 304 answer may update.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that don't select content.
@@ -94,29 +96,48 @@ def resolve_revisits(records: DataFrame, rows_per_slice: int = 1 << 20) -> DataF
     )
 
 
-def with_content(resolved: DataFrame, records: DataFrame) -> DataFrame:
-    """``resolved`` with the ``body`` of the response of each revisit that is resolved."""
-    bodies = records.where(F.col("kind") == "response").select(F.col("record_id").alias("_id"), "body")
-    wanted = F.when(F.col("outcome") == "resolved", F.col("response_id"))
-    return resolved.withColumn("_want", wanted).join(bodies, F.col("_want") == F.col("_id"), "left").drop("_want", "_id")
+def with_content(resolved: DataFrame, records: DataFrame, heavy_rows: int = 1000, copies: int = 64) -> DataFrame:
+    """``resolved`` with the ``body`` of the response of each revisit that is resolved.
+
+    Of responses that repeat an id the greatest body counts.  A response that stands for
+    more than ``heavy_rows`` and a thousandth of all revisits is copied, and its revisits
+    are dealt over the copies; the others' revisits are dealt by their own ids."""
+    resolved = cut(resolved)
+    done = F.col("outcome") == "resolved"
+    heavy = resolved.where(done).groupBy("response_id").agg(F.count("*").alias("n")).where(F.col("n") > max(heavy_rows, resolved.count() // 1000))
+    heavy = cut(heavy.select(F.col("response_id").alias("heavy_id")))  # a thousand rows at most
+    bodies = records.where(F.col("kind") == "response").select(F.col("record_id").alias("body_id"), F.col("body").alias("found"))
+    last = F.when(F.col("heavy_id").isNotNull(), copies - 1).otherwise(0)
+    bodies = bodies.join(F.broadcast(heavy), F.col("body_id") == F.col("heavy_id"), "left").withColumn("copy_no", F.explode(F.sequence(F.lit(0), last)))
+    bodies = bodies.groupBy("body_id", "copy_no").agg(F.max("found").alias("found"))
+    dealt = F.when(F.col("heavy_id").isNotNull(), F.pmod(F.xxhash64("record_id"), F.lit(copies)).cast("int")).otherwise(0)
+    rows = resolved.join(F.broadcast(heavy), done & (F.col("response_id") == F.col("heavy_id")), "left").select(
+        *resolved.columns, F.when(done, F.col("response_id")).otherwise(F.col("record_id")).alias("want_id"), F.when(done, dealt).otherwise(-1).alias("want_no")
+    )
+    met = rows.join(bodies, (F.col("want_id") == F.col("body_id")) & (F.col("want_no") == F.col("copy_no")), "left")
+    return met.select(*resolved.columns, F.col("found").alias("body"))
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
     """An archive made of a table of pages: each page is a response at time 10 * page_id,
-    tagged with its content, and is visited again 25 later; that answer bears the
-    content's tag or, for every fifth page, that of a later version."""
-    tag = F.substring(F.md5(F.coalesce("html", F.lit(""))), 1, 16)
-    base = pages.select("page_id", "url", "html", tag.alias("tag"))
-    headers = lambda kind, tag: F.create_map(
-        F.lit("Date"), F.concat(F.lit(kind), F.col("page_id").cast("string")), F.lit("ETag"), tag, F.lit("Server"), F.lit(kind)
+    and is visited again 25 later or, every eleventh, 5 before.  A response has an etag, a
+    date of change and a digest, or (by page_id modulo 6) two of them; the other answer
+    has one of them or none (modulo 4), every fifth that of another version."""
+    page = F.col("page_id")
+    base = pages.select("page_id", "url", "html", F.substring(F.md5(F.coalesce("html", F.lit(""))), 1, 16).alias("tag"))
+    headers = lambda kind, tag: F.map_filter(
+        F.create_map(F.lit("Date"), F.concat(F.lit(kind), page.cast("string")), F.lit("ETag"), tag, F.lit("Server"), F.lit(kind)), lambda _, value: value.isNotNull()
     )
-    response = base.select(
-        (F.col("page_id") * 2).alias("record_id"), "url", (F.col("page_id") * 10).alias("at"), F.lit("response").alias("kind"), F.col("tag").alias("etag"),
-        F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("string").alias("digest"), headers("r", F.col("tag")).alias("headers"), F.col("html").alias("body"),
-    )
-    stale = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("W/x"), F.col("tag"))).otherwise(F.concat(F.lit("W/"), F.col("tag")))
-    revisit = base.select(
-        (F.col("page_id") * 2 + 1).alias("record_id"), "url", (F.col("page_id") * 10 + 25).alias("at"), F.lit("revisit").alias("kind"), stale.alias("etag"),
-        F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("string").alias("digest"), headers("v", stale).alias("headers"), F.lit(None).cast("string").alias("body"),
-    )
-    return response.unionByName(revisit)
+
+    def capture(kind: str, offset: Column, has: list[Column], etag: str, version: Column, body: Column) -> DataFrame:
+        marks = [F.when(ok, F.concat(F.lit(form), version, F.col("tag"))) for ok, form in zip(has, (etag, "m", "d"), strict=True)]
+        return base.select(
+            (page * 2 + int(kind == "revisit")).alias("record_id"), "url", (page * 10 + offset).alias("at"), F.lit(kind).alias("kind"),
+            *[m.alias(name) for m, name in zip(marks, ("etag", "last_modified", "digest"), strict=True)],
+            headers(kind, marks[0]).alias("headers"), body.alias("body"),
+        )
+
+    response = capture("response", F.lit(0), [page % 6 != i for i in range(3)], "", F.lit(""), F.col("html"))
+    version = F.when(page % 5 == 0, F.lit("x")).otherwise(F.lit(""))
+    offset = F.when(page % 11 == 0, F.lit(-5)).otherwise(F.lit(25))
+    return response.unionByName(capture("revisit", offset, [page % 4 == i for i in range(3)], "W/", version, F.lit(None).cast("string")))
