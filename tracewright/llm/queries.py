@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, context_tree, decontaminate, html_mincut, jaccard_join, langid, mixing, substring_dedup, toxicity, warc
+from . import block_naming, context_tree, conversation_trie, decontaminate, filter_audit, html_mincut, jaccard_join, langid, mixing, piece_bpe, substring_dedup, toxicity, warc
 from .common import fold, read
 
 
@@ -67,6 +67,26 @@ def op10_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = conversation_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = piece_bpe.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mix_sources": op2_mix_sources,
@@ -78,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_html_main_text": op9_html_main_text,
     "op10_context_tree_score": op10_context_tree_score,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_piece_bpe": op12_piece_bpe,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -194,5 +217,68 @@ t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT ite
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+""",
+    "op11_conversation_trie": r"""
+WITH RECURSIVE bits(b, k, v) AS (  -- the 256 remainders of CRC-32
+  SELECT b, 0, b FROM (SELECT unnest(range(0, 256)) AS b)
+  UNION ALL SELECT b, k + 1, xor(v >> 1, (v & 1) * 3988292384) FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE k = 8),
+o AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+c AS (
+  SELECT conv_id, own, xor(4294967295, list_reduce([CAST(ascii(ch) AS BIGINT) FOR ch IN string_split(CAST(conv_id AS VARCHAR), '')],
+           lambda a, ch: xor(a >> 8, t[xor(a & 255, ch) + 1]), CAST(4294967295 AS BIGINT))) % 4 AS h FROM o, crc),
+b AS (
+  SELECT c.conv_id, list_concat(coalesce(a.own[1:c.h], []), c.own[c.h + 1:]) AS s
+  FROM c LEFT JOIN o a ON a.conv_id = c.conv_id - c.conv_id % 20),
+p AS (
+  SELECT conv_id, d, len(s) AS n, md5(CAST(s[1:d] AS VARCHAR)) AS k, CASE WHEN d > 0 THEN md5(CAST(s[1:d - 1] AS VARCHAR)) END AS pk,
+         CASE WHEN d > 0 THEN len(regexp_extract_all(s[d].x, '[^ 	-]+')) ELSE 0 END AS w
+  FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM b)),
+n AS (
+  SELECT d, k, any_value(pk) AS pk, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS saved,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d), '') AS ends
+  FROM p GROUP BY 1, 2),
+ch AS (SELECT d - 1 AS d, pk AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+u AS (SELECT DISTINCT x.d, x.k, y.d AS yd, y.k AS yk FROM p x JOIN p y ON x.conv_id = y.conv_id AND y.d >= x.d),
+t AS (
+  SELECT u.d, u.k, count(*) FILTER (WHERE ch.k IS NULL) AS n_leaves, CAST(sum(n.saved) AS BIGINT) AS saved_tokens
+  FROM u JOIN n ON n.d = u.yd AND n.k = u.yk LEFT JOIN ch ON ch.d = u.yd AND ch.k = u.yk GROUP BY 1, 2)
+SELECT n.conv_id, n.d AS depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(ch.n_children, 0) AS n_children, t.n_leaves, t.saved_tokens,
+       sha256(n.ends) AS ends_sha256
+FROM n JOIN t ON t.d = n.d AND t.k = n.k LEFT JOIN ch ON ch.d = n.d AND ch.k = n.k LEFT JOIN n m ON m.d = n.d - 1 AND m.k = n.pk
+""",
+    "op13_filter_audit": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+g AS (SELECT doc_id AS of, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY 1),
+f AS (
+  SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+                100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'),
+                coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails,
+         coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM d LEFT JOIN g ON g.of = d.doc_id),
+m AS (SELECT part, fails, list_sum([CAST(x AS INT) FOR x IN fails]) AS n_fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+l AS (SELECT unnest(range(1, 6)) AS i),
+o AS (
+  SELECT [a.i, b.i, c.i, e.i, h.i] AS ord FROM l a, l b, l c, l e, l h
+  WHERE len(list_distinct([a.i, b.i, c.i, e.i, h.i])) = 5),
+s AS (SELECT ord, array_to_string(['ABCDE'[i] FOR i IN ord], '') AS filter_order, unnest(range(1, 6)) AS step FROM o),
+x AS (
+  SELECT part, filter_order, step, ord[step] AS i, n, good, toxic, n_fails, fails[ord[step]] AS fail,
+         list_sum([CAST(fails[j] AS INT) FOR j IN ord[1:step - 1]]) > 0 AS gone FROM m, s),
+r AS (
+  SELECT part, filter_order, step, i,
+         sum(CASE WHEN NOT coalesce(gone, false) AND NOT fail THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN NOT coalesce(gone, false) AND fail THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN coalesce(gone, false) AND fail THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fail AND n_fails = 1 THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN NOT coalesce(gone, false) AND fail AND good THEN n ELSE 0 END) AS good_lost,
+         sum(CASE WHEN NOT coalesce(gone, false) AND fail AND toxic THEN n ELSE 0 END) AS toxic_lost
+  FROM x GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, i) AS BIGINT) AS shapley FROM r
 """,
 }
