@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, WordHashes, as_bytes, bloom, bloom_has, boxed, cut, list_column, long_array, mix64, slot_of, staged
+from .common import LOWER_TABLE, WordHashes, as_bytes, bloom, bloom_has, boxed, cut, list_column, long_array, mix64, row_hash, slot_of, staged
 from .components import connected_components
 
 SKETCH_SLOTS = 1 << 20
@@ -49,6 +49,8 @@ MOST_MATCHES = 4
 VERIFY_COST = 8.0
 LEAST, SHARED_LEAST = 8, 4
 CHUNK_WORDS = 1 << 16
+MOST_PAIRS = 1 << 10  # of a class in one place
+SALTS = 16
 
 
 class Shingler:
@@ -251,10 +253,13 @@ def _with_sets(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int
     """What ``judge`` makes of the packed sets of the two classes of ``pairs(a, b)``.
 
     Sets are made again from the text of one document of a class; a filter of fixed
-    size over those documents keeps most others from being split into words."""
+    size over those documents keeps most others from being split into words.  Rows that
+    repeat it, and others of its class that pass, are one set before they meet a pair.  A
+    class of very many pairs has its set in several places, among which they are dealt."""
     spark = docs.sparkSession
     for end in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("cls").alias(end), F.col("doc_id").alias(f"{end}_doc")), end)
+        place = F.xxhash64("first.doc_id", "first.key")
+        pairs = pairs.join(classes.select(F.col("cls").alias(end), place.alias(f"{end}_doc")), end)
     pairs, used = cut(pairs), []
 
     def scan(bits) -> Callable:
@@ -262,20 +267,23 @@ def _with_sets(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int
             shingler = Shingler(width)
             for batch in batches:
                 batch = batch.filter(pa.array(bloom_has(bits.value, batch.column("slot").to_numpy())))
-                found = [(_class_of(s)[0], _packed(s)) for s in shingler.sets(as_bytes(batch.column("text")))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in found], pa.int64()), batch.column("doc_id"), pa.array([x[1] for x in found], pa.binary())],
-                    names=["cls", "doc_id", "found"],
-                )
+                found = {_class_of(s)[0]: _packed(s) for s in shingler.sets(as_bytes(batch.column("text")))}
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["cls", "found"])
 
         return run
 
-    met = pairs
-    for end, name in (("a", "x"), ("b", "y")):
+    met = pairs.select("a", "b")
+    for end, other, name in (("a", "b", "x"), ("b", "a", "y")):
         used.append(spark.sparkContext.broadcast(bloom(pairs.select(slot_of(F.col(f"{end}_doc")).alias("slot")).distinct(), "slot")))
-        sets = docs.select("doc_id", "text", slot_of(F.col("doc_id")).alias("slot")).mapInArrow(scan(used[-1]), "cls long, doc_id long, found binary")
-        sets = sets.select(F.col("cls").alias(end), F.col("doc_id").alias("doc"), F.col("found").alias(name))
-        met = met.join(sets, (met[end] == sets[end]) & met[f"{end}_doc"].eqNullSafe(sets["doc"])).drop(sets[end], f"{end}_doc", "doc")
+        sets = docs.select("text", slot_of(F.xxhash64("doc_id", "key")).alias("slot")).mapInArrow(scan(used[-1]), "cls long, found binary")
+        sets = sets.groupBy(F.col("cls").alias(end)).agg(F.any_value("found").alias(name))
+        places = cut(pairs.groupBy(F.col(end).alias("of")).agg(F.ceil(F.count("*") / MOST_PAIRS).alias("places")).where("places > 1"))
+        if not places.isEmpty():
+            met = met.join(places, met[end] == places["of"], "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("places", F.lit(1)))).drop("of", "places")
+            sets = sets.join(places, sets[end] == places["of"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("places", F.lit(1)) - 1))).drop("of", "places")
+            met = met.join(sets, [end, "salt"]).drop("salt")
+        else:
+            met = met.join(sets, end)
     out = staged(met.select("a", "b", "x", "y").mapInArrow(judge, schema))
     for bits in used:
         bits.destroy()
@@ -385,23 +393,23 @@ def _likely(classes: DataFrame) -> DataFrame:
     held = classes.select("cls", "spread", F.explode("least").alias("token"))
     heads = held.groupBy("token").agg(F.max_by("cls", F.struct("spread", "cls")).alias("head"), F.min("cls").alias("low"), F.max("cls").alias("high"))
     heads = cut(heads.where("low <> high").select("token", "head"))
-    shared = held.join(heads, "token").where("head <> cls").groupBy("cls", "head").agg(F.count("*").alias("k")).where(f"k >= {SHARED_LEAST}")
+    # a hash that very many hold: its head stands in several places
+    heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    held = held.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
+    shared = held.join(heads, ["token", "salt"]).where("head <> cls").groupBy("cls", "head").agg(F.count("*").alias("k")).where(f"k >= {SHARED_LEAST}")
     return shared.groupBy("cls").agg(F.max_by("head", F.struct("k", "head")).alias("b")).select(F.col("cls").alias("a"), "b")
 
 
-def _across(rows: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _across(classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """All pairs of classes in different groups that meet the prefix condition.
 
     Of each shingle's holders, those outside its largest group meet all others;
     holders within one group never meet."""
-    of = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
-        F.col("cls").alias("c"), F.col("doc_id").alias("d"), F.coalesce("root", "cls").alias("root")
-    )
-    placed = rows.join(cut(of), (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    placed = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     placed = staged(placed.where("size(tokens) > 0").select("cls", "n", "root", "skipped", "tokens"))
     held = placed.select("root", F.explode("tokens").alias("token"))
     split = cut(held.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token"))
-    bits = rows.sparkSession.sparkContext.broadcast(
+    bits = classes.sparkSession.sparkContext.broadcast(
         bloom(split.select(F.shiftrightunsigned("token", 38).alias("slot")).distinct(), "slot", 1 << 26)
     )
 
@@ -451,15 +459,16 @@ def _placed(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
     rows = _prefixes(docs, width, percent)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
-    classes = cut(
+    # all rows of a class have the same set, and so the same prefix
+    classes = staged(
         rows.where("n > 0").groupBy("cls", "cls2", "n").agg(
-            F.min("doc_id").alias("doc_id"), F.min(place).alias("first"), F.min("least").alias("least"), F.max("spread").alias("spread")
+            F.min(place).alias("first"), F.min("least").alias("least"), F.max("spread").alias("spread"), F.min("skipped").alias("skipped"), F.min("tokens").alias("tokens")
         )
     )
     members = staged(_members(_likely(classes), docs, classes, width, percent))
     groups = members.select(F.col("cls").alias("node"), F.col("center").alias("root"))
     groups = groups.union(groups.select("root", "root").distinct())
-    rest = _across(rows.select("doc_id", "cls", "n", "skipped", "tokens").where("n > 0"), classes, groups, percent)
+    rest = _across(classes, groups, percent)
     roots = connected_components(_within(members, percent).union(_verified(rest, docs, classes, width, percent)))
     named = classes.select("cls", "cls2", "n", F.col("first").alias("lowest")).join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.withColumn("root", F.coalesce("root", "cls"))
@@ -496,6 +505,6 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_
     kept = rows.join(pairs, same, "left_anti").select("row")
     again = pairs.where("stays")
     if not again.isEmpty():
-        one = rows.join(again, same).groupBy("id", "of").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        one = rows.join(again, same).groupBy("id", "of").agg(F.min_by("row", row_hash(docs)).alias("row"))
         kept = kept.unionByName(one.select("row"))
     return kept.select("row.*")
