@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, cut
+from .common import boxed, cut, row_hash
 
 MOST_HEAVY = 1024
 KEY = ["doc_id", "n_bytes", "text_hash"]
@@ -127,5 +127,5 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     marked = boxed(docs, id=F.col(id_col), sha=F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     once = marked.join(kept, marked["id"].eqNullSafe(kept["kept_id"]) & (marked["sha"] == kept["kept_text"]), "left_semi")
     if not docs.groupBy(id_col).agg(F.count("*").alias("n_rows")).where("n_rows > 1").isEmpty():  # rows that repeat id and text
-        once = once.groupBy("id", "sha").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        once = once.groupBy("id", "sha").agg(F.min_by("row", row_hash(docs)).alias("row"))
     return once.select("row.*")

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import pickle
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..storage import cut, shared_dir  # noqa: F401  the other modules take cut from here
+from ..storage import cut, shared_dir, staged  # noqa: F401  the other modules take them from here
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: bytes.split() with no argument splits on exactly the bytes 20 and 09 to 0D.
@@ -22,18 +22,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Cut lineage through a compressed Parquet table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def boxed(docs: DataFrame, **columns: Column) -> DataFrame:
     """The given columns, and all of ``docs`` in one struct ``row``, so that no name clashes."""
     return docs.select(*[c.alias(name) for name, c in columns.items()], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
+def row_hash(docs: DataFrame, row: str = "row") -> Column:
+    """A hash of all columns of ``docs``, which stand in the struct ``row``.
+
+    Spark has no hash of maps and variants; columns that hold one count as JSON."""
+
+    def hashable(kind: T.DataType) -> bool:
+        inner = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else []
+        return not isinstance(kind, T.MapType | T.VariantType) and all(map(hashable, inner))
+
+    column = lambda name: F.col(row)[name]
+    return F.xxhash64(*[column(f.name) if hashable(f.dataType) else F.to_json(F.struct(column(f.name))) for f in docs.schema.fields])
+
+
 def bounded_sample(rows: DataFrame, total: int, most: int, *key: str) -> DataFrame:
     """At most ``most`` of ``total`` rows, drawn by a hash of ``key``; the same ones each time."""
     point = F.xxhash64(*key)

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, boxed, cut
+from .common import WORD_PATTERN, boxed, cut, row_hash
 
 
 SALTS = 64
@@ -97,7 +97,7 @@ def mix_sources(
     offsets = ranged(rows).groupBy("of", "range").agg(F.sum("size").alias("words"))
     offsets = offsets.select("of", "range", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
     if whole_rows:
-        rows = boxed(docs, **columns).withColumn("tie", F.xxhash64("row"))
+        rows = boxed(docs, **columns).withColumn("tie", row_hash(docs))
     within = Window.partitionBy("of", "range").orderBy("key", *["tie"] * whole_rows).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("offset") + F.col("earlier")
     return (
