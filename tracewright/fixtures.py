@@ -17,6 +17,13 @@ def line(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A section larger than the usual windows: three traces for each vector, 1280 samples wide."""
+    samples = F.transform(F.sequence(F.lit(0), F.lit(1279)), lambda j: (F.get("embedding", j % 64).cast("float") + (F.floor(j / 64) % 5).cast("float")).cast("float"))
+    rows = read(spark, sf_dir, "embeddings").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    return rows.select(F.lit("large").alias("section_id"), (3 * F.col("vec_id") + F.col("r")).cast("int").alias("trace_idx"), samples.alias("samples"))
+
+
 def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A section per vector label, its traces in order of the vectors."""
     inside = Window.partitionBy("label").orderBy("vec_id")

@@ -29,27 +29,40 @@ def stitch_packed(strips: DataFrame, shapes: DataFrame) -> DataFrame:
     Only the strips themselves are shuffled.  Those of a trace are few (of the tiles along
     it, twice), and are folded into one array.  Traces and samples under no tile are 0 if
     another tile of the label reaches the trace; NaN wins."""
-    placed = strips.join(shapes, "section_id").withColumn("trace_idx", F.col("tile_y") + F.col("row_off")).where("trace_idx < n_traces and tile_x < n_samples and probs is not null")
-    lists = placed.groupBy("section_id", "label_id", "trace_idx", "n_samples").agg(F.collect_list("tile_x").alias("xs"), F.collect_list("probs").alias("parts"))
+    return stitch_with_failures(strips.where("probs is not null"), shapes).select("section_id", "label_id", "trace_idx", "probs")
+
+
+def stitch_with_failures(strips: DataFrame, shapes: DataFrame) -> DataFrame:
+    """``stitch_packed`` with the tiles that failed, in one pass over the scored strips.
+
+    A row of these has ``error``, the tile's first trace as ``trace_idx``, in ``tile_xs``
+    the first samples of its tiles, and neither label nor ``probs``."""
+    lost = F.col("probs").isNull()
+    placed = strips if "error" in strips.columns else strips.withColumn("error", F.lit(None).cast("string"))
+    placed = placed.join(shapes, "section_id").withColumn("trace_idx", F.col("tile_y") + F.coalesce("row_off", F.lit(0)))
+    placed = placed.where((lost & F.col("error").isNotNull()) | (~lost & F.expr("trace_idx < n_traces and tile_x < n_samples")))
+    lists = placed.groupBy("section_id", "label_id", "trace_idx", "n_samples", "error").agg(F.collect_list("tile_x").alias("xs"), F.collect_list("probs").alias("parts"))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            widths = batch.column("n_samples").to_numpy().astype(np.int64)
+            failed = batch.column("error").is_valid().to_numpy(zero_copy_only=False)
+            widths = np.where(failed, 0, batch.column("n_samples").to_numpy()).astype(np.int64)
             ends = np.cumsum(widths)
             out = np.zeros(int(widths.sum()), np.float32)
             xs, parts = batch.column("xs"), batch.column("parts")
-            of = np.repeat(np.arange(len(batch)), np.diff(xs.offsets.to_numpy()))
+            of = np.repeat(np.arange(len(batch)), np.diff(parts.offsets.to_numpy()))
+            starts = xs.filter(pa.array(~failed)).flatten().to_numpy()  # a failed row has no parts
             values = parts.flatten()
             lengths = np.diff(values.offsets.to_numpy())
             flat, at = values.flatten().to_numpy(), 0
-            for row, x, n in zip(of.tolist(), xs.flatten().to_numpy().tolist(), lengths.tolist(), strict=True):
+            for row, x, n in zip(of.tolist(), starts.tolist(), lengths.tolist(), strict=True):
                 begin, keep = int(ends[row] - widths[row]) + x, min(n, int(widths[row]) - x)
                 np.maximum(out[begin : begin + keep], flat[at : at + keep], out=out[begin : begin + keep])
                 at += n
             probs = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(out))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("section_id", "label_id", "trace_idx")), probs], names=["section_id", "label_id", "trace_idx", "probs"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("section_id", "label_id", "trace_idx")), probs, xs, batch.column("error")], names=["section_id", "label_id", "trace_idx", "probs", "tile_xs", "error"])
 
-    return lists.mapInArrow(fold, "section_id string, label_id int, trace_idx int, probs array<float>")
+    return lists.mapInArrow(fold, "section_id string, label_id int, trace_idx int, probs array<float>, tile_xs array<int>, error string")
 
 
 def packed_long(maps: DataFrame, values_col: str = "probs", name: str = "prob") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +27,8 @@ class Segmentation:
     masks: DataFrame
     coverage: DataFrame
     labels: DataFrame
+    bits: DataFrame
+    shapes: DataFrame
 
 
 def segment_sections(
@@ -39,9 +40,10 @@ def segment_sections(
 
     Bounds are exact in two passes unless one buffer per section will do.  Traces are
     read for the bounds, for the shapes and for the grey levels; ``stage`` keeps them as
-    Parquet first, which pays where reading means decoding.  Labels that the scorer lacks
-    have no mask and cover nothing.  Tiles it fails on are rows of ``failures`` (asking
-    for them scores the tiles again); other tiles go on."""
+    Parquet first, which pays where reading means decoding, and keeps the fused maps with
+    the failures, so that tiles are scored once whatever is asked for.  Labels that the
+    scorer lacks have no mask and cover nothing.  Tiles it fails on are rows of
+    ``failures``; other tiles go on."""
     traces = staged(traces) if stage else traces
     labels = catalog.label_catalog(traces.sparkSession, prompts)
     if bounds is None:
@@ -52,11 +54,13 @@ def segment_sections(
     shapes = normalize.section_shape(traces)
     tiles = tiling.tile_cut(tiling.edge_pad(gray, tile, shapes), tile, stride)
     strips = scoring.score_tiles(tiles, make_scorer or (lambda: scoring.ClosedFormScorer(ids)), tile)
-    failures = strips.where("error is not null").select("section_id", "tile_y", "tile_x", "error")
-    strips = strips.join(F.broadcast(labels.select("label_id")), "label_id")
-    maps = stitch.stitch_packed(strips, shapes)
-    masks = M.binarize_packed(maps, threshold)
-    return Segmentation(bounds, gray, tiles, failures, maps, masks, M.coverage(M.packed_counts(masks), labels), labels)
+    strips = strips.join(F.broadcast(labels.select(F.col("label_id").alias("known"))), F.col("label_id") == F.col("known"), "left").where("known is not null or error is not null").drop("known")
+    fused = stitch.stitch_with_failures(strips, shapes)
+    fused = staged(fused) if stage else fused
+    failures = fused.where("error is not null").select("section_id", F.col("trace_idx").alias("tile_y"), F.explode("tile_xs").alias("tile_x"), "error")
+    maps = fused.where("error is null").select("section_id", "label_id", "trace_idx", "probs")
+    bits = M.binarize_bits(maps, threshold)
+    return Segmentation(bounds, gray, tiles, failures, maps, M.binarize_packed(maps, threshold), M.coverage(M.bit_counts(bits), labels), labels, bits, shapes)
 
 
 def overlay_traces(result: Segmentation, only: Sequence[str] | None = None, alpha: float = overlay.ALPHA) -> DataFrame:
@@ -70,22 +74,31 @@ def save_tables(result: Segmentation, folder: str) -> None:
 
 
 def export_all(result: Segmentation, folder: str, *, trace_spacing: float = 25.0, sample_interval: float = 4.0, only: Sequence[str] | None = None, most_pixels: int = files.MOST_PIXELS) -> DataFrame:
-    """Overlay, archive and volume of every section; the manifest of what was written."""
-    parts = [
-        files.export_png(overlay_traces(result, only), folder, most_pixels),
-        files.export_npz(result.masks, folder, most_pixels),
-        files.export_vti(M.label_volume_packed(result.masks), folder, trace_spacing, sample_interval, most_pixels),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """Overlay, archive and volume of every section, one file of each; the manifest of what was written.
+
+    Masks are kept once, a bit a pixel, so tiles aren't scored for each kind of file; all
+    files are written in one transaction."""
+    bits = staged(result.bits)
+    masks = M.masks_from_bits(bits)
+    drawn = overlay.overlay_packed(result.gray, masks, result.labels, only)
+    pieces = [
+        files.png_pieces(drawn, folder, most_pixels, result.shapes), files.npz_pieces(masks, folder, most_pixels, result.shapes),
+        files.vti_pieces(M.label_volume_bits(bits), folder, most_pixels, result.shapes),
+    ]
+    return files.export_together(bits.sparkSession, pieces, folder, trace_spacing=trace_spacing, sample_interval=sample_interval)
 
 
 def run_manifest(read: DataFrame, written: DataFrame, failures: DataFrame | None = None) -> DataFrame:
     """Status per input and artifact: inputs that couldn't be read, sections with tiles that
-    couldn't be scored, and what became of the others."""
+    couldn't be scored, and what became of the others, with ``n_nan``, the section's samples
+    that are no numbers and count for no bound."""
     none = F.lit(None).cast("string")
     failed = read.where("status <> 'ok'").select("section_id", "path", F.lit("input").alias("artifact"), "status", none.alias("error"))
-    found = failed.distinct().unionByName(written)
-    if failures is None:
-        return found
-    lost = failures.groupBy("section_id").agg(F.min("error").alias("error"))
-    return found.unionByName(lost.select("section_id", none.alias("path"), F.lit("scores").alias("artifact"), F.lit("failed").alias("status"), "error"))
+    found = failed.distinct().unionByName(written, allowMissingColumns=True)
+    if failures is not None:
+        lost = failures.groupBy("section_id").agg(F.min("error").alias("error"))
+        lost = lost.select("section_id", none.alias("path"), F.lit("scores").alias("artifact"), F.lit("failed").alias("status"), "error")
+        found = found.unionByName(lost, allowMissingColumns=True)
+    nan = F.size(F.filter("samples", lambda v: F.isnan(v))).cast("long")
+    nans = read.where("status = 'ok'").groupBy(F.col("section_id").alias("of")).agg(F.sum(nan).alias("n_nan"))
+    return found.join(nans, F.col("section_id") == F.col("of"), "left").drop("of")

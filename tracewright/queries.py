@@ -8,6 +8,7 @@ operators themselves never round.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +17,13 @@ from . import catalog, fixtures
 from .functions import columns as C
 from .operators import masks, normalize, overlay, scoring, stitch, tiling
 from .plans import segment
-from .sinks import files
+from .sinks import files, readback
 from .sources import segy
 from .storage import new_folder
 from .streaming import fusion
 
 TILE, STRIDE = 32, 16
-FILE_PIXELS = 1 << 15  # small files, so that writing is many tasks here too
+FILE_PIXELS = 1 << 12  # small pieces, so that a file is many tasks' work here too
 
 
 def _rounded(bounds: DataFrame, digits: int = 9) -> DataFrame:
@@ -236,43 +237,75 @@ def _written_segy(spark, sf_dir, source) -> str:
 
 def segy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _written_segy(spark, sf_dir, fixtures.line(spark, sf_dir))
-    rows = files.join_parts(segy.read_segy(spark, f"{folder}/*.sgy", traces_per_partition=128))
+    rows = segy.read_segy(spark, f"{folder}/*.sgy", traces_per_partition=128)
     return rows.select("trace_idx", "status", F.posexplode("samples").alias("sample_idx", "amplitude"))
 
 
 def segy_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _written_segy(spark, sf_dir, fixtures.volume(spark, sf_dir))
-    rows = segy.inline_slices(files.join_parts(segy.read_segy(spark, f"{folder}/*.sgy", geometry="3d")).where("status = 'ok'"))
+    rows = segy.inline_slices(segy.read_segy(spark, f"{folder}/*.sgy", geometry="3d").where("status = 'ok'"))
     return rows.select("inline_no", "xline_no", "trace_idx", F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 4).alias("sum_samples"))
 
 
-def _artifacts(rows: DataFrame) -> DataFrame:
-    return rows.select("section_id", "artifact", "status", F.regexp_extract("path", r"\.(\w+)$", 1).alias("kind"))
+def _totals(kind: str, manifest: DataFrame) -> DataFrame:
+    """What the files of a kind hold, read back: ``section_id, artifact, key, total``."""
+    name = lambda c: F.col(c).cast("string")
+    if kind == "npz":
+        on = F.size(F.filter("mask", lambda m: m)).cast("long")
+        held = readback.masks_of(manifest).select("section_id", F.lit("masks_npz").alias("artifact"), name("label_id").alias("key"), on.alias("total"))
+    elif kind == "png":
+        add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x)
+        held = readback.overlays_of(manifest).select("section_id", F.lit("overlay_png").alias("artifact"), F.explode(F.create_map(*[x for c in "rgb" for x in (F.lit(c), add(c))])).alias("key", "total"))
+    else:
+        held = readback.volumes_of(manifest).select("section_id", F.lit("labels_vti").alias("artifact"), F.explode("label_ids").alias("id")).select("section_id", "artifact", name("id").alias("key"), F.lit(1).cast("long").alias("total"))
+    return held.groupBy("section_id", "artifact", "key").agg(F.sum("total").alias("total"))
 
 
 def export_npz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _artifacts(files.export_npz(_segmented(spark, sf_dir).masks, new_folder(spark, "npz"), FILE_PIXELS))
+    return _totals("npz", files.export_npz(_segmented(spark, sf_dir).masks, new_folder(spark, "npz"), FILE_PIXELS))
 
 
 def export_png(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _artifacts(files.export_png(segment.overlay_traces(_segmented(spark, sf_dir)), new_folder(spark, "png"), FILE_PIXELS))
+    return _totals("png", files.export_png(segment.overlay_traces(_segmented(spark, sf_dir)), new_folder(spark, "png"), FILE_PIXELS))
 
 
 def export_vti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _artifacts(files.export_vti(masks.label_volume_packed(_segmented(spark, sf_dir).masks), new_folder(spark, "vti"), most_pixels=FILE_PIXELS))
+    return _totals("vti", files.export_vti(masks.label_volume_packed(_segmented(spark, sf_dir).masks), new_folder(spark, "vti"), most_pixels=FILE_PIXELS))
 
 
 def export_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _artifacts(segment.export_all(_segmented(spark, sf_dir), new_folder(spark, "all"), most_pixels=FILE_PIXELS))
+    manifest = segment.export_all(_segmented(spark, sf_dir), new_folder(spark, "all"), most_pixels=FILE_PIXELS)
+    return reduce(DataFrame.unionByName, [_totals(kind, manifest) for kind in ("npz", "png", "vti")])
 
 
 def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _written_segy(spark, sf_dir, fixtures.line(spark, sf_dir))
-    rows = files.join_parts(segy.read_segy(spark, f"{folder}/*.sgy", f"{folder}/missing.sgy"))
+    """Every ninth trace has a NaN, which the manifest counts."""
+    line = fixtures.line(spark, sf_dir)
+    broken = F.when(F.col("trace_idx") % 9 == 0, F.concat(F.array(F.lit(float("nan")).cast("float")), F.slice("samples", F.lit(2), F.size("samples") - 1))).otherwise(F.col("samples"))
+    folder = _written_segy(spark, sf_dir, line.withColumn("samples", broken))
+    rows = segy.read_segy(spark, f"{folder}/*.sgy", f"{folder}/missing.sgy")
     good = rows.where("status = 'ok'").select("section_id", "trace_idx", "samples")
     done = segment.segment_sections(good, tile=TILE, stride=STRIDE, stage=True)
     manifest = segment.run_manifest(rows, files.export_npz(done.masks, new_folder(spark, "run"), FILE_PIXELS), done.failures)
-    return manifest.select(F.regexp_extract("section_id", r"([^/]*)$", 1).alias("file"), "artifact", "status")
+    return manifest.select(F.regexp_extract("section_id", r"([^/]*)$", 1).alias("file"), "artifact", "status", "n_nan")
+
+
+def mask_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and emptiness of masks of a bit a pixel."""
+    bits = masks.binarize_bits(_segmented(spark, sf_dir).prob_maps, 0.7)
+    counts = masks.bit_counts(bits).groupBy("section_id", "label_id").agg(F.sum("n_on").alias("n_on"), F.sum("n").alias("n"))
+    return counts.join(masks.bits_any(bits), ["section_id", "label_id"]).select("label_id", "n_on", "n", "mask_any")
+
+
+def threshold_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masks.threshold_curve(_segmented(spark, sf_dir).prob_maps, 200).select("label_id", "step", "n_on", "n")
+
+
+def segment_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain with its usual windows, over a section larger than them."""
+    traces = fixtures.large(spark, sf_dir)
+    done = segment.segment_sections(traces, bounds=_rounded(normalize.clip_bounds_two_pass(normalize.samples_long(traces))))
+    return done.coverage.select("label_id", "label", F.round("pct", 6).alias("pct"))
 
 
 def streaming_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,7 +322,7 @@ _NAMES = (
     "segment_sections segment_volume label_catalog file_catalog samples_long section_shape inline_slices clip_bounds clip_bounds_2pass normalize_gray "
     "normalize_degenerate to_rgb tile_starts tile_grid edge_pad crop tile_pixels tile_cut prompt_fanout score_tiles sigmoid bilinear_resize stitch_max "
     "stitch_max_packed binarize mask_any coverage label_volume layer_filter overlay_blend mask_keys artifact_names segy_scan segy_volume export_npz "
-    "export_png export_vti export_all run_manifest streaming_fusion"
+    "export_png export_vti export_all run_manifest streaming_fusion mask_bits threshold_curve segment_default"
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: globals()[name] for name in _NAMES.split()}
 
@@ -298,6 +331,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: globals()[
 _LINE = """fx_line AS (SELECT 'line' AS section_id, CAST(vec_id AS INT) AS trace_idx, embedding AS samples FROM embeddings)"""
 _VOLUME = """fx_volume AS (SELECT 'volume#' || label AS section_id, CAST(label AS INT) AS inline_no, CAST(vec_id AS INT) AS xline_no,
   CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS trace_idx, embedding AS samples FROM embeddings)"""
+#: Three traces for each vector, 1280 samples wide.
+_LARGE = """fx_large AS (SELECT 'large' AS section_id, CAST(3 * vec_id + r AS INT) AS trace_idx,
+  list_transform(range(0, 1280), lambda j: CAST(embedding[j % 64 + 1] + CAST((j // 64) % 5 AS FLOAT) AS FLOAT)) AS samples FROM embeddings, (SELECT unnest(range(0, 3)) AS r))"""
 _BIG = "fx_big AS (SELECT l_returnflag AS section_id, CAST(l_extendedprice AS FLOAT) AS amplitude FROM lineitem)"
 _SCORES = """fx_scores AS (SELECT CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 WHEN 'view' THEN 5 END AS label_id,
   CAST(user_id AS INT) AS trace_idx, CAST(floor(epoch(ts - TIMESTAMP '2024-01-01') / 3600) AS INT) AS sample_idx,
@@ -342,9 +378,9 @@ every AS (SELECT section_id, amplitude FROM flat UNION ALL SELECT * FROM fx_big)
 SELECT section_id, round(quantile_cont(CAST(amplitude AS DOUBLE), 0.02), 6) AS lo, round(quantile_cont(CAST(amplitude AS DOUBLE), 0.98), 6) AS hi FROM every GROUP BY 1"""
 
 
-def _blend(c: str) -> str:
-    """Nested compositing of the five labels over 128 for one channel."""
-    inner = "128"
+def _blend(c: str, base: str = "128") -> str:
+    """Nested compositing of the five labels over a grey level for one channel."""
+    inner = base
     for i in range(1, 6):
         inner = f"(CASE WHEN on{i} THEN ((SELECT {c} FROM labels5 WHERE label_id = {i}) * 114 + {inner} * 141 + 127) // 255 ELSE {inner} END)"
     return f"CAST({inner} AS INT) AS {c}"
@@ -422,12 +458,37 @@ SELECT path, stem, stem || '_overlay.png' AS overlay_name, stem || '_masks.npz'
     "segy_volume": f"WITH {_VOLUME} SELECT inline_no, xline_no, trace_idx, round(list_sum([CAST(x AS DOUBLE) FOR x IN samples]), 4) AS sum_samples FROM fx_volume",
 }
 
-#: One row per file of at most FILE_PIXELS; "line" is the one section, its vectors have 64 values.
-_FILES = f"range((SELECT CAST(ceil((max(vec_id) + 1) / {FILE_PIXELS // 64}.0) AS BIGINT) FROM embeddings))"
-_KINDS = {"npz": "masks_npz", "png": "overlay_png", "vti": "labels_vti"}
-_EXPORTS = {k: f"SELECT 'line' AS section_id, '{a}' AS artifact, 'written' AS status, '{k}' AS kind FROM {_FILES}" for k, a in _KINDS.items()}
-ORACLE_SQL |= {f"export_{k}": sql for k, sql in _EXPORTS.items()} | {
-    "export_all": " UNION ALL ".join(_EXPORTS.values()),
+_FUSED = f"""{_SCORED},
+stitched AS (SELECT label_id, trace_idx, sample_idx, greatest(CAST(0 AS FLOAT), max(prob)) AS prob FROM probs GROUP BY 1, 2, 3)"""
+_TOTALS = {
+    "npz": f"""SELECT 'line' AS section_id, 'masks_npz' AS artifact, CAST(label_id AS VARCHAR) AS key,
+  CAST(sum(CASE WHEN {_ON.format(t=0.5)} THEN 1 ELSE 0 END) AS BIGINT) AS total FROM stitched GROUP BY label_id""",
+    "vti": f"""SELECT 'line', 'labels_vti', CAST(id AS VARCHAR), count(*) FROM (
+  SELECT coalesce(max(CASE WHEN {_ON.format(t=0.5)} THEN label_id END), 0) AS id FROM stitched GROUP BY trace_idx, sample_idx) GROUP BY id""",
+    "png": f"""SELECT 'line', 'overlay_png', c, CAST(sum(CASE c WHEN 'r' THEN r WHEN 'g' THEN g ELSE b END) AS BIGINT) FROM (
+  SELECT {_blend('r', 'gray')}, {_blend('g', 'gray')}, {_blend('b', 'gray')} FROM (
+    SELECT any_value(CAST(gray AS INT)) AS gray, {', '.join(f'coalesce(bool_or({_ON.format(t=0.5)}) FILTER (WHERE label_id = {i}), false) AS on{i}' for i in range(1, 6))}
+    FROM stitched JOIN gray USING (trace_idx, sample_idx) GROUP BY trace_idx, sample_idx)), (VALUES ('r'), ('g'), ('b')) AS v(c) GROUP BY c""",
+}
+_NAMED = "SELECT * FROM ({}) AS t(section_id, artifact, key, total)"
+ORACLE_SQL |= {f"export_{k}": f"WITH {_FUSED} {_NAMED.format(sql)}" for k, sql in _TOTALS.items()} | {
+    "export_all": f"WITH {_FUSED} {_NAMED.format(' UNION ALL '.join(_TOTALS.values()))}",
     # the name ends in the CRC-32 of "line"
-    "run_manifest": f"SELECT 'missing.sgy' AS file, 'input' AS artifact, 'missing' AS status UNION ALL SELECT 'line-d114b4f6.sgy', 'masks_npz', 'written' FROM {_FILES}",
+    "run_manifest": """SELECT 'missing.sgy' AS file, 'input' AS artifact, 'missing' AS status, CAST(NULL AS BIGINT) AS n_nan
+UNION ALL SELECT 'line-d114b4f6.sgy', 'masks_npz', 'written', (SELECT count(*) FROM embeddings WHERE vec_id % 9 = 0)""",
+    "mask_bits": f"""WITH {_FUSED} SELECT label_id, CAST(sum(CASE WHEN {_ON.format(t=0.7)} THEN 1 ELSE 0 END) AS BIGINT) AS n_on, count(*) AS n,
+  bool_or({_ON.format(t=0.7)}) AS mask_any FROM stitched GROUP BY 1""",
+    "threshold_curve": f"""WITH {_FUSED}, s AS (SELECT CAST(unnest(range(0, 201)) AS INT) AS step),
+c AS (SELECT label_id, prob, count(*) AS k FROM stitched GROUP BY 1, 2), n AS (SELECT label_id, CAST(sum(k) AS BIGINT) AS n FROM c GROUP BY 1)
+SELECT label_id, step, CAST(sum(k) AS BIGINT) AS n_on, any_value(n) AS n FROM c JOIN n USING (label_id) JOIN s ON prob >= CAST(step / 200.0::DOUBLE AS FLOAT) GROUP BY 1, 2""",
+    "segment_default": f"""WITH {_LARGE}, {_flat('fx_large')}, {_levels('flat', 'trace_idx, sample_idx,')}, {_LABELS},
+shape AS (SELECT 3 * (max(vec_id) + 1) AS h FROM embeddings),
+ys AS (SELECT CAST(unnest({_starts('greatest(h, 1024)', 1024, 512)}) AS INT) AS tile_y FROM shape),
+xs AS (SELECT unnest([0, 256]) AS tile_x),
+tiles AS (SELECT trace_idx, sample_idx, gray, (31 * tile_y + 17 * tile_x) % 7 AS turn FROM gray JOIN ys ON trace_idx >= tile_y AND trace_idx < tile_y + 1024
+  JOIN xs ON sample_idx >= tile_x AND sample_idx < tile_x + 1024),
+best AS (SELECT trace_idx, sample_idx, any_value(gray) AS gray, max(turn) AS turn FROM tiles GROUP BY 1, 2),
+scored AS (SELECT label_id, gray / 255.0::DOUBLE - label_id / 6.0::DOUBLE + turn / 10.0::DOUBLE - 0.3::DOUBLE AS u FROM best, labels5),
+fused AS (SELECT label_id, CAST(0.5::DOUBLE + 0.5::DOUBLE * u / (1 + abs(u)) AS FLOAT) AS prob FROM scored)
+SELECT label_id, label, round(100.0::DOUBLE * sum(CASE WHEN {_ON.format(t=0.5)} THEN 1 ELSE 0 END) / count(*), 6) AS pct FROM fused JOIN labels5 USING (label_id) GROUP BY 1, 2""",
 }

@@ -26,4 +26,4 @@ LABELS = "label_id int, label string, r int, g int, b int"
 STRIPS = "section_id string, label_id int, tile_y int, tile_x int, row_off int, probs array<float>"
 SCORED = f"{STRIPS}, error string"
 PIXELS = "section_id string, label_id int, trace_idx int, sample_idx int, prob float"
-MANIFEST = "section_id string, path string, artifact string, status string, error string"
+MANIFEST = "section_id string, path string, artifact string, status string, error string, n_bytes long"

@@ -1,99 +1,297 @@
-"""Files per section: mask archives, overlay images, label volumes, SEG-Y.
-
-A file holds a range of traces of at most ``most_pixels`` pixels and is one worker's
-work.  A section of more has several files, each named by its first trace and with a
-row of its own in the manifest; see ``join_parts`` for reading SEG-Y parts together.
-Only a section whose single traces are longer than that gets a row with status
-``too_large``.  A range that fails gives a row with its error and doesn't stop the
-others.  The folder must be mounted on every machine.
+"""One file of each kind per section: overlay images, mask archives, label volumes, SEG-Y.
+
+A file is made of pieces of at most ``most_pixels`` pixels (at least one trace, or one
+row of samples), which tasks make and compress apart, and which one task puts one after
+the other as they come, holding no more than a few of them.  So a section of any size has
+one file of each kind.
+
+Files are written in a transaction (``ArtifactWriter``): tasks write under the job's own
+folder, and only when all have ended are files moved to their places and listed in the
+job's manifest.  A job that fails leaves no file.  A section that fails is a row with its
+error and doesn't stop the others.  The manifest is a table of files; looking at it
+again writes nothing.  The folder must be mounted on every machine.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 import os
+import shutil
 import struct
+import uuid
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from .. import schemas
 from ..catalog import LABELS
 from ..operators.normalize import section_shape
 from ..sources.segy import BINARY_HEADER, EXTENDED_AT, FORMAT_AT, IBM, IEEE, INLINE_AT, SAMPLES_AT, TEXT_HEADER, TRACE_HEADER, XLINE_AT, encode_ibm
-from ..storage import mounted
+from ..storage import mounted, shared_dir
+from . import formats
 
 MOST_PIXELS = 1 << 20
-PART = r"-t(\d{10})(\.\w+)"
-
-
-def png_bytes(rgb: np.ndarray) -> bytes:
-    """An 8-bit RGB image in the PNG format."""
-    h, w, _ = rgb.shape
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    rows = np.concatenate([np.zeros((h, 1), np.uint8), rgb.astype(np.uint8).reshape(h, 3 * w)], axis=1)
-    head = struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
-
-
-def vti_text(labels: np.ndarray, trace_spacing: float, sample_interval: float, first: int = 0) -> str:
-    """A VTK ImageData file with one integer per cell; the first axis is the traces from ``first``."""
-    h, w = labels.shape
-    data = np.asfortranarray(labels, np.int32).tobytes(order="F")
-    payload = base64.b64encode(struct.pack("<I", len(data))).decode() + base64.b64encode(data).decode()
-    extent = f"{first} {first + h} 0 {w} 0 1"
-    return (
-        '<?xml version="1.0"?>\n<VTKFile type="ImageData" version="0.1" byte_order="LittleEndian">\n'
-        f'<ImageData WholeExtent="{extent}" Origin="0 0 0" Spacing="{trace_spacing} {sample_interval} 1.0">\n<Piece Extent="{extent}">\n'
-        f'<CellData Scalars="label">\n<DataArray type="Int32" Name="label" format="binary">{payload}</DataArray>\n</CellData>\n'
-        "</Piece>\n</ImageData>\n</VTKFile>\n"
-    )
-
-
-def _save(path: str, data: bytes) -> None:
-    """Write beside the target and rename, so that a retried task leaves whole files."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    part = f"{path}.{os.getpid()}.part"
-    with open(part, "wb") as f:
-        f.write(data)
-    os.replace(part, path)
-
-
-def _per_range(rows: DataFrame, shapes: DataFrame, artifact: str, name_of: Callable[[str], str], make: Callable[[pd.DataFrame, int, int, int], bytes], most: int) -> DataFrame:
-    """One file for each range of traces; ``make`` has its first trace, height and width."""
-
-    def write(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        section, first, per_file, n_traces, n_samples = key
-        path = name_of(section)
-        if n_traces > per_file:
-            stem, kind = os.path.splitext(path)
-            path = f"{stem}-t{first:010d}{kind}"
+PIECES = (
+    "section_id string, path string, artifact string, part_no int, part string, seq long, n_traces int, n_samples int, "
+    "data binary, size long, crc long, adler long, error string"
+)
+
+
+# --- putting pieces together
+
+
+class _Png:
+    def __init__(self, out, row: dict, _: dict):
+        self.out, self.adler = out, 1
+        out.write(formats.png_head(row["n_traces"], row["n_samples"]))
+
+    def add(self, row: dict) -> None:
+        self.out.write(formats.png_band(formats.Band(row["data"], row["size"], row["crc"], row["adler"])))
+        self.adler = formats.joined_adler(self.adler, row["adler"], row["size"])
+
+    def end(self) -> None:
+        self.out.write(formats.png_tail(self.adler))
+
+
+class _Npz:
+    def __init__(self, out, row: dict, _: dict):
+        self.out, self.members, self.part = out, [], None
+
+    def add(self, row: dict) -> None:
+        if row["part"] != self.part:
+            self._close()
+            self.part, self.at, self.crc, self.size = row["part"], self.out.tell(), 0, 0
+            self.out.write(formats.zip_member_head(f"{self.part}.npy"))
+            self.begun = self.out.tell()
+            self._take(formats.band_of(formats.npy_head(np.dtype(bool), (row["n_traces"], row["n_samples"]))))
+        self._take(formats.Band(row["data"], row["size"], row["crc"], row["adler"]))
+
+    def _take(self, band: formats.Band) -> None:
+        self.out.write(band.data)
+        self.crc, self.size = formats.joined_crc(self.crc, band.crc, band.size), self.size + band.size
+
+    def _close(self) -> None:
+        if self.part is not None:
+            stored = self.out.tell() - self.begun + len(formats.LAST_BLOCK)
+            self.out.write(formats.zip_member_tail(self.crc, stored, self.size))
+            self.members.append(formats.Member(f"{self.part}.npy", self.at, stored, self.size, self.crc))
+
+    def end(self) -> None:
+        self._close()
+        self.out.write(formats.zip_directory(self.members, self.out.tell()))
+
+
+class _Vti:
+    def __init__(self, out, row: dict, options: dict):
+        self.out = out
+        spacing = float(options.get("trace_spacing", 25.0)), float(options.get("sample_interval", 4.0))
+        out.write(formats.vti_head((row["n_traces"], row["n_samples"]), spacing, 4 * row["n_traces"] * row["n_samples"]))
+
+    def add(self, row: dict) -> None:
+        self.out.write(row["data"])
+
+    def end(self) -> None:
+        self.out.write(formats.VTI_TAIL)
+
+
+class _Segy:
+    def __init__(self, out, row: dict, options: dict):
+        self.out = out
+        out.write(segy_head(row["n_samples"], int(options.get("segy_format", IEEE))))
+
+    def add(self, row: dict) -> None:
+        self.out.write(row["data"])
+
+    def end(self) -> None: ...
+
+
+ASSEMBLIES = {"overlay_png": _Png, "masks_npz": _Npz, "labels_vti": _Vti, "segy": _Segy}
+
+
+class _File:
+    """One artifact in the making, under a name of the job."""
+
+    def __init__(self, folder: str, row: dict, options: dict):
+        self.made = {"section_id": row["section_id"], "path": row["path"], "artifact": row["artifact"], "status": "written", "error": None, "n_bytes": None, "temp": f"{folder}/{uuid.uuid4().hex}"}
+        self.last, self.out = (None, 0), None
+        try:
+            os.makedirs(folder, exist_ok=True)
+            self.out = open(self.made["temp"], "wb")
+            self.kind = ASSEMBLIES[row["artifact"]](self.out, row, options)
+        except Exception as error:  # noqa: BLE001  one artifact's failure is a row
+            self._fail(f"{type(error).__name__}: {error}")
+
+    def _fail(self, error: str) -> None:
+        if self.made["status"] == "written":
+            self.made |= {"status": "failed", "error": error}
+
+    def add(self, row: dict) -> None:
+        if row["error"] is not None:
+            self._fail(row["error"])
+        if self.made["status"] != "written":
+            return
+        try:
+            if row["seq"] != (self.last[1] + 1 if self.last[0] == row["part_no"] else 0):
+                raise ValueError(f"traces are missing before piece {row['seq']}")
+            self.last = row["part_no"], row["seq"]
+            self.kind.add(row)
+        except Exception as error:  # noqa: BLE001
+            self._fail(f"{type(error).__name__}: {error}")
+
+    def close(self) -> dict:
+        try:
+            if self.made["status"] == "written":
+                self.kind.end()
+                self.made["n_bytes"] = self.out.tell()
+        except Exception as error:  # noqa: BLE001
+            self._fail(f"{type(error).__name__}: {error}")
+        if self.out:
+            self.out.close()
+            if self.made["status"] != "written":
+                os.remove(self.made["temp"])
+        return self.made
+
+
+# --- the transaction
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """Where a task listed the files it made."""
+
+    listing: str = field(default="")
+
+
+class ArtifactWriter(DataSourceArrowWriter):
+    """Pieces of files, sorted by path within each task, become files.
+
+    A task's files and its list of them lie in the job's folder until the job commits, so a
+    task that is run twice, or a job that is stopped, leaves nothing in the place of files.
+    The driver sees the name of one list for each task."""
+
+    def __init__(self, options: dict):
+        self.options = dict(options)
+        self.folder, self.job = options["folder"], options["job"]
+
+    @property
+    def temp(self) -> str:
+        return f"{self.folder}/.job-{self.job}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        made: list[dict] = []
+        current = None
+        for batch in iterator:
+            for i in range(len(batch)):  # one piece at a time is taken out of the batch
+                row = batch.slice(i, 1).to_pylist()[0]
+                if current is None or row["path"] != current.made["path"]:
+                    if current:
+                        made.append(current.close())
+                    current = _File(self.temp, row, self.options)
+                current.add(row)
+        if current:
+            made.append(current.close())
+        if not made:
+            return Written()
+        if all(m["status"] == "failed" for m in made) and not os.path.isdir(self.temp):
+            return Written("".join(json.dumps(m) + "\n" for m in made))  # nowhere to write at all
+        listing = f"{self.temp}/{uuid.uuid4().hex}.list"
+        with open(listing, "w") as f:
+            f.writelines(json.dumps(m) + "\n" for m in made)
+        return Written(f"@{listing}")
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        manifest = self.options["manifest"]
+        os.makedirs(manifest, exist_ok=True)
+        for n, message in enumerate(m for m in messages if m and m.listing):
+            with open(f"{manifest}/part-{n:06d}.json", "w") as out:
+                for line in open(message.listing[1:]) if message.listing.startswith("@") else message.listing.splitlines():
+                    made = json.loads(line)
+                    if made["status"] == "written":
+                        os.replace(made["temp"], made["path"])
+                    del made["temp"]
+                    out.write(json.dumps(made) + "\n")
+        self.abort([])
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        shutil.rmtree(self.temp, ignore_errors=True)
+
+
+class ArtifactSink(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "tracewright_artifacts"
+
+    def writer(self, schema, overwrite: bool) -> ArtifactWriter:
+        return ArtifactWriter(self.options)
+
+
+def write_pieces(spark: SparkSession, pieces: DataFrame, folder: str, **options) -> DataFrame:
+    """Write the files that ``pieces`` are of, and give the manifest: ``section_id, path, artifact,
+    status, error, n_bytes``."""
+    folder, job = mounted(folder), uuid.uuid4().hex
+    manifest = f"{mounted(shared_dir(spark)).rstrip('/')}/manifest-{job}"
+    spark.dataSource.register(ArtifactSink)
+    dealt = pieces.repartition("path").sortWithinPartitions("path", "part_no", "seq")
+    dealt.write.format(ArtifactSink.name()).mode("append").options(folder=folder, job=job, manifest=manifest, **options).save()
+    return spark.read.schema(schemas.MANIFEST).json(manifest)
+
+
+# --- making pieces
+
+
+def _pieces(rows: DataFrame, place: dict[str, Column], artifact: str, folder: str, ending: str, make: Callable[[pd.DataFrame, dict], bytes], compress: bool) -> DataFrame:
+    """Rows grouped into pieces; ``place`` says which one, and the shape of the section."""
+    keys = ["section_id", "part_no", "part", "seq", "n_traces", "n_samples"]
+
+    def piece(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        at = dict(zip(keys, key, strict=True))
+        band, error = formats.Band(b"", 0, 0, 1), None
         try:
-            _save(path, make(frame, first, min(per_file, n_traces - first), n_samples))
-            row = (section, path, artifact, "written", None)
-        except Exception as error:  # noqa: BLE001  one range's failure is a row
-            row = (section, path, artifact, "failed", f"{type(error).__name__}: {error}")
-        return pd.DataFrame([row], columns=["section_id", "path", "artifact", "status", "error"])
+            raw = make(frame, at)
+            band = formats.band_of(raw) if compress else formats.Band(raw, len(raw), 0, 1)
+        except Exception as failure:  # noqa: BLE001  one section's failure is a row
+            error = f"{type(failure).__name__}: {failure}"
+        path = f"{folder}/{_stem(at['section_id'])}{ending}"
+        row = (at["section_id"], path, artifact, at["part_no"], at["part"], at["seq"], at["n_traces"], at["n_samples"], band.data, band.size, band.crc, band.adler, error)
+        return pd.DataFrame([row], columns=[c.split()[0] for c in PIECES.split(", ")])
 
-    width = F.greatest("n_samples", F.lit(1))
-    shapes = shapes.select(F.col("section_id").alias("_section"), F.floor(F.lit(most) / width).cast("int").alias("_per"), F.col("n_traces").alias("_h"), F.col("n_samples").alias("_w"))
-    first = (F.col("trace_idx") - F.col("trace_idx") % F.col("_per")).alias("_first")
-    placed = rows.join(shapes.where("_per > 0"), F.col("section_id") == F.col("_section"))
-    written = placed.groupBy("section_id", first, "_per", "_h", "_w").applyInPandas(write, schemas.MANIFEST)
-    none = F.lit(None).cast("string")
-    large = shapes.where("_per = 0").select(F.col("_section").alias("section_id"), none.alias("path"), F.lit(artifact).alias("artifact"), F.lit("too_large").alias("status"), none.alias("error"))
-    return written.unionByName(large)
+    return rows.withColumns(place).groupBy(*keys).applyInPandas(piece, PIECES)
 
 
-def join_parts(rows: DataFrame) -> DataFrame:
-    """Rows of ``read_segy`` over exported files, those of one section's parts under one
-    ``section_id`` and numbered as in the section."""
-    first = F.coalesce(F.regexp_extract("path", PART + "$", 1).try_cast("int"), F.lit(0))
-    return rows.withColumn("trace_idx", F.col("trace_idx") + first).withColumn("section_id", F.regexp_replace("section_id", PART + "(?=$|#)", "$2"))
+def _shaped(rows: DataFrame, shapes: DataFrame) -> DataFrame:
+    shapes = shapes.select(F.col("section_id").alias("_of"), "n_traces", "n_samples")
+    return rows.join(shapes, F.col("section_id") == F.col("_of")).drop("_of")
+
+
+def _by_traces(most: int, part_no: Column | None = None, part: Column | None = None) -> dict[str, Column]:
+    per = F.greatest(F.floor(F.lit(most) / F.greatest("n_samples", F.lit(1))), F.lit(1))
+    return {
+        "part_no": F.lit(0) if part_no is None else part_no, "part": F.lit("") if part is None else part,
+        "per": per.cast("int"), "seq": F.floor(F.col("trace_idx") / per).cast("long"),
+    }
+
+
+def _filled(frame: pd.DataFrame, at: dict, columns: list[str], kind: type) -> np.ndarray:
+    """Traces of a piece as one array, by their place; every trace must be there, none twice."""
+    per = int(frame["per"].iloc[0])
+    first = at["seq"] * per
+    n = min(per, at["n_traces"] - first)
+    order = frame["trace_idx"].to_numpy() - first
+    if sorted(order.tolist()) != list(range(n)):
+        raise ValueError(f"not every trace from {first} to {first + n - 1} is there once")
+    out = np.zeros((n, at["n_samples"], len(columns)), kind)
+    for k, c in enumerate(columns):
+        for i, values in zip(order.tolist(), frame[c], strict=True):
+            out[i, : len(values), k] = values
+    return out if len(columns) > 1 else out[:, :, 0]
 
 
 def _stem(section_id: str) -> str:
@@ -102,67 +300,107 @@ def _stem(section_id: str) -> str:
     return f"{stem}-{zlib.crc32(section_id.encode()):08x}"
 
 
-def export_npz(masks: DataFrame, folder: str, most_pixels: int = MOST_PIXELS) -> DataFrame:
-    """Compressed archives of each section's ranges of traces with a boolean array per label."""
-    folder, names = mounted(folder), {i: n.replace(" ", "_") for i, n, *_ in LABELS}
+def npz_pieces(masks: DataFrame, folder: str, most_pixels: int = MOST_PIXELS, shapes: DataFrame | None = None) -> DataFrame:
+    """A boolean array per label; a label outside the catalog has its number as name."""
+    names = {i: n.replace(" ", "_") for i, n, *_ in LABELS}
+    part = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for item in names.items() for x in item]), F.col("label_id")), F.concat(F.lit("label_"), F.col("label_id").cast("string")))
+    rows = _shaped(masks, section_shape(masks, "mask") if shapes is None else shapes)
+    return _pieces(rows, _by_traces(most_pixels, F.col("label_id"), part), "masks_npz", mounted(folder), "_masks.npz", lambda frame, at: _filled(frame, at, ["mask"], bool).tobytes(), True)
 
-    def make(frame: pd.DataFrame, first: int, h: int, w: int) -> bytes:
-        import io
 
-        arrays = {names.get(k, f"label_{k}"): np.stack(g.sort_values("trace_idx")["mask"].to_list()).astype(bool) for k, g in frame.groupby("label_id")}
-        out = io.BytesIO()
-        np.savez_compressed(out, **arrays)
-        return out.getvalue()
+def png_pieces(overlay: DataFrame, folder: str, most_pixels: int = MOST_PIXELS, shapes: DataFrame | None = None) -> DataFrame:
+    """An image from ``section_id, trace_idx, r, g, b``, arrays per trace."""
+    rows = _shaped(overlay, section_shape(overlay, "r") if shapes is None else shapes)
+    return _pieces(rows, _by_traces(most_pixels), "overlay_png", mounted(folder), "_overlay.png", lambda frame, at: formats.png_rows(_filled(frame, at, ["r", "g", "b"], np.uint8)), True)
 
-    return _per_range(masks, section_shape(masks, "mask"), "masks_npz", lambda s: f"{folder}/{_stem(s)}_masks.npz", make, most_pixels)
 
+def vti_pieces(volume: DataFrame, folder: str, most_pixels: int = MOST_PIXELS, shapes: DataFrame | None = None) -> DataFrame:
+    """A label volume from ``section_id, trace_idx, label_ids``.
 
-def export_png(overlay: DataFrame, folder: str, most_pixels: int = MOST_PIXELS) -> DataFrame:
-    """Images of each section's ranges of traces from ``section_id, trace_idx, r, g, b``, arrays per trace."""
-    folder = mounted(folder)
+    Its traces are the axis that runs fastest, so a piece is a range of samples of all
+    traces, or of one sample and a range of traces where there are more than a piece holds."""
+    rows = _shaped(volume, section_shape(volume, "label_ids") if shapes is None else shapes)
+    wide = F.greatest(F.floor(F.lit(most_pixels) / F.greatest("n_traces", F.lit(1))), F.lit(1)).cast("int")
+    rows = rows.withColumns({"wide": wide, "tall": F.least("n_traces", F.lit(most_pixels))})
+    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.col("n_samples") / F.col("wide")).cast("int") - 1), lambda k: F.struct(k.alias("k"), F.slice("label_ids", k * F.col("wide") + 1, F.col("wide")).alias("ids")))
+    rows = rows.where("n_samples > 0").withColumn("chunk", F.explode(chunks)).select("section_id", "trace_idx", "n_traces", "n_samples", "tall", "wide", "chunk.*")
+    up = F.floor(F.col("trace_idx") / F.col("tall"))
+    place = {"part_no": F.lit(0), "part": F.lit(""), "seq": (F.col("k") * F.ceil(F.col("n_traces") / F.col("tall")) + up).cast("long")}
 
-    def make(frame: pd.DataFrame, first: int, h: int, w: int) -> bytes:
-        image = np.zeros((h, w, 3), np.uint8)
-        for row in frame.itertuples():
-            for i, levels in enumerate((row.r, row.g, row.b)):
-                image[row.trace_idx - first, : len(levels), i] = levels
-        return png_bytes(image)
+    def make(frame: pd.DataFrame, at: dict) -> bytes:
+        k, tall, wide = (int(frame[c].iloc[0]) for c in ("k", "tall", "wide"))
+        first = at["seq"] % -(-at["n_traces"] // tall) * tall
+        n = min(tall, at["n_traces"] - first)
+        order = frame["trace_idx"].to_numpy() - first
+        if sorted(order.tolist()) != list(range(n)):
+            raise ValueError(f"not every trace from {first} to {first + n - 1} is there once")
+        out = np.zeros((min(wide, at["n_samples"] - k * wide), n), "<i4")
+        for i, values in zip(order.tolist(), frame["ids"], strict=True):
+            out[: len(values), i] = values
+        return out.tobytes()
 
-    return _per_range(overlay, section_shape(overlay, "r"), "overlay_png", lambda s: f"{folder}/{_stem(s)}_overlay.png", make, most_pixels)
+    return _pieces(rows, place, "labels_vti", mounted(folder), "_masks.vti", make, False)
 
 
-def export_vti(volume: DataFrame, folder: str, trace_spacing: float = 25.0, sample_interval: float = 4.0, most_pixels: int = MOST_PIXELS) -> DataFrame:
-    """Label volumes of each section's ranges of traces from ``section_id, trace_idx, label_ids``."""
-    folder = mounted(folder)
+def segy_pieces(traces: DataFrame, folder: str, kind: int = IEEE, most_pixels: int = MOST_PIXELS) -> DataFrame:
+    """SEG-Y traces; ``inline_no`` and ``xline_no`` go to the headers if there."""
 
-    def make(frame: pd.DataFrame, first: int, h: int, w: int) -> bytes:
-        return vti_text(np.stack(frame.sort_values("trace_idx")["label_ids"].to_list()), trace_spacing, sample_interval, first).encode()
+    def make(frame: pd.DataFrame, at: dict) -> bytes:
+        if at["n_samples"] > 0xFFFF:
+            raise ValueError("a trace of this format has at most 65535 samples")
+        samples = _filled(frame, at, ["samples"], np.float32)
+        order = np.argsort(frame["trace_idx"].to_numpy())
+        return segy_traces(samples, kind, *(frame[c].to_numpy()[order] if c in frame else None for c in ("inline_no", "xline_no")))
 
-    return _per_range(volume, section_shape(volume, "label_ids"), "labels_vti", lambda s: f"{folder}/{_stem(s)}_masks.vti", make, most_pixels)
+    return _pieces(_shaped(traces, section_shape(traces)), _by_traces(most_pixels), "segy", mounted(folder), ".sgy", make, False)
 
 
-def segy_bytes(samples: np.ndarray, kind: int = IEEE, inlines: np.ndarray | None = None, xlines: np.ndarray | None = None) -> bytes:
-    """A SEG-Y file of traces with one length."""
-    n, width = samples.shape
+# --- exports
+
+
+def export_npz(masks: DataFrame, folder: str, most_pixels: int = MOST_PIXELS, shapes: DataFrame | None = None) -> DataFrame:
+    """A compressed archive per section with a boolean array per label; its manifest."""
+    return write_pieces(masks.sparkSession, npz_pieces(masks, folder, most_pixels, shapes), folder)
+
+
+def export_png(overlay: DataFrame, folder: str, most_pixels: int = MOST_PIXELS, shapes: DataFrame | None = None) -> DataFrame:
+    """An image per section; its manifest."""
+    return write_pieces(overlay.sparkSession, png_pieces(overlay, folder, most_pixels, shapes), folder)
+
+
+def export_vti(volume: DataFrame, folder: str, trace_spacing: float = 25.0, sample_interval: float = 4.0, most_pixels: int = MOST_PIXELS, shapes: DataFrame | None = None) -> DataFrame:
+    """A label volume per section; its manifest."""
+    return write_pieces(volume.sparkSession, vti_pieces(volume, folder, most_pixels, shapes), folder, trace_spacing=trace_spacing, sample_interval=sample_interval)
+
+
+def export_segy(traces: DataFrame, folder: str, kind: int = IEEE, most_pixels: int = MOST_PIXELS) -> DataFrame:
+    """A SEG-Y file per section; its manifest."""
+    return write_pieces(traces.sparkSession, segy_pieces(traces, folder, kind, most_pixels), folder, segy_format=kind)
+
+
+def export_together(spark: SparkSession, pieces: list[DataFrame], folder: str, **options) -> DataFrame:
+    """Files of several kinds in one transaction; their manifest."""
+    return write_pieces(spark, reduce(DataFrame.unionByName, pieces), folder, **options)
+
+
+def segy_head(width: int, kind: int = IEEE) -> bytes:
     head = np.zeros(TEXT_HEADER + BINARY_HEADER, np.uint8)
     for at, value in ((SAMPLES_AT, width), (FORMAT_AT, kind), (EXTENDED_AT, 0)):
-        head[at : at + 2] = np.frombuffer(np.array([value], ">u2").tobytes(), np.uint8)
+        head[at : at + 2] = np.frombuffer(struct.pack(">H", value), np.uint8)
+    return head.tobytes()
+
+
+def segy_traces(samples: np.ndarray, kind: int = IEEE, inlines: np.ndarray | None = None, xlines: np.ndarray | None = None) -> bytes:
+    n, width = samples.shape
     words = encode_ibm(samples) if kind == IBM else np.asarray(samples, np.float32).view(np.uint32)
     body = np.zeros((n, TRACE_HEADER + 4 * width), np.uint8)
     body[:, TRACE_HEADER:] = words.astype(">u4").view(np.uint8).reshape(n, 4 * width)
     for at, values in ((INLINE_AT, inlines), (XLINE_AT, xlines)):
         if values is not None:
             body[:, at : at + 4] = np.asarray(values).astype(">i4").view(np.uint8).reshape(n, 4)
-    return head.tobytes() + body.tobytes()
+    return body.tobytes()
 
 
-def export_segy(traces: DataFrame, folder: str, kind: int = IEEE, most_pixels: int = MOST_PIXELS) -> DataFrame:
-    """SEG-Y files of each section's ranges of traces; ``inline_no`` and ``xline_no`` go to the headers if there."""
-    folder = mounted(folder)
-
-    def make(frame: pd.DataFrame, first: int, h: int, w: int) -> bytes:
-        frame = frame.sort_values("trace_idx")
-        numbers = [frame[c].to_numpy() if c in frame else None for c in ("inline_no", "xline_no")]
-        return segy_bytes(np.stack(frame["samples"].to_list()), kind, *numbers)
-
-    return _per_range(traces, section_shape(traces), "segy", lambda s: f"{folder}/{_stem(s)}.sgy", make, most_pixels)
+def segy_bytes(samples: np.ndarray, kind: int = IEEE, inlines: np.ndarray | None = None, xlines: np.ndarray | None = None) -> bytes:
+    """A SEG-Y file of traces with one length."""
+    return segy_head(samples.shape[1], kind) + segy_traces(samples, kind, inlines, xlines)
