@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import tile_starts
-from .normalize import section_shape
+from ..functions.columns import gray_level, tile_starts
+from .normalize import gray_traces, section_shape
 
 TILE, STRIDE = 1024, 512
 
@@ -87,3 +87,44 @@ def tile_cut(padded: DataFrame, tile: int = TILE, stride: int = STRIDE) -> DataF
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(xs, pa.int32()), pa.array(pixels, pa.binary())], names=["section_id", "tile_y", "tile_x", "pixels"])
 
     return bands.mapInArrow(cut, "section_id string, tile_y int, tile_x int, pixels binary")
+
+
+MOST_BOUNDS = 1 << 16
+
+
+def tile_cut_scanned(bands: DataFrame, bounds: DataFrame, tile: int = TILE, stride: int = STRIDE) -> DataFrame:
+    """The tiles of ``tile_cut`` from the bands of a source (``read_bands``), without a shuffle.
+
+    ``bounds`` are sent to the bands while they are at most ``MOST_BOUNDS`` sections; beyond
+    that traces are padded and dealt as usual.  A task holds one band, as bytes."""
+    traces = bands.where("status = 'ok'")
+    if bounds.limit(MOST_BOUNDS + 1).count() > MOST_BOUNDS:
+        once = traces.dropDuplicates(["section_id", "trace_idx"])
+        return tile_cut(edge_pad(gray_traces(once, bounds), tile), tile, stride)
+    levels = F.transform("samples", lambda v: gray_level(v, F.col("lo"), F.col("hi")))
+    gray = traces.join(F.broadcast(bounds), "section_id").select("section_id", "tile_y", "trace_idx", "n_traces", "n_samples", levels.alias("gray"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band, rows = None, []
+
+        def tiles() -> pa.RecordBatch:
+            section, y, n_traces, n_samples = band
+            image = np.stack(rows)
+            image = np.pad(image, ((0, max(0, tile - len(rows))), (0, max(0, tile - n_samples))), "edge")
+            width = image.shape[1]
+            xs = [0] if width == tile else sorted({*range(0, width - tile + 1, stride), width - tile})
+            pixels = [np.ascontiguousarray(image[:, x : x + tile]).tobytes() for x in xs]
+            return pa.RecordBatch.from_arrays([pa.array([section] * len(xs)), pa.array([y] * len(xs), pa.int32()), pa.array(xs, pa.int32()), pa.array(pixels, pa.binary())], names=["section_id", "tile_y", "tile_x", "pixels"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("section_id", "tile_y", "n_traces", "n_samples")), strict=True)
+            levels = batch.column("gray")
+            for key, one in zip(keys, levels, strict=True):
+                if key != band:
+                    band, rows = key, []
+                rows.append(one.values.to_numpy().astype(np.uint8))
+                if len(rows) == min(tile, key[2] - key[1]):
+                    yield tiles()
+                    rows = []
+
+    return gray.where("n_samples > 0").mapInArrow(cut, "section_id string, tile_y int, tile_x int, pixels binary")

@@ -91,7 +91,7 @@ def export_all(result: Segmentation, folder: str, *, trace_spacing: float = 25.0
 def run_manifest(read: DataFrame, written: DataFrame, failures: DataFrame | None = None) -> DataFrame:
     """Status per input and artifact: inputs that couldn't be read, sections with tiles that
     couldn't be scored, and what became of the others, with ``n_nan``, the section's samples
-    that are no numbers and count for no bound."""
+    that are no numbers and count for no bound (null where ``read`` is without samples)."""
     none = F.lit(None).cast("string")
     failed = read.where("status <> 'ok'").select("section_id", "path", F.lit("input").alias("artifact"), "status", none.alias("error"))
     found = failed.distinct().unionByName(written, allowMissingColumns=True)
@@ -99,6 +99,8 @@ def run_manifest(read: DataFrame, written: DataFrame, failures: DataFrame | None
         lost = failures.groupBy("section_id").agg(F.min("error").alias("error"))
         lost = lost.select("section_id", none.alias("path"), F.lit("scores").alias("artifact"), F.lit("failed").alias("status"), "error")
         found = found.unionByName(lost, allowMissingColumns=True)
+    if "samples" not in read.columns:
+        return found.withColumn("n_nan", F.lit(None).cast("long"))
     nan = F.size(F.filter("samples", lambda v: F.isnan(v))).cast("long")
     nans = read.where("status = 'ok'").groupBy(F.col("section_id").alias("of")).agg(F.sum(nan).alias("n_nan"))
     return found.join(nans, F.col("section_id") == F.col("of"), "left").drop("of")

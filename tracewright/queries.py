@@ -137,7 +137,10 @@ def tile_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tile_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tiles = _tiles(spark, sf_dir)
+    return _sums(_tiles(spark, sf_dir))
+
+
+def _sums(tiles: DataFrame) -> DataFrame:
     level = lambda i: F.conv(F.substring(F.hex("pixels"), i * 2 + 1, 2), 16, 10).cast("long")
     total = F.aggregate(F.sequence(F.lit(0), F.lit(TILE * TILE - 1)), F.lit(0).cast("long"), lambda acc, i: acc + level(i))
     return tiles.select("tile_y", "tile_x", F.octet_length("pixels").cast("long").alias("n_pixels"), total.alias("sum_gray"))
@@ -247,6 +250,26 @@ def segy_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("inline_no", "xline_no", "trace_idx", F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 4).alias("sum_samples"))
 
 
+def segy_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few inlines of one cube by its header index."""
+    folder = new_folder(spark, "cube")
+    cube = fixtures.volume(spark, sf_dir).withColumn("trace_idx", F.col("xline_no")).withColumn("section_id", F.lit("cube"))
+    files.export_segy(cube, folder, most_pixels=FILE_PIXELS)
+    segy.index_segy(spark, f"{folder}/index", f"{folder}/*.sgy")
+    rows = segy.read_segy(spark, f"{folder}/*.sgy", geometry="3d", index=f"{folder}/index")
+    rows = segy.inline_slices(rows.where("inline_no in (3, 7) and status = 'ok'"))
+    return rows.select("inline_no", "xline_no", "trace_idx", F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 4).alias("sum_samples"))
+
+
+def tile_cut_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles cut by the tasks that read the file."""
+    folder = _written_segy(spark, sf_dir, fixtures.line(spark, sf_dir))
+    rows = segy.read_segy(spark, f"{folder}/*.sgy").where("status = 'ok'")
+    bounds = _rounded(normalize.clip_bounds(normalize.samples_long(rows)))
+    tiles = tiling.tile_cut_scanned(segy.read_bands(spark, f"{folder}/*.sgy", tile=TILE, stride=STRIDE, bands_per_partition=3), bounds, TILE, STRIDE)
+    return _sums(tiles)
+
+
 def _totals(kind: str, manifest: DataFrame) -> DataFrame:
     """What the files of a kind hold, read back: ``section_id, artifact, key, total``."""
     name = lambda c: F.col(c).cast("string")
@@ -322,7 +345,7 @@ _NAMES = (
     "segment_sections segment_volume label_catalog file_catalog samples_long section_shape inline_slices clip_bounds clip_bounds_2pass normalize_gray "
     "normalize_degenerate to_rgb tile_starts tile_grid edge_pad crop tile_pixels tile_cut prompt_fanout score_tiles sigmoid bilinear_resize stitch_max "
     "stitch_max_packed binarize mask_any coverage label_volume layer_filter overlay_blend mask_keys artifact_names segy_scan segy_volume export_npz "
-    "export_png export_vti export_all run_manifest streaming_fusion mask_bits threshold_curve segment_default"
+    "export_png export_vti export_all run_manifest streaming_fusion mask_bits threshold_curve segment_default segy_inline tile_cut_scan"
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: globals()[name] for name in _NAMES.split()}
 
@@ -458,6 +481,8 @@ SELECT path, stem, stem || '_overlay.png' AS overlay_name, stem || '_masks.npz'
     "segy_volume": f"WITH {_VOLUME} SELECT inline_no, xline_no, trace_idx, round(list_sum([CAST(x AS DOUBLE) FOR x IN samples]), 4) AS sum_samples FROM fx_volume",
 }
 
+ORACLE_SQL["segy_inline"] = ORACLE_SQL["segy_volume"] + " WHERE inline_no IN (3, 7)"
+ORACLE_SQL["tile_cut_scan"] = ORACLE_SQL["tile_cut"]
 _FUSED = f"""{_SCORED},
 stitched AS (SELECT label_id, trace_idx, sample_idx, greatest(CAST(0 AS FLOAT), max(prob)) AS prob FROM probs GROUP BY 1, 2, 3)"""
 _TOTALS = {

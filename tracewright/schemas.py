@@ -22,6 +22,7 @@ SEGY_TRACES = T.StructType(
         T.StructField("status", T.StringType(), False),
     ]
 )
+SEGY_BANDS = T.StructType(SEGY_TRACES.fields + [T.StructField(c, T.IntegerType(), True) for c in ("tile_y", "n_traces", "n_samples")])
 LABELS = "label_id int, label string, r int, g int, b int"
 STRIPS = "section_id string, label_id int, tile_y int, tile_x int, row_off int, probs array<float>"
 SCORED = f"{STRIPS}, error string"
