@@ -60,7 +60,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
-    return html_mincut.extract(pages, html_mincut.fit(pages, max_pages=2000))
+    return html_mincut.extract(pages, html_mincut.fit(pages, max_pages=500))
 
 
 def op10_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +234,8 @@ b AS (
   FROM c LEFT JOIN o a ON a.conv_id = c.conv_id - c.conv_id % 20),
 p AS (
   SELECT conv_id, d, len(s) AS n, md5(CAST(s[1:d] AS VARCHAR)) AS k, CASE WHEN d > 0 THEN md5(CAST(s[1:d - 1] AS VARCHAR)) END AS pk,
-         CASE WHEN d > 0 THEN len(regexp_extract_all(s[d].x, '[^ 	-]+')) ELSE 0 END AS w
+         CASE WHEN d > 0 THEN len(regexp_extract_all(s[d].x, '[^ 	-
+]+')) ELSE 0 END AS w
   FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM b)),
 n AS (
   SELECT d, k, any_value(pk) AS pk, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS saved,
@@ -251,7 +252,8 @@ FROM n JOIN t ON t.d = n.d AND t.k = n.k LEFT JOIN ch ON ch.d = n.d AND ch.k = n
 """,
     "op13_filter_audit": r"""
 WITH d AS (
-  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 g AS (SELECT doc_id AS of, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY 1),
 f AS (
   SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
