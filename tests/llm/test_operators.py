@@ -299,7 +299,7 @@ def brute_hits(rows, items, n):
     return out
 
 
-@pytest.mark.parametrize("max_bytes", [100_000, 200])
+@pytest.mark.parametrize("max_bytes", [100_000, 200, 60])
 def test_benchmark_hits(spark, docs, rows, nothing, max_bytes):
     items = [(1, sentence(60, 2)), (2, None), (3, ""), (4, "ONE"), (5, "É, ß!"), (6, sentence(60, 2)), (None, "same-text"), (8, " ".join(sentence(6000, 6).split()[3000:3012]))]
     bench = spark.createDataFrame(items, "item_id long, text string")

@@ -38,3 +38,35 @@ def test_stages_with_maps(spark, tmp_path, ids):
         got = out.collect()
         assert set(docs.columns) <= set(out.columns) and {r.text for r in got} <= {r[1] for r in rows}
         assert len(got) == {"exact_dedup": 40, "near_dedup": 40, "decontamination": 200}.get(name, len(got)) and all(r.tags for r in got)
+
+
+def test_one_index_at_a_time(spark, monkeypatch):
+    """A benchmark of many blocks: each index is dropped before the next one is made, long
+    items are split, and repeated rows come out as often as they went in."""
+    import gc
+    import weakref
+
+    from test_operators import brute_hits
+
+    from tracewright.llm import decontaminate
+
+    alive, most = weakref.WeakSet(), 0
+    make = decontaminate.WindowIndex.__init__
+
+    def counted(index, items, n):
+        nonlocal most
+        gc.collect()
+        alive.add(index)
+        most = max(most, len(alive))
+        make(index, items, n)
+
+    monkeypatch.setattr(decontaminate.WindowIndex, "__init__", counted)
+    items = [(i, sentence(200, 70 + i, 5000)) for i in range(6)] + [(9, "two words"), (10, None), (11, "")]
+    rows = [(i, sentence(30, 90 + i, 5000) + " " + " ".join(items[i % 6][1].split()[i : i + 8 + i % 5])) for i in range(40)] + [(None, items[2][1])] * 300 + [(50, "has two words in it")] * 3
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.n_words, r.hits, r["items"]) for r in decontaminate.benchmark_hits(docs, bench, 10, max_bytes=500).collect()]
+    want = brute_hits(sorted(set(rows), key=repr), items, 10)
+    assert most == 1 and len(got) == len(rows)
+    assert {(r[0], r[1], len(r[2]), tuple(r[3])) for r in got} == {(w[0], w[1], len(w[2]), tuple(sorted(map(str, w[3])))) for w in want}
+    clean = decontaminate.drop_contaminated(docs, bench, 10, max_bytes=500)
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(w[0] for w in want if not w[2])

@@ -1,23 +1,25 @@
 """Benchmark decontamination.
 
-The windows of the test items form an index that is broadcast while it is small
-(its words are counted first); a larger benchmark is dealt into blocks of bounded
-size and the documents are scanned once for each.  A scan looks up the words of a
-document in the benchmark's vocabulary, keeps the runs of known words long enough
-for a window, hashes the windows in them, and verifies every hash that is found
-against the words themselves.
+The windows of the test items form an index that is broadcast while it is small (its
+bytes are counted first); a larger benchmark is dealt into blocks of bounded size, a longer
+item into pieces that share all words of a window but one.  The documents are scanned for
+one block after the other, and each index is dropped before the next one is made, so the
+driver and the workers hold one at a time.  A scan looks up the words of a document in the
+benchmark's vocabulary, keeps the runs of known words long enough for a window, hashes the
+windows in them, and verifies every hash that is found against the words themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, boxed, list_column, mix64
+from .common import as_bytes, boxed, list_column, mix64, staged
 
 #: A-Z become a-z; ASCII other than letters and digits separates words.
 FOLD = bytes(
@@ -87,21 +89,40 @@ class WindowIndex:
         return len(found), np.flatnonzero(hit), items
 
 
-def _blocks(benchmark: DataFrame, n: int, max_bytes: int) -> Iterator[WindowIndex]:
-    """Indexes over blocks of items of about ``max_bytes`` each; one if all items fit.
+def _pieces(items: DataFrame, n: int, max_bytes: int) -> DataFrame:
+    """Items of more than ``max_bytes`` as pieces; a window of ``n`` words is in one of them whole."""
 
-    An index takes some 20 to 40 bytes for a byte of text at most."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
+                found = words(text)
+                if len(text) <= max_bytes or len(found) <= n:
+                    yield pa.RecordBatch.from_arrays([pa.array([item], pa.string()), pa.array([b" ".join(found)], pa.binary())], names=["item_id", "text"])
+                    continue
+                per = max(1, max_bytes * len(found) // max(1, 2 * len(text)))
+                for at in range(0, len(found) - n + 1, per):
+                    yield pa.RecordBatch.from_arrays([pa.array([item], pa.string()), pa.array([b" ".join(found[at : at + per + n - 1])], pa.binary())], names=["item_id", "text"])
+
+    return items.mapInArrow(run, "item_id string, text binary")
+
+
+def _blocks(benchmark: DataFrame, n: int, max_bytes: int) -> tuple[int, Callable[[int], WindowIndex]]:
+    """Number of blocks of about ``max_bytes`` each, and what makes the index of one; one block if
+    all items fit.
+
+    An index takes some 20 to 40 bytes for a byte of text at most.  A benchmark of several
+    blocks is read once, and kept by block in the shared folder."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text")).where("text is not null")
     total = items.select(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     parts = -(-int(total) // max_bytes) or 1
-    for k in range(parts):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
-        yield WindowIndex([(r.item_id or "", r.text.encode()) for r in block], n)
-
+    if parts == 1:
+        return 1, lambda _: WindowIndex([(r.item_id or "", r.text.encode()) for r in items.collect()], n)
+    pieces = _pieces(items, n, max_bytes).withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
+    kept = staged(pieces.repartition("block").sortWithinPartitions("block"))
+    return parts, lambda k: WindowIndex([(r.item_id or "", bytes(r.text)) for r in kept.where(F.col("block") == k).select("item_id", "text").collect()], n)
 
-def _over_batches(index: WindowIndex, text_col: str, make: Callable[[pa.RecordBatch, list], pa.RecordBatch], spark) -> Callable:
-    shared = spark.sparkContext.broadcast(index)
 
+def _over_batches(shared, text_col: str, make: Callable[[pa.RecordBatch, list], pa.RecordBatch]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shared.value
         for batch in batches:
@@ -110,6 +131,24 @@ def _over_batches(index: WindowIndex, text_col: str, make: Callable[[pa.RecordBa
     return run
 
 
+def _each_block(rows: DataFrame, benchmark: DataFrame, n: int, max_bytes: int, text_col: str, make: Callable, schema, narrow: bool = False) -> list[DataFrame]:
+    """What ``make`` makes of the rows and their hits, for each block of the benchmark.
+
+    One block is one lazy scan.  Of several each scan is written before the next begins;
+    with ``narrow`` a scan reads what the one before left, else all read the same rows."""
+    parts, index_of = _blocks(benchmark, n, max_bytes)
+    out: list[DataFrame] = []
+    for k in range(parts):
+        shared = rows.sparkSession.sparkContext.broadcast(index_of(k))
+        found = rows.mapInArrow(_over_batches(shared, text_col, make(not k)), schema)
+        if parts == 1:
+            return [found]
+        out.append(staged(found))
+        shared.destroy()
+        rows = out[-1] if narrow else rows
+    return out
+
+
 def benchmark_hits(
     docs: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -117,8 +156,8 @@ def benchmark_hits(
     lie in an occurrence of a benchmark window, and the ids of the items found.
 
     Null and empty texts have no words; items without words are in no document;
-    items with equal texts are all found.  Repeated rows stay repeated."""
-    spark, parts = docs.sparkSession, []
+    items with equal texts are all found.  Repeated rows stay repeated, with null ids among
+    them; other columns make no difference."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
     def make(first: bool):
@@ -136,30 +175,28 @@ def benchmark_hits(
         return rows
 
     schema = "doc_id long, text_hash long, n_words long, hits array<int>, items array<string>, copies int"
-    for index in _blocks(benchmark, n, max_bytes):
-        parts.append(base.mapInArrow(_over_batches(index, "text", make(not parts), spark), schema))
+    parts = _each_block(base, benchmark, n, max_bytes, "text", make, schema)
+    every = reduce(DataFrame.unionByName, parts)
     if len(parts) == 1:
-        return parts[0].select("doc_id", "n_words", "hits", "items", "text_hash")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    merged = every.groupBy("doc_id", "text_hash", "n_words").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when((F.col("copies") == 0) | (F.size("hits") > 0), F.col("hits")))))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.size("items") > 0, F.col("items")))))).alias("items"),
-        F.sum("copies").alias("copies"),
+        return every.select("doc_id", "n_words", "hits", "items", "text_hash")
+    # rows that repeat id and text have the same hits: those with any are one row before they meet
+    same = ["doc_id", "text_hash", "n_words"]
+    once = every.where("size(hits) > 0").dropDuplicates([*same, "hits", "items"])
+    merged = once.groupBy(*same).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
-    return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", "n_words", "hits", "items", "text_hash")
+    rows = every.where("copies = 1").select(*same)
+    joined = rows.join(merged.withColumnsRenamed({c: f"_{c}" for c in same}), F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")) & (F.col("n_words") == F.col("_n_words")), "left")
+    return joined.select("doc_id", "n_words", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "text_hash")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int = MAX_BYTES, text_col: str = "text") -> DataFrame:
     """``docs`` without the documents in which a benchmark window occurs; all columns stay.
 
     Null and empty texts stay, whatever the ids; repeated rows stay or go together; with
-    an empty benchmark all stay."""
-    for index in _blocks(benchmark, n, max_bytes):
-        clean = lambda batch, found: batch.filter(pa.array([len(x[1]) == 0 for x in found], pa.bool_()))
-        docs = docs.mapInArrow(_over_batches(index, text_col, clean, docs.sparkSession), docs.schema)
-    return docs
+    an empty benchmark all stay.  No column name clashes."""
+    clean = lambda _: lambda batch, found: batch.filter(pa.array([len(x[1]) == 0 for x in found], pa.bool_()))
+    return _each_block(docs, benchmark, n, max_bytes, text_col, clean, docs.schema, narrow=True)[-1]
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
