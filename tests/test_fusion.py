@@ -22,3 +22,23 @@ def test_result_is_no_driver_table(spark, monkeypatch):
     plan = found._jdf.queryExecution().toString()
     assert "MemoryPlan" not in plan and "parquet" in plan.lower()
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, queries.stitch_max(spark, "").collect()))
+
+
+def test_batches_are_merged(spark, tmp_path):
+    """Of many batches few tables are left, with the same pixels, and a merge can stop halfway."""
+    strips, out, checkpoint = (str(tmp_path / n) for n in ("strips", "out", "checkpoint"))
+    want = {}
+    for n in range(9):
+        rows = [("a", 1, n % 4, 0, 0, [n / 10, (8 - n) / 10])]
+        for j, p in enumerate(rows[0][5]):
+            want[n % 4, j] = max(want.get((n % 4, j), 0.0), p)
+        spark.createDataFrame(rows, schemas.STRIPS).write.mode("append").parquet(strips)
+        fusion.keep_fused(fusion.placed_scores(spark, strips), checkpoint, out, merge_every=3).awaitTermination()
+        assert len(fusion._tables(spark, out)) <= 4
+    (tmp_path / "out" / "_merging").mkdir()  # what a stopped merge leaves
+    got = lambda: {(r.trace_idx, r.sample_idx): round(r.prob, 5) for r in fusion.fused_scores(spark, out).collect()}
+    assert got() == want
+    fusion.merge_fused(spark, out)
+    assert got() == want and len(fusion._tables(spark, out)) == 1
+    fusion.merge_fused(spark, out)
+    assert got() == want

@@ -139,3 +139,64 @@ def test_bits_and_curves(spark):
         for r in counts.collect():
             assert curve.get((r.section_id, r.label_id, step), (0, r.n)) == (r.k, r.n)
     assert M.threshold_curve(maps.where("false")).count() == 0 == bits.where("false").count()
+
+
+@pytest.mark.parametrize("shape,bands", [((60, 20), 1), ((60, 20), 3), ((60, 20), 99), ((5, 20), 2), ((21, 4), 2), ((30, 9), 2)])
+def test_fused_in_the_scan(spark, tmp_path, shape, bands, monkeypatch):
+    """Maps and failures equal to those by shuffle; only what tasks share is a seam."""
+    from tracewright.operators import stitch
+    from tracewright.plans import segment
+
+    (tmp_path / "a.sgy").write_bytes(files.segy_bytes(RNG.normal(size=shape).astype(np.float32)))
+    (tmp_path / "b.sgy").write_bytes(files.segy_bytes(RNG.normal(size=(33, 12)).astype(np.float32)))
+    fragile = fragile_class()
+    traces = segy.read_segy(spark, f"{tmp_path}/*.sgy").select("section_id", "trace_idx", "samples")
+    want = segment.segment_sections(traces, tile=8, stride=4, make_scorer=fragile)
+    got = segment.segment_files(spark, f"{tmp_path}/*.sgy", tile=8, stride=4, make_scorer=fragile, bands_per_partition=bands)
+    assert sorted(map(tuple, got.prob_maps.collect())) == sorted(map(tuple, want.prob_maps.collect()))
+    assert sorted(map(tuple, got.failures.collect())) == sorted(map(tuple, want.failures.collect())) and got.failures.count()
+    assert sorted(map(tuple, got.coverage.collect())) == sorted(map(tuple, want.coverage.collect()))
+    fused = stitch.fuse_scanned(got.tiles, fragile, 8, 4)
+    seams = fused.where("seam").count()
+    cuts = sum(-(-len(segy.window_starts(n, 8, 4)) // bands) - 1 for n in (shape[0], 33))
+    assert (seams > 0) == (cuts > 0) and seams <= 2 * 2 * 8 * cuts
+    monkeypatch.setattr(tiling, "MOST_BOUNDS", 0)
+    dealt = segment.segment_files(spark, f"{tmp_path}/*.sgy", tile=8, stride=4, make_scorer=fragile)
+    assert sorted(map(tuple, dealt.prob_maps.collect())) == sorted(map(tuple, want.prob_maps.collect()))
+
+
+def fragile_class():
+    """Made in a function, so that it goes to the workers by value."""
+
+    class Fragile:
+        labels = (1, 4)
+
+        def score(self, tile, y, x):
+            if (y, x) == (4, 0):
+                raise RuntimeError("this one")
+            return [np.asarray(tile, np.float32) / 255 * (0.5 + (y + x) % 3 / 4), np.full(tile.shape, 0.1 * ((y // 4) % 5), np.float32)]
+
+    return Fragile
+
+
+def test_batches_of_tiles(spark):
+    """A scorer of batches: the same strips, a failing tile alone fails, and the sizes of batches."""
+    from tracewright.operators import scoring
+
+    sizes, Fragile = spark.sparkContext.accumulator(0), fragile_class()
+
+    class Batched(Fragile):
+        def score_batch(self, tiles, ys, xs):
+            sizes.add(len(tiles) if len(tiles) > 1 else 0)
+            return [list(self.score(t, y, x)) for t, y, x in zip(tiles, ys, xs, strict=True)]
+
+    rows = [("s", y, x, bytes((y * 7 + x * 3 + k) % 256 for k in range(64))) for y in range(0, 40, 4) for x in range(0, 12, 4)]
+    tiles = spark.createDataFrame(rows, "section_id string, tile_y int, tile_x int, pixels binary").repartition(2)
+    plain = sorted(map(repr, scoring.score_tiles(tiles, Fragile, 8).collect()))
+    assert sorted(map(repr, scoring.score_tiles(tiles, Batched, 8, batch_tiles=4).collect())) == plain and sizes.value >= 24
+    assert sum("this one" in r for r in plain) == 1 and len(plain) == 1 + 29 * 2 * 8
+
+    def none():
+        raise OSError("no model")
+
+    assert {r.error for r in scoring.score_tiles(tiles, none, 8).collect()} == {"OSError: no model"}

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.segy import window_starts as _starts
+from .scoring import Scorer, scored
+
 
 def strips_long(strips: DataFrame) -> DataFrame:
     """Placed pixels: ``section_id, label_id, trace_idx, sample_idx, prob``; failed tiles have none."""
@@ -65,5 +68,83 @@ def stitch_with_failures(strips: DataFrame, shapes: DataFrame) -> DataFrame:
     return lists.mapInArrow(fold, "section_id string, label_id int, trace_idx int, probs array<float>, tile_xs array<int>, error string")
 
 
+_SCANNED_NAMES = ["section_id", "label_id", "trace_idx", "probs", "seam", "tile_xs", "error"]
+SCANNED = "section_id string, label_id int, trace_idx int, probs array<float>, seam boolean, tile_xs array<int>, error string"
+
+
+def fuse_scanned(tiles: DataFrame, make_scorer: Callable[[], Scorer], tile: int, stride: int) -> DataFrame:
+    """Tiles that are in order of bands within their partitions (``tile_cut_scanned``), scored and
+    fused where they lie: ``section_id, label_id, trace_idx, probs, seam``.
+
+    A task adds its bands to one window of traces as they come and passes on what no later
+    band reaches.  A trace is a seam if a band of another task covers it too.  Tiles that
+    fail are rows as in ``stitch_with_failures``.  A task holds a band of maps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def images() -> Iterator[tuple]:
+            for batch in batches:
+                for row in zip(*(batch.column(c) for c in ("section_id", "tile_y", "tile_x", "n_traces", "n_samples", "pixels")), strict=True):
+                    key = tuple(x.as_py() for x in row[:5])
+                    yield key, key[1], key[2], np.frombuffer(row[5].as_buffer(), np.uint8).reshape(tile, -1)
+
+        window, section, seen = {}, None, []  # by label: the first trace, and maps from there on
+
+        def passed(until: int | None) -> Iterator[pa.RecordBatch]:
+            """Rows of the traces before ``until``; of all that are left where it is None."""
+            name, n_traces, n_samples = section
+            covers = _starts(n_traces, tile, stride)
+            for label, (first, maps) in list(window.items()):
+                n = len(maps) if until is None else max(0, min(until, first + len(maps)) - first)
+                if n:
+                    traces = np.arange(first, first + n)
+                    others = [y for y in covers if y not in seen]
+                    seam = np.zeros(n, bool)
+                    for y in others:
+                        seam |= (traces >= y) & (traces < y + tile)
+                    probs = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * n_samples), pa.array(maps[:n].ravel()))
+                    columns = [pa.array([name] * n, pa.string()), pa.array([label] * n, pa.int32()), pa.array(traces.astype(np.int32)), probs, pa.array(seam), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, names=_SCANNED_NAMES)
+                window[label] = (first + n, maps[n:])
+            if until is None:
+                window.clear()
+
+        for key, found, error in scored(images(), make_scorer):
+            at = (key[0], key[3], key[4])
+            if section is not None and (at != section or key[1] not in seen):
+                # bands that a task has end where the next one of them begins
+                yield from passed(key[1] if at == section and key[1] > seen[-1] else None)
+                seen = seen if at == section and key[1] > seen[-1] else []
+            section = at
+            if key[1] not in seen:
+                seen.append(key[1])
+            if error is not None:
+                columns = [pa.array([key[0]]), pa.nulls(1, pa.int32()), pa.array([key[1]], pa.int32()), pa.nulls(1, pa.list_(pa.float32())), pa.array([False]), pa.array([[key[2]]], pa.list_(pa.int32())), pa.array([error])]
+                yield pa.RecordBatch.from_arrays(columns, names=_SCANNED_NAMES)
+                continue
+            h, w = min(tile, key[3] - key[1]), min(tile, key[4] - key[2])
+            for label, probs in found:
+                first, maps = window.get(label, (key[1], np.zeros((0, key[4]), np.float32)))
+                if short := key[1] + h - first - len(maps):
+                    maps = np.concatenate([maps, np.zeros((max(0, short), key[4]), np.float32)])
+                part = maps[key[1] - first : key[1] - first + h, key[2] : key[2] + w]
+                np.maximum(part, np.asarray(probs, np.float32)[:h, :w], out=part)
+                window[label] = (first, maps)
+        if section is not None:
+            yield from passed(None)
+
+    return tiles.select("section_id", "tile_y", "tile_x", "n_traces", "n_samples", "pixels").mapInArrow(run, SCANNED)
+
+
+def join_seams(scanned: DataFrame) -> DataFrame:
+    """``section_id, label_id, trace_idx, probs`` of ``fuse_scanned``: only seams are shuffled.
+
+    The parts of a seam are those of the few tasks that share it.  ``scanned`` is used twice,
+    so it should be a table that was written."""
+    kept = scanned.where("error is null and not seam").select("section_id", "label_id", "trace_idx", "probs")
+    parts = scanned.where("error is null and seam").groupBy("section_id", "label_id", "trace_idx").agg(F.collect_list("probs").alias("parts"))
+    most = F.aggregate(F.slice("parts", 2, F.size("parts")), F.get("parts", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda p, q: F.greatest(p, q)))
+    return kept.unionByName(parts.select("section_id", "label_id", "trace_idx", most.alias("probs")))
+
+
 def packed_long(maps: DataFrame, values_col: str = "probs", name: str = "prob") -> DataFrame:
     return maps.select("section_id", "label_id", "trace_idx", F.posexplode(values_col).alias("sample_idx", name))

@@ -93,14 +93,16 @@ MOST_BOUNDS = 1 << 16
 
 
 def tile_cut_scanned(bands: DataFrame, bounds: DataFrame, tile: int = TILE, stride: int = STRIDE) -> DataFrame:
-    """The tiles of ``tile_cut`` from the bands of a source (``read_bands``), without a shuffle.
+    """The tiles of ``tile_cut`` from the bands of a source (``read_bands``), without a shuffle, with
+    ``n_traces`` and ``n_samples`` of the section; a band's tiles follow one another.
 
     ``bounds`` are sent to the bands while they are at most ``MOST_BOUNDS`` sections; beyond
     that traces are padded and dealt as usual.  A task holds one band, as bytes."""
     traces = bands.where("status = 'ok'")
     if bounds.limit(MOST_BOUNDS + 1).count() > MOST_BOUNDS:
         once = traces.dropDuplicates(["section_id", "trace_idx"])
-        return tile_cut(edge_pad(gray_traces(once, bounds), tile), tile, stride)
+        cut = tile_cut(edge_pad(gray_traces(once, bounds), tile), tile, stride)
+        return cut.join(section_shape(once), "section_id")
     levels = F.transform("samples", lambda v: gray_level(v, F.col("lo"), F.col("hi")))
     gray = traces.join(F.broadcast(bounds), "section_id").select("section_id", "tile_y", "trace_idx", "n_traces", "n_samples", levels.alias("gray"))
 
@@ -114,7 +116,8 @@ def tile_cut_scanned(bands: DataFrame, bounds: DataFrame, tile: int = TILE, stri
             width = image.shape[1]
             xs = [0] if width == tile else sorted({*range(0, width - tile + 1, stride), width - tile})
             pixels = [np.ascontiguousarray(image[:, x : x + tile]).tobytes() for x in xs]
-            return pa.RecordBatch.from_arrays([pa.array([section] * len(xs)), pa.array([y] * len(xs), pa.int32()), pa.array(xs, pa.int32()), pa.array(pixels, pa.binary())], names=["section_id", "tile_y", "tile_x", "pixels"])
+            n, whole = len(xs), lambda v: pa.array([v] * len(xs), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([section] * n), whole(y), pa.array(xs, pa.int32()), pa.array(pixels, pa.binary()), whole(n_traces), whole(n_samples)], names=["section_id", "tile_y", "tile_x", "pixels", "n_traces", "n_samples"])
 
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in ("section_id", "tile_y", "n_traces", "n_samples")), strict=True)
@@ -127,4 +130,4 @@ def tile_cut_scanned(bands: DataFrame, bounds: DataFrame, tile: int = TILE, stri
                     yield tiles()
                     rows = []
 
-    return gray.where("n_samples > 0").mapInArrow(cut, "section_id string, tile_y int, tile_x int, pixels binary")
+    return gray.where("n_samples > 0").mapInArrow(cut, "section_id string, tile_y int, tile_x int, pixels binary, n_traces int, n_samples int")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import catalog
 from ..operators import masks as M
 from ..operators import normalize, overlay, scoring, stitch, tiling
 from ..sinks import files
+from ..sources.segy import read_bands, read_segy
 from ..storage import staged
 
 
@@ -63,6 +64,28 @@ def segment_sections(
     return Segmentation(bounds, gray, tiles, failures, maps, M.binarize_packed(maps, threshold), M.coverage(M.bit_counts(bits), labels), labels, bits, shapes)
 
 
+def segment_files(
+    spark: SparkSession, *patterns: str, tile: int = tiling.TILE, stride: int = tiling.STRIDE, threshold: float = M.THRESHOLD,
+    make_scorer: Callable[[], scoring.Scorer] = scoring.ClosedFormScorer, bounds: DataFrame | None = None, bands_per_partition: int = 4,
+) -> Segmentation:
+    """``segment_sections`` over 2D files, without a shuffle of samples or tiles.
+
+    Tasks read whole bands, cut, score and fuse them; what they fused is written, and only
+    traces that bands of two tasks cover are shuffled.  More bands in a partition mean
+    fewer of these."""
+    rows = read_segy(spark, *patterns).where("status = 'ok'")
+    traces = rows.select("section_id", "trace_idx", "samples")
+    labels = catalog.label_catalog(spark)
+    bounds = normalize.clip_bounds_two_pass(normalize.samples_long(traces)) if bounds is None else bounds
+    tiles = tiling.tile_cut_scanned(read_bands(spark, *patterns, tile=tile, stride=stride, bands_per_partition=bands_per_partition), bounds, tile, stride)
+    fused = staged(stitch.fuse_scanned(tiles, make_scorer, tile, stride))
+    failures = fused.where("error is not null").select("section_id", F.col("trace_idx").alias("tile_y"), F.explode("tile_xs").alias("tile_x"), "error")
+    maps = stitch.join_seams(fused).join(F.broadcast(labels.select("label_id")), "label_id").select("section_id", "label_id", "trace_idx", "probs")
+    bits = M.binarize_bits(maps, threshold)
+    gray = normalize.gray_traces(traces, bounds)
+    return Segmentation(bounds, gray, tiles, failures, maps, M.binarize_packed(maps, threshold), M.coverage(M.bit_counts(bits), labels), labels, bits, normalize.section_shape(traces))
+
+
 def overlay_traces(result: Segmentation, only: Sequence[str] | None = None, alpha: float = overlay.ALPHA) -> DataFrame:
     return overlay.overlay_packed(result.gray, result.masks, result.labels, only, alpha)
 

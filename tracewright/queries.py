@@ -270,6 +270,14 @@ def tile_cut_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sums(tiles)
 
 
+def segment_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps of the chain whose tasks read, cut, score and fuse whole bands."""
+    folder = _written_segy(spark, sf_dir, fixtures.line(spark, sf_dir))
+    bounds = _rounded(normalize.clip_bounds(normalize.samples_long(segy.read_segy(spark, f"{folder}/*.sgy").where("status = 'ok'"))))
+    done = segment.segment_files(spark, f"{folder}/*.sgy", tile=TILE, stride=STRIDE, bounds=bounds, bands_per_partition=3)
+    return _as_pixels(stitch.packed_long(done.prob_maps))
+
+
 def _totals(kind: str, manifest: DataFrame) -> DataFrame:
     """What the files of a kind hold, read back: ``section_id, artifact, key, total``."""
     name = lambda c: F.col(c).cast("string")
@@ -345,7 +353,7 @@ _NAMES = (
     "segment_sections segment_volume label_catalog file_catalog samples_long section_shape inline_slices clip_bounds clip_bounds_2pass normalize_gray "
     "normalize_degenerate to_rgb tile_starts tile_grid edge_pad crop tile_pixels tile_cut prompt_fanout score_tiles sigmoid bilinear_resize stitch_max "
     "stitch_max_packed binarize mask_any coverage label_volume layer_filter overlay_blend mask_keys artifact_names segy_scan segy_volume export_npz "
-    "export_png export_vti export_all run_manifest streaming_fusion mask_bits threshold_curve segment_default segy_inline tile_cut_scan"
+    "export_png export_vti export_all run_manifest streaming_fusion mask_bits threshold_curve segment_default segy_inline tile_cut_scan segment_scan"
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: globals()[name] for name in _NAMES.split()}
 
@@ -483,6 +491,7 @@ SELECT path, stem, stem || '_overlay.png' AS overlay_name, stem || '_masks.npz'
 
 ORACLE_SQL["segy_inline"] = ORACLE_SQL["segy_volume"] + " WHERE inline_no IN (3, 7)"
 ORACLE_SQL["tile_cut_scan"] = ORACLE_SQL["tile_cut"]
+ORACLE_SQL["segment_scan"] = _STITCHED
 _FUSED = f"""{_SCORED},
 stitched AS (SELECT label_id, trace_idx, sample_idx, greatest(CAST(0 AS FLOAT), max(prob)) AS prob FROM probs GROUP BY 1, 2, 3)"""
 _TOTALS = {

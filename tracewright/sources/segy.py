@@ -185,7 +185,7 @@ class SegyReader(DataSourceReader):
             if at.status != "ok":
                 out.append(Range(path, 0, 0, at))
             elif self.tile:
-                starts = _starts(at.n_traces, self.tile, self.stride)
+                starts = window_starts(at.n_traces, self.tile, self.stride)
                 for k in range(0, len(starts), self.bands_per_partition):
                     some = tuple(starts[k : k + self.bands_per_partition])
                     out.append(Range(path, some[0], min(some[-1] + self.tile, at.n_traces) - some[0], at, some))
@@ -276,7 +276,7 @@ def _numbers(raw: np.ndarray, at: int) -> np.ndarray:
     return np.ascontiguousarray(raw[:, at : at + 4]).view(">i4")[:, 0].astype(np.int32)
 
 
-def _starts(n: int, tile: int, stride: int) -> list[int]:
+def window_starts(n: int, tile: int, stride: int) -> list[int]:
     """Where windows over ``n`` traces begin: every ``stride``, and one that ends with the last."""
     if n <= tile:
         return [0]

@@ -2,7 +2,9 @@
 
 The maximum doesn't depend on the order of its inputs and repeats don't change it, so
 late and repeated strips need no watermark for right results, and what is fused can be
-kept as one Parquet table per batch: no pixel comes to the driver or stays in a state."""
+kept as one Parquet table per batch: no pixel comes to the driver or stays in a state.
+From time to time the batches are merged into one table, so that reading doesn't cost
+more with every batch."""
 
 from __future__ import annotations
 
@@ -18,18 +20,58 @@ def placed_scores(spark: SparkSession, folder: str) -> DataFrame:
     return strips_long(spark.readStream.schema(schemas.STRIPS).parquet(folder))
 
 
-def keep_fused(stream: DataFrame, checkpoint: str, folder: str) -> StreamingQuery:
+MERGE_EVERY = 8
+
+
+def keep_fused(stream: DataFrame, checkpoint: str, folder: str, merge_every: int = MERGE_EVERY) -> StreamingQuery:
     """Run until all that is there is fused, batch by batch, into a shared folder.
 
-    A batch that is run again replaces what it wrote."""
-    stream.sparkSession.createDataFrame([], schemas.PIXELS).write.mode("ignore").parquet(f"{folder}/batch=-1")
+    A batch that is run again replaces what it wrote.  Every ``merge_every`` batches all of
+    them are merged."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], schemas.PIXELS).write.mode("ignore").parquet(f"{folder}/batch=-1")
 
     def write(pixels: DataFrame, batch: int) -> None:
         stitch_long(pixels).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+        if len(_tables(spark, folder)) > merge_every:
+            merge_fused(spark, folder)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _tables(spark: SparkSession, folder: str) -> list[str]:
+    """The tables that count: the last merged one, and the batches after it."""
+    path, fs = _store(spark, folder)
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    merged = max((int(n[7:]) for n in names if n.startswith("merged=")), default=-2)
+    batches = [n for n in names if n.startswith("batch=") and int(n[6:]) > merged]
+    return [f"{folder}/{n}" for n in [*([f"merged={merged}"] if merged > -2 else []), *sorted(batches, key=lambda n: int(n[6:]))]]
+
+
+def _store(spark: SparkSession, folder: str):  # noqa: ANN202  Hadoop's path and file system
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def merge_fused(spark: SparkSession, folder: str) -> None:
+    """Fuse all tables into one.  It counts from the moment it has its name, and what it replaces
+    is deleted after that; a merge that is stopped leaves everything as it was.
+
+    Batches are merged by the query that writes them, so none comes in between.  Readers
+    that began before a merge should be run again if their files are gone."""
+    tables = _tables(spark, folder)
+    last = int(tables[-1].rsplit("=", 1)[1])
+    if len(tables) < 2:
+        return
+    jvm, (_, fs) = spark.sparkContext._jvm, _store(spark, folder)
+    stitch_long(spark.read.schema(schemas.PIXELS).parquet(*tables)).write.mode("overwrite").parquet(f"{folder}/_merging")
+    target = jvm.org.apache.hadoop.fs.Path(f"{folder}/merged={last}")
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(f"{folder}/_merging"), target):
+        raise OSError(f"{target} could not be named")
+    for table in tables:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(table), True)
+
+
 def fused_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The fused pixels of all batches that ``keep_fused`` put into a folder."""
-    return stitch_long(spark.read.schema(schemas.PIXELS).parquet(folder))
+    return stitch_long(spark.read.schema(schemas.PIXELS).parquet(*_tables(spark, folder)))
