@@ -40,6 +40,14 @@ def test_stages_with_maps(spark, tmp_path, ids):
         assert len(got) == {"exact_dedup": 40, "near_dedup": 40, "decontamination": 200}.get(name, len(got)) and all(r.tags for r in got)
 
 
+def test_exact_groups_of_many_repeats(spark):
+    from tracewright.llm import block_naming
+
+    docs = spark.range(10_000).selectExpr("cast(null as long) as doc_id", "if(id % 2 = 0, '', cast(null as string)) as text").unionAll(spark.createDataFrame([(1, "x"), (2, "x")], "doc_id long, text string"))
+    got = block_naming.exact_groups(docs).groupBy("keep_id", "group_size", "kept").count().collect()
+    assert sorted(map(tuple, got), key=repr) == [(2, 2, False, 1), (2, 2, True, 1), (None, 10_000, False, 9_999), (None, 10_000, True, 1)]
+
+
 def test_one_index_at_a_time(spark, monkeypatch):
     """A benchmark of many blocks: each index is dropped before the next one is made, long
     items are split, and repeated rows come out as often as they went in."""

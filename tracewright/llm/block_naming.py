@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import boxed, cut, row_hash
 
 MOST_HEAVY = 1024
+MOST_COPIES = 1 << 12
 KEY = ["doc_id", "n_bytes", "text_hash"]
 
 
@@ -107,9 +108,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked = named.join(F.broadcast(heavy), ["level", "name"], "left")
     rest = marked.where("size is null").drop("id", "size").join(groups.drop("members"), ["level", "name"])
     met = marked.where("size is not null").withColumnsRenamed({"id": "keep_id", "size": "group_size"})
+    # rows that were repeated, however often, are made again some at a time
+    some = F.lit(MOST_COPIES)
     return (
         rest.unionByName(met)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        .withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {MOST_COPIES}"))))
+        .withColumn("copy", F.explode(F.sequence(F.col("run") * some + 1, F.least(F.col("copies"), (F.col("run") + 1) * some))))
         .select(
             "doc_id", "keep_id", "group_size",
             (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
