@@ -257,10 +257,8 @@ def _with_sets(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int
     repeat it, and others of its class that pass, are one set before they meet a pair.  A
     class of very many pairs has its set in several places, among which they are dealt."""
     spark = docs.sparkSession
-    for end in ("a", "b"):
-        place = F.xxhash64("first.doc_id", "first.key")
-        pairs = pairs.join(classes.select(F.col("cls").alias(end), place.alias(f"{end}_doc")), end)
     pairs, used = cut(pairs), []
+    documents = classes.select(F.col("cls").alias("of"), slot_of(F.xxhash64("first.doc_id", "first.key")).alias("slot"))
 
     def scan(bits) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +272,8 @@ def _with_sets(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int
 
     met = pairs.select("a", "b")
     for end, other, name in (("a", "b", "x"), ("b", "a", "y")):
-        used.append(spark.sparkContext.broadcast(bloom(pairs.select(slot_of(F.col(f"{end}_doc")).alias("slot")).distinct(), "slot")))
+        ends = pairs.select(F.col(end).alias("of")).distinct().join(documents, "of")
+        used.append(spark.sparkContext.broadcast(bloom(ends.select("slot").distinct(), "slot")))
         sets = docs.select("text", slot_of(F.xxhash64("doc_id", "key")).alias("slot")).mapInArrow(scan(used[-1]), "cls long, found binary")
         sets = sets.groupBy(F.col("cls").alias(end)).agg(F.any_value("found").alias(name))
         places = cut(pairs.groupBy(F.col(end).alias("of")).agg(F.ceil(F.count("*") / MOST_PAIRS).alias("places")).where("places > 1"))
