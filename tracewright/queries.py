@@ -18,6 +18,7 @@ from .functions import columns as C
 from .operators import masks, normalize, overlay, scoring, stitch, tiling
 from .plans import segment
 from .sinks import files, readback
+from .sources import bounds as kept
 from .sources import segy
 from .storage import new_folder
 from .streaming import fusion
@@ -261,6 +262,18 @@ def segy_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("inline_no", "xline_no", "trace_idx", F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 4).alias("sum_samples"))
 
 
+def clip_bounds_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds of each inline over two cubes, the second added to what is kept of the first."""
+    folder, inline = new_folder(spark, "halves"), F.regexp_extract("section_id", r"#(-?\d+)$", 1).cast("int")
+    half = F.concat(F.lit("half"), (F.col("xline_no") % 2).cast("string"))
+    cube = fixtures.volume(spark, sf_dir).withColumns({"section_id": half, "trace_idx": F.floor(F.col("xline_no") / 2).cast("int")})
+    files.export_segy(cube, folder, most_pixels=FILE_PIXELS)
+    find = lambda name: kept.kept_bounds(spark, f"{folder}/kept", f"{folder}/{name}*.sgy", geometry="3d", by=inline, traces_per_range=256)
+    find("half0")
+    found = find("half").select(inline.alias("inline_no"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+    return found.distinct()
+
+
 def tile_cut_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles cut by the tasks that read the file."""
     folder = _written_segy(spark, sf_dir, fixtures.line(spark, sf_dir))
@@ -353,7 +366,7 @@ _NAMES = (
     "segment_sections segment_volume label_catalog file_catalog samples_long section_shape inline_slices clip_bounds clip_bounds_2pass normalize_gray "
     "normalize_degenerate to_rgb tile_starts tile_grid edge_pad crop tile_pixels tile_cut prompt_fanout score_tiles sigmoid bilinear_resize stitch_max "
     "stitch_max_packed binarize mask_any coverage label_volume layer_filter overlay_blend mask_keys artifact_names segy_scan segy_volume export_npz "
-    "export_png export_vti export_all run_manifest streaming_fusion mask_bits threshold_curve segment_default segy_inline tile_cut_scan segment_scan"
+    "export_png export_vti export_all run_manifest streaming_fusion mask_bits threshold_curve segment_default segy_inline clip_bounds_kept tile_cut_scan segment_scan"
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: globals()[name] for name in _NAMES.split()}
 
@@ -437,6 +450,8 @@ SELECT section_id, CAST(max(trace_idx) + 1 AS INT) AS n_traces, CAST(max(len(sam
     "inline_slices": f"WITH {_VOLUME} SELECT section_id, inline_no, xline_no, trace_idx, samples[1] AS first_sample FROM fx_volume",
     "clip_bounds": _CLIPPED,
     "clip_bounds_2pass": _CLIPPED,
+    "clip_bounds_kept": f"""WITH {_VOLUME}, v AS (SELECT inline_no, unnest(samples) AS amplitude FROM fx_volume)
+SELECT inline_no, round(quantile_cont(CAST(amplitude AS DOUBLE), 0.02), 6) AS lo, round(quantile_cont(CAST(amplitude AS DOUBLE), 0.98), 6) AS hi FROM v GROUP BY 1""",
     "normalize_gray": f"WITH {_BIG}, {_levels('fx_big')} SELECT section_id, gray, count(*) AS n FROM gray GROUP BY 1, 2",
     "normalize_degenerate": "SELECT l_returnflag AS section_id, CAST(0 AS SMALLINT) AS gray, count(*) AS n FROM lineitem GROUP BY 1, 2",
     "to_rgb": f"WITH {_GRAY} SELECT trace_idx, sample_idx, gray AS r, gray AS g, gray AS b FROM gray",
