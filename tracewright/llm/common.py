@@ -108,10 +108,10 @@ def bloom_has(filter_bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word bytes to a 64-bit hash, kept for words seen; emptied beyond ``limit``."""
 
-    def __init__(self, limit: int = 1 << 17):
+    def __init__(self, of: Callable[[bytes], int] | None = None, limit: int = 1 << 17):
         import xxhash
 
-        self.limit, self.of = limit, xxhash.xxh3_64_intdigest
+        self.limit, self.of = limit, of or xxhash.xxh3_64_intdigest
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

@@ -7,7 +7,7 @@ alike).  Those that occur in one document only are dropped; the others are exten
 to twice the length, to the right and to the left, and judged again; what survives
 is extended to the full length, where windows are compared one by one.  A level
 passes on a filter of fixed size over its survivors, which may let others through
-but loses none; the last level is exact on 64-bit window hashes.
+but loses none; the last level names windows by 128 bits, from two hashes of each word.
 
 Of equal texts only the first document takes part; in the others everything that
 lies in a window is repeated.
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,12 +83,14 @@ class Windows:
     def __init__(self, window: int):
         self.window, self.quarter = window, max(1, -(-window // 4))
         self.half = min(2 * self.quarter, window)
-        self.table, self.powers = WordHashes(), _Powers()
-
-    def of(self, text: bytes, filters: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes to judge at the level after the given filters, and where they start."""
-        h = self.table.array(text.split())
-        n, none = len(h), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.table, self.second, self.powers = WordHashes(), WordHashes(xxhash.xxh64_intdigest), _Powers()
+
+    def of(self, text: bytes, filters: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Hashes to judge at the level after the given filters, and where they start; at the
+        last level also each window's second hash."""
+        words = text.split()
+        h = self.table.array(words)
+        n, none = len(h), (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
         if n < self.window:
             return none
         short = window_hashes(h, self.quarter, self.powers)
@@ -115,14 +118,18 @@ class Windows:
         keep &= good[0][owner] | (starts + self.window < owner + self.half)  # the window doesn't hold the right one
         keep &= good[1][owner] | (starts > owner - step)
         starts = starts[keep]
-        return window_hashes(h, self.window, self.powers)[starts], starts
+        if not len(starts):
+            return none
+        named, check = (window_hashes(x, self.window, self.powers)[starts] for x in (h, self.second.array(words)))
+        return named, starts, check
 
 
 def _judged(docs: DataFrame, window: int, filters: list[np.ndarray]) -> DataFrame:
-    """``hash, doc_id, name, start`` of the windows to judge at the next level; ``name`` is
-    the text's hash, to tell texts of one id apart.  Only the last level has the last two."""
+    """``hash, doc_id, name, check, start`` of the windows to judge at the next level; ``name``
+    is the text's hash, to tell texts of one id apart, ``check`` the window's second hash.
+    Only the last level has the last three."""
     placed = len(filters) == 2
-    names_of = ["hash", "doc_id", *["name", "start"] * placed]
+    names_of = ["hash", "doc_id", *["name", "check", "start"] * placed]
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,10 +138,10 @@ def _judged(docs: DataFrame, window: int, filters: list[np.ndarray]) -> DataFram
         def rows() -> pa.RecordBatch:
             sizes = [len(x[2]) for x in held]
             doc, name = (np.repeat(np.array([x[i] for x in held], np.int64), sizes) for i in (0, 1))
-            hashes, starts = (np.concatenate([x[i] for x in held]) for i in (2, 3))
-            columns = [pa.array(long_array(hashes)), pa.array(doc)]
+            columns = [pa.array(long_array(np.concatenate([x[2] for x in held]))), pa.array(doc)]
             if placed:
-                columns += [pa.array(name), pa.array(starts.astype(np.int32))]
+                starts, check = (np.concatenate([x[i] for x in held]) for i in (3, 4))
+                columns += [pa.array(name), pa.array(long_array(check)), pa.array(starts.astype(np.int32))]
             return pa.RecordBatch.from_arrays(columns, names=names_of)
 
         for batch in batches:
@@ -143,17 +150,17 @@ def _judged(docs: DataFrame, window: int, filters: list[np.ndarray]) -> DataFram
                 if first.get((name, crc), _LAST_ID + 1) <= doc:
                     continue
                 first[name, crc] = doc
-                hashes, starts = windows.of(text, shared.value)
-                if len(hashes):
-                    held.append((doc, name, hashes, starts))
-                    size += len(hashes)
+                found = windows.of(text, shared.value)
+                if len(found[0]):
+                    held.append((doc, name, *found))
+                    size += len(found[0])
                     if size >= 1 << 17:
                         yield rows()
                         held, size = [], 0
         if held:
             yield rows()
 
-    return docs.mapInArrow(run, "hash long, doc_id long" + ", name long, start int" * placed)
+    return docs.mapInArrow(run, "hash long, doc_id long" + ", name long, check long, start int" * placed)
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,8 +181,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
         slot = F.shiftrightunsigned("hash", 38).alias("slot")
         filters.append(bloom(ends.where("low <> high").select(slot).distinct(), "slot", LEVEL_BITS))
     full = staged(_judged(source, window, filters))
-    low = full.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("hash", "low")
-    hits = full.join(staged(low), "hash").where("low < doc_id")
+    low = full.groupBy("hash", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("hash", "check", "low")
+    hits = full.join(staged(low), ["hash", "check"]).where("low < doc_id")
     hits = hits.groupBy("doc_id", F.col("name").alias("text_hash")).agg(F.collect_list("start").alias("starts"))
     firsts = docs.groupBy("text_hash", "crc").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     known = firsts.join(hits, ["doc_id", "text_hash"], "left").where("n > 1 or starts is not null")
