@@ -545,3 +545,32 @@ def test_revisits_equal_brute_force_in_slices(spark):
         if kind == "revisit":
             earlier = [(x[2], x[0]) for x in rows if x[3] == "response" and x[1] == url and x[2] < at]
             assert got[i] == (max(earlier)[1] if earlier else None)
+
+
+def test_revisits_without_url_or_time_and_clashing_columns(spark):
+    """Rows that meet nothing stay out of the windows; other columns of any name don't matter."""
+    rows = [(i, None if i % 2 else "http://h/x", None if i % 4 == 2 else i, "revisit" if i % 3 else "response", "e", None, None, {}, None) for i in range(600)]
+    rows += [(None, None, None, None, None, None, None, None, None), (1, None, None, "revisit", None, None, None, None, None), (7, "http://h/x", 7, "other", None, None, None, None, None)]
+    records = spark.createDataFrame(rows, warc.SCHEMA)
+    for name in ("slice", "fields", "response", "inside", "last", "r", "key", "of", "carried", "outcome", "url_key"):
+        records = records.withColumn(name, F.lit("own"))
+    for per_slice in (1 << 20, 7):
+        got = shuffled((r.record_id, r.outcome, r.response_id) for r in warc.resolve_revisits(records, per_slice).collect())
+        known = [x for x in rows if x[3] == "response" and x[1] and x[2] is not None]
+        want = []
+        for i, url, at, kind, *_ in rows:
+            if kind == "revisit":
+                earlier = [(x[2], x[0]) for x in known if url and at is not None and x[2] < at]
+                want.append((i, "resolved" if earlier else "missing", max(earlier)[1] if earlier else None))
+        assert got == shuffled(want)
+    assert warc.with_content(warc.resolve_revisits(records), records).where("body is not null").count() == 0
+
+
+def test_windows_of_one_hash_are_told_apart():
+    """With a first hash that is the same for all words, the second one names the windows."""
+    windows, full = substring_dedup.Windows(8), [np.full(substring_dedup.LEVEL_BITS // 8, 255, np.uint8)] * 2
+    windows.table = type("Same", (), {"array": staticmethod(lambda words: np.full(len(words), 5, np.uint64))})()
+    text = [f"w{i}" for i in range(30)]
+    (named, starts, check), (_, _, again) = (windows.of(" ".join(x).encode(), full) for x in (text, text[:20]))
+    assert len(set(named.tolist())) == 1 and len(set(check.tolist())) == len(starts) > 0
+    assert set(again.tolist()) <= set(check.tolist())

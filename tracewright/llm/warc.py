@@ -5,9 +5,9 @@ as of its time, to the latest earlier full response under the same canonical URL
 their validators agree it gets that response's content, with those headers replaced
 that a not-modified answer may update.
 
-A URL can have very many captures.  Time is therefore cut at quantiles, the latest
-response is sought inside a slice first, and only the last response of each slice is
-carried to the following ones.
+A URL can have very many captures.  Captures are therefore cut into slices of about one
+size in the order of URL and time, the latest response is sought inside a slice first,
+and only the last response of each slice is carried to the URL's following ones.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, staged
 
 #: Fixed by the HTTP standard: header fields that a 304 answer may update.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
@@ -42,13 +42,14 @@ def canonical_url(url: Column) -> Column:
     return F.when(url.rlike(form), whole).otherwise(url)
 
 
-def _slices(records: DataFrame, rows_per_slice: int, most: int = 1024) -> list[int]:
-    n = records.count()
-    parts = min(most, max(1, n // rows_per_slice))
-    if parts < 2:
-        return []
-    marks = records.agg(F.percentile_approx("at", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 100 * parts)).first()[0]
-    return sorted(set(marks or []))
+def _sliced(rows: DataFrame, rows_per_slice: int) -> DataFrame:
+    """``rows`` with a number ``slice`` that grows with URL and time; as many slices as the
+    rows need.  Captures of one URL and time share one.  Ranges are found from a sample, so
+    the numbers are written down before they are used twice."""
+    slices = -(-rows.count() // rows_per_slice)
+    if slices < 2:
+        return rows.withColumn("slice", F.lit(0))
+    return staged(rows.repartitionByRange(slices, "url_key", "at").withColumn("slice", F.spark_partition_id()))
 
 
 def _same_tag(a: Column, b: Column) -> Column:
@@ -65,24 +66,22 @@ def resolve_revisits(records: DataFrame, rows_per_slice: int = 1 << 20) -> DataF
     first that both have decides.  Earlier means a smaller ``at``; of responses at one
     time the one with the largest id counts.  Null urls match nothing, null times are
     never earlier and see nothing earlier.  Repeated revisits are resolved each."""
-    marks = _slices(records, rows_per_slice)
-    slice_of = F.lit(0) if not marks else F.size(F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: m < F.col("at")))
-    rows = records.select(
+    every = records.select(
         "record_id", canonical_url(F.col("url")).alias("url_key"), "at", "kind", "etag", "last_modified", "digest",
         F.array_sort(F.map_entries("headers")).alias("fields"),
-    ).withColumn("slice", slice_of)
-    rows = rows.withColumn(
-        "response",
-        F.when((F.col("kind") == "response") & F.col("url_key").isNotNull() & F.col("at").isNotNull(), F.struct("at", "record_id", "etag", "last_modified", "digest", "fields")),
-    )
+    )
+    placed = F.col("url_key").isNotNull() & F.col("at").isNotNull()
+    # what has no URL or time meets nothing, so it isn't put in one group
+    nowhere = every.where((F.col("kind") == "revisit") & ~placed)
+    rows = _sliced(every.where(placed & F.col("kind").isin("response", "revisit")), rows_per_slice)
+    rows = rows.withColumn("response", F.when(F.col("kind") == "response", F.struct("at", "record_id", "etag", "last_modified", "digest", "fields")))
     last = rows.groupBy("url_key", "slice").agg(F.max("response").alias("last"))
     before = Window.partitionBy("url_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select(F.col("url_key").alias("key"), F.col("slice").alias("of"), F.max("last").over(before).alias("carried"))
     inside = Window.partitionBy("url_key", "slice").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     found = rows.withColumn("inside", F.max("response").over(inside)).where(F.col("kind") == "revisit")
     found = found.join(carried, (F.col("url_key") == F.col("key")) & (F.col("slice") == F.col("of")), "left")
-    r = F.when(F.col("at").isNotNull() & F.col("url_key").isNotNull(), F.coalesce("inside", "carried"))
-    found = found.withColumn("r", r)
+    found = found.withColumn("r", F.coalesce("inside", "carried"))
     agrees = F.coalesce(
         _same_tag(F.col("etag"), F.col("r.etag")), F.col("last_modified") == F.col("r.last_modified"), F.col("digest") == F.col("r.digest")
     )
@@ -90,10 +89,12 @@ def resolve_revisits(records: DataFrame, rows_per_slice: int = 1 << 20) -> DataF
     own = F.filter(F.coalesce("fields", F.array()), lambda x: F.lower(x["key"]).isin(*PERMITTED))
     names = F.transform(own, lambda x: F.lower(x["key"]))
     kept = F.filter(F.coalesce(F.col("r.fields"), F.array()), lambda x: ~F.array_contains(names, F.lower(x["key"])))
-    return found.withColumn("outcome", outcome).select(
+    found = found.withColumn("outcome", outcome).select(
         "record_id", "url_key", "at", "outcome", F.when(F.col("r").isNotNull(), F.col("r.record_id")).alias("response_id"),
         F.when(F.col("outcome") == "resolved", F.map_from_entries(F.array_sort(F.concat(kept, own)))).alias("headers"),
     )
+    none = {"outcome": F.lit("missing"), "response_id": F.lit(None).cast("long"), "headers": F.lit(None).cast("map<string,string>")}
+    return found.unionByName(nowhere.withColumns(none).select(found.columns))
 
 
 def with_content(resolved: DataFrame, records: DataFrame, heavy_rows: int = 1000, copies: int = 64) -> DataFrame:
