@@ -7,7 +7,7 @@ alike).  Those that occur in one document only are dropped; the others are exten
 to twice the length, to the right and to the left, and judged again; what survives
 is extended to the full length, where windows are compared one by one.  A level
 passes on a filter of fixed size over its survivors, which may let others through
-but loses none; the last level names windows by 128 bits, from two hashes of each word.
+but loses none; the last level names windows by 96 bits, from two hashes of each word.
 
 Of equal texts only the first document takes part; in the others everything that
 lies in a window is repeated.
@@ -126,7 +126,7 @@ class Windows:
 
 def _judged(docs: DataFrame, window: int, filters: list[np.ndarray]) -> DataFrame:
     """``hash, doc_id, name, check, start`` of the windows to judge at the next level; ``name``
-    is the text's hash, to tell texts of one id apart, ``check`` the window's second hash.
+    is the text's hash, to tell texts of one id apart, ``check`` 32 bits of the window's second hash.
     Only the last level has the last three."""
     placed = len(filters) == 2
     names_of = ["hash", "doc_id", *["name", "check", "start"] * placed]
@@ -141,7 +141,7 @@ def _judged(docs: DataFrame, window: int, filters: list[np.ndarray]) -> DataFram
             columns = [pa.array(long_array(np.concatenate([x[2] for x in held]))), pa.array(doc)]
             if placed:
                 starts, check = (np.concatenate([x[i] for x in held]) for i in (3, 4))
-                columns += [pa.array(name), pa.array(long_array(check)), pa.array(starts.astype(np.int32))]
+                columns += [pa.array(name), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(starts.astype(np.int32))]
             return pa.RecordBatch.from_arrays(columns, names=names_of)
 
         for batch in batches:
@@ -160,7 +160,7 @@ def _judged(docs: DataFrame, window: int, filters: list[np.ndarray]) -> DataFram
         if held:
             yield rows()
 
-    return docs.mapInArrow(run, "hash long, doc_id long" + ", name long, check long, start int" * placed)
+    return docs.mapInArrow(run, "hash long, doc_id long" + ", name long, check int, start int" * placed)
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
