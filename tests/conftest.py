@@ -20,3 +20,19 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+def broadcast_scans(df) -> list[list[str]]:
+    """Of each broadcast in the plan of ``df`` the steps below it, as the planner chose them."""
+    lines = df._jdf.queryExecution().executedPlan().treeString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    out = []
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = []
+            for x in lines[i + 1 :]:
+                if depth(x) <= depth(line):
+                    break
+                below.append(x.strip(" :+-"))
+            out.append(below)
+    return out

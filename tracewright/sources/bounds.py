@@ -126,7 +126,8 @@ def kept_bounds(
     that bounds may move a little before it is read once more."""
     ranges = keep_counts(spark, folder, *patterns, geometry=geometry, traces_per_range=traces_per_range)
     group = F.to_json(F.struct((F.col("section_id") if by is None else by).alias("g")))
-    counts = _table(spark, folder, "counts", COUNTS).join(ranges.select("run", "path").distinct(), ["run", "path"])
+    # a row per file, as the driver listed them; by its compressed size Spark would send ``counts`` instead
+    counts = _table(spark, folder, "counts", COUNTS).join(F.broadcast(ranges.select("run", "path").distinct()), ["run", "path"])
     counts = counts.withColumn("group_id", group)
     # at most 65536 rows of a group after the sum
     inside = Window.partitionBy("group_id")
@@ -138,16 +139,17 @@ def kept_bounds(
     marks = marks.select("*", F.posexplode(F.array(F.floor("at"), F.ceil("at"))).alias("side", "rank"))
     wanted = staged(marks.where("rank >= below and rank < upto").drop("upto"))
     asked = counts.join(wanted.select("group_id", "bucket").distinct(), ["group_id", "bucket"]).select("group_id", *_PLACE)
-    values = _table(spark, folder, "values", VALUES)
-    closed = asked.join(values.select(_PLACE).distinct(), _PLACE, "left_anti").select("run", "path", "first").distinct()
+    # places and values are as many as ranges and sections: they meet in shuffles, whatever their files' sizes
+    values = _table(spark, folder, "values", VALUES).hint("merge")
+    closed = asked.join(values.select(_PLACE).distinct().hint("merge"), _PLACE, "left_anti").select("run", "path", "first").distinct()
     closed = staged(ranges.join(closed, ["run", "path", "first"]))
     if not closed.isEmpty():
         near = wanted.select("group_id", F.explode(F.sequence(F.col("bucket") - margin, F.col("bucket") + margin)).alias("bucket")).distinct()
-        opened = counts.join(near, ["group_id", "bucket"]).select(_PLACE).join(values.select(_PLACE).distinct(), _PLACE, "left_anti")
+        opened = counts.join(near, ["group_id", "bucket"]).select(_PLACE).join(values.select(_PLACE).distinct().hint("merge"), _PLACE, "left_anti")
         # a range's list is as long as its sections times the buckets wanted, at most 4 * (2 * margin + 1)
         opened = opened.groupBy("run", "path", "first").agg(F.collect_list(F.struct("section_id", "bucket")).alias("asked"))
         _over_ranges(staged(closed.join(opened, ["run", "path", "first"])), _open, VALUES).write.mode("append").parquet(f"{folder.rstrip('/')}/values")
-        values = _table(spark, folder, "values", VALUES)
+        values = _table(spark, folder, "values", VALUES).hint("merge")
     found = values.join(asked, _PLACE).groupBy("group_id", *_PLACE, "value").agg(F.max("n").alias("n"))
     found = found.groupBy("group_id", "bucket", "value").agg(F.sum("n").alias("n"))
     # at most 65536 values of a bucket
@@ -158,4 +160,4 @@ def kept_bounds(
     part = F.col("at") - F.floor("at")
     pairs = pairs.withColumn("q", F.when(part == 0, F.col("x0")).otherwise(F.col("x0") * (1 - part) + F.col("x1") * part))
     bounds = pairs.groupBy("group_id").agg(F.max(F.when(F.col("which") == 0, F.col("q"))).alias("lo"), F.max(F.when(F.col("which") == 1, F.col("q"))).alias("hi"))
-    return counts.select("section_id", "group_id").distinct().join(bounds, "group_id").select("section_id", "lo", "hi")
+    return counts.select("section_id", "group_id").distinct().join(F.broadcast(bounds), "group_id").select("section_id", "lo", "hi")
