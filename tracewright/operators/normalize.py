@@ -1,4 +1,7 @@
-"""From amplitudes to grey levels, section by section."""
+"""From amplitudes to grey levels, section by section.
+
+Tables of a row per section (bounds, shapes) are broadcast by name: Spark goes by the
+compressed size of files and may send the traces to the driver instead."""
 
 from __future__ import annotations
 
@@ -57,7 +60,7 @@ def clip_bounds_two_pass(samples: DataFrame, low: float = 2.0, high: float = 98.
     rough = rough.select("section_id", "n", F.posexplode(F.array(*brackets)).alias("which", "x"))
     rough = rough.select("section_id", "which", ((F.col("n") - 1) * F.col("x.p")).alias("at"), F.col("x.a").alias("a"), F.col("x.b").alias("b"))
     inside = (F.col("v") >= F.col("a")) & (F.col("v") <= F.col("b"))
-    met = v.join(rough, "section_id").where("v <= b")
+    met = v.join(F.broadcast(rough), "section_id").where("v <= b")
     # everything below a bracket is one row per map task and section after the partial count
     counted = met.groupBy("section_id", "which", "at", F.when(inside, F.col("v")).alias("value")).agg(F.count("*").alias("k"))
     order = Window.partitionBy("section_id", "which").orderBy(F.col("value").asc_nulls_first())
@@ -73,13 +76,13 @@ def clip_bounds_two_pass(samples: DataFrame, low: float = 2.0, high: float = 98.
 def gray_samples(samples: DataFrame, bounds: DataFrame) -> DataFrame:
     """Long samples with ``gray`` in place of ``amplitude``."""
     level = gray_level(F.col("amplitude"), F.col("lo"), F.col("hi"))
-    return samples.join(bounds, "section_id").withColumn("gray", level).drop("amplitude", "lo", "hi")
+    return samples.join(F.broadcast(bounds), "section_id").withColumn("gray", level).drop("amplitude", "lo", "hi")
 
 
 def gray_traces(traces: DataFrame, bounds: DataFrame) -> DataFrame:
     """``section_id, trace_idx, gray`` with an array of levels per trace."""
     levels = F.transform("samples", lambda v: gray_level(v, F.col("lo"), F.col("hi")))
-    return traces.join(bounds, "section_id").select("section_id", "trace_idx", levels.alias("gray"))
+    return traces.join(F.broadcast(bounds), "section_id").select("section_id", "trace_idx", levels.alias("gray"))
 
 
 def to_rgb(gray: DataFrame) -> DataFrame:

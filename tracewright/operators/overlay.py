@@ -63,7 +63,8 @@ def overlay_packed(gray: DataFrame, masks: DataFrame, labels: DataFrame, only: S
     drawn = layer_filter(masks, labels, only).select("section_id", "trace_idx", "label_id", "draw_order", "mask").where(F.exists("mask", lambda m: m))
     coloured = drawn.join(F.broadcast(labels.select("label_id", *"rgb")), "label_id", "left").select("section_id", "trace_idx", "draw_order", *_colours(), "mask")
     stacks = coloured.groupBy("section_id", "trace_idx").agg(F.array_sort(F.collect_list(F.struct("draw_order", *"rgb", "mask"))).alias("stack"))
-    joined = gray.join(stacks, ["section_id", "trace_idx"], "left")
+    # both are as large as the sections, whatever their files' sizes
+    joined = gray.hint("merge").join(stacks, ["section_id", "trace_idx"], "left")
 
     start = F.transform("gray", lambda v: v.cast("int"))
 

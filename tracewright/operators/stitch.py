@@ -42,7 +42,7 @@ def stitch_with_failures(strips: DataFrame, shapes: DataFrame) -> DataFrame:
     the first samples of its tiles, and neither label nor ``probs``."""
     lost = F.col("probs").isNull()
     placed = strips if "error" in strips.columns else strips.withColumn("error", F.lit(None).cast("string"))
-    placed = placed.join(shapes, "section_id").withColumn("trace_idx", F.col("tile_y") + F.coalesce("row_off", F.lit(0)))
+    placed = placed.join(F.broadcast(shapes), "section_id").withColumn("trace_idx", F.col("tile_y") + F.coalesce("row_off", F.lit(0)))
     placed = placed.where((lost & F.col("error").isNotNull()) | (~lost & F.expr("trace_idx < n_traces and tile_x < n_samples")))
     lists = placed.groupBy("section_id", "label_id", "trace_idx", "n_samples", "error").agg(F.collect_list("tile_x").alias("xs"), F.collect_list("probs").alias("parts"))
 

@@ -36,7 +36,7 @@ def edge_pad(gray: DataFrame, tile: int = TILE, shapes: DataFrame | None = None)
     The last trace becomes several rows where it stands; nothing is joined but shapes,
     which are worked out from ``gray`` only where none are given."""
     padded = padded_shape(section_shape(gray, "gray") if shapes is None else shapes, tile)
-    rows = gray.join(padded, "section_id")
+    rows = gray.join(F.broadcast(padded), "section_id")
     wide = F.concat("gray", F.array_repeat(F.element_at("gray", -1), F.col("padded_w") - F.size("gray")))
     until = F.when(F.col("trace_idx") == F.col("orig_h") - 1, F.col("padded_h") - 1).otherwise(F.col("trace_idx"))
     rows = rows.withColumn("gray", F.when(F.size("gray") > 0, wide).otherwise(F.col("gray")))

@@ -268,7 +268,7 @@ def _pieces(rows: DataFrame, place: dict[str, Column], artifact: str, folder: st
 
 def _shaped(rows: DataFrame, shapes: DataFrame) -> DataFrame:
     shapes = shapes.select(F.col("section_id").alias("_of"), "n_traces", "n_samples")
-    return rows.join(shapes, F.col("section_id") == F.col("_of")).drop("_of")
+    return rows.join(F.broadcast(shapes), F.col("section_id") == F.col("_of")).drop("_of")
 
 
 def _by_traces(most: int, part_no: Column | None = None, part: Column | None = None) -> dict[str, Column]:
