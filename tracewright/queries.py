@@ -463,7 +463,8 @@ p AS (SELECT *, greatest(orig_h, 32) AS padded_h, greatest(orig_w, 32) AS padded
 y AS (SELECT *, CAST(unnest({_starts('padded_h', 32, 16)}) AS INT) AS tile_y FROM p)
 SELECT section_id, tile_y, CAST(unnest({_starts('padded_w', 32, 16)}) AS INT) AS tile_x, padded_h, padded_w, orig_h, orig_w FROM y""",
     "edge_pad": f"""WITH {_GRAY_VOLUME}, s AS (SELECT section_id, max(trace_idx) + 1 AS h, max(sample_idx) + 1 AS w FROM gray GROUP BY 1),
-g AS (SELECT section_id, h, w, r, c FROM s, (SELECT unnest(range(0, 4096)) AS r), (SELECT unnest(range(0, 96)) AS c) WHERE r < greatest(h, 96))
+y AS (SELECT section_id, h, w, unnest(range(0, greatest(h, 96))) AS r FROM s),
+g AS (SELECT section_id, h, w, r, unnest(range(0, greatest(w, 96))) AS c FROM y)
 SELECT g.section_id, CAST(r AS INT) AS trace_idx, CAST(c AS INT) AS sample_idx, gray FROM g JOIN gray ON gray.section_id = g.section_id
   AND gray.trace_idx = least(r, h - 1) AND gray.sample_idx = least(c, w - 1)""",
     "crop": f"WITH {_GRAY_VOLUME} SELECT section_id, trace_idx, sample_idx, gray FROM gray",
