@@ -15,6 +15,20 @@ def tile_starts(dim: Column, tile: int, stride: int) -> Column:
     return F.when(last <= 0, F.array(F.lit(0))).otherwise(regular)
 
 
+def covering_starts(dim: Column, position: Column, tile: int, stride: int) -> Column:
+    """Those of ``tile_starts`` whose window covers a position, worked out from the position:
+    at most ``tile / stride + 2`` numbers, however long the axis is."""
+    if stride <= 0 or tile <= 0:
+        raise ValueError("tile and stride must be positive")
+    last, p = dim.cast("int") - tile, position.cast("int")
+    first_k = F.floor((F.greatest(p - tile + 1, F.lit(0)) + (stride - 1)) / F.lit(stride)).cast("int")
+    last_k = F.floor(F.least(p, F.greatest(last, F.lit(0))) / F.lit(stride)).cast("int")
+    some = F.transform(F.sequence(first_k, F.greatest(first_k, last_k)), lambda k: k * stride)
+    regular = F.when((first_k <= last_k) & (p >= 0), some).otherwise(F.array().cast("array<int>"))
+    edge = F.greatest(last, F.lit(0))
+    return F.when((p >= edge) & (p < edge + tile), F.array_union(regular, F.array(edge))).otherwise(regular)
+
+
 def gray_level(amplitude: Column, lo: Column, hi: Column) -> Column:
     """Clip to the bounds and scale to 0..255, truncating; 0 without a span, and for NaN and null."""
     v = amplitude.cast("double")

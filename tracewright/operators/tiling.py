@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import gray_level, tile_starts
+from ..functions.columns import covering_starts, gray_level, tile_starts
 from .normalize import gray_traces, section_shape
 
 TILE, STRIDE = 1024, 512
+BATCH_BYTES = 1 << 22  # of tiles that are passed on together
 
 
 def padded_shape(shapes: DataFrame, tile: int = TILE) -> DataFrame:
@@ -50,19 +51,14 @@ def crop(padded: DataFrame, values_col: str = "gray") -> DataFrame:
     return padded.where("trace_idx < orig_h").withColumn(values_col, F.slice(values_col, F.lit(1), F.col("orig_w")))
 
 
-def covering(starts, position, tile: int):
-    """Those of the window starts that cover a position."""
-    return F.filter(starts, lambda s: (s <= position) & (position < s + tile))
-
-
 def tile_pixels(padded: DataFrame, tile: int = TILE, stride: int = STRIDE) -> DataFrame:
     """How many tiles cover each pixel: ``section_id, trace_idx, sample_idx, n_tiles``.
 
     Counted along each axis by itself, so no pixel meets a tile in a join."""
-    rows = padded.withColumn("ys", F.size(covering(tile_starts(F.col("padded_h"), tile, stride), F.col("trace_idx"), tile)))
-    rows = rows.withColumn("xs", tile_starts(F.col("padded_w"), tile, stride))
-    rows = rows.select("section_id", "trace_idx", "ys", "xs", F.explode(F.sequence(F.lit(0), F.col("padded_w") - 1)).alias("sample_idx"))
-    return rows.select("section_id", "trace_idx", "sample_idx", (F.col("ys") * F.size(covering(F.col("xs"), F.col("sample_idx"), tile))).alias("n_tiles"))
+    rows = padded.withColumn("ys", F.size(covering_starts(F.col("padded_h"), F.col("trace_idx"), tile, stride)))
+    rows = rows.select("section_id", "trace_idx", "ys", "padded_w", F.explode(F.sequence(F.lit(0), F.col("padded_w") - 1)).alias("sample_idx"))
+    xs = F.size(covering_starts(F.col("padded_w"), F.col("sample_idx"), tile, stride))
+    return rows.select("section_id", "trace_idx", "sample_idx", (F.col("ys") * xs).alias("n_tiles"))
 
 
 def tile_cut(padded: DataFrame, tile: int = TILE, stride: int = STRIDE) -> DataFrame:
@@ -72,19 +68,30 @@ def tile_cut(padded: DataFrame, tile: int = TILE, stride: int = STRIDE) -> DataF
     overlap), and the columns are cut after the shuffle, so it is moved twice and not
     four times.  A group is one band of ``tile`` traces; its tiles are slices of one
     array of bytes."""
-    banded = padded.withColumn("tile_y", F.explode(covering(tile_starts(F.col("padded_h"), tile, stride), F.col("trace_idx"), tile)))
+    banded = padded.withColumn("tile_y", F.explode(covering_starts(F.col("padded_h"), F.col("trace_idx"), tile, stride)))
     bands = banded.groupBy("section_id", "tile_y", "padded_w").agg(F.array_sort(F.collect_list(F.struct("trace_idx", "gray"))).alias("band"))
     bands = bands.select("section_id", "tile_y", tile_starts(F.col("padded_w"), tile, stride).alias("xs"), F.transform("band", lambda t: t["gray"]).alias("band"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def tiles() -> pa.RecordBatch:
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=["section_id", "tile_y", "tile_x", "pixels"])
+
         for batch in batches:
             bands, every = batch.column("band"), batch.column("xs")
-            for i in range(len(batch)):
-                traces, xs = bands[i].values, every[i].values.to_numpy()
+            for section, y, band, xs in zip(batch.column("section_id").to_pylist(), batch.column("tile_y").to_pylist(), bands, every, strict=True):
+                traces = band.values
                 image = traces.flatten().to_numpy().astype(np.uint8).reshape(len(traces), -1)
-                keys = [pa.array([batch.column(c)[i].as_py()] * len(xs), batch.column(c).type) for c in ("section_id", "tile_y")]
-                pixels = [np.ascontiguousarray(image[:, x : x + tile]).tobytes() for x in xs]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(xs, pa.int32()), pa.array(pixels, pa.binary())], names=["section_id", "tile_y", "tile_x", "pixels"])
+                for x in xs.values.to_pylist():
+                    held.append((section, y, x, np.ascontiguousarray(image[:, x : x + tile]).tobytes()))
+                    size += len(held[-1][3])
+                    if size >= BATCH_BYTES:
+                        yield tiles()
+                        held, size = [], 0
+        if held:
+            yield tiles()
 
     return bands.mapInArrow(cut, "section_id string, tile_y int, tile_x int, pixels binary")
 
