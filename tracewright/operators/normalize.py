@@ -30,16 +30,21 @@ def _amplitudes(samples: DataFrame) -> DataFrame:
     return samples.where(v.isNotNull() & ~F.isnan(v)).select("section_id", v.alias("v"))
 
 
-def clip_bounds(samples: DataFrame, low: float = 2.0, high: float = 98.0) -> DataFrame:
-    """``section_id, lo, hi``: two interpolated percentiles of a section's samples.
-
-    Keeps a count per distinct value of a section in one buffer; see
-    ``clip_bounds_two_pass`` for sections too large for that.  NaN doesn't count."""
+def clip_bounds_in_buffer(samples: DataFrame, low: float = 2.0, high: float = 98.0) -> DataFrame:
+    """The bounds of ``clip_bounds`` for small sections: a count per distinct value of a section is
+    kept in one buffer of one task."""
     p = F.percentile("v", F.array(F.lit(low / 100), F.lit(high / 100)))
     found = _amplitudes(samples).groupBy("section_id").agg(p.alias("p"))
     return found.select("section_id", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
 
 
+def clip_bounds(samples: DataFrame, low: float = 2.0, high: float = 98.0) -> DataFrame:
+    """``section_id, lo, hi``: two interpolated percentiles of a section's samples.
+
+    NaN doesn't count.  No task holds the values of a section: see ``clip_bounds_two_pass``."""
+    return clip_bounds_two_pass(samples, low, high)
+
+
 def clip_bounds_two_pass(samples: DataFrame, low: float = 2.0, high: float = 98.0, slack: float = 0.001) -> DataFrame:
     """The same bounds for sections of any size, exactly.
 

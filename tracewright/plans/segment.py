@@ -49,7 +49,7 @@ def segment_sections(
     labels = catalog.label_catalog(traces.sparkSession, prompts)
     if bounds is None:
         samples = normalize.samples_long(traces)
-        bounds = normalize.clip_bounds(samples) if exact_in_one_pass else normalize.clip_bounds_two_pass(samples)
+        bounds = normalize.clip_bounds_in_buffer(samples) if exact_in_one_pass else normalize.clip_bounds_two_pass(samples)
     ids = tuple(x[0] for x in catalog.LABELS if not prompts or x[1] in prompts)
     gray = normalize.gray_traces(traces, bounds)
     shapes = normalize.section_shape(traces)
