@@ -97,16 +97,18 @@ def layout_of(path: str) -> Layout:
 
 @dataclass
 class Range(InputPartition):
-    """Traces ``first`` to ``first + count - 1`` of a file; ``bands`` are the starts of bands among them."""
+    """Traces ``first`` to ``first + count - 1`` of a file; ``bands`` are the starts of bands among them,
+    ``runs`` the first traces and ends of the runs that are read where not all are."""
 
     path: str
     first: int
     count: int
     layout: Layout
     bands: tuple[int, ...] = ()
+    runs: tuple[tuple[int, int], ...] = ()
 
-    def __init__(self, path: str, first: int, count: int, layout: Layout, bands: tuple[int, ...] = ()):
-        self.path, self.first, self.count, self.layout, self.bands = path, first, count, layout, bands
+    def __init__(self, path: str, first: int, count: int, layout: Layout, bands: tuple[int, ...] = (), runs: tuple[tuple[int, int], ...] = ()):
+        self.path, self.first, self.count, self.layout, self.bands, self.runs = path, first, count, layout, bands, runs
 
 
 class Asked:
@@ -192,11 +194,24 @@ class SegyReader(DataSourceReader):
             else:
                 trace = self.asked["trace_idx"]
                 whole = [] if (path, at.n_traces) in self.known else [(0, at.n_traces)]
-                for first, end in runs.get((path, at.n_traces), whole):
-                    for begin in range(max(first, trace.low), min(end, trace.high + 1), self.per_partition):
-                        out.append(Range(path, begin, min(self.per_partition, end - begin, trace.high + 1 - begin), at))
+                pieces = ((max(first, trace.low), min(end, trace.high + 1)) for first, end in runs.get((path, at.n_traces), whole))
+                held, n = [], 0
+                for first, end in pieces:
+                    while first < end:  # short runs share a partition, long ones have several
+                        upto = min(end, first + self.per_partition - n)
+                        held.append((first, upto))
+                        n, first = n + upto - first, upto
+                        if n == self.per_partition:
+                            out.append(self._range(path, held, at))
+                            held, n = [], 0
+                if held:
+                    out.append(self._range(path, held, at))
         return out or [Range("", 0, 0, Layout(0, 0, 0, 0, "none"))]
 
+    @staticmethod
+    def _range(path: str, runs: list[tuple[int, int]], at: Layout) -> Range:
+        return Range(path, runs[0][0], sum(end - first for first, end in runs), at, runs=tuple(runs) if len(runs) > 1 else ())
+
     def _indexed(self) -> dict[tuple[str, int], list[tuple[int, int]]]:
         """The runs of traces that meet the filters, by file and its number of traces, those
         that follow one another as one.  A file that has changed since isn't in the index."""
@@ -234,9 +249,14 @@ class SegyReader(DataSourceReader):
             yield self._batch([partition.path], [partition.path], [None], [None], [None], [None], [at.status], *extra)
             return
         size = TRACE_HEADER + 4 * at.n_samples
+        runs = partition.runs or ((partition.first, partition.first + partition.count),)
+        raw = np.empty((partition.count, size), np.uint8)
         with _open(partition.path) as f:
-            f.seek(at.start + partition.first * size)
-            raw = np.frombuffer(f.read(partition.count * size), np.uint8).reshape(partition.count, size)
+            done = 0
+            for first, end in runs:
+                f.seek(at.start + first * size)
+                raw[done : done + end - first] = np.frombuffer(f.read((end - first) * size), np.uint8).reshape(-1, size)
+                done += end - first
         words = np.ascontiguousarray(raw[:, TRACE_HEADER:]).view(">u4").astype(np.uint32)
         samples = decode_ibm(words) if at.format == IBM else words.view(np.float32)
         if self.tile:
@@ -247,7 +267,7 @@ class SegyReader(DataSourceReader):
             return
         inline = xline = [None] * partition.count
         section = [partition.path] * partition.count
-        order = np.arange(partition.first, partition.first + partition.count, dtype=np.int32)
+        order = np.concatenate([np.arange(first, end, dtype=np.int32) for first, end in runs])
         if self.three_d:
             inline, xline = (_numbers(raw, a).tolist() for a in (INLINE_AT, XLINE_AT))
             section = [f"{partition.path}#{i}" for i in inline]
@@ -283,6 +303,13 @@ def window_starts(n: int, tile: int, stride: int) -> list[int]:
     return sorted({*range(0, n - tile + 1, stride), n - tile})
 
 
+def window_starts_between(n: int, tile: int, stride: int, low: int, high: int) -> list[int]:
+    """Those of ``window_starts`` from ``low`` to ``high``, without listing the others."""
+    edge = max(0, n - tile)
+    regular = range(max(0, -(-low // stride)) * stride, min(high, edge) + 1, stride)
+    return sorted({*regular, *([edge] if low <= edge <= high else [])})
+
+
 def _modified(path: str) -> int:
     """When a file was changed, in nanoseconds; -1 where its store doesn't tell."""
     try:
