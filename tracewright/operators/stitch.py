@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.segy import window_starts as _starts
+from ..sources.segy import window_starts_between as _between
 from .scoring import Scorer, scored
 
 
@@ -92,12 +92,12 @@ def fuse_scanned(tiles: DataFrame, make_scorer: Callable[[], Scorer], tile: int,
         def passed(until: int | None) -> Iterator[pa.RecordBatch]:
             """Rows of the traces before ``until``; of all that are left where it is None."""
             name, n_traces, n_samples = section
-            covers = _starts(n_traces, tile, stride)
             for label, (first, maps) in list(window.items()):
                 n = len(maps) if until is None else max(0, min(until, first + len(maps)) - first)
                 if n:
                     traces = np.arange(first, first + n)
-                    others = [y for y in covers if y not in seen]
+                    # bands that reach these traces: those of this task, and a few around them
+                    others = [y for y in _between(n_traces, tile, stride, first - tile + 1, first + n - 1) if y not in seen]
                     seam = np.zeros(n, bool)
                     for y in others:
                         seam |= (traces >= y) & (traces < y + tile)
@@ -124,6 +124,7 @@ def fuse_scanned(tiles: DataFrame, make_scorer: Callable[[], Scorer], tile: int,
             h, w = min(tile, key[3] - key[1]), min(tile, key[4] - key[2])
             for label, probs in found:
                 first, maps = window.get(label, (key[1], np.zeros((0, key[4]), np.float32)))
+                first = first if len(maps) else key[1]  # traces between the bands of a task aren't its own
                 if short := key[1] + h - first - len(maps):
                     maps = np.concatenate([maps, np.zeros((max(0, short), key[4]), np.float32)])
                 part = maps[key[1] - first : key[1] - first + h, key[2] : key[2] + w]

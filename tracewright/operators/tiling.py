@@ -109,7 +109,7 @@ def tile_cut_scanned(bands: DataFrame, bounds: DataFrame, tile: int = TILE, stri
     if bounds.limit(MOST_BOUNDS + 1).count() > MOST_BOUNDS:
         once = traces.dropDuplicates(["section_id", "trace_idx"])
         cut = tile_cut(edge_pad(gray_traces(once, bounds), tile), tile, stride)
-        return cut.join(section_shape(once), "section_id")
+        return cut.join(section_shape(once), "section_id").sortWithinPartitions("section_id", "tile_y", "tile_x")
     levels = F.transform("samples", lambda v: gray_level(v, F.col("lo"), F.col("hi")))
     gray = traces.join(F.broadcast(bounds), "section_id").select("section_id", "tile_y", "trace_idx", "n_traces", "n_samples", levels.alias("gray"))
 
