@@ -114,7 +114,8 @@ def score_tiles(tiles: DataFrame, make_scorer: Callable[[], Scorer] = ClosedForm
         def strips() -> pa.RecordBatch:
             maps = [np.asarray(m, np.float32) for *_, m in held]
             rows = [len(m) for m in maps]
-            repeated = [pa.array([x for x, n in zip(values, rows, strict=True) for _ in range(n)], kind) for values, kind in zip(list(zip(*held, strict=True))[:4], (pa.string(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
+            sections, *numbers = list(zip(*held, strict=True))[:4]
+            repeated = [pa.array(sections, pa.string()).take(pa.array(np.repeat(np.arange(len(held)), rows))), *(pa.array(np.repeat(np.array(c, np.int32), rows)) for c in numbers)]
             widths = np.repeat([m.shape[1] for m in maps], rows)
             offsets = np.concatenate(([0], np.cumsum(widths))).astype(np.int32)
             probs = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([m.ravel() for m in maps])))
