@@ -7,9 +7,11 @@ operators themselves never round.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from .plans import segment
 from .sinks import files, readback
 from .sources import bounds as kept
 from .sources import segy
-from .storage import new_folder
+from .storage import new_folder, staged
 from .streaming import fusion
 
 TILE, STRIDE = 32, 16
@@ -142,9 +144,15 @@ def tile_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sums(tiles: DataFrame) -> DataFrame:
-    level = lambda i: F.conv(F.substring(F.hex("pixels"), i * 2 + 1, 2), 16, 10).cast("long")
-    total = F.aggregate(F.sequence(F.lit(0), F.lit(TILE * TILE - 1)), F.lit(0).cast("long"), lambda acc, i: acc + level(i))
-    return tiles.select("tile_y", "tile_x", F.octet_length("pixels").cast("long").alias("n_pixels"), total.alias("sum_gray"))
+    """Size and sum of each tile's bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column("pixels")]
+            sums = pa.array([len(x) for x in found], pa.int64()), pa.array([int(x.sum(dtype=np.int64)) for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("tile_y"), batch.column("tile_x"), *sums], names=["tile_y", "tile_x", "n_pixels", "sum_gray"])
+
+    return tiles.select("tile_y", "tile_x", "pixels").mapInArrow(run, "tile_y int, tile_x int, n_pixels long, sum_gray long")
 
 
 def prompt_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,7 +363,7 @@ def segment_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streaming_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strips put into a folder in two parts, fused as a stream."""
     folder, fused = new_folder(spark, "strips"), new_folder(spark, "fused")
-    strips = _strips(spark, sf_dir)
+    strips = staged(_strips(spark, sf_dir))
     strips.where("tile_y % 32 = 0").write.mode("append").parquet(folder)
     strips.where("tile_y % 32 <> 0").write.mode("append").parquet(folder)
     fusion.keep_fused(fusion.placed_scores(spark, folder), new_folder(spark, "stream"), fused).awaitTermination()
