@@ -322,7 +322,8 @@ def export_png(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_vti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _totals("vti", files.export_vti(masks.label_volume_packed(_segmented(spark, sf_dir).masks), new_folder(spark, "vti"), most_pixels=FILE_PIXELS))
+    done = _segmented(spark, sf_dir)
+    return _totals("vti", files.export_vti(masks.label_volume_packed(done.masks), new_folder(spark, "vti"), most_pixels=FILE_PIXELS, shapes=done.shapes))
 
 
 def export_all(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -314,32 +314,62 @@ def png_pieces(overlay: DataFrame, folder: str, most_pixels: int = MOST_PIXELS,
     return _pieces(rows, _by_traces(most_pixels), "overlay_png", mounted(folder), "_overlay.png", lambda frame, at: formats.png_rows(_filled(frame, at, ["r", "g", "b"], np.uint8)), True)
 
 
+RUNS = "section_id string, n_traces int, n_samples int, tall int, wide int, k int, first int, n int, ids binary, error string"
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """Label volumes turned about, block by block of ``per`` traces: for each ``wide`` samples of a
+    block a row with their labels, the traces running fastest.
+
+    A block with a trace missing, or there twice, is one row with the error."""
+    keys = ["section_id", "n_traces", "n_samples", "per", "tall", "wide", "block"]
+    names = [c.split()[0] for c in RUNS.split(", ")]
+
+    def turn(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        section, n_traces, n_samples, per, tall, wide, block = key
+        head = (section, n_traces, n_samples, tall, wide)
+        try:
+            at = {"seq": int(block), "n_traces": n_traces, "n_samples": n_samples}
+            ids = np.ascontiguousarray(_filled(frame, at, ["label_ids"], "<i4").T)
+            chunks = [ids[x : x + wide].tobytes() for x in range(0, n_samples, wide)]
+            rows = [(*head, k, int(block) * per, ids.shape[1], chunk, None) for k, chunk in enumerate(chunks)]
+        except Exception as failure:  # noqa: BLE001  one section's failure is a row
+            rows = [(*head, 0, 0, 0, b"", str(failure))]
+        return pd.DataFrame(rows, columns=names)
+
+    return rows.withColumn("block", F.floor(F.col("trace_idx") / F.col("per")).cast("long")).select(*keys, "trace_idx", "label_ids").groupBy(*keys).applyInPandas(turn, RUNS)
+
+
 def vti_pieces(volume: DataFrame, folder: str, most_pixels: int = MOST_PIXELS, shapes: DataFrame | None = None) -> DataFrame:
     """A label volume from ``section_id, trace_idx, label_ids``.
 
     Its traces are the axis that runs fastest, so a piece is a range of samples of all
-    traces, or of one sample and a range of traces where there are more than a piece holds."""
-    rows = _shaped(volume, section_shape(volume, "label_ids") if shapes is None else shapes)
-    wide = F.greatest(F.floor(F.lit(most_pixels) / F.greatest("n_traces", F.lit(1))), F.lit(1)).cast("int")
-    rows = rows.withColumns({"wide": wide, "tall": F.least("n_traces", F.lit(most_pixels))})
-    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.col("n_samples") / F.col("wide")).cast("int") - 1), lambda k: F.struct(k.alias("k"), F.slice("label_ids", k * F.col("wide") + 1, F.col("wide")).alias("ids")))
-    rows = rows.where("n_samples > 0").withColumn("chunk", F.explode(chunks)).select("section_id", "trace_idx", "n_traces", "n_samples", "tall", "wide", "chunk.*")
-    up = F.floor(F.col("trace_idx") / F.col("tall"))
-    place = {"part_no": F.lit(0), "part": F.lit(""), "seq": (F.col("k") * F.ceil(F.col("n_traces") / F.col("tall")) + up).cast("long")}
+    traces, or of one sample and a range of traces where there are more than a piece holds.
+    It is put together from runs of blocks of traces; no row is made for a trace and piece."""
+    rows = _shaped(volume, section_shape(volume, "label_ids") if shapes is None else shapes).where("n_samples > 0")
+    per = F.greatest(F.floor(F.lit(most_pixels) / F.col("n_samples")), F.lit(1)).cast("int")
+    rows = rows.withColumns({"per": per, "wide": F.greatest(F.floor(F.lit(most_pixels) / F.greatest("n_traces", F.lit(1))), F.lit(1)).cast("int")})
+    rows = rows.withColumn("tall", F.least("n_traces", F.col("per") * F.floor(F.lit(most_pixels) / F.col("per"))).cast("int"))  # whole blocks
+    seq = F.col("k") * F.ceil(F.col("n_traces") / F.col("tall")) + F.floor(F.col("first") / F.col("tall"))
+    place = {"part_no": F.lit(0), "part": F.lit(""), "seq": seq.cast("long")}
 
     def make(frame: pd.DataFrame, at: dict) -> bytes:
         k, tall, wide = (int(frame[c].iloc[0]) for c in ("k", "tall", "wide"))
+        if (lost := frame["error"].dropna()).size:
+            raise ValueError(lost.iloc[0])
         first = at["seq"] % -(-at["n_traces"] // tall) * tall
-        n = min(tall, at["n_traces"] - first)
-        order = frame["trace_idx"].to_numpy() - first
-        if sorted(order.tolist()) != list(range(n)):
-            raise ValueError(f"not every trace from {first} to {first + n - 1} is there once")
+        n, done = min(tall, at["n_traces"] - first), 0
         out = np.zeros((min(wide, at["n_samples"] - k * wide), n), "<i4")
-        for i, values in zip(order.tolist(), frame["ids"], strict=True):
-            out[: len(values), i] = values
+        for begin, size, ids in sorted(zip(frame["first"].tolist(), frame["n"].tolist(), frame["ids"], strict=True)):
+            if begin != first + done:
+                break
+            out[:, done : done + size] = np.frombuffer(ids, "<i4").reshape(len(out), size)
+            done += size
+        if done != n:
+            raise ValueError(f"not every trace from {first} to {first + n - 1} is there once")
         return out.tobytes()
 
-    return _pieces(rows, place, "labels_vti", mounted(folder), "_masks.vti", make, False)
+    return _pieces(_runs(rows), place, "labels_vti", mounted(folder), "_masks.vti", make, False)
 
 
 def segy_pieces(traces: DataFrame, folder: str, kind: int = IEEE, most_pixels: int = MOST_PIXELS) -> DataFrame:
