@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..sources.segy import window_starts_between as _between
 from .scoring import Scorer, scored
 
@@ -26,6 +28,74 @@ def stitch_long(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy(*keys).agg(F.greatest(F.lit(0.0).cast("float"), F.max("prob")).alias("prob"))
 
 
+def stitch_strips(strips: DataFrame) -> DataFrame:
+    """The rows of ``stitch_long`` over ``strips_long``, from traces that are fused before they
+    become pixels."""
+    return strips_long(fuse_strips(strips))
+
+
+def fuse_strips(strips: DataFrame) -> DataFrame:
+    """Strips that don't overlap: one for each stretch of a trace that some strip covers, with the
+    greatest of 0 and its scores; NaN wins.
+
+    Only strips are shuffled.  Those of a trace follow one another and are folded as they
+    come, so a task holds a batch of them and one trace, however often strips repeat."""
+    keys = ["section_id", "label_id", "trace_idx"]
+    placed = strips.where("size(probs) > 0").select("section_id", "label_id", (F.col("tile_y") + F.col("row_off")).alias("trace_idx"), "tile_x", F.col("probs").cast("array<float>").alias("probs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_trace = None  # the last trace of the batches so far may go on
+        for batch in batches:
+            if batch.num_rows:
+                fused, last = _folded(batch if open_trace is None else pa.concat_batches([open_trace, batch]))
+                open_trace = fused.slice(last)
+                yield _as_strips(fused.slice(0, last))
+        if open_trace is not None:
+            yield _as_strips(open_trace)
+
+    return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schemas.STRIPS)
+
+
+def _folded(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, int]:
+    """Placed strips, those of a trace one after the other, fused to stretches; and the number of
+    the stretch that the last trace begins with."""
+    codes = batch.column("section_id").dictionary_encode().indices, batch.column("label_id"), batch.column("trace_idx")
+    new = np.zeros(len(batch), bool)
+    new[0] = True
+    for c in codes:
+        lost, values = c.is_null().to_numpy(zero_copy_only=False), pc.fill_null(c, 0).to_numpy()
+        new[1:] |= (values[1:] != values[:-1]) | (lost[1:] != lost[:-1])
+    firsts = np.flatnonzero(new)
+    of = np.cumsum(new) - 1
+    parts, xs = batch.column("probs"), batch.column("tile_x").to_numpy().astype(np.int64)
+    lengths = np.diff(parts.offsets.to_numpy())
+    low, high = np.minimum.reduceat(xs, firsts), np.maximum.reduceat(xs + lengths, firsts)
+    ends = np.cumsum(high - low)
+    begins = ends - (high - low)
+    out, covered = np.zeros(int(ends[-1]), np.float32), np.zeros(int(ends[-1]), bool)
+    flat, at = pc.fill_null(parts.flatten(), 0.0).to_numpy(), 0
+    for begin, n in zip((begins[of] + xs - low[of]).tolist(), lengths.tolist(), strict=True):
+        np.maximum(out[begin : begin + n], flat[at : at + n], out=out[begin : begin + n])
+        covered[begin : begin + n] = True
+        at += n
+    starts, stops = covered.copy(), covered.copy()
+    starts[1:] &= ~covered[:-1]
+    stops[:-1] &= ~covered[1:]
+    starts[begins] = stops[ends - 1] = True  # both ends of a trace are covered
+    starts, stops = np.flatnonzero(starts), np.flatnonzero(stops) + 1
+    trace = np.searchsorted(begins, starts, "right") - 1
+    probs = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(stops - starts))).astype(np.int32)), pa.array(out[covered]))
+    same = pa.array(firsts[trace])
+    columns = [*(batch.column(c).take(same) for c in ("section_id", "label_id", "trace_idx")), pa.array((low[trace] + starts - begins[trace]).astype(np.int32)), probs]
+    fused = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+    return fused, int(np.searchsorted(trace, trace[-1]))
+
+
+def _as_strips(fused: pa.RecordBatch) -> pa.RecordBatch:
+    section, label, trace, x, probs = fused.columns
+    return pa.RecordBatch.from_arrays([section, label, trace, x, pa.array(np.zeros(len(fused), np.int32)), probs], names=["section_id", "label_id", "tile_y", "tile_x", "row_off", "probs"])
+
+
 def stitch_packed(strips: DataFrame, shapes: DataFrame) -> DataFrame:
     """``section_id, label_id, trace_idx, probs``, cropped to the section.
 

@@ -181,7 +181,7 @@ def _as_pixels(fused: DataFrame) -> DataFrame:
 
 
 def stitch_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_pixels(stitch.stitch_long(stitch.strips_long(_strips(spark, sf_dir))))
+    return _as_pixels(stitch.stitch_strips(_strips(spark, sf_dir)))
 
 
 def stitch_max_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
