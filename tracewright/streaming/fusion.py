@@ -2,22 +2,23 @@
 
 The maximum doesn't depend on the order of its inputs and repeats don't change it, so
 late and repeated strips need no watermark for right results, and what is fused can be
-kept as one Parquet table per batch: no pixel comes to the driver or stays in a state.
-From time to time the batches are merged into one table, so that reading doesn't cost
+kept as one Parquet table per batch, of strips: no pixel comes to the driver, stays in a
+state or is shuffled.  From time to time the batches are merged into one table, so that reading doesn't cost
 more with every batch."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
-from ..operators.stitch import stitch_long, strips_long
+from ..operators.stitch import fuse_strips, stitch_strips
 
 
 def placed_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of placed pixels over the Parquet strips that are put into a folder."""
-    return strips_long(spark.readStream.schema(schemas.STRIPS).parquet(folder))
+    """A stream over the Parquet strips that are put into a folder."""
+    return spark.readStream.schema(schemas.STRIPS).parquet(folder)
 
 
 MERGE_EVERY = 8
@@ -26,19 +27,31 @@ MERGE_EVERY = 8
 def keep_fused(stream: DataFrame, checkpoint: str, folder: str, merge_every: int = MERGE_EVERY) -> StreamingQuery:
     """Run until all that is there is fused, batch by batch, into a shared folder.
 
+    The stream is of strips, or of placed pixels (``schemas.PIXELS``), each a strip by itself.
     A batch that is run again replaces what it wrote.  Every ``merge_every`` batches all of
     them are merged."""
     spark = stream.sparkSession
-    spark.createDataFrame([], schemas.PIXELS).write.mode("ignore").parquet(f"{folder}/batch=-1")
+    spark.createDataFrame([], schemas.STRIPS).write.mode("ignore").parquet(f"{folder}/batch=-1")
 
-    def write(pixels: DataFrame, batch: int) -> None:
-        stitch_long(pixels).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+    def write(scores: DataFrame, batch: int) -> None:
+        fuse_strips(scores if "probs" in scores.columns else _pixel_strips(scores)).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
         if len(_tables(spark, folder)) > merge_every:
             merge_fused(spark, folder)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _pixel_strips(pixels: DataFrame) -> DataFrame:
+    return pixels.select("section_id", "label_id", F.col("trace_idx").alias("tile_y"), F.col("sample_idx").alias("tile_x"), F.lit(0).alias("row_off"), F.array("prob").alias("probs"))
+
+
+def _kept(spark: SparkSession, tables: list[str]) -> DataFrame:
+    """The strips of tables; those that an earlier version wrote hold pixels."""
+    rows = spark.read.schema(f"{schemas.STRIPS}, trace_idx int, sample_idx int, prob float").parquet(*tables)
+    y, x = F.coalesce("tile_y", "trace_idx"), F.coalesce("tile_x", "sample_idx")
+    return rows.select("section_id", "label_id", y.alias("tile_y"), x.alias("tile_x"), F.coalesce("row_off", F.lit(0)).alias("row_off"), F.coalesce("probs", F.array("prob")).alias("probs"))
+
+
 def _tables(spark: SparkSession, folder: str) -> list[str]:
     """The tables that count: the last merged one, and the batches after it."""
     path, fs = _store(spark, folder)
@@ -64,7 +77,7 @@ def merge_fused(spark: SparkSession, folder: str) -> None:
     if len(tables) < 2:
         return
     jvm, (_, fs) = spark.sparkContext._jvm, _store(spark, folder)
-    stitch_long(spark.read.schema(schemas.PIXELS).parquet(*tables)).write.mode("overwrite").parquet(f"{folder}/_merging")
+    fuse_strips(_kept(spark, tables)).write.mode("overwrite").parquet(f"{folder}/_merging")
     target = jvm.org.apache.hadoop.fs.Path(f"{folder}/merged={last}")
     if not fs.rename(jvm.org.apache.hadoop.fs.Path(f"{folder}/_merging"), target):
         raise OSError(f"{target} could not be named")
@@ -74,4 +87,4 @@ def merge_fused(spark: SparkSession, folder: str) -> None:
 
 def fused_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The fused pixels of all batches that ``keep_fused`` put into a folder."""
-    return stitch_long(spark.read.schema(schemas.PIXELS).parquet(*_tables(spark, folder)))
+    return stitch_strips(_kept(spark, _tables(spark, folder)))
