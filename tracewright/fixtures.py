@@ -19,9 +19,11 @@ def line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def large(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A section larger than the usual windows: three traces for each vector, 1280 samples wide."""
-    samples = F.transform(F.sequence(F.lit(0), F.lit(1279)), lambda j: (F.get("embedding", j % 64).cast("float") + (F.floor(j / 64) % 5).cast("float")).cast("float"))
-    rows = read(spark, sf_dir, "embeddings").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    return rows.select(F.lit("large").alias("section_id"), (3 * F.col("vec_id") + F.col("r")).cast("int").alias("trace_idx"), samples.alias("samples"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: F.get("embedding", j).cast("float"))
+    raised = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.transform("vector", lambda v: v + k.cast("float"))))
+    rows = read(spark, sf_dir, "embeddings").withColumn("vector", vector).withColumn("samples", F.flatten(F.array_repeat(raised, 4)))
+    rows = rows.select("vec_id", "samples", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("r"))  # a vector's samples are worked out once
+    return rows.select(F.lit("large").alias("section_id"), (3 * F.col("vec_id") + F.col("r")).cast("int").alias("trace_idx"), "samples")
 
 
 def volume(spark: SparkSession, sf_dir: str) -> DataFrame:

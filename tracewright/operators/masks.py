@@ -142,9 +142,12 @@ def coverage(counts: DataFrame, labels: DataFrame) -> DataFrame:
     ``counts(section_id, label_id, n_on, n)`` are partial counts, of pixels or traces; a
     label without a mask covers 0 per cent."""
     sums = counts.groupBy("section_id", "label_id").agg(F.sum("n_on").alias("n_on"), F.sum("n").alias("n"))
-    every = counts.select("section_id").distinct().crossJoin(F.broadcast(labels.select("label_id", "label")))
-    pct = F.coalesce(100.0 * F.col("n_on") / F.when(F.col("n") > 0, F.col("n")), F.lit(0.0))
-    found = every.join(sums, ["section_id", "label_id"], "left").withColumn("pct", pct)
+    # a row per section with its few labels, so that counts are worked out once
+    held = sums.groupBy("section_id").agg(F.collect_list(F.struct("label_id", "n_on", "n")).alias("held"))
+    every = held.crossJoin(F.broadcast(labels.select("label_id", "label")))
+    own = F.get(F.filter("held", lambda h: h["label_id"] == F.col("label_id")), F.lit(0))
+    pct = F.coalesce(100.0 * own["n_on"] / F.when(own["n"] > 0, own["n"]), F.lit(0.0))
+    found = every.withColumn("pct", pct)
     return found.select("section_id", "label_id", "label", "pct", F.format_string("%.2f%%", "pct").alias("pct_text"))
 
 

@@ -42,24 +42,25 @@ def segment_sections(
     Bounds are exact in two passes unless one buffer per section will do.  Traces are
     read for the bounds, for the shapes and for the grey levels; ``stage`` keeps them as
     Parquet first, which pays where reading means decoding, and keeps the fused maps with
-    the failures, so that tiles are scored once whatever is asked for.  Labels that the
-    scorer lacks have no mask and cover nothing.  Tiles it fails on are rows of
-    ``failures``; other tiles go on."""
+    the failures, so that tiles are scored once whatever is asked for.  Without it nothing
+    but traces as bytes is shuffled, and tiles over the end of a block of traces (a fifth of
+    them in short sections, a seventeenth in long ones) are scored for both blocks: a costly
+    scorer wants ``stage``.  Labels that the scorer lacks have no mask and cover nothing.
+    Tiles it fails on are rows of ``failures``; other tiles go on."""
     traces = staged(traces) if stage else traces
     labels = catalog.label_catalog(traces.sparkSession, prompts)
     if bounds is None:
-        samples = normalize.samples_long(traces)
-        bounds = normalize.clip_bounds_in_buffer(samples) if exact_in_one_pass else normalize.clip_bounds_two_pass(samples)
+        bounds = normalize.clip_bounds_in_buffer(normalize.samples_long(traces)) if exact_in_one_pass else normalize.clip_bounds_of_traces(traces)
     ids = tuple(x[0] for x in catalog.LABELS if not prompts or x[1] in prompts)
     gray = normalize.gray_traces(traces, bounds)
     shapes = normalize.section_shape(traces)
     tiles = tiling.tile_cut(tiling.edge_pad(gray, tile, shapes), tile, stride)
-    strips = scoring.score_tiles(tiles, make_scorer or (lambda: scoring.ClosedFormScorer(ids)), tile)
-    strips = strips.join(F.broadcast(labels.select(F.col("label_id").alias("known"))), F.col("label_id") == F.col("known"), "left").where("known is not null or error is not null").drop("known")
-    fused = stitch.stitch_with_failures(strips, shapes)
+    blocks = tiling.tile_cut_blocks(normalize.gray_bytes(traces, bounds), shapes, tile, stride, whole=not stage)
+    fused = stitch.fuse_scanned(blocks, make_scorer or (lambda: scoring.ClosedFormScorer(ids)), tile, stride)
     fused = staged(fused) if stage else fused
     failures = fused.where("error is not null").select("section_id", F.col("trace_idx").alias("tile_y"), F.explode("tile_xs").alias("tile_x"), "error")
-    maps = fused.where("error is null").select("section_id", "label_id", "trace_idx", "probs")
+    maps = stitch.join_seams(fused) if stage else fused.where("error is null")
+    maps = maps.join(F.broadcast(labels.select("label_id")), "label_id").select("section_id", "label_id", "trace_idx", "probs")
     bits = M.binarize_bits(maps, threshold)
     return Segmentation(bounds, gray, tiles, failures, maps, M.binarize_packed(maps, threshold), M.coverage(M.bit_counts(bits), labels), labels, bits, shapes)
 

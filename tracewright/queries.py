@@ -345,7 +345,7 @@ def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mask_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and emptiness of masks of a bit a pixel."""
-    bits = masks.binarize_bits(_segmented(spark, sf_dir).prob_maps, 0.7)
+    bits = staged(masks.binarize_bits(_segmented(spark, sf_dir).prob_maps, 0.7))
     counts = masks.bit_counts(bits).groupBy("section_id", "label_id").agg(F.sum("n_on").alias("n_on"), F.sum("n").alias("n"))
     return counts.join(masks.bits_any(bits), ["section_id", "label_id"]).select("label_id", "n_on", "n", "mask_any")
 
@@ -357,7 +357,7 @@ def threshold_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain with its usual windows, over a section larger than them."""
     traces = fixtures.large(spark, sf_dir)
-    done = segment.segment_sections(traces, bounds=_rounded(normalize.clip_bounds_two_pass(normalize.samples_long(traces))))
+    done = segment.segment_sections(traces, bounds=_rounded(normalize.clip_bounds_of_traces(traces)))
     return done.coverage.select("label_id", "label", F.round("pct", 6).alias("pct"))
 
 
