@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..sources.segy import window_starts_between as _between
 from .scoring import Scorer, scored
+from .tiling import block_tiles
 
 
 def strips_long(strips: DataFrame) -> DataFrame:
@@ -142,97 +143,110 @@ _SCANNED_NAMES = ["section_id", "label_id", "trace_idx", "probs", "seam", "tile_
 SCANNED = "section_id string, label_id int, trace_idx int, probs array<float>, seam boolean, tile_xs array<int>, error string"
 
 
-BATCH_BYTES = 1 << 22  # of maps that are passed on together
-
-
 def fuse_scanned(tiles: DataFrame, make_scorer: Callable[[], Scorer], tile: int, stride: int) -> DataFrame:
-    """Tiles that are in order of bands within their partitions (``tile_cut_scanned``,
-    ``tile_cut_blocks``), scored and fused where they lie: ``section_id, label_id, trace_idx,
-    probs, seam``.
+    """Tiles that are in order of bands within their partitions (``tile_cut_scanned``), scored and
+    fused where they lie: ``section_id, label_id, trace_idx, probs, seam``.
 
     A task adds its bands to one window of traces as they come and passes on what no later
-    band reaches, of a block that has ``first`` and ``until`` the traces between them that
-    aren't ``absent``.  A trace is a seam if a band of another task covers it too.  Tiles that
+    band reaches.  A trace is a seam if a band of another task covers it too.  Tiles that
     fail are rows as in ``stitch_with_failures``.  A task holds a band of maps."""
-    if "first" not in tiles.columns:
-        tiles = tiles.withColumns({"first": F.lit(0), "until": F.col("n_traces"), "absent": F.lit(None).cast("array<int>")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def images() -> Iterator[tuple]:
             for batch in batches:
-                for row in zip(*(batch.column(c) for c in ("section_id", "tile_y", "tile_x", "n_traces", "n_samples", "first", "until", "absent", "pixels")), strict=True):
-                    key = tuple(x.as_py() for x in row[:8])
-                    yield key, key[1], key[2], np.frombuffer(row[8].as_buffer(), np.uint8).reshape(tile, -1)
-
-        window, section, seen = {}, None, []  # by label: the first trace, and maps from there on
-        lacking = set()  # traces that bands of the section lack
-
-        def passed(until: int | None) -> Iterator[pa.RecordBatch]:
-            """Rows of the traces before ``until``; of all that are left where it is None."""
-            name, n_traces, n_samples, *own = section
-            for label, (first, maps) in list(window.items()):
-                n = len(maps) if until is None else max(0, min(until, first + len(maps)) - first)
-                window[label] = (first + n, maps[n:])
-                traces = np.arange(first, first + n)
-                asked = (traces >= own[0]) & (traces < own[1])
-                if lacking:
-                    asked &= ~np.isin(traces, list(lacking))
-                if not asked.all():
-                    traces, maps = traces[asked], maps[:n][asked]
-                if n := len(traces):
-                    # bands that reach these traces: those of this task, and a few around them
-                    others = [y for y in _between(n_traces, tile, stride, int(traces[0]) - tile + 1, int(traces[-1])) if y not in seen]
-                    seam = np.zeros(n, bool)
-                    for y in others:
-                        seam |= (traces >= y) & (traces < y + tile)
-                    probs = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * n_samples), pa.array(maps[:n].ravel()))
-                    columns = [pa.array([name] * n, pa.string()), pa.array([label] * n, pa.int32()), pa.array(traces.astype(np.int32)), probs, pa.array(seam), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.string())]
-                    yield pa.RecordBatch.from_arrays(columns, names=_SCANNED_NAMES)
-            if until is None:
-                window.clear()
-            lacking.difference_update([t for t in lacking if until is None or t < until])
-
-        for key, found, error in scored(images(), make_scorer):
-            at = (key[0], *key[3:7])
-            if section is not None and (at != section or key[1] not in seen):
-                # bands that a task has end where the next one of them begins
-                yield from passed(key[1] if at == section and key[1] > seen[-1] else None)
-                seen = seen if at == section and key[1] > seen[-1] else []
-            section = at
-            lacking.update(key[7] or ())
-            if key[1] not in seen:
-                seen.append(key[1])
-            if error is not None:
-                if not key[5] <= key[1] < key[6]:
-                    continue  # the block that the tile begins in tells of it
-                columns = [pa.array([key[0]]), pa.nulls(1, pa.int32()), pa.array([key[1]], pa.int32()), pa.nulls(1, pa.list_(pa.float32())), pa.array([False]), pa.array([[key[2]]], pa.list_(pa.int32())), pa.array([error])]
+                for row in zip(*(batch.column(c) for c in ("section_id", "tile_y", "tile_x", "n_traces", "n_samples", "pixels")), strict=True):
+                    key = tuple(x.as_py() for x in row[:5])
+                    yield *key, 0, key[3], [], np.frombuffer(row[5].as_buffer(), np.uint8).reshape(tile, -1)
+
+        yield from _together(_fused(images(), make_scorer, tile, stride))
+
+    return tiles.select("section_id", "tile_y", "tile_x", "n_traces", "n_samples", "pixels").mapInArrow(run, SCANNED)
+
+
+def fuse_blocks(traces: DataFrame, make_scorer: Callable[[], Scorer], tile: int, stride: int, whole: bool = True) -> DataFrame:
+    """The same from traces dealt by blocks (``deal_blocks``, as ``whole`` there), whose tiles are
+    cut, scored and fused in one task.  With ``whole`` no trace is a seam.  Traces that a
+    section lacks have no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _together(_fused(block_tiles(batches, tile, stride, whole), make_scorer, tile, stride))
+
+    return traces.mapInArrow(run, SCANNED)
+
+
+def _fused(tiles: Iterator[tuple], make_scorer: Callable[[], Scorer], tile: int, stride: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``fuse_scanned`` from a task's tiles as ``block_tiles`` gives them."""
+    window, section, seen = {}, None, []  # by label: the first trace, and maps from there on
+    lacking = set()  # traces that bands of the section lack
+
+    def passed(until: int | None) -> Iterator[pa.RecordBatch]:
+        """Rows of the traces before ``until``; of all that are left where it is None."""
+        name, n_traces, n_samples, *own = section
+        for label, (first, maps) in list(window.items()):
+            n = len(maps) if until is None else max(0, min(until, first + len(maps)) - first)
+            window[label] = (first + n, maps[n:])
+            traces = np.arange(first, first + n)
+            asked = (traces >= own[0]) & (traces < own[1])
+            if lacking:
+                asked &= ~np.isin(traces, list(lacking))
+            if not asked.all():
+                traces, maps = traces[asked], maps[:n][asked]
+            if n := len(traces):
+                # bands that reach these traces: those of this task, and a few around them
+                others = [y for y in _between(n_traces, tile, stride, int(traces[0]) - tile + 1, int(traces[-1])) if y not in seen]
+                seam = np.zeros(n, bool)
+                for y in others:
+                    seam |= (traces >= y) & (traces < y + tile)
+                probs = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * n_samples), pa.array(maps[:n].ravel()))
+                columns = [pa.array([name] * n, pa.string()), pa.array([label] * n, pa.int32()), pa.array(traces.astype(np.int32)), probs, pa.array(seam), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=_SCANNED_NAMES)
-                continue
-            h, w = min(tile, key[3] - key[1]), min(tile, key[4] - key[2])
-            for label, probs in found:
-                first, maps = window.get(label, (key[1], np.zeros((0, key[4]), np.float32)))
-                first = first if len(maps) else key[1]  # traces between the bands of a task aren't its own
-                if short := key[1] + h - first - len(maps):
-                    maps = np.concatenate([maps, np.zeros((max(0, short), key[4]), np.float32)])
-                probs = np.asarray(probs, np.float32)[:h, :w]
-                part = maps[key[1] - first : key[1] - first + probs.shape[0], key[2] : key[2] + probs.shape[1]]
-                np.maximum(part, probs, out=part)
-                window[label] = (first, maps)
-        if section is not None:
-            yield from passed(None)
-
-    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for one in run(batches):
-            held.append(one)
-            size += one.nbytes
-            if size >= BATCH_BYTES:
-                yield pa.concat_batches(held)
-                held, size = [], 0
-        if held:
-            yield pa.concat_batches(held)
+        if until is None:
+            window.clear()
+        lacking.difference_update([t for t in lacking if until is None or t < until])
+
+    for key, found, error in scored(((x[:8], x[1], x[2], x[8]) for x in tiles), make_scorer):
+        at = (key[0], *key[3:7])
+        if section is not None and (at != section or key[1] not in seen):
+            # bands that a task has end where the next one of them begins
+            yield from passed(key[1] if at == section and key[1] > seen[-1] else None)
+            seen = seen if at == section and key[1] > seen[-1] else []
+        section = at
+        lacking.update(key[7] or ())
+        if key[1] not in seen:
+            seen.append(key[1])
+        if error is not None:
+            if not key[5] <= key[1] < key[6]:
+                continue  # the block that the tile begins in tells of it
+            columns = [pa.array([key[0]]), pa.nulls(1, pa.int32()), pa.array([key[1]], pa.int32()), pa.nulls(1, pa.list_(pa.float32())), pa.array([False]), pa.array([[key[2]]], pa.list_(pa.int32())), pa.array([error])]
+            yield pa.RecordBatch.from_arrays(columns, names=_SCANNED_NAMES)
+            continue
+        h, w = min(tile, key[3] - key[1]), min(tile, key[4] - key[2])
+        for label, probs in found:
+            first, maps = window.get(label, (key[1], np.zeros((0, key[4]), np.float32)))
+            first = first if len(maps) else key[1]  # traces between the bands of a task aren't its own
+            if short := key[1] + h - first - len(maps):
+                maps = np.concatenate([maps, np.zeros((max(0, short), key[4]), np.float32)])
+            probs = np.asarray(probs, np.float32)[:h, :w]
+            part = maps[key[1] - first : key[1] - first + probs.shape[0], key[2] : key[2] + probs.shape[1]]
+            np.maximum(part, probs, out=part)
+            window[label] = (first, maps)
+    if section is not None:
+        yield from passed(None)
 
-    return tiles.select("section_id", "tile_y", "tile_x", "n_traces", "n_samples", "first", "until", "absent", "pixels").mapInArrow(together, SCANNED)
+
+BATCH_BYTES = 1 << 22  # of maps that are passed on together
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for one in batches:
+        held.append(one)
+        size += one.nbytes
+        if size >= BATCH_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def join_seams(scanned: DataFrame) -> DataFrame:

@@ -101,17 +101,13 @@ def tile_cut(padded: DataFrame, tile: int = TILE, stride: int = STRIDE) -> DataF
 FEWEST_UNITS, MOST_UNITS, BLOCKS = 4, 16, 64
 
 
-def tile_cut_blocks(gray: DataFrame, shapes: DataFrame, tile: int = TILE, stride: int = STRIDE, whole: bool = True) -> DataFrame:
-    """The tiles of ``tile_cut`` from traces as bytes (``gray_bytes``), those of a block of bands after
-    one another, with ``n_traces`` and ``n_samples`` of the section, and ``first`` and ``until``,
-    between which a tile's traces are asked for.
-
-    Traces are dealt by blocks, so a trace is moved once, and those at the ends of a block twice.
-    With ``whole`` a block has all tiles that reach its traces, so that nothing is left to
-    fuse between blocks; at half overlap that is one band more for each 4 (short sections)
-    to 16 (long ones).  Otherwise each tile is cut once, in the block that it begins in.
-    Traces that a section lacks are 0 in tiles and listed in ``absent``.  A task holds a
-    band, as bytes."""
+def deal_blocks(gray: DataFrame, shapes: DataFrame, tile: int = TILE, stride: int = STRIDE, whole: bool = True) -> DataFrame:
+    """Traces as bytes (``gray_bytes``) dealt by blocks of bands and in order, for ``block_tiles``.
+
+    A trace is moved once, and those at the ends of a block twice.  With ``whole`` a block has
+    all tiles that reach its traces, so that nothing is left to fuse between blocks; at half
+    overlap that is one band more for each 4 (short sections) to 16 (long ones).  Otherwise
+    each tile is cut once, in the block that it begins in."""
     traces, y = F.col("n_traces"), covering_starts(F.greatest("n_traces", F.lit(tile)), F.col("trace_idx"), tile, stride)
     unit = max(stride, tile - stride)
     size = unit * F.greatest(F.lit(FEWEST_UNITS), F.least(F.lit(MOST_UNITS), F.ceil(traces / (BLOCKS * unit)))).cast("int")
@@ -124,59 +120,49 @@ def tile_cut_blocks(gray: DataFrame, shapes: DataFrame, tile: int = TILE, stride
     spark = gray.sparkSession
     tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     rows = rows.select("section_id", "block", "trace_idx", "gray", "n_traces", "n_samples", "size").repartition(tasks, "section_id", "block")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-
-        def tiles() -> pa.RecordBatch:
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=[c.split()[0] for c in BLOCK_TILES.split(", ")])
-
-        def band(key: tuple, y: int, rows: dict) -> Iterator[tuple]:
-            section, block, n_traces, n_samples, size = key
-            width, until = max(tile, n_samples), min(n_traces, y + tile)
-            image = np.zeros((tile, width), np.uint8)
-            for t, row in rows.items():
-                if y <= t < until:
-                    image[t - y, : len(row)] = row
-                    image[t - y, len(row) :] = row[-1] if len(row) else 0
-            image[until - y :] = image[until - y - 1]
-            absent = [t for t in range(y, until) if t not in rows] if len(rows) < until - y else None
-            own = (block * size, min((block + 1) * size, n_traces)) if whole else (0, n_traces)
-            for x in [0] if width == tile else sorted({*range(0, width - tile + 1, stride), width - tile}):
-                yield section, y, x, np.ascontiguousarray(image[:, x : x + tile]).tobytes(), n_traces, n_samples, *own, absent
-
-        def bands() -> Iterator[tuple]:
-            key, ys, rows = None, [], {}  # the block, its bands that are still to come, and their traces so far
-            for batch in batches:
-                keys = zip(*(batch.column(c).to_pylist() for c in ("section_id", "block", "n_traces", "n_samples", "size")), strict=True)
-                for now, t, row in zip(keys, batch.column("trace_idx").to_pylist(), batch.column("gray"), strict=True):
-                    while ys and rows and (now != key or t >= ys[0] + tile):
-                        yield from band(key, ys.pop(0), rows)
-                        rows = {k: v for k, v in rows.items() if ys and k >= ys[0]}
-                    if now != key:
-                        key, rows = now, {}
-                        _, block, n_traces, _, size = now
-                        ys = _between(n_traces, tile, stride, block * size - (tile - 1 if whole else 0), min((block + 1) * size, n_traces) - 1)
-                    while ys and t >= ys[0] + tile:  # no trace of it is there
-                        ys.pop(0)
-                    rows.setdefault(t, np.frombuffer(row.as_buffer(), np.uint8).copy())
-            while ys and rows:
+    return rows.sortWithinPartitions("section_id", "block", "trace_idx")
+
+
+def block_tiles(batches: Iterator[pa.RecordBatch], tile: int, stride: int, whole: bool) -> Iterator[tuple]:
+    """The tiles of ``deal_blocks`` in a task, band after band: section, first trace and sample,
+    traces and samples of the section, first and last trace (not included) that the block is
+    asked for, the traces that the band lacks (0 in its tiles), and the image.
+
+    One band is held, as bytes."""
+
+    def band(key: tuple, y: int, rows: dict) -> Iterator[tuple]:
+        section, block, n_traces, n_samples, size = key
+        width, until = max(tile, n_samples), min(n_traces, y + tile)
+        image = np.zeros((tile, width), np.uint8)
+        for t, row in rows.items():
+            if y <= t < until:
+                image[t - y, : len(row)] = row
+                image[t - y, len(row) :] = row[-1] if len(row) else 0
+        image[until - y :] = image[until - y - 1]
+        absent = [t for t in range(y, until) if t not in rows] if len(rows) < until - y else []
+        own = (block * size, min((block + 1) * size, n_traces)) if whole else (0, n_traces)
+        for x in [0] if width == tile else sorted({*range(0, width - tile + 1, stride), width - tile}):
+            yield section, y, x, n_traces, n_samples, *own, absent, np.ascontiguousarray(image[:, x : x + tile])
+
+    key, ys, rows = None, [], {}  # the block, its bands that are still to come, and their traces so far
+    for batch in batches:
+        keys = zip(*(batch.column(c).to_pylist() for c in ("section_id", "block", "n_traces", "n_samples", "size")), strict=True)
+        for now, t, row in zip(keys, batch.column("trace_idx").to_pylist(), batch.column("gray"), strict=True):
+            while ys and rows and (now != key or t >= ys[0] + tile):
                 yield from band(key, ys.pop(0), rows)
                 rows = {k: v for k, v in rows.items() if ys and k >= ys[0]}
-
-        for one in bands():
-            held.append(one)
-            if len(held) * len(one[3]) >= BATCH_BYTES:
-                yield tiles()
-                held.clear()
-        if held:
-            yield tiles()
-
-    return rows.sortWithinPartitions("section_id", "block", "trace_idx").mapInArrow(cut, BLOCK_TILES)
+            if now != key:
+                key, rows = now, {}
+                _, block, n_traces, _, size = now
+                ys = _between(n_traces, tile, stride, block * size - (tile - 1 if whole else 0), min((block + 1) * size, n_traces) - 1)
+            while ys and t >= ys[0] + tile:  # no trace of it is there
+                ys.pop(0)
+            rows.setdefault(t, np.frombuffer(row.as_buffer(), np.uint8).copy())
+    while ys and rows:
+        yield from band(key, ys.pop(0), rows)
+        rows = {k: v for k, v in rows.items() if ys and k >= ys[0]}
 
 
-BLOCK_TILES = "section_id string, tile_y int, tile_x int, pixels binary, n_traces int, n_samples int, first int, until int, absent array<int>"
 MOST_BOUNDS = 1 << 16
 
 

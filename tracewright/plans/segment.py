@@ -55,8 +55,8 @@ def segment_sections(
     gray = normalize.gray_traces(traces, bounds)
     shapes = normalize.section_shape(traces)
     tiles = tiling.tile_cut(tiling.edge_pad(gray, tile, shapes), tile, stride)
-    blocks = tiling.tile_cut_blocks(normalize.gray_bytes(traces, bounds), shapes, tile, stride, whole=not stage)
-    fused = stitch.fuse_scanned(blocks, make_scorer or (lambda: scoring.ClosedFormScorer(ids)), tile, stride)
+    blocks = tiling.deal_blocks(normalize.gray_bytes(traces, bounds), shapes, tile, stride, whole=not stage)
+    fused = stitch.fuse_blocks(blocks, make_scorer or (lambda: scoring.ClosedFormScorer(ids)), tile, stride, whole=not stage)
     fused = staged(fused) if stage else fused
     failures = fused.where("error is not null").select("section_id", F.col("trace_idx").alias("tile_y"), F.explode("tile_xs").alias("tile_x"), "error")
     maps = stitch.join_seams(fused) if stage else fused.where("error is null")
